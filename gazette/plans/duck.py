@@ -157,3 +157,33 @@ def jaccard_sql(a: str, b: str) -> str:
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+def news_title_ctes(src: str, key: str, title: str, name: str) -> str:
+    """CTEs ending in ``name``(key, is_news) for every row of ``src``."""
+    from ..functions.fixed import (TITLE_ANYWHERE_PATTERNS, TITLE_DEAL_LEMMA,
+                                   TITLE_DEAL_PATTERNS, TITLE_START_PATTERNS)
+
+    def term(field, value, j):
+        col = field if j == 0 else f"{field}{j}"
+        return f"{col} = {q(value)}"
+
+    def pat(p):
+        return "(" + " AND ".join(term(f, v, j) for j, (f, v) in enumerate(p)) + ")"
+
+    start = " OR ".join(pat(p) for p in TITLE_START_PATTERNS)
+    anywhere = " OR ".join(pat(p) for p in TITLE_ANYWHERE_PATTERNS)
+    deal = " OR ".join(pat(p) for p in TITLE_DEAL_PATTERNS)
+    leads = ", ".join(f"lead({f}, {j}) OVER w AS {f}{j}"
+                      for f in ("text", "lemma", "pos") for j in (1, 2, 3))
+    return tokens_ctes(src, [key], title, name + "_tok") + f""",
+{name}_l AS (SELECT {key}, i, text, lemma, pos, {leads},
+             count(*) OVER (PARTITION BY {key}) AS n,
+             bool_or(lemma = {q(TITLE_DEAL_LEMMA)}) OVER (PARTITION BY {key}) AS has_deal
+             FROM {name}_tok WINDOW w AS (PARTITION BY {key} ORDER BY i)),
+{name}_h AS (SELECT {key}, max(n) AS n,
+             bool_or(i <= n - 3 AND ((i = 0 AND ({start})) OR {anywhere} OR (has_deal AND ({deal})))) AS blocked
+             FROM {name}_l GROUP BY {key}),
+{name} AS (SELECT s.{key}, CASE WHEN s.{title} IS NULL THEN true WHEN coalesce(h.n, 0) < 2 THEN false
+                  ELSE NOT coalesce(h.blocked, false) END AS is_news
+           FROM {src} s LEFT JOIN {name}_h h ON h.{key} = s.{key})"""

@@ -63,3 +63,69 @@ ORACLE["recent_insert"] = with_(
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
+
+
+# --- ingest ------------------------------------------------------------------------
+from .duck import V_ENTRIES, V_FEEDS, news_title_ctes  # noqa: E402
+
+NOW = "TIMESTAMP '2024-02-01 00:00:00'"
+_FEED_OUT = (f"SELECT CAST(id AS BIGINT) AS id, {_ts('last_publish_time')} AS last_publish_time, "
+             "uri, name, category, etag, modified, is_aggregator FROM ")
+
+ORACLE["scan_feeds"] = with_(V_FEEDS) + _FEED_OUT + "feeds"
+
+ORACLE["entry_time"] = with_(V_ENTRIES) + f"""
+SELECT entry_pos, CAST(feed_id AS BIGINT) AS feed_id,
+       {_ts(f'coalesce(published, updated, {NOW})')} AS publish_time,
+       coalesce(published, updated) IS NOT NULL AS dated FROM entries"""
+
+ORACLE["canonical_url"] = with_(V_ENTRIES) + \
+    "SELECT entry_pos, regexp_replace(link, '[?#][\\s\\S]*', '') AS uri FROM entries WHERE link IS NOT NULL"
+
+ORACLE["blocklist"] = with_(V_ENTRIES) + \
+    "SELECT entry_pos, regexp_matches(link, '^(?:.*/www.youtube.com/.*)') AS blocked FROM entries WHERE link IS NOT NULL"
+
+_NEWS = [V_ENTRIES, lemma_lex_cte(), news_title_ctes("entries", "entry_pos", "title", "news")]
+ORACLE["news_title"] = with_(*_NEWS) + "SELECT entry_pos, is_news FROM news"
+
+_ACC = _NEWS + [V_FEEDS, V_ARTICLES, f"""e AS (SELECT entries.*, coalesce(published, updated) IS NOT NULL AS dated,
+       coalesce(published, updated, {NOW}) AS publish_time FROM entries)""",
+                """c AS (SELECT e.*, regexp_replace(link, '[?#][\\s\\S]*', '') AS uri,
+       CASE WHEN f.is_aggregator THEN source_title END AS source
+  FROM e JOIN feeds f ON e.feed_id = f.id JOIN news n ON n.entry_pos = e.entry_pos
+  WHERE link IS NOT NULL AND (f.last_publish_time IS NULL OR f.last_publish_time < publish_time)
+    AND NOT regexp_matches(link, '^(?:.*/www.youtube.com/.*)') AND n.is_news)""",
+                """acc AS (SELECT * EXCLUDE (rn) FROM (SELECT c.*, row_number() OVER (
+       PARTITION BY feed_id, dated, CASE WHEN dated THEN publish_time END, CASE WHEN NOT dated THEN link END
+       ORDER BY entry_pos) AS rn FROM c) WHERE rn = 1)"""]
+
+ORACLE["incremental"] = with_(*_ACC) + f"""
+SELECT CAST(feed_id AS BIGINT) AS feed_id, entry_pos, {_ts('publish_time')} AS publish_time, dated FROM acc"""
+
+ORACLE["feed_refresh"] = with_(*_ACC) + """
+SELECT CAST(feed_id AS BIGINT) AS feed_id, entry_pos, uri, source, summary FROM acc"""
+
+ORACLE["new_uris"] = with_(*_ACC) + "SELECT DISTINCT uri FROM acc WHERE uri NOT IN (SELECT uri FROM articles)"
+
+ORACLE["known_uris"] = with_(*_ACC) + """
+SELECT uri, count(*) AS hits FROM acc WHERE uri IN (SELECT uri FROM articles) GROUP BY uri"""
+
+_UPSERT = _ACC + ["""acc2 AS (SELECT * FROM acc WHERE dated OR NOT EXISTS (
+       SELECT 1 FROM articles a WHERE a.feed_id = acc.feed_id AND a.uri = acc.uri))""",
+                  """firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY feed_id, publish_time, entry_pos) AS r,
+       count(*) OVER (PARTITION BY uri) AS hits FROM acc2) WHERE r = 1)"""]
+
+ORACLE["article_upsert"] = with_(*_UPSERT) + f"""
+SELECT a.id, {_ts('a.create_time')} AS create_time,
+       {_ts(f'CASE WHEN f.uri IS NOT NULL THEN {NOW} ELSE a.update_time END')} AS update_time,
+       CAST(a.feed_id AS BIGINT) AS feed_id, a.uri, a.status, CAST(a.retries AS BIGINT) AS retries,
+       a.title, a.summary, CAST(a.refs_count + coalesce(f.hits, 0) AS BIGINT) AS refs_count, a.source
+FROM articles a LEFT JOIN firsts f USING (uri)
+UNION ALL
+SELECT ('0x' || substr(md5(f.uri), 1, 15))::BIGINT, {_ts(NOW)}, {_ts(NOW)}, CAST(f.feed_id AS BIGINT), f.uri,
+       'N', CAST(0 AS BIGINT), NULL, f.summary, CAST(f.hits AS BIGINT), f.source
+FROM firsts f WHERE f.uri NOT IN (SELECT uri FROM articles)"""
+
+ORACLE["feed_state"] = with_(*_ACC, """m AS (SELECT feed_id, max(publish_time) AS nm FROM acc WHERE dated GROUP BY feed_id)""",
+                             """fs AS (SELECT f.id, greatest(m.nm, f.last_publish_time) AS last_publish_time, f.uri, f.name,
+       f.category, f.etag, f.modified, f.is_aggregator FROM feeds f LEFT JOIN m ON m.feed_id = f.id)""") + _FEED_OUT + "fs"

@@ -101,3 +101,95 @@ def q_recent_insert(spark, sf):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
+
+
+# --- ingest ------------------------------------------------------------------------
+from ..functions.urls import is_blocked, strip_query  # noqa: E402
+from ..operators import ingest as I  # noqa: E402
+from ..operators.titles import is_news_title  # noqa: E402
+
+
+def tidy(df: DataFrame) -> DataFrame:
+    """Comparable output: int -> long, timestamp -> text, double -> 6 places."""
+    out = []
+    for f in df.schema.fields:
+        t = f.dataType.simpleString()
+        c = F.col(f.name)
+        if t in ("int", "smallint", "tinyint"):
+            c = c.cast("long")
+        elif t.startswith("timestamp"):
+            c = fmt_ts(c)
+        elif t in ("double", "float"):
+            c = r6(c)
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
+def _refresh(spark, sf, materialize=False):
+    return I.refresh(V.entries(spark, sf), V.feeds(spark, sf), V.articles(spark, sf),
+                     V.refresh_now(), materialize=materialize)
+
+
+@register("scan_feeds")
+def q_scan_feeds(spark, sf):
+    return tidy(V.feeds(spark, sf))
+
+
+@register("entry_time")
+def q_entry_time(spark, sf):
+    e = I.timed_entries(V.entries(spark, sf), V.refresh_now())
+    return tidy(e.select("entry_pos", "feed_id", "publish_time", "dated"))
+
+
+@register("canonical_url")
+def q_canonical_url(spark, sf):
+    e = V.entries(spark, sf).filter(F.col("link").isNotNull())
+    return e.select("entry_pos", strip_query(F.col("link")).alias("uri"))
+
+
+@register("blocklist")
+def q_blocklist(spark, sf):
+    e = V.entries(spark, sf).filter(F.col("link").isNotNull())
+    return e.select("entry_pos", is_blocked(F.col("link")).alias("blocked"))
+
+
+@register("news_title")
+def q_news_title(spark, sf):
+    e = V.entries(spark, sf)
+    return e.select("entry_pos", is_news_title(F.col("title")).alias("is_news"))
+
+
+@register("incremental")
+def q_incremental(spark, sf):
+    acc = I.accept_entries(V.entries(spark, sf), V.feeds(spark, sf), V.refresh_now())
+    return tidy(acc.select("feed_id", "entry_pos", "publish_time", "dated"))
+
+
+@register("feed_refresh")
+def q_feed_refresh(spark, sf):
+    acc = I.accept_entries(V.entries(spark, sf), V.feeds(spark, sf), V.refresh_now())
+    return tidy(acc.select("feed_id", "entry_pos", "uri", "source", "summary"))
+
+
+@register("new_uris")
+def q_new_uris(spark, sf):
+    acc = I.accept_entries(V.entries(spark, sf), V.feeds(spark, sf), V.refresh_now())
+    return I.new_uris(acc, V.articles(spark, sf))
+
+
+@register("known_uris")
+def q_known_uris(spark, sf):
+    acc = I.accept_entries(V.entries(spark, sf), V.feeds(spark, sf), V.refresh_now())
+    return I.known_uris(acc, V.articles(spark, sf))
+
+
+@register("article_upsert")
+def q_article_upsert(spark, sf):
+    arts, _, _ = _refresh(spark, sf, materialize=True)
+    return tidy(arts.drop("html"))
+
+
+@register("feed_state")
+def q_feed_state(spark, sf):
+    _, feeds, _ = _refresh(spark, sf, materialize=True)
+    return tidy(feeds)
