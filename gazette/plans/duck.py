@@ -187,3 +187,90 @@ def news_title_ctes(src: str, key: str, title: str, name: str) -> str:
 {name} AS (SELECT s.{key}, CASE WHEN s.{title} IS NULL THEN true WHEN coalesce(h.n, 0) < 2 THEN false
                   ELSE NOT coalesce(h.blocked, false) END AS is_news
            FROM {src} s LEFT JOIN {name}_h h ON h.{key} = s.{key})"""
+
+
+SENT_PATTERN = "[^.!?]+[.!?]+"
+
+
+def html_text_sql(html: str) -> str:
+    from ..functions.text import _DROP_BLOCKS, _ENTITIES, _TAG
+    out = html
+    for p in _DROP_BLOCKS:
+        out = f"regexp_replace({out}, {q(p)}, '', 'g')"
+    out = f"regexp_replace({out}, {q(_TAG)}, ' ', 'g')"
+    for ent, ch in _ENTITIES:
+        out = f"replace({out}, {q(ent)}, {q(ch)})"
+    return out
+
+
+def clean_lines_sql(text: str) -> str:
+    return (f"array_to_string(list_filter(string_split({text}, chr(10)), "
+            f"lambda l: length(l) > 0 AND contains(l, '.')), ' ')")
+
+
+def polish_sql(text: str) -> str:
+    t = f"regexp_replace({text}, '^\\s+|\\s+$', '', 'g')"
+    t = f"(upper(substr({t}, 1, 1)) || substr({t}, 2))"
+    t = f"regexp_replace({t}, '\\s+([,!.])', '\\1', 'g')"
+    t = f"regexp_replace({t}, '\\s\\s+', ' ', 'g')"
+    return (f"CASE WHEN length(regexp_replace({text}, '^\\s+|\\s+$', '', 'g')) = 0 THEN NULL "
+            f"WHEN ends_with({t}, '.') THEN {t} ELSE {t} || '.' END")
+
+
+def sentence_ctes(src: str, key: str, text_expr: str, name: str) -> str:
+    """``name``(doc_id, sent, text): one row per sentence span."""
+    return f"""{name}_r AS (SELECT {key} AS doc_id, regexp_extract_all({text_expr}, {q(SENT_PATTERN)}) AS r FROM {src}),
+{name} AS (SELECT doc_id, unnest(r) AS text, generate_subscripts(r, 1) - 1 AS sent FROM {name}_r)"""
+
+
+def kept_ctes(sents: str, name: str) -> str:
+    """Relevance, trimming and span text in long form.
+
+    Needs ``sents``(doc_id, sent, text) and its tokens ``{sents}_tok``. Ends in
+    ``name``(doc_id, sent, text, n_tokens) and ``{name}_kt`` (kept tokens).
+    """
+    from ..functions.fixed import (AUX_DEPS, DROP_LEMMA_PREFIXES, DROP_LEMMA_SUFFIXES,
+                                   DROP_POS_PREFIXES, SUBJECT_DEPS)
+    tok = f"{sents}_tok"
+
+    def lst(p):
+        return "[" + ", ".join(q(x) for x in p) + "]"
+
+    lem_pre = " ".join(f"WHEN lems[1:{len(p)}] = {lst(p)} THEN {len(p)}" for p in DROP_LEMMA_PREFIXES)
+    pos_pre = " ".join(f"WHEN poss[1:{len(p)}] = {lst(p)} THEN {len(p)}" for p in DROP_POS_PREFIXES)
+    suffix_cols = []
+    for k, p in enumerate(DROP_LEMMA_SUFFIXES):
+        cond = " AND ".join(("lemma" if j == 0 else f"lead(lemma, {j}) OVER w") + f" = {q(v)}"
+                            for j, v in enumerate(p))
+        suffix_cols.append(f"CASE WHEN {cond} THEN i END AS sfx{k}")
+    sfx_min = ", ".join(f"min(sfx{k}) AS m{k}" for k in range(len(DROP_LEMMA_SUFFIXES)))
+    sfx_pick = "coalesce(" + ", ".join(f"m{k}" for k in range(len(DROP_LEMMA_SUFFIXES))) + ")"
+    return f"""{name}_rel AS (
+  SELECT DISTINCT c.doc_id, c.sent FROM {tok} c JOIN {tok} v
+    ON v.doc_id = c.doc_id AND v.sent = c.sent AND v.i = c.head
+  JOIN {sents} s ON s.doc_id = c.doc_id AND s.sent = c.sent
+  WHERE c.dep IN {inlist(SUBJECT_DEPS)} AND c.i < c.head AND v.pos = 'VERB'
+    AND v.dep NOT IN {inlist(AUX_DEPS)} AND ends_with(regexp_replace(s.text, '\\s+$', ''), '.')),
+{name}_agg AS (
+  SELECT t.doc_id, t.sent, count(*) AS n,
+         coalesce(min(t.i) FILTER (WHERE t.pos <> 'PUNCT' OR t.is_quote), count(*)) AS lead_punct,
+         list(t.lemma ORDER BY t.i) AS lems, list(t.pos ORDER BY t.i) AS poss
+  FROM {tok} t JOIN {name}_rel USING (doc_id, sent) GROUP BY t.doc_id, t.sent),
+{name}_sfx AS (
+  SELECT doc_id, sent, {sfx_min} FROM (
+    SELECT t.doc_id, t.sent, {", ".join(suffix_cols)}
+    FROM {tok} t JOIN {name}_rel USING (doc_id, sent)
+    WINDOW w AS (PARTITION BY t.doc_id, t.sent ORDER BY t.i)) GROUP BY doc_id, sent),
+{name}_cut AS (
+  SELECT a.doc_id, a.sent,
+         a.lead_punct + (CASE {lem_pre} ELSE 0 END) + (CASE {pos_pre} ELSE 0 END) AS cut,
+         {sfx_pick} AS idx
+  FROM {name}_agg a JOIN {name}_sfx USING (doc_id, sent)),
+{name}_kt AS (
+  SELECT t.* FROM {tok} t JOIN {name}_cut c USING (doc_id, sent)
+  WHERE t.i >= c.cut AND (c.idx IS NULL OR t.i < c.cut + c.idx)),
+{name} AS (
+  SELECT doc_id, sent, count(*) AS n_tokens,
+         string_agg(text || CASE WHEN is_last THEN '' ELSE ws END, '' ORDER BY i) AS text
+  FROM (SELECT *, i = max(i) OVER (PARTITION BY doc_id, sent) AS is_last FROM {name}_kt)
+  GROUP BY doc_id, sent)"""

@@ -129,3 +129,54 @@ FROM firsts f WHERE f.uri NOT IN (SELECT uri FROM articles)"""
 ORACLE["feed_state"] = with_(*_ACC, """m AS (SELECT feed_id, max(publish_time) AS nm FROM acc WHERE dated GROUP BY feed_id)""",
                              """fs AS (SELECT f.id, greatest(m.nm, f.last_publish_time) AS last_publish_time, f.uri, f.name,
        f.category, f.etag, f.modified, f.is_aggregator FROM feeds f LEFT JOIN m ON m.feed_id = f.id)""") + _FEED_OUT + "fs"
+
+
+# --- text ----------------------------------------------------------------------------
+from .duck import (clean_lines_sql, html_text_sql, kept_ctes, polish_sql,  # noqa: E402
+                   sentence_ctes, tokens_ctes)
+
+ORACLE["html_text"] = f"SELECT page_id AS id, {html_text_sql('html')} AS text FROM pages"
+ORACLE["clean_text"] = f"SELECT doc_id, {clean_lines_sql('text')} AS text FROM documents"
+ORACLE["page_clean_text"] = f"SELECT page_id AS id, {clean_lines_sql(html_text_sql('html'))} AS text FROM pages"
+ORACLE["sentences"] = with_(sentence_ctes("documents", "doc_id", "text", "ds")) + \
+    "SELECT doc_id, CAST(sent AS BIGINT) AS sent, text FROM ds"
+
+_DOC_TOK = [sentence_ctes("documents", "doc_id", "text", "ds"), lemma_lex_cte(),
+            tokens_ctes("ds", ["doc_id", "sent"], "text", "ds_tok")]
+
+ORACLE["tokens"] = with_(*_DOC_TOK) + """
+SELECT s.doc_id, CAST(s.sent AS BIGINT) AS sent, CAST(count(t.i) AS BIGINT) AS n_tokens,
+       coalesce(string_agg(concat_ws('|', t.text, t.ws, t.lemma, t.pos, t.dep, CAST(t.head AS VARCHAR),
+                CAST(t.is_stop AS VARCHAR), CAST(t.is_quote AS VARCHAR)), ' ' ORDER BY t.i), '') AS sig
+FROM ds s LEFT JOIN ds_tok t ON t.doc_id = s.doc_id AND t.sent = s.sent
+GROUP BY s.doc_id, s.sent"""
+
+ORACLE["relevant_sentences"] = with_(*_DOC_TOK, kept_ctes("ds", "kp")) + \
+    "SELECT doc_id, CAST(sent AS BIGINT) AS sent FROM kp_rel"
+
+ORACLE["trim_sentence"] = with_(*_DOC_TOK, kept_ctes("ds", "kp")) + \
+    "SELECT doc_id, CAST(sent AS BIGINT) AS sent, CAST(n_tokens AS BIGINT) AS n_tokens, text FROM kp"
+
+ORACLE["content_tokens"] = with_(*_DOC_TOK) + """
+SELECT s.doc_id, CAST(s.sent AS BIGINT) AS sent,
+       coalesce(string_agg(t.lemma, ' ' ORDER BY t.i) FILTER (
+           WHERE NOT t.is_stop AND regexp_matches(t.lemma, '^[A-Za-z]{2,}')), '') AS lemmas
+FROM ds s LEFT JOIN ds_tok t ON t.doc_id = s.doc_id AND t.sent = s.sent
+GROUP BY s.doc_id, s.sent"""
+
+ORACLE["polish"] = with_(*_DOC_TOK, kept_ctes("ds", "kp")) + \
+    f"SELECT doc_id, CAST(sent AS BIGINT) AS sent, {polish_sql('text')} AS text FROM kp"
+
+_PAGE_KEPT = [V_ARTICLES,
+              f"pg AS (SELECT id, {clean_lines_sql(html_text_sql('html'))} AS ctext FROM articles "
+              "WHERE status = 'D' AND html IS NOT NULL)",
+              sentence_ctes("pg", "id", "ctext", "ps"), lemma_lex_cte(),
+              tokens_ctes("ps", ["doc_id", "sent"], "text", "ps_tok"), kept_ctes("ps", "pk")]
+
+ORACLE["training_text"] = with_(*_PAGE_KEPT) + """
+SELECT pg.id, coalesce(string_agg(t.lemma, ' ' ORDER BY t.sent, t.i) FILTER (
+           WHERE NOT t.is_stop AND regexp_matches(t.lemma, '^[A-Za-z]{2,}')), '') AS text
+FROM pg LEFT JOIN pk_kt t ON t.doc_id = pg.id GROUP BY pg.id"""
+
+ORACLE["clean_title"] = with_(V_ARTICLES, V_CAPTURES) + \
+    "SELECT id, regexp_replace(split_part(title, '|', 1), '\\s+$', '') AS title FROM captures"

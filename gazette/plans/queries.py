@@ -193,3 +193,101 @@ def q_article_upsert(spark, sf):
 def q_feed_state(spark, sf):
     _, feeds, _ = _refresh(spark, sf, materialize=True)
     return tidy(feeds)
+
+
+# --- text ----------------------------------------------------------------------------
+from ..functions import text as TX  # noqa: E402
+from ..functions.annotate import sentences_of, sentences_tokens  # noqa: E402
+from ..operators import sentences as SN  # noqa: E402
+
+
+def _doc_sentences(spark, sf):
+    d = load(spark, sf, "documents")
+    return d.select("doc_id", F.posexplode(sentences_tokens(F.col("text"))).alias("_p", "s")) \
+            .select("doc_id", F.col("s.sent").alias("sent"), F.col("s.text").alias("text"),
+                    F.col("s.tokens").alias("tokens"))
+
+
+def _token_sig(tokens):
+    return F.array_join(F.transform(tokens, lambda t: F.concat_ws(
+        "|", t["text"], t["ws"], t["lemma"], t["pos"], t["dep"], t["head"].cast("string"),
+        t["is_stop"].cast("string"), t["is_quote"].cast("string"))), " ")
+
+
+@register("html_text")
+def q_html_text(spark, sf):
+    p = load(spark, sf, "pages")
+    return p.select(F.col("page_id").alias("id"), TX.html_to_text(F.col("html")).alias("text"))
+
+
+@register("clean_text")
+def q_clean_text(spark, sf):
+    d = load(spark, sf, "documents")
+    return d.select("doc_id", TX.keep_sentence_lines(F.col("text")).alias("text"))
+
+
+@register("page_clean_text")
+def q_page_clean_text(spark, sf):
+    p = load(spark, sf, "pages")
+    return p.select(F.col("page_id").alias("id"), TX.html_to_clean_text(F.col("html")).alias("text"))
+
+
+@register("sentences")
+def q_sentences(spark, sf):
+    d = load(spark, sf, "documents")
+    return d.select("doc_id", F.posexplode(sentences_of(F.col("text"))).alias("sent", "text")) \
+            .select("doc_id", F.col("sent").cast("long").alias("sent"), "text")
+
+
+@register("tokens")
+def q_tokens(spark, sf):
+    s = _doc_sentences(spark, sf)
+    return s.select("doc_id", F.col("sent").cast("long").alias("sent"),
+                    F.size("tokens").cast("long").alias("n_tokens"),
+                    _token_sig(F.col("tokens")).alias("sig"))
+
+
+@register("relevant_sentences")
+def q_relevant_sentences(spark, sf):
+    s = _doc_sentences(spark, sf)
+    return s.filter(SN.is_relevant(F.col("text"), F.col("tokens"))) \
+            .select("doc_id", F.col("sent").cast("long").alias("sent"))
+
+
+@register("trim_sentence")
+def q_trim_sentence(spark, sf):
+    from ..functions.annotate import span_text
+    s = _doc_sentences(spark, sf).filter(SN.is_relevant(F.col("text"), F.col("tokens")))
+    t = s.select("doc_id", "sent", SN.trim_tokens(F.col("tokens")).alias("tt"))
+    return t.filter(F.size("tt") > 0).select(
+        "doc_id", F.col("sent").cast("long").alias("sent"),
+        F.size("tt").cast("long").alias("n_tokens"), span_text(F.col("tt")).alias("text"))
+
+
+@register("content_tokens")
+def q_content_tokens(spark, sf):
+    s = _doc_sentences(spark, sf)
+    c = SN.content_tokens(F.col("tokens"))
+    return s.select("doc_id", F.col("sent").cast("long").alias("sent"),
+                    F.array_join(F.transform(c, lambda t: t["lemma"]), " ").alias("lemmas"))
+
+
+@register("polish")
+def q_polish(spark, sf):
+    d = load(spark, sf, "documents")
+    k = d.select("doc_id", F.explode(SN.kept_sentences(F.col("text"))).alias("s"))
+    return k.select("doc_id", F.col("s.sent").cast("long").alias("sent"),
+                    TX.polish(F.col("s.text")).alias("text"))
+
+
+@register("training_text")
+def q_training_text(spark, sf):
+    a = V.articles(spark, sf).filter((F.col("status") == "D") & F.col("html").isNotNull())
+    return a.select("id", SN.training_text(SN.kept_sentences(TX.html_to_clean_text(F.col("html"))))
+                    .alias("text"))
+
+
+@register("clean_title")
+def q_clean_title(spark, sf):
+    c = V.captures(spark, sf)
+    return c.select("id", TX.reader_title(F.col("title")).alias("title"))
