@@ -121,9 +121,7 @@ def _parse(arr: Column, t: Column, i: Column) -> Column:
     """Dependency guess: a nominal right before a verb (optionally across one
     auxiliary/adverb/particle) is its ``nsubj``; auxiliaries attach to the
     following verb; verbs are roots."""
-    return let(F.struct(F.get(arr, i + 1)["pos"].alias("p1"),
-                        F.get(arr, i + 2)["pos"].alias("p2")),
-               lambda nb: _attach(t, i, nb["p1"], nb["p2"]))
+    return _attach(t, i, F.get(arr, i + 1)["pos"], F.get(arr, i + 2)["pos"])
 
 
 def _attach(t: Column, i: Column, p1: Column, p2: Column) -> Column:

@@ -27,3 +27,17 @@ def is_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
 
 def maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition before row-heavy work when the input has fewer
+    partitions than the cluster can run at once.
+
+    Large inputs (many files / row groups) already have more partitions than
+    cores, so this is a no-op there and adds no shuffle; a small table stored
+    as a single row group would otherwise run on one core.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

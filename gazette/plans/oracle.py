@@ -180,3 +180,84 @@ FROM pg LEFT JOIN pk_kt t ON t.doc_id = pg.id GROUP BY pg.id"""
 
 ORACLE["clean_title"] = with_(V_ARTICLES, V_CAPTURES) + \
     "SELECT id, regexp_replace(split_part(title, '|', 1), '\\s+$', '') AS title FROM captures"
+
+
+# --- tf-idf and summaries -------------------------------------------------------------
+from ..operators.tfidf import TERM_PATTERN  # noqa: E402
+from .duck import q, tokens_ctes  # noqa: E402,F811
+
+_CONTENT = "NOT {a}is_stop AND regexp_matches({a}lemma, '^[A-Za-z]{{2,}}')"
+_TERM = q(TERM_PATTERN)
+
+_VOCAB = _PAGE_KEPT + [
+    """samp AS (SELECT id FROM articles WHERE status = 'D' AND html IS NOT NULL
+       ORDER BY md5(CAST(id AS VARCHAR) || '0'), id LIMIT 15000)""",
+    f"""tt AS (SELECT k.doc_id, unnest(regexp_extract_all(lower(k.lemma), {_TERM})) AS term
+       FROM pk_kt k JOIN samp ON samp.id = k.doc_id WHERE {_CONTENT.format(a='k.')})""",
+    """vocab AS (SELECT term, count(DISTINCT doc_id) AS df,
+       ln((1 + (SELECT count(*) FROM samp)) / (1 + count(DISTINCT doc_id))) + 1 AS idf FROM tt GROUP BY term)""",
+]
+_WEIGHTS = _VOCAB + [
+    f"""tf AS (SELECT doc_id, term, count(*) AS tf FROM (
+       SELECT k.doc_id, unnest(regexp_extract_all(lower(k.lemma), {_TERM})) AS term
+       FROM pk_kt k WHERE {_CONTENT.format(a='k.')}) GROUP BY doc_id, term)""",
+    "w0 AS (SELECT tf.doc_id, tf.term, tf.tf * v.idf AS w FROM tf JOIN vocab v USING (term))",
+    "wts AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w0)",
+]
+_FREQ = _WEIGHTS + [
+    """num AS (SELECT n.doc_id, n.sent, sum(w.weight) AS num FROM pk_kt n
+       JOIN wts w ON w.doc_id = n.doc_id AND w.term = n.lemma WHERE n.pos = 'NOUN' GROUP BY n.doc_id, n.sent)""",
+    "den AS (SELECT doc_id, sum(weight) AS den FROM wts GROUP BY doc_id)",
+    """freq AS (SELECT s.doc_id, s.sent, coalesce(coalesce(num.num, 0) / nullif(den.den, 0), 0) AS freq
+       FROM pk s LEFT JOIN num USING (doc_id, sent) LEFT JOIN den USING (doc_id))""",
+]
+_SIM = _FREQ + [
+    "ttl AS (SELECT id, title FROM articles WHERE status = 'D' AND html IS NOT NULL)",
+    tokens_ctes("ttl", ["id"], "title", "ttok"),
+    f"tl AS (SELECT id AS doc_id, lemma FROM ttok WHERE {_CONTENT.format(a='')})",
+    f"sl AS (SELECT doc_id, sent, lemma FROM pk_kt WHERE {_CONTENT.format(a='')})",
+    """lv AS (SELECT l.lemma, e.embedding AS vec FROM (SELECT lemma FROM sl UNION SELECT lemma FROM tl) l
+       JOIN embeddings e ON e.vec_id = ('0x' || substr(md5(l.lemma), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings))""",
+    """sv AS (SELECT doc_id, sent, k, sum(CAST(x AS DOUBLE)) AS x FROM (
+       SELECT sl.doc_id, sl.sent, unnest(lv.vec) AS x, generate_subscripts(lv.vec, 1) AS k
+       FROM sl JOIN lv USING (lemma)) GROUP BY doc_id, sent, k)""",
+    """svn AS (SELECT sl.doc_id, sl.sent, count(*) AS n_vec FROM sl JOIN lv USING (lemma) GROUP BY sl.doc_id, sl.sent)""",
+    """tv AS (SELECT doc_id, k, sum(CAST(x AS DOUBLE)) AS x FROM (
+       SELECT tl.doc_id, unnest(lv.vec) AS x, generate_subscripts(lv.vec, 1) AS k
+       FROM tl JOIN lv USING (lemma)) GROUP BY doc_id, k)""",
+    """cs AS (SELECT sv.doc_id, sv.sent, sum(sv.x * tv.x) AS dot, sqrt(sum(sv.x * sv.x)) AS na,
+       sqrt(sum(tv.x * tv.x)) AS nb FROM sv JOIN tv ON tv.doc_id = sv.doc_id AND tv.k = sv.k GROUP BY sv.doc_id, sv.sent)""",
+    """sim AS (SELECT s.doc_id, s.sent, CASE WHEN cs.na IS NULL OR cs.na = 0 OR cs.nb = 0 THEN 0.0
+       ELSE cs.dot / (cs.na * cs.nb) END AS sim FROM pk s LEFT JOIN cs USING (doc_id, sent))""",
+    f"""sc AS (SELECT s.doc_id, s.sent, {polish_sql('s.text')} AS polished, f.freq, m.sim,
+       0.1 / (1 + abs(20.0 - s.n_tokens)) AS len,
+       f.freq * 0.5 + m.sim * 0.4 + (0.1 / (1 + abs(20.0 - s.n_tokens))) * 0.1 AS total
+       FROM pk s JOIN freq f USING (doc_id, sent) JOIN sim m USING (doc_id, sent))""",
+    """best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, polished
+       ORDER BY round(total, 10) DESC, sent) AS r FROM sc WHERE polished IS NOT NULL) WHERE r = 1)""",
+    """top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id
+       ORDER BY round(total, 10) DESC, sent) AS kk FROM best) WHERE kk <= 4)""",
+]
+
+ORACLE["train_sample"] = with_(V_ARTICLES) + """
+SELECT id FROM articles WHERE status = 'D' ORDER BY md5(CAST(id AS VARCHAR) || '0'), id LIMIT 15000"""
+ORACLE["tfidf_fit"] = with_(*_VOCAB) + "SELECT term, df, round(idf, 6) AS idf FROM vocab"
+ORACLE["tfidf_transform"] = with_(*_WEIGHTS) + "SELECT doc_id, term, round(weight, 6) AS weight FROM wts"
+ORACLE["sentence_frequency"] = with_(*_FREQ) + \
+    "SELECT doc_id, CAST(sent AS BIGINT) AS sent, round(freq, 6) AS freq FROM freq"
+ORACLE["mean_vector"] = with_(*_SIM) + """
+SELECT v.doc_id, CAST(v.sent AS BIGINT) AS sent, n.n_vec, round(sqrt(sum(v.x * v.x)), 4) AS norm
+FROM sv v JOIN svn n USING (doc_id, sent) GROUP BY v.doc_id, v.sent, n.n_vec"""
+ORACLE["cosine_to_title"] = with_(*_SIM) + \
+    "SELECT doc_id, CAST(sent AS BIGINT) AS sent, round(sim, 6) AS sim FROM sim"
+ORACLE["sentence_score"] = with_(*_SIM) + """
+SELECT doc_id, CAST(sent AS BIGINT) AS sent, round(freq, 6) AS freq, round(sim, 6) AS sim,
+       round(len, 6) AS len, round(total, 6) AS total FROM sc"""
+ORACLE["score_threshold"] = with_(*_SIM) + \
+    "SELECT doc_id, round(avg(total), 6) AS avg_score FROM sc GROUP BY doc_id"
+ORACLE["top_sentences"] = with_(*_SIM) + \
+    "SELECT doc_id, CAST(sent AS BIGINT) AS sent, polished AS text FROM top"
+ORACLE["summarize"] = with_(*_SIM) + """
+SELECT pg.id AS doc_id, CAST(count(t.sent) AS BIGINT) AS n_sentences,
+       coalesce(string_agg(t.polished, chr(10) ORDER BY t.sent), '') AS summary
+FROM pg LEFT JOIN top t ON t.doc_id = pg.id GROUP BY pg.id"""

@@ -291,3 +291,102 @@ def q_training_text(spark, sf):
 def q_clean_title(spark, sf):
     c = V.captures(spark, sf)
     return c.select("id", TX.reader_title(F.col("title")).alias("title"))
+
+
+# --- tf-idf and summaries -------------------------------------------------------------
+from ..functions.fixed import DEFAULT_TOP_N, TRAIN_SAMPLE_SIZE  # noqa: E402
+from ..operators import summarize as SM  # noqa: E402
+from ..operators import tfidf as T  # noqa: E402
+
+
+def _publishable(spark, sf):
+    return V.articles(spark, sf).filter((F.col("status") == "D") & F.col("html").isNotNull())
+
+
+def _train_texts(spark, sf):
+    samp = T.sample_for_training(
+        V.articles(spark, sf).filter(F.col("html").isNotNull()), TRAIN_SAMPLE_SIZE)
+    kept = SN.kept_sentences(TX.html_to_clean_text(F.col("html")))
+    return samp.select(F.col("id").alias("doc_id"), SN.training_text(kept).alias("text"))
+
+
+def _vocab(spark, sf):
+    return T.fit(_train_texts(spark, sf))
+
+
+class _Summ:
+    """Shared inputs of the summary queries (built lazily per call)."""
+
+    def __init__(self, spark, sf, vectors=True):
+        arts = _publishable(spark, sf)
+        self.sents = SM.article_sentences(arts)
+        self.weights = SM.doc_weights(self.sents, _vocab(spark, sf))
+        self.titles = arts.select(F.col("id").alias("doc_id"), "title")
+        self.vectors = (SM.lemma_vectors(SM.all_lemmas(self.sents, self.titles),
+                                         load(spark, sf, "embeddings")) if vectors else None)
+
+    def scores(self):
+        return SM.sentence_scores(self.sents, self.weights, self.titles, self.vectors)
+
+
+@register("train_sample")
+def q_train_sample(spark, sf):
+    return T.sample_for_training(V.articles(spark, sf), TRAIN_SAMPLE_SIZE).select("id")
+
+
+@register("tfidf_fit")
+def q_tfidf_fit(spark, sf):
+    return tidy(_vocab(spark, sf))
+
+
+@register("tfidf_transform")
+def q_tfidf_transform(spark, sf):
+    s = SM.article_sentences(_publishable(spark, sf))
+    return tidy(SM.doc_weights(s, _vocab(spark, sf)))
+
+
+@register("sentence_frequency")
+def q_sentence_frequency(spark, sf):
+    m = _Summ(spark, sf, vectors=False)
+    return tidy(SM.sentence_frequency(m.sents, m.weights).withColumn("sent", F.col("sent").cast("long")))
+
+
+@register("mean_vector")
+def q_mean_vector(spark, sf):
+    m = _Summ(spark, sf)
+    lem = m.sents.select("doc_id", "sent", F.explode(SN.content_tokens(F.col("tokens"))).alias("t")) \
+        .select("doc_id", "sent", F.col("t.lemma").alias("lemma"))
+    v = SM.vector_sums(lem, ["doc_id", "sent"], m.vectors)
+    norm = F.sqrt(F.aggregate("vsum", F.lit(0.0), lambda a, x: a + x * x))
+    return v.select("doc_id", F.col("sent").cast("long").alias("sent"), F.col("n_vec").cast("long").alias("n_vec"),
+                    F.round(norm, 4).alias("norm"))
+
+
+@register("cosine_to_title")
+def q_cosine_to_title(spark, sf):
+    m = _Summ(spark, sf)
+    return tidy(SM.title_similarity(m.sents, m.titles, m.vectors).withColumn("sent", F.col("sent").cast("long")))
+
+
+@register("sentence_score")
+def q_sentence_score(spark, sf):
+    m = _Summ(spark, sf)
+    return tidy(m.scores().drop("polished").withColumn("sent", F.col("sent").cast("long")))
+
+
+@register("score_threshold")
+def q_score_threshold(spark, sf):
+    return tidy(SM.average_score(_Summ(spark, sf).scores()))
+
+
+@register("top_sentences")
+def q_top_sentences(spark, sf):
+    t = SM.top_sentences(_Summ(spark, sf).scores(), DEFAULT_TOP_N)
+    return t.select("doc_id", F.col("sent").cast("long").alias("sent"), F.col("polished").alias("text"))
+
+
+@register("summarize")
+def q_summarize(spark, sf):
+    s = SM.summarize(_publishable(spark, sf), _vocab(spark, sf), load(spark, sf, "embeddings"))
+    return s.select("doc_id", F.size("summary").cast("long").alias("n_sentences"),
+                    F.array_join("summary", "\n").alias("summary"))
