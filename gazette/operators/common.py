@@ -29,15 +29,23 @@ def maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Optimizer size estimate of ``df`` (from file sizes; nothing is run)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition before row-heavy work when the input has fewer
-    partitions than the cluster can run at once.
+    """Round-robin repartition before row-heavy work, only for small inputs.
 
-    Large inputs (many files / row groups) already have more partitions than
-    cores, so this is a no-op there and adds no shuffle; a small table stored
-    as a single row group would otherwise run on one core.
+    A table smaller than ``parallelism x maxPartitionBytes`` may be stored in
+    one row group and would run on one core; spreading it costs a shuffle of
+    that small input. Larger inputs already split into more partitions than
+    cores, so this is a no-op there (decided from the optimizer's size
+    estimate, without running anything).
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    max_split = int(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("b"))
+    if estimated_bytes(df) < target * max_split:
         return df.repartition(target)
     return df

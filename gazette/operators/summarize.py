@@ -165,12 +165,18 @@ def average_score(scores: DataFrame) -> DataFrame:
 
 def summarize(articles: DataFrame, vocab: DataFrame, embeddings: DataFrame | None = None,
               top_n: int = DEFAULT_TOP_N, id_col: str = "id", title_col: str = "title",
-              html_col: str = "html") -> DataFrame:
+              html_col: str = "html", materialize: bool = True) -> DataFrame:
     """(doc_id, summary): up to ``top_n`` sentences per article, in order.
 
-    Articles without any kept sentence get an empty summary.
+    Articles without any kept sentence get an empty summary. The annotated
+    sentence table feeds four branches (weights, frequency, similarity,
+    length); with ``materialize`` it is computed once and checkpointed to the
+    shared folder instead of being re-annotated per branch.
     """
     sents = article_sentences(articles, id_col, html_col)
+    if materialize:
+        from ..session import cut_lineage
+        sents = cut_lineage(sents)
     weights = doc_weights(sents, vocab)
     titles = articles.select(F.col(id_col).alias("doc_id"), F.col(title_col).alias("title"))
     vectors = None

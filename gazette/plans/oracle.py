@@ -261,3 +261,99 @@ ORACLE["summarize"] = with_(*_SIM) + """
 SELECT pg.id AS doc_id, CAST(count(t.sent) AS BIGINT) AS n_sentences,
        coalesce(string_agg(t.polished, chr(10) ORDER BY t.sent), '') AS summary
 FROM pg LEFT JOIN top t ON t.doc_id = pg.id GROUP BY pg.id"""
+
+
+# --- publishing, lifecycle, logs, duplicates, seed -------------------------------------
+from ..sources.seed import SEED_FEEDS  # noqa: E402
+from .duck import V_CALLBACKS, V_LOGS  # noqa: E402
+
+LC_NOW = "TIMESTAMP '2024-01-01 12:00:00'"
+
+
+def _merge(*lists):
+    out, seen = [], set()
+    for lst in lists:
+        for c in lst:
+            if c not in seen:
+                seen.add(c)
+                out.append(c)
+    return out
+
+
+_seed_rows = ", ".join(
+    f"({i + 1}, NULL::TIMESTAMP, {q(u)}, {q(n)}, {q(c)}, NULL::VARCHAR, NULL::VARCHAR, {str(a).lower()})"
+    for i, (u, n, c, a) in enumerate(SEED_FEEDS))
+ORACLE["seed_feeds"] = with_(
+    V_FEEDS,
+    f"seed(id, last_publish_time, uri, name, category, etag, modified, is_aggregator) AS (VALUES {_seed_rows})",
+    "sf AS (SELECT * FROM feeds UNION ALL SELECT * FROM seed WHERE NOT EXISTS (SELECT 1 FROM feeds))",
+) + _FEED_OUT + "sf"
+
+ORACLE["article_by_id"] = with_(V_ARTICLES, V_CAPTURES) + \
+    "SELECT id, title, html FROM articles WHERE id IN (SELECT id FROM captures)"
+
+ORACLE["display_source"] = with_(V_ARTICLES, V_FEEDS) + """
+SELECT a.id, coalesce(a.source, f.name, 'Anonymous') AS display_source
+FROM articles a LEFT JOIN feeds f ON f.id = a.feed_id"""
+
+ORACLE["publishable"] = with_(V_ARTICLES) + """
+SELECT id, status = 'D' AND html IS NOT NULL AS publishable,
+       CASE WHEN NOT (status = 'D' AND html IS NOT NULL)
+            THEN 'Article #' || CAST(id AS VARCHAR) || ' not been fetched yet' END AS reason
+FROM articles"""
+
+ORACLE["parse_time"] = f"""
+SELECT event_id, {_ts("strptime(CASE WHEN microsecond(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') "
+                      "ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END, ['%Y-%m-%dT%H:%M:%S.%f', '%Y-%m-%dT%H:%M:%S'])")} AS ts
+FROM events"""
+
+ORACLE["reschedule"] = with_(V_ARTICLES, f"""st AS (SELECT *, status = 'Q' AND update_time < {LC_NOW} - INTERVAL 1 HOUR AS s FROM articles)""") + f"""
+SELECT id, CASE WHEN s THEN (CASE WHEN retries + 1 < 3 THEN 'N' ELSE 'E' END) ELSE status END AS status,
+       CAST(CASE WHEN s THEN retries + 1 ELSE retries END AS BIGINT) AS retries,
+       {_ts(f'CASE WHEN s THEN {LC_NOW} ELSE update_time END')} AS update_time
+FROM st"""
+
+ORACLE["claim_next"] = with_(V_ARTICLES) + f"""
+SELECT id, uri, 'Q' AS status, {_ts(LC_NOW)} AS update_time FROM articles WHERE status = 'N'
+ORDER BY md5(CAST(id AS VARCHAR) || '0'), id LIMIT 5"""
+
+ORACLE["save_content"] = with_(V_ARTICLES, V_CAPTURES) + f"""
+SELECT a.id, CASE WHEN c.id IS NOT NULL THEN regexp_replace(split_part(c.title, '|', 1), '\\s+$', '') ELSE a.title END AS title,
+       CASE WHEN c.id IS NOT NULL THEN 'D' ELSE a.status END AS status,
+       {_ts(f'CASE WHEN c.id IS NOT NULL THEN {NOW} ELSE a.update_time END')} AS update_time,
+       md5(CASE WHEN c.id IS NOT NULL THEN c.html ELSE a.html END) AS html_md5
+FROM articles a LEFT JOIN captures c ON c.id = a.id"""
+
+ORACLE["log_lines"] = with_(V_LOGS) + """
+SELECT event_id, json_extract_string(value, '$.level') AS level,
+       '<PageSaver> [' || json_extract_string(value, '$.ts') || '] ' || json_extract_string(value, '$.message') AS line
+FROM logs"""
+
+_DUPS = """dd AS (SELECT d.doc_id, m.canonical_id, CAST(octet_length(encode(d.text)) AS BIGINT) AS bytes
+  FROM documents d JOIN (SELECT md5(text) AS checksum, min(doc_id) AS canonical_id FROM documents GROUP BY 1) m
+    ON m.checksum = md5(d.text) WHERE d.doc_id <> m.canonical_id)"""
+ORACLE["duplicate_content"] = with_(_DUPS) + "SELECT * FROM dd"
+ORACLE["duplicate_totals"] = with_(_DUPS) + \
+    "SELECT count(*) AS n_duplicates, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS duplicate_bytes FROM dd"
+
+_MSG = _merge(_SIM_BASE + [_PAIRS], _SIM, [V_FEEDS, V_CALLBACKS]) + [
+    """imp AS (SELECT a.id, count(p.score) FILTER (WHERE p.score > 0.3) AS importance
+       FROM a LEFT JOIN pairs p ON p.id = a.id GROUP BY a.id)""",
+    """lines AS (SELECT doc_id, string_agg('— ' || polished, chr(10) ORDER BY sent) AS lines FROM top GROUP BY doc_id)""",
+    """msg AS (SELECT ar.id AS message_id, imp.importance,
+       '<b>' || ar.title || '</b>' || chr(10) || chr(10) || coalesce(l.lines, '') || chr(10) || chr(10)
+       || '<a href="' || ar.uri || '"><i>' || coalesce(ar.source, f.name, 'Anonymous') || '</i></a>' AS text
+       FROM articles ar JOIN imp ON imp.id = ar.id AND imp.importance > 0
+       LEFT JOIN feeds f ON f.id = ar.feed_id LEFT JOIN lines l ON l.doc_id = ar.id
+       WHERE ar.status = 'D' AND ar.html IS NOT NULL)""",
+]
+ORACLE["publish_messages"] = with_(*_MSG) + """
+SELECT message_id, CAST(importance AS BIGINT) AS importance, 'public' AS channel, text, CAST(NULL AS VARCHAR) AS button FROM msg"""
+ORACLE["route_messages"] = with_(*_MSG) + """
+SELECT message_id, 'editors' AS channel, 'Promote ' || repeat('\U0001F525', CAST(importance AS BIGINT)) AS button FROM msg"""
+ORACLE["promoted"] = with_(*_MSG) + """
+SELECT message_id, 'public' AS channel, text, CAST(NULL AS VARCHAR) AS button FROM msg
+WHERE message_id IN (SELECT message_id FROM callbacks WHERE data = 'promote')"""
+ORACLE["republish"] = with_(*_MSG) + """
+SELECT message_id, 'public' AS channel FROM msg
+WHERE message_id NOT IN (SELECT message_id FROM callbacks WHERE data = 'promote')"""

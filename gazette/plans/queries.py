@@ -311,15 +311,19 @@ def _train_texts(spark, sf):
 
 
 def _vocab(spark, sf):
-    return T.fit(_train_texts(spark, sf))
+    """Fit, then save/load the model: the vocabulary is checkpointed to the
+    shared folder once, so later size checks and joins read it back."""
+    from ..session import cut_lineage
+    return cut_lineage(T.fit(_train_texts(spark, sf)))
 
 
 class _Summ:
     """Shared inputs of the summary queries (built lazily per call)."""
 
     def __init__(self, spark, sf, vectors=True):
+        from ..session import cut_lineage
         arts = _publishable(spark, sf)
-        self.sents = SM.article_sentences(arts)
+        self.sents = cut_lineage(SM.article_sentences(arts))
         self.weights = SM.doc_weights(self.sents, _vocab(spark, sf))
         self.titles = arts.select(F.col("id").alias("doc_id"), "title")
         self.vectors = (SM.lemma_vectors(SM.all_lemmas(self.sents, self.titles),
@@ -390,3 +394,108 @@ def q_summarize(spark, sf):
     s = SM.summarize(_publishable(spark, sf), _vocab(spark, sf), load(spark, sf, "embeddings"))
     return s.select("doc_id", F.size("summary").cast("long").alias("n_sentences"),
                     F.array_join("summary", "\n").alias("summary"))
+
+
+# --- publishing, lifecycle, logs, duplicates, seed -------------------------------------
+from ..functions.times import parse_iso_time  # noqa: E402
+from ..operators import dups as DP  # noqa: E402
+from ..operators import lifecycle as LC  # noqa: E402
+from ..operators import publish as PB  # noqa: E402
+from ..sources import logs as LG  # noqa: E402
+from ..sources import seed as SD  # noqa: E402
+
+LIFECYCLE_NOW = "2024-01-01 12:00:00"
+
+
+def _messages(spark, sf, curated=False):
+    return PB.publish_messages(V.articles(spark, sf), V.feeds(spark, sf), _vocab(spark, sf),
+                               load(spark, sf, "embeddings"), curated=curated)
+
+
+@register("seed_feeds")
+def q_seed_feeds(spark, sf):
+    return tidy(SD.seed_if_empty(V.feeds(spark, sf)))
+
+
+@register("article_by_id")
+def q_article_by_id(spark, sf):
+    ids = V.captures(spark, sf).select("id")
+    return V.articles(spark, sf).join(ids, "id", "left_semi").select("id", "title", "html")
+
+
+@register("display_source")
+def q_display_source(spark, sf):
+    return PB.display_source(V.articles(spark, sf), V.feeds(spark, sf)).select("id", "display_source")
+
+
+@register("publishable")
+def q_publishable(spark, sf):
+    return PB.publishable(V.articles(spark, sf)).select("id", "publishable", "reason")
+
+
+@register("parse_time")
+def q_parse_time(spark, sf):
+    e = load(spark, sf, "events")
+    ts = F.col("ts").cast("timestamp")
+    iso = F.when(F.date_format(ts, "SSSSSS") == "000000", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")) \
+           .otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    return tidy(e.select("event_id", parse_iso_time(iso).alias("ts")))
+
+
+@register("reschedule")
+def q_reschedule(spark, sf):
+    r = LC.reschedule(V.articles(spark, sf), V.ts_lit(LIFECYCLE_NOW))
+    return tidy(r.select("id", "status", "retries", "update_time"))
+
+
+@register("claim_next")
+def q_claim_next(spark, sf):
+    a = V.articles(spark, sf)
+    picked = LC.pick_new(a, k=5)
+    c = LC.claim(a, picked, V.ts_lit(LIFECYCLE_NOW))
+    return tidy(c.join(picked.select("id"), "id", "left_semi").select("id", "uri", "status", "update_time"))
+
+
+@register("save_content")
+def q_save_content(spark, sf):
+    s = LC.save_content(V.articles(spark, sf), V.captures(spark, sf), V.refresh_now())
+    return tidy(s.select("id", "title", "status", "update_time", F.md5("html").alias("html_md5")))
+
+
+@register("log_lines")
+def q_log_lines(spark, sf):
+    return LG.log_lines(V.logs(spark, sf)).select("event_id", "level", "line")
+
+
+@register("duplicate_content")
+def q_duplicate_content(spark, sf):
+    return DP.duplicates(load(spark, sf, "documents"))
+
+
+@register("duplicate_totals")
+def q_duplicate_totals(spark, sf):
+    return DP.duplicate_totals(DP.duplicates(load(spark, sf, "documents")))
+
+
+@register("publish_messages")
+def q_publish_messages(spark, sf):
+    return _messages(spark, sf).select("message_id", F.col("importance").cast("long").alias("importance"),
+                                       "channel", "text", "button")
+
+
+@register("route_messages")
+def q_route_messages(spark, sf):
+    return _messages(spark, sf, curated=True).select("message_id", "channel", "button")
+
+
+@register("promoted")
+def q_promoted(spark, sf):
+    p = PB.promoted(_messages(spark, sf, curated=True), V.callbacks(spark, sf))
+    return p.select("message_id", "channel", "text", "button")
+
+
+@register("republish")
+def q_republish(spark, sf):
+    msgs = _messages(spark, sf)
+    sent = PB.promoted(msgs, V.callbacks(spark, sf))
+    return PB.republish(msgs, sent).select("message_id", "channel")
