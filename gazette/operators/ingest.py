@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from ..functions.fixed import STATUS_NEW
 from ..functions.times import entry_time
 from ..functions.urls import is_blocked, strip_query
-from .common import broadcast_if_small, is_small, maybe_broadcast
+from .common import broadcast_if_small, is_small, maybe_broadcast, spread
 from .titles import is_news_title
 
 ARTICLE_COLUMNS = ["id", "create_time", "update_time", "feed_id", "uri", "status",
@@ -56,7 +56,7 @@ def accept_entries(entries: DataFrame, feeds: DataFrame, now: Column,
     f = broadcast_if_small(feeds.select(
         F.col("id").alias("_fid"), F.col("last_publish_time").alias("_mark"),
         F.col("is_aggregator").alias("_agg")))
-    e = timed_entries(entries, now)
+    e = timed_entries(spread(entries), now)
     j = e.join(f, e.feed_id == f._fid)
     keep = (F.col("link").isNotNull()
             & (F.col("_mark").isNull() | (F.col("_mark") < F.col("publish_time")))
@@ -154,3 +154,17 @@ def refresh(entries: DataFrame, feeds: DataFrame, articles: DataFrame, now: Colu
         from ..session import cut_lineage
         acc = cut_lineage(acc)
     return upsert_articles(articles, acc, now), feed_marks(feeds, acc), acc
+
+
+def feed_errors(entries: DataFrame, feeds: DataFrame) -> DataFrame:
+    """(feed_id, entry_pos, error) for entries a refresh cannot use: unknown
+    feed, missing link, unparsed record. Reported, never raised, so one bad
+    feed or record does not stop the others."""
+    f = broadcast_if_small(feeds.select(F.col("id").alias("_fid")))
+    j = entries.join(f, entries.feed_id == f._fid, "left")
+    corrupt = (F.col("_corrupt_record").isNotNull() if "_corrupt_record" in entries.columns
+               else F.lit(False))
+    err = (F.when(corrupt, F.lit("unparsed record"))
+           .when(F.col("_fid").isNull(), F.lit("unknown feed"))
+           .when(F.col("link").isNull(), F.lit("missing link")))
+    return j.select("feed_id", "entry_pos", err.alias("error")).filter(F.col("error").isNotNull())

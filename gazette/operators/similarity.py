@@ -52,11 +52,20 @@ def jaccard(a: Column, b: Column) -> Column:
 def prepare(articles: DataFrame, id_col="id", time_col="create_time",
             title_col="title", uri_col="uri") -> DataFrame:
     """(id, ct, site, words) for the similarity operators."""
-    return articles.select(
+    from .common import spread
+    return spread(articles).select(
         F.col(id_col).alias("id"), F.col(time_col).alias("ct"),
         url_host(F.col(uri_col)).alias("site"), wordset(F.col(title_col)).alias("words"))
 
 
+def _materialized(base: DataFrame) -> DataFrame:
+    """Checkpoint the prepared word sets (id, time, site, words): they feed the
+    token frequencies, the prefixes and both join sides, and annotating the
+    titles once is much cheaper than once per branch."""
+    from ..session import cut_lineage
+    return cut_lineage(base)
+
+
 def _prefix_sets(base: DataFrame, threshold: float) -> DataFrame:
     """Add ``prefix``: the indexed tokens of each word set in global order."""
     if threshold <= 0:
@@ -87,7 +96,7 @@ def similar_pairs(articles: DataFrame, threshold: float = 0.0,
     Pairs scoring 0 (no shared word, same site, empty set) are not emitted:
     they cannot pass any threshold >= 0.
     """
-    base = articles if prepared else prepare(articles)
+    base = articles if prepared else _materialized(prepare(articles))
     base = base.filter(F.size("words") > 0)
     span = window_hours * 3600
     base = _prefix_sets(base, threshold).withColumn(
@@ -124,7 +133,7 @@ def importance(articles: DataFrame, threshold: float = SIMILARITY_THRESHOLD,
                window_hours: int = SIMILARITY_WINDOW_HOURS) -> DataFrame:
     """Per article: number of earlier in-window articles of other sites whose
     title Jaccard is above ``threshold`` (0 when none)."""
-    base = prepare(articles)
+    base = _materialized(prepare(articles))
     counts = (similar_pairs(base, threshold, window_hours, prepared=True)
               .groupBy("id").agg(F.count(F.lit(1)).alias("importance")))
     return (base.select("id").join(counts, "id", "left")

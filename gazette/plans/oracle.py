@@ -357,3 +357,8 @@ WHERE message_id IN (SELECT message_id FROM callbacks WHERE data = 'promote')"""
 ORACLE["republish"] = with_(*_MSG) + """
 SELECT message_id, 'public' AS channel FROM msg
 WHERE message_id NOT IN (SELECT message_id FROM callbacks WHERE data = 'promote')"""
+
+ORACLE["feed_errors"] = with_(V_ENTRIES, V_FEEDS) + """
+SELECT CAST(e.feed_id AS BIGINT) AS feed_id, e.entry_pos,
+       CASE WHEN f.id IS NULL THEN 'unknown feed' ELSE 'missing link' END AS error
+FROM entries e LEFT JOIN feeds f ON f.id = e.feed_id WHERE f.id IS NULL OR e.link IS NULL"""

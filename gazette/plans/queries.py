@@ -201,8 +201,13 @@ from ..functions.annotate import sentences_of, sentences_tokens  # noqa: E402
 from ..operators import sentences as SN  # noqa: E402
 
 
+def _documents(spark, sf):
+    from ..operators.common import spread
+    return spread(load(spark, sf, "documents"))
+
+
 def _doc_sentences(spark, sf):
-    d = load(spark, sf, "documents")
+    d = _documents(spark, sf)
     return d.select("doc_id", F.posexplode(sentences_tokens(F.col("text"))).alias("_p", "s")) \
             .select("doc_id", F.col("s.sent").alias("sent"), F.col("s.text").alias("text"),
                     F.col("s.tokens").alias("tokens"))
@@ -234,7 +239,7 @@ def q_page_clean_text(spark, sf):
 
 @register("sentences")
 def q_sentences(spark, sf):
-    d = load(spark, sf, "documents")
+    d = _documents(spark, sf)
     return d.select("doc_id", F.posexplode(sentences_of(F.col("text"))).alias("sent", "text")) \
             .select("doc_id", F.col("sent").cast("long").alias("sent"), "text")
 
@@ -274,7 +279,7 @@ def q_content_tokens(spark, sf):
 
 @register("polish")
 def q_polish(spark, sf):
-    d = load(spark, sf, "documents")
+    d = _documents(spark, sf)
     k = d.select("doc_id", F.explode(SN.kept_sentences(F.col("text"))).alias("s"))
     return k.select("doc_id", F.col("s.sent").cast("long").alias("sent"),
                     TX.polish(F.col("s.text")).alias("text"))
@@ -307,7 +312,8 @@ def _train_texts(spark, sf):
     samp = T.sample_for_training(
         V.articles(spark, sf).filter(F.col("html").isNotNull()), TRAIN_SAMPLE_SIZE)
     kept = SN.kept_sentences(TX.html_to_clean_text(F.col("html")))
-    return samp.select(F.col("id").alias("doc_id"), SN.training_text(kept).alias("text"))
+    from ..operators.common import spread
+    return spread(samp).select(F.col("id").alias("doc_id"), SN.training_text(kept).alias("text"))
 
 
 def _vocab(spark, sf):
@@ -499,3 +505,69 @@ def q_republish(spark, sf):
     msgs = _messages(spark, sf)
     sent = PB.promoted(msgs, V.callbacks(spark, sf))
     return PB.republish(msgs, sent).select("message_id", "channel")
+
+
+# --- sources, DOM tier, streaming, errors -----------------------------------------------
+from ..operators.html_dom import html_text_dom  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sources import feeds_xml as FX  # noqa: E402
+
+
+@register("html_text_dom")
+def q_html_text_dom(spark, sf):
+    p = load(spark, sf, "pages")
+    return html_text_dom(p.select(F.col("page_id").alias("id"), "html"))
+
+
+@register("scan_feed_xml")
+def q_scan_feed_xml(spark, sf):
+    """Land the entries as RSS files (one folder per feed), scan them back."""
+    path = scratch_path(spark, "rss")
+    FX.write_rss(V.entries(spark, sf), path)
+    e = FX.read_rss(spark, path)
+    return tidy(e.select("feed_id", "link", "title", "summary", "source_title", "published"))
+
+
+@register("feed_errors")
+def q_feed_errors(spark, sf):
+    return tidy(I.feed_errors(V.entries(spark, sf), V.feeds(spark, sf)))
+
+
+def _land_by_week(df: DataFrame, time_col: str, root: str, spark) -> int:
+    """Write ``df`` as one folder per week of ``time_col`` (in time order, rows
+    without a time last); returns the most files written by one week."""
+    wk = F.floor((F.unix_seconds(F.col(time_col)) - F.lit(V.EPOCH_2024)) / (7 * 86400))
+    w = df.withColumn("_wk", wk)
+    span = w.agg(F.min("_wk").alias("lo"), F.max("_wk").alias("hi")).first()
+    most = 1
+    weeks = list(range(int(span.lo), int(span.hi) + 1)) if span.lo is not None else []
+    for i, k in enumerate(weeks + [None]):
+        part = w.filter(F.col("_wk").isNull() if k is None else (F.col("_wk") == k)).drop("_wk")
+        path = f"{root}/{i:04d}"
+        part.write.mode("overwrite").parquet(path)
+        most = max(most, len(spark.read.parquet(path).inputFiles()))
+    return most
+
+
+@register("stream_refresh")
+def q_stream_refresh(spark, sf):
+    from ..streaming.refresh import current, init_state, start_refresh_stream
+    entries = V.entries(spark, sf)
+    land, state, ckpt = (scratch_path(spark, n) for n in ("entries", "refresh-state", "refresh-ckpt"))
+    files = _land_by_week(entries, "published", land, spark)
+    init_state(V.feeds(spark, sf), V.articles(spark, sf), state)
+    spark.conf.set("spark.sql.streaming.schemaInference", "false")
+    q = start_refresh_stream(spark, f"{land}/*", entries.schema, state, ckpt, V.refresh_now())
+    q.awaitTermination()
+    return tidy(current(spark, state, "articles").drop("html"))
+
+
+@register("stream_similar")
+def q_stream_similar(spark, sf):
+    from ..streaming.similar import read_output, start_similarity_stream
+    arts = V.articles(spark, sf).select("id", "create_time", "title", "uri")
+    land, state, out, ckpt = (scratch_path(spark, n) for n in ("articles", "recent", "scores", "sim-ckpt"))
+    _land_by_week(arts, "create_time", land, spark)
+    q = start_similarity_stream(spark, f"{land}/*", arts.schema, state, out, ckpt)
+    q.awaitTermination()
+    return read_output(spark, out)
