@@ -542,7 +542,7 @@ def _land_by_week(df: DataFrame, time_col: str, root: str, spark) -> int:
     most = 1
     weeks = list(range(int(span.lo), int(span.hi) + 1)) if span.lo is not None else []
     for i, k in enumerate(weeks + [None]):
-        part = w.filter(F.col("_wk").isNull() if k is None else (F.col("_wk") == k)).drop("_wk")
+        part = w.filter(F.col("_wk").isNull() if k is None else (F.col("_wk") == k)).drop("_wk", "_t")
         path = f"{root}/{i:04d}"
         part.write.mode("overwrite").parquet(path)
         most = max(most, len(spark.read.parquet(path).inputFiles()))
@@ -554,7 +554,9 @@ def q_stream_refresh(spark, sf):
     from ..streaming.refresh import current, init_state, start_refresh_stream
     entries = V.entries(spark, sf)
     land, state, ckpt = (scratch_path(spark, n) for n in ("entries", "refresh-state", "refresh-ckpt"))
-    files = _land_by_week(entries, "published", land, spark)
+    timed = entries.withColumn("_t", F.coalesce(F.col("published").cast("timestamp"),
+                                                 F.col("updated").cast("timestamp")))
+    _land_by_week(timed, "_t", land, spark)
     init_state(V.feeds(spark, sf), V.articles(spark, sf), state)
     spark.conf.set("spark.sql.streaming.schemaInference", "false")
     q = start_refresh_stream(spark, f"{land}/*", entries.schema, state, ckpt, V.refresh_now())
