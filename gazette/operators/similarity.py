@@ -132,7 +132,18 @@ def similar_pairs(articles: DataFrame, threshold: float = 0.0,
 def importance(articles: DataFrame, threshold: float = SIMILARITY_THRESHOLD,
                window_hours: int = SIMILARITY_WINDOW_HOURS) -> DataFrame:
     """Per article: number of earlier in-window articles of other sites whose
-    title Jaccard is above ``threshold`` (0 when none)."""
+    title Jaccard is above ``threshold`` (0 when none).
+
+    Skew-safe form: article pairs are never enumerated (see
+    ``importance_counted``), so a group of copies holding a large share of
+    all rows costs linear work.
+    """
+    return importance_counted(articles, threshold, window_hours)
+
+
+def importance_pairs(articles: DataFrame, threshold: float = SIMILARITY_THRESHOLD,
+                     window_hours: int = SIMILARITY_WINDOW_HOURS) -> DataFrame:
+    """``importance`` through the article-pair join (counts the emitted pairs)."""
     base = _materialized(prepare(articles))
     counts = (similar_pairs(base, threshold, window_hours, prepared=True)
               .groupBy("id").agg(F.count(F.lit(1)).alias("importance")))
@@ -181,3 +192,105 @@ def recent_insert(recent: DataFrame, new_rows: DataFrame, key: str = "id") -> Da
     fresh = (new_rows.join(recent.select(key), key, "left_anti")
              .withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn"))
     return recent.unionByName(fresh.select(*recent.columns))
+
+
+# --- importance without enumerating article pairs ----------------------------------
+#
+# A group of copies (identical titles) may hold a large share of all rows; the
+# pair join above would emit every pair inside it. Here article pairs are
+# never formed:
+#
+# 1. distinct word sets per 12 h bucket (map-side de-duplication collapses the
+#    copies before any shuffle) are joined with the prefix filter to find
+#    similar set pairs (W1 in bucket bA, W2 in bucket bA or bA - 1), including
+#    W1 = W2;
+# 2. for every such pair, the articles of W1 are "queries" and those of W2
+#    "points"; an article's count is #points with (ct, id) before its own
+#    minus #points with ct <= ct - 12 h, minus the same two counts within its
+#    own site. Counts are running sums over a range-partitioned sort, so a
+#    hot group is split across tasks by time, then stitched with per-partition
+#    offsets (one row per partition and group).
+
+_MAX_ID = (1 << 63) - 1
+_NULL_SITE = "\u0000"
+
+
+def _set_key(words: Column) -> Column:
+    return F.md5(F.array_join(words, "\u0001"))
+
+
+def _similar_sets(base: DataFrame, threshold: float) -> DataFrame:
+    """(w1, b1, w2, b2): distinct word sets of bucket b1 and b2 in {b1, b1-1}
+    with Jaccard > threshold (each pair once)."""
+    sets = base.select("wkey", "bucket", "words").dropDuplicates(["wkey", "bucket"])
+    distinct_sets = sets.select(F.col("wkey").alias("id"), "words").dropDuplicates(["id"])
+    prefixes = _prefix_sets(distinct_sets, threshold).select(F.col("id").alias("wkey"), "prefix")
+    sets = sets.join(prefixes, "wkey")
+    later = sets.select(F.col("wkey").alias("w1"), F.col("bucket").alias("b1"),
+                        F.col("words").alias("a_words"), F.col("prefix").alias("a_prefix"),
+                        F.explode("prefix").alias("token"))
+    earlier = sets.select(F.col("wkey").alias("w2"), F.col("bucket").alias("b2"),
+                          F.col("words").alias("b_words"), F.col("prefix").alias("b_prefix"),
+                          F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bk")
+                          ).select("*", F.explode("b_prefix").alias("token"))
+    na, nb = F.size(later.a_words), F.size(earlier.b_words)
+    cond = [later.token == earlier.token, later.b1 == earlier.bk]
+    if threshold > 0:
+        cond += [nb >= F.lit(threshold) * na, na >= F.lit(threshold) * nb]
+    j = later.join(earlier, cond)
+    first_common = F.element_at(F.array_intersect(F.col("a_prefix"), F.col("b_prefix")), 1)
+    return (j.filter((first_common == later.token)
+                     & (jaccard(F.col("a_words"), F.col("b_words")) > threshold))
+            .select("w1", "b1", "w2", "b2"))
+
+
+def _points_before(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``before``: number of point events ordered before each event within
+    ``keys`` (order: t, id, kind), computed without a single-group task."""
+    from ..session import cut_lineage
+    order = ["t", "id", "kind"]
+    # partition ids must be the same in both branches below: materialise them
+    r = cut_lineage(events.repartitionByRange(*keys, *order).withColumn("_pid", F.spark_partition_id()))
+    w = Window.partitionBy("_pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("_local", F.coalesce(F.sum("is_point").over(w), F.lit(0)))
+    tot = r.groupBy("_pid", *keys).agg(F.sum("is_point").alias("_n"))
+    wo = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select("_pid", *keys, F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"))
+    return r.join(off, ["_pid", *keys]).withColumn("before", F.col("_local") + F.col("_off"))
+
+
+def importance_counted(articles: DataFrame, threshold: float = SIMILARITY_THRESHOLD,
+                       window_hours: int = SIMILARITY_WINDOW_HOURS,
+                       prepared: bool = False) -> DataFrame:
+    """Same result as ``importance`` without forming article pairs."""
+    base = articles if prepared else _materialized(prepare(articles))
+    span = window_hours * 3600
+    b = (base.filter(F.size("words") > 0)
+         .withColumns({"wkey": _set_key(F.col("words")),
+                       "bucket": F.floor(F.unix_seconds(F.col("ct")) / span),
+                       "skey": F.coalesce(F.col("site"), F.lit(_NULL_SITE))}))
+    pairs = _similar_sets(b, threshold)
+    gid = F.concat_ws("|", "w1", F.col("b1").cast("string"), "w2", F.col("b2").cast("string"))
+    art = b.select("id", "ct", "skey", "wkey", "bucket")
+    q = art.join(pairs, (art.wkey == pairs.w1) & (art.bucket == pairs.b1)).select(
+        gid.alias("gid"), "skey", "ct", "id")
+    p = art.join(pairs, (art.wkey == pairs.w2) & (art.bucket == pairs.b2)).select(
+        gid.alias("gid"), "skey", F.col("ct").alias("t"), "id")
+    window = F.expr(f"INTERVAL {int(window_hours)} HOURS")
+    events = (p.select("gid", "skey", "t", "id", F.lit(1).alias("kind"), F.lit(1).alias("is_point"),
+                       F.lit(None).cast("long").alias("a"), F.lit(0).alias("sign"))
+              .unionByName(q.select("gid", "skey", F.col("ct").alias("t"), "id", F.lit(0).alias("kind"),
+                                    F.lit(0).alias("is_point"), F.col("id").alias("a"), F.lit(1).alias("sign")))
+              .unionByName(q.select("gid", "skey", (F.col("ct") - window).alias("t"),
+                                    F.lit(_MAX_ID).alias("id"), F.lit(0).alias("kind"),
+                                    F.lit(0).alias("is_point"), F.col("id").alias("a"),
+                                    F.lit(-1).alias("sign"))))
+    from ..session import cut_lineage
+    events = cut_lineage(events)
+    all_sites = _points_before(events, ["gid"]).filter("is_point = 0") \
+        .select("a", (F.col("sign") * F.col("before")).alias("c"))
+    same_site = _points_before(events, ["gid", "skey"]).filter("is_point = 0") \
+        .select("a", (-F.col("sign") * F.col("before")).alias("c"))
+    counts = all_sites.unionByName(same_site).groupBy("a").agg(F.sum("c").alias("importance"))
+    return (base.select("id").join(counts, base.id == counts.a, "left")
+            .select("id", F.coalesce("importance", F.lit(0)).cast("long").alias("importance")))

@@ -54,3 +54,23 @@ def test_host(spark):
     from gazette.functions.urls import url_host
     df = spark.createDataFrame([("https://u:p@WWW.a_b.com:80/x?y",), ("not a url",)], "u string")
     assert [r[0] for r in df.select(url_host(F.col("u"))).collect()] == ["www.a_b.com", None]
+
+
+def test_hot_group_of_copies(spark):
+    """A third of the rows are copies of one title, crowded into one window:
+    the pair-free count equals the brute force."""
+    import datetime as dt
+    rows = []
+    t0 = dt.datetime(2024, 1, 1)
+    for i in range(240):
+        if i % 3 == 0:
+            rows.append((i, t0 + dt.timedelta(minutes=i), f"s{i % 4}", ["apple", "grow", "profit"]))
+        else:
+            rows.append((i, t0 + dt.timedelta(minutes=7 * i), f"s{i % 5}",
+                         sorted({f"w{i % 13}", f"w{i % 7}", "apple" if i % 2 else "pear"})))
+    base = spark.createDataFrame(rows, BASE)
+    want = {r.id: 0 for r in base.collect()}
+    for r in S.similar_pairs_literal(base, prepared=True).filter("score > 0.3").collect():
+        want[r.id] += 1
+    got = {r.id: r.importance for r in S.importance_counted(base, prepared=True).collect()}
+    assert got == want
