@@ -186,3 +186,14 @@ def summarize(articles: DataFrame, vocab: DataFrame, embeddings: DataFrame | Non
     summ = collect_summary(top_sentences(scores, top_n))
     return (articles.select(F.col(id_col).alias("doc_id")).join(summ, "doc_id", "left")
             .select("doc_id", F.coalesce("summary", F.array().cast("array<string>")).alias("summary")))
+
+
+def article_report(articles: DataFrame, vocab: DataFrame, ids: DataFrame,
+                   embeddings: DataFrame | None = None, top_n: int = DEFAULT_TOP_N) -> DataFrame:
+    """(id, report): title, a blank line, then the summary sentences, for the
+    requested ids (a semi join, so any number of ids is one job)."""
+    a = articles.join(ids.select("id"), "id", "left_semi")
+    s = summarize(a, vocab, embeddings, top_n).select(
+        F.col("doc_id").alias("id"), F.col("summary").alias("_sentences"))
+    return a.select("id", "title").join(s, "id").select(
+        "id", F.concat(F.col("title"), F.lit("\n\n"), F.array_join("_sentences", "\n\n")).alias("report"))

@@ -56,3 +56,21 @@ def sample_for_training(articles: DataFrame, n: int, seed: str = "0",
     return (articles.filter(F.col("status") == status)
             .orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(seed))), F.col("id"))
             .limit(n))
+
+
+def train(articles: DataFrame, model_path: str, n: int = 15000, seed: str = "0") -> DataFrame:
+    """Train job: sample -> HTML to text -> annotate -> training text -> fit ->
+    save the vocabulary as Parquet at ``model_path``; returns the saved model."""
+    from ..functions.text import html_to_clean_text
+    from .common import spread
+    from .sentences import kept_sentences, training_text
+    samp = spread(sample_for_training(articles.filter(F.col("html").isNotNull()), n, seed))
+    texts = samp.select(F.col("id").alias("doc_id"),
+                        training_text(kept_sentences(html_to_clean_text(F.col("html")))).alias("text"))
+    fit(texts).write.mode("overwrite").parquet(model_path)
+    return load_model(articles.sparkSession, model_path)
+
+
+def load_model(spark, model_path: str) -> DataFrame:
+    """The saved vocabulary (term, df, idf)."""
+    return spark.read.parquet(model_path)
