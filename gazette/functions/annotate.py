@@ -26,7 +26,8 @@ from . import lexicon as L
 # with the whitespace that follows it (kept to rebuild the exact span text).
 WS_CLASS = r"\t\n\x0B\f\r\p{Z}"
 WORD_CLASS = r"\p{L}\p{N}_"
-TOKEN_PATTERN = rf"(?:[{WORD_CLASS}]+|[^{WORD_CLASS}{WS_CLASS}])[{WS_CLASS}]*"
+BARE_TOKEN_PATTERN = rf"(?:[{WORD_CLASS}]+|[^{WORD_CLASS}{WS_CLASS}])"
+TOKEN_PATTERN = BARE_TOKEN_PATTERN + rf"[{WS_CLASS}]*"
 TRAILING_WS = rf"[{WS_CLASS}]+$"
 SENTENCE_PATTERN = r"[^.!?]+[.!?]+"
 
@@ -47,37 +48,46 @@ def _lemma_map() -> Column:
     return _LEMMA_LIT
 
 
+_CLOSED = ((L.PRONOUNS, "PRON"), (L.DETERMINERS, "DET"), (L.ADPOSITIONS, "ADP"),
+           (L.CONJUNCTIONS, "CCONJ"), (L.SUBORDINATORS, "SCONJ"), (L.AUXILIARIES, "AUX"),
+           (L.PARTICLES, "PART"), (L.INTERJECTIONS, "INTJ"), (L.ADVERBS, "ADV"),
+           (L.NUMBER_WORDS, "NUM"), (["%"], "NOUN"), (["`"], "PUNCT"))
+_VERB_FORMS = sorted(k for k, v in L.POS_MAP.items() if v == "VERB")
+_LISTED = sorted({w for words, _ in _CLOSED for w in words} | set(_VERB_FORMS))
+
+
 def pos_of(text: Column, low: Column) -> Column:
-    """Coarse part of speech from closed word lists and token shape."""
-    closed = None
-    for words, tag in ((L.PRONOUNS, "PRON"), (L.DETERMINERS, "DET"),
-                       (L.ADPOSITIONS, "ADP"), (L.CONJUNCTIONS, "CCONJ"),
-                       (L.SUBORDINATORS, "SCONJ"), (L.AUXILIARIES, "AUX"),
-                       (L.PARTICLES, "PART"), (L.INTERJECTIONS, "INTJ"),
-                       (L.ADVERBS, "ADV"), (L.NUMBER_WORDS, "NUM"),
-                       (["%"], "NOUN"), (["`"], "PUNCT")):
+    """Coarse part of speech from closed word lists and token shape.
+
+    One hash lookup decides whether any list applies; unlisted tokens (most
+    content words) go straight to the shape rules, and suffix patterns are
+    only tried after a cheap ``endswith``.
+    """
+    listed = None
+    for words, tag in _CLOSED:
         cond = low.isin(list(words))
-        closed = F.when(cond, tag) if closed is None else closed.when(cond, tag)
-    verb_forms = sorted(k for k, v in L.POS_MAP.items() if v == "VERB")
-    return (closed
-            .when(low.isin(verb_forms), "VERB")
-            .when(text.rlike(r"^\p{N}+$"), "NUM")
-            .when(text.rlike(r"^\p{P}$"), "PUNCT")
-            .when(text.rlike(r"^\p{S}$"), "SYM")
-            .when(low.rlike(r"^\p{L}{2,}ly$"), "ADV")
-            .when(low.rlike(r"^\p{L}{3,}ed$"), "VERB")
-            .when(text.rlike(rf"^[{WORD_CLASS}]+$"), "NOUN")
-            .otherwise("X"))
+        listed = F.when(cond, tag) if listed is None else listed.when(cond, tag)
+    listed = listed.otherwise("VERB")            # the remaining listed forms are verbs
+    single = (F.when(text.rlike(r"^\p{P}$"), "PUNCT")
+              .when(text.rlike(r"^\p{S}$"), "SYM")
+              .when(text.rlike(rf"^[{WORD_CLASS}]$"), F.when(text.rlike(r"^\p{N}$"), "NUM").otherwise("NOUN"))
+              .otherwise("X"))
+    run = (F.when(text.rlike(r"^\p{N}+$"), "NUM")
+           .when(low.endswith("ly") & low.rlike(r"^\p{L}{2,}ly$"), "ADV")
+           .when(low.endswith("ed") & low.rlike(r"^\p{L}{3,}ed$"), "VERB")
+           .otherwise("NOUN"))
+    return (F.when(low.isin(_LISTED), listed)
+            .when(F.length(text) == 1, single)
+            .otherwise(run))
 
 
 def lemma_of(low: Column, pos: Column) -> Column:
     """Lemma: pronouns -> -PRON-, listed forms, plural nouns by suffix rule."""
     return (F.when(low.isin(L.PRONOUNS), F.lit("-PRON-"))
             .when(low.isin(_LEMMA_KEYS), F.try_element_at(_lemma_map(), low))
-            .when((pos == "NOUN") & low.rlike("^[a-z]{2,}ies$"),
-                  F.regexp_replace(low, "ies$", "y"))
-            .when((pos == "NOUN") & low.rlike("^[a-z]{2,}[a-hj-rtv-z]s$"),
-                  F.regexp_replace(low, "s$", ""))
+            .when((pos != "NOUN") | ~low.endswith("s"), low)
+            .when(low.rlike("^[a-z]{2,}ies$"), F.regexp_replace(low, "ies$", "y"))
+            .when(low.rlike("^[a-z]{2,}[a-hj-rtv-z]s$"), F.regexp_replace(low, "s$", ""))
             .otherwise(low))
 
 
@@ -93,11 +103,11 @@ def let(value: Column, body) -> Column:
 
 def tokens_of(text: Column) -> Column:
     """Annotate one span of text into the token array described above."""
+    # the same token starts with and without the trailing whitespace, zipped
     raw = F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
-    base = F.transform(raw, lambda r, i: let(
-        F.regexp_replace(r, TRAILING_WS, ""),
-        lambda tx: F.struct(i.alias("i"), tx.alias("text"), r.alias("raw"),
-                            F.lower(tx).alias("low"))))
+    bare = F.regexp_extract_all(text, F.lit(BARE_TOKEN_PATTERN), F.lit(0))
+    base = F.transform(F.arrays_zip(bare.alias("t"), raw.alias("r")), lambda z, i: F.struct(
+        i.alias("i"), z["t"].alias("text"), z["r"].alias("raw"), F.lower(z["t"]).alias("low")))
     with_pos = F.transform(base, lambda t: F.struct(
         t["i"].alias("i"), t["text"].alias("text"), t["raw"].alias("raw"),
         t["low"].alias("low"), pos_of(t["text"], t["low"]).alias("pos")))
