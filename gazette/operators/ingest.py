@@ -24,7 +24,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.fixed import STATUS_NEW
 from ..functions.times import entry_time
@@ -67,12 +66,15 @@ def accept_entries(entries: DataFrame, feeds: DataFrame, now: Column,
         "uri": strip_query(F.col("link")),
         "source": F.when(F.col("_agg"), F.col("source_title")),
     })
-    w = Window.partitionBy(
-        "feed_id", "dated",
-        F.when(F.col("dated"), F.col("publish_time")),
-        F.when(~F.col("dated"), F.col("link"))).orderBy("entry_pos")
-    return (cand.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-            .drop("_rn", "_fid", "_mark", "_agg"))
+    # tie rule: first entry by position per (feed, time), or per (feed, link)
+    # when undated. A min_by aggregate combines map-side, so a hot feed/time
+    # key is reduced before the shuffle (a window would sort it in one task).
+    cols = [c for c in cand.columns if c not in ("_fid", "_mark", "_agg")]
+    keys = [F.col("feed_id").alias("_k0"), F.col("dated").alias("_k1"),
+            F.when(F.col("dated"), F.col("publish_time")).alias("_k2"),
+            F.when(~F.col("dated"), F.col("link")).alias("_k3")]
+    first = cand.groupBy(*keys).agg(F.min_by(F.struct(*cols), F.col("entry_pos")).alias("_r"))
+    return first.select("_r.*")
 
 
 def new_uris(accepted: DataFrame, articles: DataFrame) -> DataFrame:

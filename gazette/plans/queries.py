@@ -533,20 +533,21 @@ def q_feed_errors(spark, sf):
     return tidy(I.feed_errors(V.entries(spark, sf), V.feeds(spark, sf)))
 
 
-def _land_by_week(df: DataFrame, time_col: str, root: str, spark) -> int:
-    """Write ``df`` as one folder per week of ``time_col`` (in time order, rows
-    without a time last); returns the most files written by one week."""
-    wk = F.floor((F.unix_seconds(F.col(time_col)) - F.lit(V.EPOCH_2024)) / (7 * 86400))
-    w = df.withColumn("_wk", wk)
-    span = w.agg(F.min("_wk").alias("lo"), F.max("_wk").alias("hi")).first()
-    most = 1
-    weeks = list(range(int(span.lo), int(span.hi) + 1)) if span.lo is not None else []
-    for i, k in enumerate(weeks + [None]):
-        part = w.filter(F.col("_wk").isNull() if k is None else (F.col("_wk") == k)).drop("_wk", "_t")
-        path = f"{root}/{i:04d}"
-        part.write.mode("overwrite").parquet(path)
-        most = max(most, len(spark.read.parquet(path).inputFiles()))
-    return most
+def _land_in_slices(df: DataFrame, time_col: str, root: str, slices: int = 4) -> None:
+    """Land ``df`` as ``slices`` folders of equal time span, in time order (rows
+    without a time in the last one), to feed a file stream. The input is
+    checkpointed once, so the cost is a fixed number of scans of it."""
+    from ..session import cut_lineage
+    sec = F.unix_seconds(F.col(time_col))
+    lo, hi = df.agg(F.min(sec), F.max(sec)).first()
+    src = cut_lineage(df)
+    step = ((hi - lo) // slices + 1) if lo is not None else 1
+    for i in range(slices + 1):
+        if i < slices:
+            cond = (sec >= F.lit(lo + i * step)) & (sec < F.lit(lo + (i + 1) * step)) if lo is not None else F.lit(False)
+        else:
+            cond = sec.isNull()
+        src.filter(cond).drop("_t").write.mode("overwrite").parquet(f"{root}/{i:04d}")
 
 
 @register("stream_refresh")
@@ -556,7 +557,7 @@ def q_stream_refresh(spark, sf):
     land, state, ckpt = (scratch_path(spark, n) for n in ("entries", "refresh-state", "refresh-ckpt"))
     timed = entries.withColumn("_t", F.coalesce(F.col("published").cast("timestamp"),
                                                  F.col("updated").cast("timestamp")))
-    _land_by_week(timed, "_t", land, spark)
+    _land_in_slices(timed, "_t", land)
     init_state(V.feeds(spark, sf), V.articles(spark, sf), state)
     spark.conf.set("spark.sql.streaming.schemaInference", "false")
     q = start_refresh_stream(spark, f"{land}/*", entries.schema, state, ckpt, V.refresh_now())
@@ -569,7 +570,7 @@ def q_stream_similar(spark, sf):
     from ..streaming.similar import read_output, start_similarity_stream
     arts = V.articles(spark, sf).select("id", "create_time", "title", "uri")
     land, state, out, ckpt = (scratch_path(spark, n) for n in ("articles", "recent", "scores", "sim-ckpt"))
-    _land_by_week(arts, "create_time", land, spark)
+    _land_in_slices(arts, "create_time", land)
     q = start_similarity_stream(spark, f"{land}/*", arts.schema, state, out, ckpt)
     q.awaitTermination()
     return read_output(spark, out)
