@@ -23,13 +23,18 @@ def terms_of(text):
     return F.regexp_extract_all(F.lower(text), F.lit(TERM_PATTERN), F.lit(0))
 
 
-def fit(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fit(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+        n: int | None = None) -> DataFrame:
     """Vocabulary (term, df, idf) of a corpus of training texts.
 
-    ``n`` (number of documents, empty ones included) is a single scalar
-    computed by one count.
+    ``n`` (number of documents, empty ones included) is one scalar. When it
+    is not given, the training texts (one short string per document) are
+    checkpointed first, so counting them does not re-run the text pipeline.
     """
-    n = texts.count()
+    if n is None:
+        from ..session import cut_lineage
+        texts = cut_lineage(texts.select(text_col))
+        n = texts.count()
     pairs = texts.select(F.explode(F.array_distinct(terms_of(F.col(text_col)))).alias("term"))
     df = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return df.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0)
