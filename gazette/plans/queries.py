@@ -531,7 +531,7 @@ def q_scan_feed_xml(spark, sf):
     """Land the entries as RSS files (one folder per feed), scan them back."""
     path = scratch_path(spark, "rss")
     FX.write_rss(V.entries(spark, sf), path)
-    e = FX.read_rss(spark, path)
+    e = FX.scan_feeds_xml(spark, rss_path=path)
     return tidy(e.select("feed_id", "link", "title", "summary", "source_title", "published"))
 
 

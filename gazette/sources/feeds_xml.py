@@ -47,7 +47,13 @@ def read_atom(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_feeds_xml(spark: SparkSession, rss_path: str | None = None,
-                   atom_path: str | None = None) -> DataFrame:
+                   atom_path: str | None = None, materialize: bool = True) -> DataFrame:
+    """RSS and Atom entries in one DataFrame.
+
+    With ``materialize`` the parsed entries are checkpointed: XML is parsed
+    once for both the refresh and the error report, and queries that only
+    look at ``_corrupt_record`` (refused by Spark on raw files) are allowed.
+    """
     parts = []
     if rss_path:
         parts.append(read_rss(spark, rss_path))
@@ -56,6 +62,9 @@ def scan_feeds_xml(spark: SparkSession, rss_path: str | None = None,
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    if materialize:
+        from ..session import cut_lineage
+        out = cut_lineage(out)
     return out
 
 
