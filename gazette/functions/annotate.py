@@ -156,9 +156,17 @@ def _attach(t: Column, i: Column, p1: Column, p2: Column) -> Column:
         t["is_stop"].alias("is_stop"), t["is_quote"].alias("is_quote"))
 
 
+# Same spans as SENTENCE_PATTERN, but every match attempt succeeds (a trailing
+# run without terminal punctuation matches up to the end and is dropped
+# afterwards), so the regex never re-scans an unterminated tail from each of
+# its positions, which is quadratic in the tail length.
+SENTENCE_SCAN_PATTERN = r"[^.!?]+(?:[.!?]+|\z)"
+
+
 def sentences_of(text: Column) -> Column:
     """Sentence spans: maximal runs ending in terminal punctuation."""
-    return F.regexp_extract_all(text, F.lit(SENTENCE_PATTERN), F.lit(0))
+    spans = F.regexp_extract_all(text, F.lit(SENTENCE_SCAN_PATTERN), F.lit(0))
+    return F.filter(spans, lambda s: F.substring(s, -1, 1).isin(".", "!", "?"))
 
 
 def annotate(df, text_col: str = "text", out_col: str = "sentences"):
