@@ -261,8 +261,13 @@ def _points_before(events: DataFrame, keys: list[str]) -> DataFrame:
 
 def importance_counted(articles: DataFrame, threshold: float = SIMILARITY_THRESHOLD,
                        window_hours: int = SIMILARITY_WINDOW_HOURS,
-                       prepared: bool = False) -> DataFrame:
-    """Same result as ``importance`` without forming article pairs."""
+                       prepared: bool = False, only: DataFrame | None = None) -> DataFrame:
+    """Same result as ``importance`` without forming article pairs.
+
+    ``only`` (a DataFrame with column ``id``) restricts the scored articles;
+    all articles still count as earlier neighbours (the streaming job scores
+    a micro-batch against its state this way).
+    """
     base = articles if prepared else _materialized(prepare(articles))
     span = window_hours * 3600
     b = (base.filter(F.size("words") > 0)
@@ -272,7 +277,8 @@ def importance_counted(articles: DataFrame, threshold: float = SIMILARITY_THRESH
     pairs = _similar_sets(b, threshold)
     gid = F.concat_ws("|", "w1", F.col("b1").cast("string"), "w2", F.col("b2").cast("string"))
     art = b.select("id", "ct", "skey", "wkey", "bucket")
-    q = art.join(pairs, (art.wkey == pairs.w1) & (art.bucket == pairs.b1)).select(
+    qart = art if only is None else art.join(only.select("id"), "id", "left_semi")
+    q = qart.join(pairs, (qart.wkey == pairs.w1) & (qart.bucket == pairs.b1)).select(
         gid.alias("gid"), "skey", "ct", "id")
     p = art.join(pairs, (art.wkey == pairs.w2) & (art.bucket == pairs.b2)).select(
         gid.alias("gid"), "skey", F.col("ct").alias("t"), "id")
@@ -292,5 +298,6 @@ def importance_counted(articles: DataFrame, threshold: float = SIMILARITY_THRESH
     same_site = _points_before(events, ["gid", "skey"]).filter("is_point = 0") \
         .select("a", (-F.col("sign") * F.col("before")).alias("c"))
     counts = all_sites.unionByName(same_site).groupBy("a").agg(F.sum("c").alias("importance"))
-    return (base.select("id").join(counts, base.id == counts.a, "left")
+    scored = base.select("id") if only is None else only.select("id")
+    return (scored.join(counts, scored.id == counts.a, "left")
             .select("id", F.coalesce("importance", F.lit(0)).cast("long").alias("importance")))

@@ -3,7 +3,8 @@
 State is the ``recent`` table (id, ct, site, words) kept as epoch-versioned
 snapshots. Each micro-batch: score the batch's articles against the state
 and against each other in (create_time, id) order with the same blocked join
-as the batch operator, append (id, importance) to the output folder
+as the batch operator (word-set pairs and running counts; article pairs
+are never formed), append (id, importance) to the output folder
 (one sub-folder per batch id, overwritten on replay), insert the new articles
 if absent, and evict rows with ``create_time <= max_time - window``.
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.fixed import SIMILARITY_THRESHOLD, SIMILARITY_WINDOW_HOURS
-from ..operators.similarity import prepare, similar_pairs
+from ..operators.similarity import importance_counted, prepare
 from ..sources.snapshots import latest, write_version
 
 STATE_SCHEMA = "id long, ct timestamp, site string, words array<string>"
@@ -41,11 +42,8 @@ def start_similarity_stream(spark: SparkSession, articles_dir: str, articles_sch
         new = cut_lineage(prepare(batch))
         fresh = new.join(recent.select("id"), "id", "left_anti")
         combined = recent.unionByName(fresh)
-        counts = (similar_pairs(combined, threshold, window_hours, prepared=True)
-                  .join(new.select("id"), "id", "left_semi")
-                  .groupBy("id").agg(F.count(F.lit(1)).alias("importance")))
-        out = new.select("id").join(counts, "id", "left").select(
-            "id", F.coalesce("importance", F.lit(0)).cast("long").alias("importance"))
+        out = importance_counted(combined, threshold, window_hours, prepared=True,
+                                 only=new.select("id"))
         out.write.mode("overwrite").parquet(f"{out_root.rstrip('/')}/batch={epoch}")
         horizon = combined.agg(F.max("ct").alias("m"))
         kept = combined.join(F.broadcast(horizon), F.col("ct") > F.col("m") - F.expr(
