@@ -29,6 +29,15 @@ def maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+def byte_size(text: str) -> int:
+    """'134217728', '128m', '128MB', '1g' -> bytes."""
+    t = str(text).strip().lower().rstrip("b")
+    mult = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40, "p": 1 << 50}
+    if t and t[-1] in mult:
+        return int(float(t[:-1]) * mult[t[-1]])
+    return int(t)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Optimizer size estimate of ``df`` (from file sizes; nothing is run)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -45,7 +54,7 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
-    max_split = int(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("b"))
+    max_split = byte_size(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728"))
     if estimated_bytes(df) < target * max_split:
         return df.repartition(target)
     return df

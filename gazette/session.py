@@ -20,6 +20,11 @@ BASE_CONF = {
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # AQE splits / coalesces shuffle partitions towards this size, and files
+    # are read in splits of at most this size: both keep tasks well inside
+    # executor memory whatever the scale.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.files.maxPartitionBytes": "128m",
     "spark.ui.enabled": "false",
 }
 
@@ -91,3 +96,11 @@ def cut_lineage(df):
 
 def local_cpus() -> int:
     return int(os.environ.get("BENCH_CPUS", "8"))
+
+
+def shuffle_partitions_for(input_bytes: int, target_bytes: int = 256 << 20,
+                           minimum: int = 8) -> int:
+    """Initial ``spark.sql.shuffle.partitions`` for an input of ``input_bytes``:
+    about ``target_bytes`` per partition (AQE then coalesces small ones and
+    splits skewed ones). 100 TB -> ~400k partitions; sf0.1 -> the minimum."""
+    return max(minimum, -(-int(input_bytes) // target_bytes))
