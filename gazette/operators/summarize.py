@@ -46,11 +46,16 @@ def article_sentences(articles: DataFrame, id_col: str = "id", html_col: str = "
                      polish(F.col("s.text")).alias("polished"), F.col("s.tokens").alias("tokens"))
 
 
+def sentence_terms(sents: DataFrame) -> DataFrame:
+    """(doc_id, term): vectorizer terms of the content lemmas, one row per
+    occurrence (the terms of the document's training text)."""
+    lem = sents.select("doc_id", F.explode(content_tokens(F.col("tokens"))).alias("t"))
+    return lem.select("doc_id", F.explode(T.terms_of(F.col("t.lemma"))).alias("term"))
+
+
 def doc_weights(sents: DataFrame, vocab: DataFrame) -> DataFrame:
     """(doc_id, term, weight): TF-IDF vector of each document's training text."""
-    lem = sents.select("doc_id", F.explode(content_tokens(F.col("tokens"))).alias("t"))
-    terms = lem.select("doc_id", F.explode(T.terms_of(F.col("t.lemma"))).alias("term"))
-    tf = terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = sentence_terms(sents).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     v = vocab.select("term", "idf")
     j = tf.join(maybe_broadcast(v, is_small(v, 5_000_000)), "term")
     w = F.col("tf") * F.col("idf")
@@ -163,12 +168,14 @@ def average_score(scores: DataFrame) -> DataFrame:
     return scores.groupBy("doc_id").agg(F.avg("total").alias("avg_score"))
 
 
-def summarize(articles: DataFrame, vocab: DataFrame, embeddings: DataFrame | None = None,
+def summarize(articles: DataFrame, vocab: DataFrame | None, embeddings: DataFrame | None = None,
               top_n: int = DEFAULT_TOP_N, id_col: str = "id", title_col: str = "title",
-              html_col: str = "html", materialize: bool = True) -> DataFrame:
+              html_col: str = "html", materialize: bool = True, vocab_fn=None) -> DataFrame:
     """(doc_id, summary): up to ``top_n`` sentences per article, in order.
 
-    Articles without any kept sentence get an empty summary. The annotated
+    Articles without any kept sentence get an empty summary. ``vocab`` may be
+    None with ``vocab_fn(sentences) -> vocab`` to fit on the same annotated
+    sentences (one annotation pass for training and scoring). The annotated
     sentence table feeds four branches (weights, frequency, similarity,
     length); with ``materialize`` it is computed once and checkpointed to the
     shared folder instead of being re-annotated per branch.
@@ -177,6 +184,9 @@ def summarize(articles: DataFrame, vocab: DataFrame, embeddings: DataFrame | Non
     if materialize:
         from ..session import cut_lineage
         sents = cut_lineage(sents)
+    if vocab is None:
+        # fit on the same annotated sentences (train and summarise in one job)
+        vocab = vocab_fn(sents)
     weights = doc_weights(sents, vocab)
     titles = articles.select(F.col(id_col).alias("doc_id"), F.col(title_col).alias("title"))
     vectors = None

@@ -40,6 +40,15 @@ def fit(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0)
 
 
+def fit_terms(doc_terms: DataFrame, n: int) -> DataFrame:
+    """Vocabulary from (doc_id, term) occurrences of ``n`` training documents
+    (documents without terms count in ``n``); same result as ``fit`` on their
+    training texts, without rebuilding the texts."""
+    df = (doc_terms.select("doc_id", "term").distinct()
+          .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    return df.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0)
+
+
 def transform(texts: DataFrame, vocab: DataFrame, id_col: str = "doc_id",
               text_col: str = "text", max_broadcast_rows: int = 5_000_000) -> DataFrame:
     """(doc_id, term, weight): tf x idf, L2-normalised per document; terms

@@ -323,11 +323,21 @@ def _train_texts(spark, sf):
     return spread(samp).select(F.col("id").alias("doc_id"), SN.training_text(kept).alias("text"))
 
 
-def _vocab(spark, sf):
+def _vocab(spark, sf, sents=None):
     """Fit, then save/load the model: the vocabulary is checkpointed to the
-    shared folder once, so later size checks and joins read it back."""
+    shared folder once, so later size checks and joins read it back.
+
+    When the annotated sentence table of the publishable articles is at hand
+    (it contains the training sample), the fit reads its terms instead of
+    annotating the sample a second time.
+    """
     from ..session import cut_lineage
-    return cut_lineage(T.fit(_train_texts(spark, sf)))
+    if sents is None:
+        return cut_lineage(T.fit(_train_texts(spark, sf)))
+    ids = cut_lineage(T.sample_for_training(
+        V.articles(spark, sf).filter(F.col("html").isNotNull()), TRAIN_SAMPLE_SIZE).select("id"))
+    terms = SM.sentence_terms(sents).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    return cut_lineage(T.fit_terms(terms, ids.count()))
 
 
 class _Summ:
@@ -337,7 +347,7 @@ class _Summ:
         from ..session import cut_lineage
         arts = _publishable(spark, sf)
         self.sents = cut_lineage(SM.article_sentences(arts))
-        self.weights = SM.doc_weights(self.sents, _vocab(spark, sf))
+        self.weights = SM.doc_weights(self.sents, _vocab(spark, sf, self.sents))
         self.titles = arts.select(F.col("id").alias("doc_id"), "title")
         self.vectors = (SM.lemma_vectors(SM.all_lemmas(self.sents, self.titles),
                                          load(spark, sf, "embeddings")) if vectors else None)
@@ -358,8 +368,9 @@ def q_tfidf_fit(spark, sf):
 
 @register("tfidf_transform")
 def q_tfidf_transform(spark, sf):
-    s = SM.article_sentences(_publishable(spark, sf))
-    return tidy(SM.doc_weights(s, _vocab(spark, sf)))
+    from ..session import cut_lineage
+    s = cut_lineage(SM.article_sentences(_publishable(spark, sf)))
+    return tidy(SM.doc_weights(s, _vocab(spark, sf, s)))
 
 
 @register("sentence_frequency")
@@ -404,7 +415,8 @@ def q_top_sentences(spark, sf):
 
 @register("summarize")
 def q_summarize(spark, sf):
-    s = SM.summarize(_publishable(spark, sf), _vocab(spark, sf), load(spark, sf, "embeddings"))
+    s = SM.summarize(_publishable(spark, sf), None, load(spark, sf, "embeddings"),
+                     vocab_fn=lambda sents: _vocab(spark, sf, sents))
     return s.select("doc_id", F.size("summary").cast("long").alias("n_sentences"),
                     F.array_join("summary", "\n").alias("summary"))
 
