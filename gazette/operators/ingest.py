@@ -93,7 +93,9 @@ def upsert_articles(articles: DataFrame, accepted: DataFrame, now: Column,
                     max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """Insert new URIs (first wins) and count references on known ones.
 
-    The per-URI hit table of one refresh is small next to the article table:
+    Works on any subset of the article columns: a refresh never touches
+    ``html``, so at scale the refreshed table is the small metadata part and
+    page content is stored apart (append-only). The per-URI hit table of one refresh is small next to the article table:
     after a row-count check it is broadcast, and the article table is only
     streamed through broadcast hash joins (no shuffle of stored articles).
     """
@@ -111,11 +113,12 @@ def upsert_articles(articles: DataFrame, accepted: DataFrame, now: Column,
     small = is_small(per_uri, max_broadcast_rows)
     stored = articles.join(maybe_broadcast(per_uri.select("uri", "_hits"), small), "uri", "left")
     hit = F.col("_hits").isNotNull()
+    cols = articles.columns       # any subset of ARTICLE_COLUMNS (e.g. without html)
     updated = stored.select(*[
         (F.when(hit, F.col("refs_count") + F.col("_hits")).otherwise(F.col("refs_count"))
          .cast("int").alias(c)) if c == "refs_count" else
         (F.when(hit, now).otherwise(F.col("update_time")).alias(c)) if c == "update_time" else
-        F.col(c) for c in ARTICLE_COLUMNS])
+        F.col(c) for c in cols])
     known = articles.select("uri").join(maybe_broadcast(per_uri.select("uri"), small),
                                         "uri", "left_semi")
     fresh = per_uri.join(maybe_broadcast(known, small), "uri", "left_anti").select(
@@ -130,7 +133,7 @@ def upsert_articles(articles: DataFrame, accepted: DataFrame, now: Column,
         F.lit(None).cast("string").alias("html"),
         F.col("_hits").cast("int").alias("refs_count"),
         F.col("_first.source").alias("source"))
-    return updated.unionByName(fresh)
+    return updated.unionByName(fresh.select(*cols))
 
 
 def feed_marks(feeds: DataFrame, accepted: DataFrame) -> DataFrame:

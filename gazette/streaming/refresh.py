@@ -19,9 +19,15 @@ from ..sources.snapshots import latest, versions, write_version
 
 
 def init_state(feeds: DataFrame, articles: DataFrame, state_root: str) -> None:
-    """Write version 0 of both tables unless a version already exists."""
+    """Write version 0 of both tables unless a version already exists.
+
+    Only article *metadata* is kept in the refresh state (``html`` is
+    dropped): each batch rewrites this small table, never the page content,
+    which is written once per page by the capture step.
+    """
     spark = feeds.sparkSession
-    for name, df in (("feeds", feeds), ("articles", articles)):
+    meta = articles.drop("html")
+    for name, df in (("feeds", feeds), ("articles", meta)):
         if not versions(spark, f"{state_root}/{name}"):
             write_version(df, f"{state_root}/{name}", 0)
 
