@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from .duck import (V_ARTICLES, V_CAPTURES, host_sql, jaccard_sql, lemma_lex_cte,
-                   wordset_ctes, with_)
+from ..operators.tfidf import TERM_PATTERN
+from ..sources.seed import SEED_FEEDS
+from .duck import (V_ARTICLES, V_CALLBACKS, V_CAPTURES, V_ENTRIES, V_FEEDS, V_LOGS,
+                   clean_lines_sql, host_sql, html_text_sql, jaccard_sql, kept_ctes,
+                   lemma_lex_cte, news_title_ctes, polish_sql, q, sentence_ctes,
+                   tokens_ctes, with_, wordset_ctes)
 
 RECENT_NOW = "TIMESTAMP '2024-01-02 00:00:00'"
 
@@ -66,7 +70,6 @@ def oracle_sql() -> dict[str, str]:
 
 
 # --- ingest ------------------------------------------------------------------------
-from .duck import V_ENTRIES, V_FEEDS, news_title_ctes  # noqa: E402
 
 NOW = "TIMESTAMP '2024-02-01 00:00:00'"
 _FEED_OUT = (f"SELECT CAST(id AS BIGINT) AS id, {_ts('last_publish_time')} AS last_publish_time, "
@@ -132,8 +135,6 @@ ORACLE["feed_state"] = with_(*_ACC, """m AS (SELECT feed_id, max(publish_time) A
 
 
 # --- text ----------------------------------------------------------------------------
-from .duck import (clean_lines_sql, html_text_sql, kept_ctes, polish_sql,  # noqa: E402
-                   sentence_ctes, tokens_ctes)
 
 ORACLE["html_text"] = f"SELECT page_id AS id, {html_text_sql('html')} AS text FROM pages"
 ORACLE["clean_text"] = f"SELECT doc_id, {clean_lines_sql('text')} AS text FROM documents"
@@ -183,8 +184,6 @@ ORACLE["clean_title"] = with_(V_ARTICLES, V_CAPTURES) + \
 
 
 # --- tf-idf and summaries -------------------------------------------------------------
-from ..operators.tfidf import TERM_PATTERN  # noqa: E402
-from .duck import q, tokens_ctes  # noqa: E402,F811
 
 _CONTENT = "NOT {a}is_stop AND regexp_matches({a}lemma, '^[A-Za-z]{{2,}}')"
 _TERM = q(TERM_PATTERN)
@@ -264,8 +263,6 @@ FROM pg LEFT JOIN top t ON t.doc_id = pg.id GROUP BY pg.id"""
 
 
 # --- publishing, lifecycle, logs, duplicates, seed -------------------------------------
-from ..sources.seed import SEED_FEEDS  # noqa: E402
-from .duck import V_CALLBACKS, V_LOGS  # noqa: E402
 
 LC_NOW = "TIMESTAMP '2024-01-01 12:00:00'"
 

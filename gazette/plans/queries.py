@@ -18,6 +18,24 @@ from ..functions.urls import url_host
 from ..operators import similarity as S
 from ..sources import fixtures as V
 from ..sources.tables import load
+from ..functions import text as TX
+from ..functions.annotate import sentences_of, sentences_tokens
+from ..functions.fixed import DEFAULT_TOP_N, TRAIN_SAMPLE_SIZE
+from ..functions.times import parse_iso_time
+from ..functions.urls import is_blocked, strip_query
+from ..operators import dups as DP
+from ..operators import ingest as I
+from ..operators import lifecycle as LC
+from ..operators import publish as PB
+from ..operators import sentences as SN
+from ..operators import summarize as SM
+from ..operators import tfidf as T
+from ..operators.html_dom import html_text_dom
+from ..operators.titles import is_news_title
+from ..session import scratch_path
+from ..sources import feeds_xml as FX
+from ..sources import logs as LG
+from ..sources import seed as SD
 
 RECENT_NOW = "2024-01-02 00:00:00"
 
@@ -111,9 +129,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 # --- ingest ------------------------------------------------------------------------
-from ..functions.urls import is_blocked, strip_query  # noqa: E402
-from ..operators import ingest as I  # noqa: E402
-from ..operators.titles import is_news_title  # noqa: E402
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -203,9 +218,6 @@ def q_feed_state(spark, sf):
 
 
 # --- text ----------------------------------------------------------------------------
-from ..functions import text as TX  # noqa: E402
-from ..functions.annotate import sentences_of, sentences_tokens  # noqa: E402
-from ..operators import sentences as SN  # noqa: E402
 
 
 def _documents(spark, sf):
@@ -306,9 +318,6 @@ def q_clean_title(spark, sf):
 
 
 # --- tf-idf and summaries -------------------------------------------------------------
-from ..functions.fixed import DEFAULT_TOP_N, TRAIN_SAMPLE_SIZE  # noqa: E402
-from ..operators import summarize as SM  # noqa: E402
-from ..operators import tfidf as T  # noqa: E402
 
 
 def _publishable(spark, sf):
@@ -422,12 +431,6 @@ def q_summarize(spark, sf):
 
 
 # --- publishing, lifecycle, logs, duplicates, seed -------------------------------------
-from ..functions.times import parse_iso_time  # noqa: E402
-from ..operators import dups as DP  # noqa: E402
-from ..operators import lifecycle as LC  # noqa: E402
-from ..operators import publish as PB  # noqa: E402
-from ..sources import logs as LG  # noqa: E402
-from ..sources import seed as SD  # noqa: E402
 
 LIFECYCLE_NOW = "2024-01-01 12:00:00"
 
@@ -527,9 +530,6 @@ def q_republish(spark, sf):
 
 
 # --- sources, DOM tier, streaming, errors -----------------------------------------------
-from ..operators.html_dom import html_text_dom  # noqa: E402
-from ..session import scratch_path  # noqa: E402
-from ..sources import feeds_xml as FX  # noqa: E402
 
 
 @register("html_text_dom")
