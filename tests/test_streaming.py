@@ -54,3 +54,17 @@ def test_stream_refresh_equals_batch(spark):
     assert sorted(map(tuple, arts_s.select(key).collect())) == sorted(map(tuple, arts_b.select(key).collect()))
     mk = ["id", "last_publish_time"]
     assert sorted(map(tuple, feeds_s.select(mk).collect())) == sorted(map(tuple, feeds_b.select(mk).collect()))
+
+
+def test_reschedule_timer_job(spark):
+    from gazette.sources.snapshots import latest, write_version
+    from gazette.streaming.lifecycle import start_reschedule_stream
+    root = tempfile.mkdtemp(prefix="gz-life-")
+    rows = [(1, "Q", 0), (2, "Q", 2), (3, "N", 0)]
+    arts = spark.createDataFrame(rows, "id long, status string, retries int") \
+        .withColumn("update_time", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+    write_version(arts, f"{root}/articles", 0)
+    q = start_reschedule_stream(spark, f"{root}/articles", f"{root}/ckpt", once=True)
+    q.awaitTermination()
+    got = {r.id: (r.status, r.retries) for r in latest(spark, f"{root}/articles").collect()}
+    assert got == {1: ("N", 1), 2: ("E", 3), 3: ("N", 0)}
