@@ -170,20 +170,26 @@ def average_score(scores: DataFrame) -> DataFrame:
 
 def summarize(articles: DataFrame, vocab: DataFrame | None, embeddings: DataFrame | None = None,
               top_n: int = DEFAULT_TOP_N, id_col: str = "id", title_col: str = "title",
-              html_col: str = "html", materialize: bool = True, vocab_fn=None) -> DataFrame:
+              html_col: str = "html", materialize: bool = True, vocab_fn=None,
+              sentences: DataFrame | None = None) -> DataFrame:
     """(doc_id, summary): up to ``top_n`` sentences per article, in order.
 
     Articles without any kept sentence get an empty summary. ``vocab`` may be
     None with ``vocab_fn(sentences) -> vocab`` to fit on the same annotated
-    sentences (one annotation pass for training and scoring). The annotated
+    sentences (one annotation pass for training and scoring); ``sentences``
+    passes an annotated sentence table (``article_sentences``) to reuse. The annotated
     sentence table feeds four branches (weights, frequency, similarity,
     length); with ``materialize`` it is computed once and checkpointed to the
     shared folder instead of being re-annotated per branch.
     """
-    sents = article_sentences(articles, id_col, html_col)
-    if materialize:
-        from ..session import cut_lineage
-        sents = cut_lineage(sents)
+    if sentences is not None:
+        # already annotated (e.g. shared with the vocabulary fit): keep ours
+        sents = sentences.join(articles.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi")
+    else:
+        sents = article_sentences(articles, id_col, html_col)
+        if materialize:
+            from ..session import cut_lineage
+            sents = cut_lineage(sents)
     if vocab is None:
         # fit on the same annotated sentences (train and summarise in one job)
         vocab = vocab_fn(sents)

@@ -436,8 +436,14 @@ LIFECYCLE_NOW = "2024-01-01 12:00:00"
 
 
 def _messages(spark, sf, curated=False):
-    return PB.publish_messages(V.articles(spark, sf), V.feeds(spark, sf), _vocab(spark, sf),
-                               load(spark, sf, "embeddings"), curated=curated)
+    """Train and publish in one job: the publishable articles are annotated
+    once; the vocabulary is fitted from that table and the summariser reuses
+    it for the gated articles. (With a saved model, pass only ``vocab`` and
+    the summariser annotates just the articles that pass the gate.)"""
+    from ..session import cut_lineage
+    sents = cut_lineage(SM.article_sentences(_publishable(spark, sf)))
+    return PB.publish_messages(V.articles(spark, sf), V.feeds(spark, sf), _vocab(spark, sf, sents),
+                               load(spark, sf, "embeddings"), curated=curated, sentences=sents)
 
 
 @register("seed_feeds")
