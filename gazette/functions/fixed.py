@@ -50,10 +50,20 @@ TRAIN_SAMPLE_SIZE = 15000
 # Article statuses: new, queued, done, error.
 STATUS_NEW, STATUS_QUEUED, STATUS_DONE, STATUS_ERROR = "N", "Q", "D", "E"
 
-# Display and message strings.
+# Display and message strings and formats ({name} marks a value).
 ANONYMOUS_SOURCE = "Anonymous"
-SUMMARY_BULLET = "— "
+MESSAGE_TEMPLATE = '<b>{title}</b>\n\n{summary}\n\n<a href="{uri}"><i>{source}</i></a>'
+SUMMARY_LINE_TEMPLATE = "— {sentence}"
+SUMMARY_LINE_SEPARATOR = "\n"
 IMPORTANCE_ICON = "\U0001F525"
-PROMOTE_LABEL = "Promote "
+PROMOTE_BUTTON_TEMPLATE = "Promote {icons}"
 PROMOTE_CALLBACK = "promote"
-LOG_PREFIX = "<PageSaver>"
+LOG_LINE_TEMPLATE = "<PageSaver> [{ts}] {message}"
+NOT_FETCHED_TEMPLATE = "Article #{id} not been fetched yet"
+
+# Page text: subtrees dropped by CSS selector; reader title ends at this separator.
+DROP_SELECTORS = ["#engadget-article-footer", ".reader-header"]
+READER_TITLE_SEPARATOR = "|"
+
+# Canonical article URL: everything from the first match of this pattern is cut.
+QUERY_FRAGMENT_PATTERN = r"[?#].*"

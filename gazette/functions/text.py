@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .fixed import READER_TITLE_SEPARATOR
+
 # Markup whose text is not page text: comments, declarations, scripts, styles.
 _DROP_BLOCKS = [
     r"(?s)<!--.*?-->",
@@ -47,8 +51,21 @@ def html_to_clean_text(html: Column) -> Column:
 
 
 def reader_title(title: Column) -> Column:
-    """Text before the first '|', trailing whitespace removed."""
-    return F.regexp_replace(F.substring_index(title, "|", 1), r"(?U)\s+\z", "")
+    """Text before the first separator, trailing whitespace removed."""
+    return F.regexp_replace(F.substring_index(title, READER_TITLE_SEPARATOR, 1), r"(?U)\s+\z", "")
+
+
+def fill(template: str, **values: Column) -> Column:
+    """``'a {x} b'`` with Column values -> concat of literals and columns."""
+    parts = []
+    for piece in re.split(r"(\{\w+\})", template):
+        if not piece:
+            continue
+        if piece.startswith("{") and piece.endswith("}"):
+            parts.append(values[piece[1:-1]])
+        else:
+            parts.append(F.lit(piece))
+    return F.concat(*parts)
 
 
 def polish(text: Column) -> Column:

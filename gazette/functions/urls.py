@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed import URL_BLOCKLIST
+from .fixed import QUERY_FRAGMENT_PATTERN, URL_BLOCKLIST
 
 # scheme://[userinfo@]host[:port]...; group 2 is the host.
 HOST_PATTERN = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/?#:]+)"
@@ -15,7 +15,8 @@ HOST_PATTERN = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/?#:]+)"
 
 def strip_query(uri: Column) -> Column:
     """Drop everything from the first ``?`` or ``#`` (canonical article URL)."""
-    return F.regexp_replace(uri, r"[?#][\s\S]*", "")
+    # every match is removed (global replace), as with the fixed pattern
+    return F.regexp_replace(uri, QUERY_FRAGMENT_PATTERN, "")
 
 
 def url_host(uri: Column) -> Column:

@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-DEFAULT_DROP = ("#engadget-article-footer", ".reader-header")
+from ..functions.fixed import DROP_SELECTORS
+
+DEFAULT_DROP = tuple(DROP_SELECTORS)
 _SKIP_TAGS = {"script", "style", "template"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
          "param", "source", "track", "wbr"}

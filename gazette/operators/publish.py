@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import (ANONYMOUS_SOURCE, DEFAULT_TOP_N, IMPORTANCE_ICON,
-                               PROMOTE_CALLBACK, PROMOTE_LABEL, STATUS_DONE,
-                               SUMMARY_BULLET)
+                               MESSAGE_TEMPLATE, NOT_FETCHED_TEMPLATE, PROMOTE_BUTTON_TEMPLATE,
+                               PROMOTE_CALLBACK, STATUS_DONE, SUMMARY_LINE_SEPARATOR,
+                               SUMMARY_LINE_TEMPLATE)
+from ..functions.text import fill
 from .common import broadcast_if_small, is_small
 
 
@@ -41,22 +43,21 @@ def publishable(articles: DataFrame) -> DataFrame:
     ok = (F.col("status") == STATUS_DONE) & F.col("html").isNotNull()
     return articles.withColumns({
         "publishable": ok,
-        "reason": F.when(~ok, F.format_string("Article #%s not been fetched yet",
-                                               F.col("id").cast("string"))),
+        "reason": F.when(~ok, fill(NOT_FETCHED_TEMPLATE, id=F.col("id").cast("string"))),
     })
 
 
 def message_text(title: Column, summary: Column, uri: Column, source: Column) -> Column:
-    """``<b>title</b>`` + blank line + one ``— sentence`` line per sentence +
-    blank line + link to the article labelled with the source (title and
-    source are not escaped)."""
-    lines = F.array_join(F.transform(summary, lambda s: F.concat(F.lit(SUMMARY_BULLET), s)), "\n")
-    return F.concat(F.lit("<b>"), title, F.lit("</b>\n\n"), lines,
-                    F.lit('\n\n<a href="'), uri, F.lit('"><i>'), source, F.lit("</i></a>"))
+    """The message: title, one line per summary sentence, link labelled with
+    the source (title and source are not escaped)."""
+    lines = F.array_join(F.transform(summary, lambda s: fill(SUMMARY_LINE_TEMPLATE, sentence=s)),
+                         SUMMARY_LINE_SEPARATOR)
+    return fill(MESSAGE_TEMPLATE, title=title, summary=lines, uri=uri, source=source)
 
 
 def promote_button(importance: Column) -> Column:
-    return F.concat(F.lit(PROMOTE_LABEL), F.repeat(F.lit(IMPORTANCE_ICON), F.coalesce(importance, F.lit(0))))
+    icons = F.repeat(F.lit(IMPORTANCE_ICON), F.coalesce(importance, F.lit(0)))
+    return fill(PROMOTE_BUTTON_TEMPLATE, icons=icons)
 
 
 def route(messages: DataFrame, curated: bool = False,

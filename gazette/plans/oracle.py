@@ -83,7 +83,7 @@ SELECT entry_pos, CAST(feed_id AS BIGINT) AS feed_id,
        coalesce(published, updated) IS NOT NULL AS dated FROM entries"""
 
 ORACLE["canonical_url"] = with_(V_ENTRIES) + \
-    "SELECT entry_pos, regexp_replace(link, '[?#][\\s\\S]*', '') AS uri FROM entries WHERE link IS NOT NULL"
+    "SELECT entry_pos, regexp_replace(link, '[?#].*', '', 'g') AS uri FROM entries WHERE link IS NOT NULL"
 
 ORACLE["blocklist"] = with_(V_ENTRIES) + \
     "SELECT entry_pos, regexp_matches(link, '^(?:.*/www.youtube.com/.*)') AS blocked FROM entries WHERE link IS NOT NULL"
@@ -93,7 +93,7 @@ ORACLE["news_title"] = with_(*_NEWS) + "SELECT entry_pos, is_news FROM news"
 
 _ACC = _NEWS + [V_FEEDS, V_ARTICLES, f"""e AS (SELECT entries.*, coalesce(published, updated) IS NOT NULL AS dated,
        coalesce(published, updated, {NOW}) AS publish_time FROM entries)""",
-                """c AS (SELECT e.*, regexp_replace(link, '[?#][\\s\\S]*', '') AS uri,
+                """c AS (SELECT e.*, regexp_replace(link, '[?#].*', '', 'g') AS uri,
        CASE WHEN f.is_aggregator THEN source_title END AS source
   FROM e JOIN feeds f ON e.feed_id = f.id JOIN news n ON n.entry_pos = e.entry_pos
   WHERE link IS NOT NULL AND (f.last_publish_time IS NULL OR f.last_publish_time < publish_time)

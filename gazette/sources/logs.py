@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import LOG_PREFIX
+from ..functions.fixed import LOG_LINE_TEMPLATE
+from ..functions.text import fill
 
 LOG_SCHEMA = "level string, message string, ts string"
 
@@ -18,6 +19,6 @@ def parse_logs(raw: DataFrame, value_col: str = "value") -> DataFrame:
 
 
 def log_lines(raw: DataFrame, value_col: str = "value") -> DataFrame:
-    """Add ``line``: ``<PageSaver> [ts] message``."""
+    """Add ``line`` in the fixed log-line format."""
     p = parse_logs(raw, value_col)
-    return p.withColumn("line", F.format_string(f"{LOG_PREFIX} [%s] %s", F.col("ts"), F.col("message")))
+    return p.withColumn("line", fill(LOG_LINE_TEMPLATE, ts=F.col("ts"), message=F.col("message")))
