@@ -35,17 +35,26 @@ SUBJECT_HOSTS = ("NOUN", "PROPN", "PRON")
 BRIDGES = ("AUX", "ADV", "PART")
 
 _LEMMA_KEYS = sorted(L.LEMMA_MAP)
-_LEMMA_LIT = None
+_LEMMA_BUCKETS: dict[str, Column] | None = None
 
 
-def _lemma_map() -> Column:
-    global _LEMMA_LIT
-    if _LEMMA_LIT is None:
-        kv = []
+def _lemma_lookup(low: Column) -> Column:
+    """Listed lemma of ``low``. Map literals are searched linearly, so the
+    list is split into one small map per first character (a CASE picks it)."""
+    global _LEMMA_BUCKETS
+    if _LEMMA_BUCKETS is None:
+        groups: dict[str, list[str]] = {}
         for k in _LEMMA_KEYS:
-            kv += [F.lit(k), F.lit(L.LEMMA_MAP[k])]
-        _LEMMA_LIT = F.create_map(*kv)
-    return _LEMMA_LIT
+            groups.setdefault(k[0], []).append(k)
+        _LEMMA_BUCKETS = {
+            ch: F.create_map(*[F.lit(x) for k in keys for x in (k, L.LEMMA_MAP[k])])
+            for ch, keys in groups.items()}
+    first = F.substring(low, 1, 1)
+    out = None
+    for ch, m in sorted(_LEMMA_BUCKETS.items()):
+        out = (F.when(first == ch, F.try_element_at(m, low)) if out is None
+               else out.when(first == ch, F.try_element_at(m, low)))
+    return out
 
 
 _CLOSED = ((L.PRONOUNS, "PRON"), (L.DETERMINERS, "DET"), (L.ADPOSITIONS, "ADP"),
@@ -84,7 +93,7 @@ def pos_of(text: Column, low: Column) -> Column:
 def lemma_of(low: Column, pos: Column) -> Column:
     """Lemma: pronouns -> -PRON-, listed forms, plural nouns by suffix rule."""
     return (F.when(low.isin(L.PRONOUNS), F.lit("-PRON-"))
-            .when(low.isin(_LEMMA_KEYS), F.try_element_at(_lemma_map(), low))
+            .when(low.isin(_LEMMA_KEYS), _lemma_lookup(low))
             .when((pos != "NOUN") | ~low.endswith("s"), low)
             .when(low.rlike("^[a-z]{2,}ies$"), F.regexp_replace(low, "ies$", "y"))
             .when(low.rlike("^[a-z]{2,}[a-hj-rtv-z]s$"), F.regexp_replace(low, "s$", ""))

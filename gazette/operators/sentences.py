@@ -39,11 +39,15 @@ def _prefix_len(values: Column, patterns) -> Column:
 
 
 def _first_index(values: Column, pattern) -> Column:
-    """0-based first position where ``pattern`` occurs in ``values``, else NULL."""
-    pat = F.array(*[F.lit(x) for x in pattern])
+    """0-based first position where ``pattern`` occurs in ``values``, else NULL
+    (element-wise comparisons; no sub-array per position)."""
     n = F.size(values)
-    hits = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-                       lambda i: F.slice(values, i + 1, len(pattern)) == pat)
+
+    def at(i):
+        terms = [F.get(values, i + j) == F.lit(x) for j, x in enumerate(pattern)]
+        return F.coalesce(reduce(lambda a, b: a & b, terms), F.lit(False))
+
+    hits = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), at)
     pos = F.array_position(hits, True)
     return F.when((n > 0) & (pos > 0), (pos - 1).cast("int"))
 
