@@ -81,7 +81,13 @@ def kept_sentences(text: Column) -> Column:
     array<struct<sent int, text string, tokens array<token>>> with ``sent``
     the sentence's position in the text and ``text`` the trimmed span.
     """
-    rel = F.filter(sentences_tokens(text), lambda s: is_relevant(s["text"], s["tokens"]))
+    return kept_from_sentences(sentences_tokens(text))
+
+
+def kept_from_sentences(sentences: Column) -> Column:
+    """``kept_sentences`` on an already annotated sentence array (the native
+    annotator's or a plug-in model's, see ``functions.plugin``)."""
+    rel = F.filter(sentences, lambda s: is_relevant(s["text"], s["tokens"]))
     trimmed = F.transform(rel, lambda s: let(trim_tokens(s["tokens"]), lambda tt: F.struct(
         s["sent"].alias("sent"), span_text(tt).alias("text"), tt.alias("tokens"))))
     return F.filter(trimmed, lambda s: F.size(s["tokens"]) > 0)

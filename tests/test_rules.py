@@ -92,3 +92,31 @@ def test_annotator_shapes(spark):
     assert t[4].dep == "nsubj" and t[4].head == 5 and t[5].lemma == "grow"
     assert t[6].pos == "NUM" and t[7].pos == "NOUN" and t[3].is_quote
     assert "".join(x.text + x.ws for x in t) == "He said, \"Apple grew 20%.\""
+
+
+def test_plugin_annotator_feeds_the_rules(spark):
+    def _toy_model():
+        """A stand-in for a statistical model: whitespace tokens, fixed tags."""
+        def model(text):
+            out = []
+            for sent in text.split(". "):
+                words = sent.rstrip(".").split()
+                toks = []
+                for j, w in enumerate(words):
+                    pos = "VERB" if w.endswith("ed") else "NOUN"
+                    dep, head = ("nsubj", j + 1) if pos == "NOUN" and j + 1 < len(words) and words[j + 1].endswith("ed") else ("dep", j)
+                    toks.append(dict(text=w, ws=" ", lemma=w.lower(), pos=pos, dep=dep, head=head,
+                                     is_stop=False, is_quote=False))
+                toks.append(dict(text=".", ws="", lemma=".", pos="PUNCT", dep="punct", head=len(words),
+                                 is_stop=False, is_quote=False))
+                out.append({"text": sent.rstrip(".") + ".", "tokens": toks})
+            return out
+        return model
+
+    from gazette.functions.plugin import annotate_with
+    from gazette.operators.sentences import kept_from_sentences
+    df = spark.createDataFrame([(1, "Apple jumped. Nothing here."), (2, None)], "id long, text string")
+    ann = annotate_with(df, _toy_model)
+    kept = {r.id: [s.text for s in (r.k or [])] for r in
+            ann.select("id", kept_from_sentences(F.col("sentences")).alias("k")).collect()}
+    assert kept == {1: ["Apple jumped ."], 2: []}
