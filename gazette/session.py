@@ -26,6 +26,9 @@ BASE_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.ui.enabled": "false",
+    # reliable checkpoints are deleted once their DataFrame is unreachable,
+    # so the shared checkpoint folder does not grow with every job
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
