@@ -38,7 +38,7 @@ SELECT a.id, CAST(count(p.score) FILTER (WHERE p.score > 0.3) AS BIGINT) AS impo
 FROM a LEFT JOIN pairs p ON p.id = a.id GROUP BY a.id"""
 
 ORACLE["similar_pairs"] = with_(*_SIM_BASE, _PAIRS) + """
-SELECT id, other_id, round(score, 6) AS score FROM pairs WHERE score > 0"""
+SELECT id, other_id, round(score, 6) AS score FROM pairs WHERE score > 0.3"""
 
 ORACLE["title_wordset"] = with_(*_SIM_BASE) + """
 SELECT id, CAST(len(words) AS BIGINT) AS n_words, array_to_string(words, ' ') AS words FROM a"""

@@ -68,7 +68,9 @@ def q_importance(spark, sf):
 
 @register("similar_pairs")
 def q_similar_pairs(spark, sf):
-    p = S.similar_pairs(V.articles(spark, sf), threshold=0.0)
+    """Pairs that count toward importance (score above the threshold)."""
+    from ..functions.fixed import SIMILARITY_THRESHOLD
+    p = S.similar_pairs(V.articles(spark, sf), threshold=SIMILARITY_THRESHOLD)
     return p.select("id", "other_id", r6(F.col("score")).alias("score"))
 
 
