@@ -163,13 +163,17 @@ def refresh(entries: DataFrame, feeds: DataFrame, articles: DataFrame, now: Colu
 
 def feed_errors(entries: DataFrame, feeds: DataFrame) -> DataFrame:
     """(feed_id, entry_pos, error) for entries a refresh cannot use: unknown
-    feed, missing link, unparsed record. Reported, never raised, so one bad
+    feed, missing link, unparsed record, or a date text that does not parse
+    (such an entry would be taken as undated). Reported, never raised, so one bad
     feed or record does not stop the others."""
     f = broadcast_if_small(feeds.select(F.col("id").alias("_fid")))
     j = entries.join(f, entries.feed_id == f._fid, "left")
     corrupt = (F.col("_corrupt_record").isNotNull() if "_corrupt_record" in entries.columns
                else F.lit(False))
+    bad_date = ((F.col("date_text").isNotNull() & F.col("published").isNull() & F.col("updated").isNull())
+                if "date_text" in entries.columns else F.lit(False))
     err = (F.when(corrupt, F.lit("unparsed record"))
            .when(F.col("_fid").isNull(), F.lit("unknown feed"))
-           .when(F.col("link").isNull(), F.lit("missing link")))
+           .when(F.col("link").isNull(), F.lit("missing link"))
+           .when(bad_date, F.lit("bad date")))
     return j.select("feed_id", "entry_pos", err.alias("error")).filter(F.col("error").isNotNull())

@@ -29,6 +29,7 @@ def _entries(df: DataFrame, link, summary, published, updated, source_title) ->
         source_title.alias("source_title"),
         parse_feed_time(published).alias("published"),
         parse_feed_time(updated).alias("updated"),
+        F.coalesce(published, updated).alias("date_text"),
         F.col("_corrupt_record"))
 
 

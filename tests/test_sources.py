@@ -55,3 +55,19 @@ def test_log_lines(spark):
                                  ("not json",)], "value string")
     r = [x.line for x in log_lines(raw).collect()]
     assert r[0] == "<PageSaver> [2024-01-01T00:00:00Z] hi"
+
+
+def test_feed_errors_on_xml(spark):
+    from gazette.operators.ingest import feed_errors
+    root = tempfile.mkdtemp(prefix="gz-atom-") + "/feed_id=3"
+    import os
+    os.makedirs(root)
+    with open(root + "/f.xml", "w") as fh:
+        fh.write("<feed><entry><title>A</title><link href='http://a/1'/><published>2024-02-05T10:00:00+00:00</published></entry>"
+                 "<entry><title>B</title><link href='http://a/2'/><published>yesterday</published></entry>"
+                 "<entry><title>C</title><published>2024-02-05T10:00:00+00:00</published></entry></feed>")
+    e = FX.scan_feeds_xml(spark, atom_path=os.path.dirname(root))
+    feeds = spark.createDataFrame([(3,)], "id int")
+    errs = {r.error for r in feed_errors(e, feeds).collect()}
+    assert errs == {"bad date", "missing link"}
+    assert e.filter(F.col("title") == "A").select("published").first()[0] is not None
