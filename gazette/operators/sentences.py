@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.annotate import let, sentences_tokens, span_text
+from ..functions.annotate import let, sentences_of, sentences_tokens, span_text, tokens_of
 from ..functions.fixed import (AUX_DEPS, DROP_LEMMA_PREFIXES, DROP_LEMMA_SUFFIXES,
                                DROP_POS_PREFIXES, SUBJECT_DEPS)
 from ..functions.text import html_to_clean_text, polish
@@ -81,7 +81,16 @@ def kept_sentences(text: Column) -> Column:
     array<struct<sent int, text string, tokens array<token>>> with ``sent``
     the sentence's position in the text and ``text`` the trimmed span.
     """
-    return kept_from_sentences(sentences_tokens(text))
+    return kept_from_sentences(dotted_sentences(text))
+
+
+def dotted_sentences(text: Column) -> Column:
+    """Annotated sentences that end with '.' (with their original position):
+    the others can never be relevant, so they are not annotated at all."""
+    spans = F.transform(sentences_of(text), lambda s, k: F.struct(k.alias("sent"), s.alias("text")))
+    dotted = F.filter(spans, lambda s: F.regexp_replace(s["text"], r"\s+\z", "").endswith("."))
+    return F.transform(dotted, lambda s: F.struct(
+        s["sent"].alias("sent"), s["text"].alias("text"), tokens_of(s["text"]).alias("tokens")))
 
 
 def kept_from_sentences(sentences: Column) -> Column:

@@ -275,15 +275,19 @@ def q_tokens(spark, sf):
 
 @register("relevant_sentences")
 def q_relevant_sentences(spark, sf):
-    s = _doc_sentences(spark, sf)
-    return s.filter(SN.is_relevant(F.col("text"), F.col("tokens"))) \
-            .select("doc_id", F.col("sent").cast("long").alias("sent"))
+    d = _documents(spark, sf)
+    s = d.select("doc_id", F.explode(SN.dotted_sentences(F.col("text"))).alias("s"))
+    return s.filter(SN.is_relevant(F.col("s.text"), F.col("s.tokens"))) \
+            .select("doc_id", F.col("s.sent").cast("long").alias("sent"))
 
 
 @register("trim_sentence")
 def q_trim_sentence(spark, sf):
     from ..functions.annotate import span_text
-    s = _doc_sentences(spark, sf).filter(SN.is_relevant(F.col("text"), F.col("tokens")))
+    d = _documents(spark, sf)
+    s = d.select("doc_id", F.explode(SN.dotted_sentences(F.col("text"))).alias("s")) \
+         .select("doc_id", "s.sent", "s.text", "s.tokens") \
+         .filter(SN.is_relevant(F.col("text"), F.col("tokens")))
     t = s.select("doc_id", "sent", SN.trim_tokens(F.col("tokens")).alias("tt"))
     return t.filter(F.size("tt") > 0).select(
         "doc_id", F.col("sent").cast("long").alias("sent"),
