@@ -93,7 +93,7 @@ def lemma_vectors(lemmas: DataFrame, embeddings: DataFrame) -> DataFrame:
     d = lemmas.select("lemma").distinct().withColumn(
         "vec_id", F.pmod(F.conv(F.substring(F.md5("lemma"), 1, 8), 16, 10).cast("long"), F.lit(n)))
     e = embeddings.select("vec_id", F.col("embedding").alias("vec"))
-    return d.join(maybe_broadcast(e, is_small(e, 2_000_000)), "vec_id").select("lemma", "vec")
+    return d.join(maybe_broadcast(e, n <= 2_000_000), "vec_id").select("lemma", "vec")
 
 
 def vector_sums(lemmas: DataFrame, keys: list[str], vectors: DataFrame) -> DataFrame:
