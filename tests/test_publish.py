@@ -66,3 +66,14 @@ def test_claim_and_save(spark):
     caps = spark.createDataFrame([(1, "T | S", "<p>x</p>")], "id long, title string, html string")
     saved = {r.id: (r.status, r.title) for r in LC.save_content(claimed, caps, now).collect()}
     assert saved[1] == ("D", "T") and saved[3][1] is None
+
+
+def test_duplicate_report_hot_checksum(spark):
+    from gazette.operators.dups import duplicate_totals, duplicates
+    rows = [(i, "same text" if i % 3 == 0 else f"text {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    d = duplicates(docs)
+    got = {r.doc_id: r.canonical_id for r in d.collect()}
+    assert got == {i: 0 for i in range(3, 300, 3)}
+    t = duplicate_totals(d).first()
+    assert (t.n_duplicates, t.duplicate_bytes) == (99, 99 * len("same text"))
