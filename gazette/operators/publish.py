@@ -73,14 +73,17 @@ def route(messages: DataFrame, curated: bool = False,
 
 def publish_messages(articles: DataFrame, feeds: DataFrame, vocab: DataFrame,
                      embeddings: DataFrame | None = None, top_n: int = DEFAULT_TOP_N,
-                     curated: bool = False, sentences: DataFrame | None = None) -> DataFrame:
+                     curated: bool = False, sentences: DataFrame | None = None,
+                     since: Column | None = None) -> DataFrame:
     """(message_id, importance, channel, text, button) for every publishable
     article with importance > 0; the gate runs before the summariser, which
-    annotates only the surviving articles (or reuses ``sentences``)."""
+    annotates only the surviving articles (or reuses ``sentences``). With
+    ``since``, only articles created since then are considered (incremental
+    runs read the 12 h look-back, not the history)."""
     from ..session import cut_lineage
     # the gate is small (ids + counts); materialise it once, it is joined by
     # every branch of the summariser below
-    imp = cut_lineage(importance_of(articles).filter(F.col("importance") > 0))
+    imp = cut_lineage(importance_of(articles, since=since).filter(F.col("importance") > 0))
     gated = publishable(articles).filter("publishable").join(F.broadcast(imp) if _small(imp) else imp, "id")
     summ = summarize(gated, vocab, embeddings, top_n, sentences=sentences).select(
         F.col("doc_id").alias("id"), F.col("summary").alias("_sentences"))

@@ -130,15 +130,25 @@ def similar_pairs(articles: DataFrame, threshold: float = 0.0,
 
 
 def importance(articles: DataFrame, threshold: float = SIMILARITY_THRESHOLD,
-               window_hours: int = SIMILARITY_WINDOW_HOURS) -> DataFrame:
+               window_hours: int = SIMILARITY_WINDOW_HOURS,
+               since: Column | None = None, time_col: str = "create_time") -> DataFrame:
     """Per article: number of earlier in-window articles of other sites whose
     title Jaccard is above ``threshold`` (0 when none).
 
     Skew-safe form: article pairs are never enumerated (see
     ``importance_counted``), so a group of copies holding a large share of
-    all rows costs linear work.
+    all rows costs linear work. With ``since`` only articles created at or
+    after it are scored, and only the look-back window before it is read as
+    neighbours (a time filter the scan can prune on), so a periodic job does
+    not rescan the whole history.
     """
-    return importance_counted(articles, threshold, window_hours)
+    if since is None:
+        return importance_counted(articles, threshold, window_hours)
+    window = F.expr(f"INTERVAL {int(window_hours)} HOURS")
+    recent = articles.filter(F.col(time_col) > since - window)
+    base = _materialized(prepare(recent, time_col=time_col))
+    return importance_counted(base, threshold, window_hours, prepared=True,
+                              only=base.filter(F.col("ct") >= since).select("id"))
 
 
 def importance_pairs(articles: DataFrame, threshold: float = SIMILARITY_THRESHOLD,

@@ -74,3 +74,14 @@ def test_hot_group_of_copies(spark):
         want[r.id] += 1
     got = {r.id: r.importance for r in S.importance_counted(base, prepared=True).collect()}
     assert got == want
+
+
+def test_importance_since_is_incremental(spark):
+    arts = V.articles(spark, SF_MID)
+    since = F.to_timestamp(F.lit("2024-01-01 15:00:00"))
+    full = {r.id: r.importance for r in S.importance(arts).collect()}
+    cts = {r.id: r.create_time for r in arts.select("id", "create_time").collect()}
+    import datetime as dt
+    want = {i: v for i, v in full.items() if cts[i] >= dt.datetime(2024, 1, 1, 15)}
+    got = {r.id: r.importance for r in S.importance(arts, since=since).collect()}
+    assert got == want and len(got) > 0
