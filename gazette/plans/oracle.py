@@ -359,3 +359,33 @@ ORACLE["feed_errors"] = with_(V_ENTRIES, V_FEEDS) + """
 SELECT CAST(e.feed_id AS BIGINT) AS feed_id, e.entry_pos,
        CASE WHEN f.id IS NULL THEN 'unknown feed' ELSE 'missing link' END AS error
 FROM entries e LEFT JOIN feeds f ON f.id = e.feed_id WHERE f.id IS NULL OR e.link IS NULL"""
+
+
+# --- two refreshes ----------------------------------------------------------------
+_CUT = "TIMESTAMP '2024-01-15 00:00:00'"
+
+
+def _accept(name: str, feeds: str, where: str) -> list[str]:
+    """Accepted entries of one refresh (row predicates with the feed marks of
+    ``feeds``, then the tie rule) restricted by ``where`` on ``e``."""
+    return [f"""{name}_c AS (SELECT e.*, regexp_replace(e.link, '[?#].*', '', 'g') AS uri,
+       CASE WHEN f.is_aggregator THEN e.source_title END AS source
+  FROM e JOIN {feeds} f ON e.feed_id = f.id JOIN news n ON n.entry_pos = e.entry_pos
+  WHERE ({where}) AND e.link IS NOT NULL
+    AND (f.last_publish_time IS NULL OR f.last_publish_time < e.publish_time)
+    AND NOT regexp_matches(e.link, '^(?:.*/www.youtube.com/.*)') AND n.is_news)""",
+            f"""{name} AS (SELECT * EXCLUDE (rn) FROM (SELECT c.*, row_number() OVER (
+       PARTITION BY feed_id, dated, CASE WHEN dated THEN publish_time END, CASE WHEN NOT dated THEN link END
+       ORDER BY entry_pos) AS rn FROM {name}_c c) WHERE rn = 1)"""]
+
+
+ORACLE["known_uris_second_pass"] = with_(*_NEWS, V_FEEDS, V_ARTICLES,
+    f"""e AS (SELECT entries.*, coalesce(published, updated) IS NOT NULL AS dated,
+       coalesce(published, updated, {NOW}) AS publish_time, coalesce(published, updated) AS t FROM entries)""",
+    *_accept("acc1", "feeds", f"e.t < {_CUT}"),
+    """feeds1 AS (SELECT f.id, greatest(m.nm, f.last_publish_time) AS last_publish_time, f.is_aggregator
+       FROM feeds f LEFT JOIN (SELECT feed_id, max(publish_time) AS nm FROM acc1 WHERE dated GROUP BY feed_id) m
+       ON m.feed_id = f.id)""",
+    "stored1 AS (SELECT uri FROM articles UNION SELECT uri FROM acc1)",
+    *_accept("acc2", "feeds1", f"e.t IS NULL OR e.t >= {_CUT}"),
+) + "SELECT uri, count(*) AS hits FROM acc2 WHERE uri IN (SELECT uri FROM stored1) GROUP BY uri"

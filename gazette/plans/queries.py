@@ -605,3 +605,22 @@ def q_stream_similar(spark, sf):
     q = start_similarity_stream(spark, f"{land}/*", arts.schema, state, out, ckpt)
     q.awaitTermination()
     return read_output(spark, out)
+
+
+SECOND_PASS_CUTOFF = "2024-01-15 00:00:00"
+
+
+@register("known_uris_second_pass")
+def q_known_uris_second_pass(spark, sf):
+    """Two refreshes: entries dated before the cutoff first, then the rest
+    against the refreshed articles and marks; URIs of the second pass that are
+    already stored, with their new references (J3 semi join)."""
+    e = V.entries(spark, sf)
+    t = F.coalesce(F.col("published").cast("timestamp"), F.col("updated").cast("timestamp"))
+    cut = V.ts_lit(SECOND_PASS_CUTOFF)
+    first = e.filter(t < cut)
+    rest = e.filter(t.isNull() | (t >= cut))
+    arts1, feeds1, _ = I.refresh(first, V.feeds(spark, sf), V.articles(spark, sf),
+                                 V.refresh_now(), materialize=True)
+    acc2 = I.accept_entries(rest, feeds1, V.refresh_now())
+    return I.known_uris(acc2, arts1)
