@@ -39,18 +39,30 @@ RANK_DIGITS = 10
 
 
 def article_sentences(articles: DataFrame, id_col: str = "id", html_col: str = "html") -> DataFrame:
-    """(doc_id, sent, text, polished, tokens): kept sentences of each page."""
+    """Kept sentences of each page in the compact form the scorers need:
+    (doc_id, sent, text, polished, n_tokens, content, nouns) where ``content``
+    and ``nouns`` are the lemmas of the content tokens and of the NOUN tokens.
+    Full token structs are dropped here, so materialising this table costs a
+    fraction of the annotated form."""
     kept = kept_sentences(html_to_clean_text(F.col(html_col)))
     ex = spread(articles).select(F.col(id_col).alias("doc_id"), F.explode(kept).alias("s"))
-    return ex.select("doc_id", F.col("s.sent").alias("sent"), F.col("s.text").alias("text"),
-                     polish(F.col("s.text")).alias("polished"), F.col("s.tokens").alias("tokens"))
+    return compact(ex.select("doc_id", "s.sent", "s.text", "s.tokens"))
+
+
+def compact(sents: DataFrame) -> DataFrame:
+    """(doc_id, sent, text, tokens) -> the compact sentence table."""
+    return sents.select(
+        "doc_id", "sent", "text", polish(F.col("text")).alias("polished"),
+        F.size("tokens").alias("n_tokens"),
+        F.transform(content_tokens(F.col("tokens")), lambda t: t["lemma"]).alias("content"),
+        F.transform(F.filter("tokens", lambda t: t["pos"] == "NOUN"), lambda t: t["lemma"]).alias("nouns"))
 
 
 def sentence_terms(sents: DataFrame) -> DataFrame:
     """(doc_id, term): vectorizer terms of the content lemmas, one row per
     occurrence (the terms of the document's training text)."""
-    lem = sents.select("doc_id", F.explode(content_tokens(F.col("tokens"))).alias("t"))
-    return lem.select("doc_id", F.explode(T.terms_of(F.col("t.lemma"))).alias("term"))
+    lem = sents.select("doc_id", F.explode("content").alias("lemma"))
+    return lem.select("doc_id", F.explode(T.terms_of(F.col("lemma"))).alias("term"))
 
 
 def doc_weights(sents: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -65,9 +77,7 @@ def doc_weights(sents: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def sentence_frequency(sents: DataFrame, weights: DataFrame) -> DataFrame:
     """(doc_id, sent, freq) for every kept sentence."""
-    nouns = sents.select("doc_id", "sent", F.explode(
-        F.filter("tokens", lambda t: t["pos"] == "NOUN")).alias("t")) \
-        .select("doc_id", "sent", F.col("t.lemma").alias("term"))
+    nouns = sents.select("doc_id", "sent", F.explode("nouns").alias("term"))
     num = (nouns.join(weights, ["doc_id", "term"])
            .groupBy("doc_id", "sent").agg(F.sum("weight").alias("num")))
     den = weights.groupBy("doc_id").agg(F.sum("weight").alias("den"))
@@ -80,9 +90,10 @@ def sentence_frequency(sents: DataFrame, weights: DataFrame) -> DataFrame:
 def all_lemmas(sents: DataFrame, titles: DataFrame) -> DataFrame:
     """Content lemmas of the sentences and of the titles (one column ``lemma``)."""
     from ..functions.annotate import tokens_of
-    a = sents.select(F.explode(content_tokens(F.col("tokens"))).alias("t"))
-    b = titles.select(F.explode(content_tokens(tokens_of(F.col("title")))).alias("t"))
-    return a.unionByName(b).select(F.col("t.lemma").alias("lemma"))
+    a = sents.select(F.explode("content").alias("lemma"))
+    b = titles.select(F.explode(content_tokens(tokens_of(F.col("title")))).alias("t")) \
+        .select(F.col("t.lemma").alias("lemma"))
+    return a.unionByName(b)
 
 
 def lemma_vectors(lemmas: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -115,8 +126,7 @@ def cosine(a: Column, b: Column) -> Column:
 def title_similarity(sents: DataFrame, titles: DataFrame, vectors: DataFrame) -> DataFrame:
     """(doc_id, sent, sim): cosine of sentence and title lemma vectors."""
     from ..functions.annotate import tokens_of
-    s_lem = sents.select("doc_id", "sent", F.explode(content_tokens(F.col("tokens"))).alias("t")) \
-        .select("doc_id", "sent", F.col("t.lemma").alias("lemma"))
+    s_lem = sents.select("doc_id", "sent", F.explode("content").alias("lemma"))
     t_lem = titles.select("doc_id", F.explode(content_tokens(tokens_of(F.col("title")))).alias("t")) \
         .select("doc_id", F.col("t.lemma").alias("lemma"))
     sv = vector_sums(s_lem, ["doc_id", "sent"], vectors)
@@ -127,15 +137,15 @@ def title_similarity(sents: DataFrame, titles: DataFrame, vectors: DataFrame) ->
     return j.select("doc_id", "sent", sim.alias("sim"))
 
 
-def length_score(tokens: Column) -> Column:
-    return F.lit(LEN_SCORE_NUMERATOR) / (F.lit(1.0) + F.abs(F.lit(LEN_TARGET) - F.size(tokens)))
+def length_score(n_tokens: Column) -> Column:
+    return F.lit(LEN_SCORE_NUMERATOR) / (F.lit(1.0) + F.abs(F.lit(LEN_TARGET) - n_tokens))
 
 
 def sentence_scores(sents: DataFrame, weights: DataFrame, titles: DataFrame,
                     vectors: DataFrame | None) -> DataFrame:
     """(doc_id, sent, polished, freq, sim, len, total)."""
     fr = sentence_frequency(sents, weights)
-    base = sents.select("doc_id", "sent", "polished", length_score(F.col("tokens")).alias("len"))
+    base = sents.select("doc_id", "sent", "polished", length_score(F.col("n_tokens")).alias("len"))
     j = base.join(fr, ["doc_id", "sent"])
     if vectors is not None:
         j = j.join(title_similarity(sents, titles, vectors), ["doc_id", "sent"])

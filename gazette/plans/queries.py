@@ -397,8 +397,7 @@ def q_sentence_frequency(spark, sf):
 @register("mean_vector")
 def q_mean_vector(spark, sf):
     m = _Summ(spark, sf)
-    lem = m.sents.select("doc_id", "sent", F.explode(SN.content_tokens(F.col("tokens"))).alias("t")) \
-        .select("doc_id", "sent", F.col("t.lemma").alias("lemma"))
+    lem = m.sents.select("doc_id", "sent", F.explode("content").alias("lemma"))
     v = SM.vector_sums(lem, ["doc_id", "sent"], m.vectors)
     norm = F.sqrt(F.aggregate("vsum", F.lit(0.0), lambda a, x: a + x * x))
     return v.select("doc_id", F.col("sent").cast("long").alias("sent"), F.col("n_vec").cast("long").alias("n_vec"),
