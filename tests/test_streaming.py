@@ -54,6 +54,13 @@ def test_stream_refresh_equals_batch(spark):
     assert sorted(map(tuple, arts_s.select(key).collect())) == sorted(map(tuple, arts_b.select(key).collect()))
     mk = ["id", "last_publish_time"]
     assert sorted(map(tuple, feeds_s.select(mk).collect())) == sorted(map(tuple, feeds_b.select(mk).collect()))
+    # restarting on the same checkpoint finds nothing new: state unchanged
+    before = sorted(map(tuple, current(spark, f"{root}/state", "articles").select(key).collect()))
+    q2 = start_refresh_stream(spark, f"{root}/in/*", entries.withColumn("_t", t).schema,
+                              f"{root}/state", f"{root}/ckpt", V.refresh_now())
+    q2.awaitTermination()
+    after = sorted(map(tuple, current(spark, f"{root}/state", "articles").select(key).collect()))
+    assert after == before
 
 
 def test_reschedule_timer_job(spark):
