@@ -181,9 +181,18 @@ def similar_pairs_literal(articles: DataFrame, window_hours: int = SIMILARITY_WI
 
 def recent_window(recent: DataFrame, now: Column,
                   window_hours: int = SIMILARITY_WINDOW_HOURS,
-                  time_col: str = "create_time") -> DataFrame:
-    """Rows still in the window: ``create_time > now - window`` (strict)."""
-    return recent.filter(F.col(time_col) > now - F.expr(f"INTERVAL {int(window_hours)} HOURS"))
+                  time_col: str = "create_time", day_col: str | None = None) -> DataFrame:
+    """Rows still in the window: ``create_time > now - window`` (strict).
+
+    The time predicate is pushed to the Parquet scan; on a table partitioned
+    by creation day pass ``day_col`` and the implied day bound prunes whole
+    partitions as well.
+    """
+    lower = now - F.expr(f"INTERVAL {int(window_hours)} HOURS")
+    out = recent.filter(F.col(time_col) > lower)
+    if day_col is not None:
+        out = out.filter(F.col(day_col) >= F.to_date(lower))
+    return out
 
 
 def recent_evicted(recent: DataFrame, now: Column,

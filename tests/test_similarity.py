@@ -85,3 +85,24 @@ def test_importance_since_is_incremental(spark):
     want = {i: v for i, v in full.items() if cts[i] >= dt.datetime(2024, 1, 1, 15)}
     got = {r.id: r.importance for r in S.importance(arts, since=since).collect()}
     assert got == want and len(got) > 0
+
+
+def test_window_filter_prunes_stored_table(spark):
+    import contextlib
+    import io
+    import tempfile
+    path = tempfile.mkdtemp(prefix="gz-arts-") + "/articles"
+    arts = V.articles(spark, SF_SMALL).select("id", "create_time", "title", "uri") \
+        .withColumn("day", F.to_date("create_time"))
+    arts.write.partitionBy("day").parquet(path)
+    stored = spark.read.parquet(path)
+    now = F.to_timestamp(F.lit("2024-01-01 06:00:00"))
+    win = S.recent_window(stored, now, day_col="day")
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        win.explain("formatted")
+    plan = buf.getvalue()
+    assert "PartitionFilters: [isnotnull(day" in plan
+    assert "GreaterThan(create_time" in plan
+    want = sorted(r.id for r in arts.collect() if r.create_time > __import__("datetime").datetime(2023, 12, 31, 18))
+    assert sorted(r.id for r in win.collect()) == want
