@@ -75,7 +75,13 @@ NOW = "TIMESTAMP '2024-02-01 00:00:00'"
 _FEED_OUT = (f"SELECT CAST(id AS BIGINT) AS id, {_ts('last_publish_time')} AS last_publish_time, "
              "uri, name, category, etag, modified, is_aggregator FROM ")
 
-ORACLE["scan_feeds"] = with_(V_FEEDS) + _FEED_OUT + "feeds"
+_COUNTS = "ec AS (SELECT feed_id, count(*) AS n FROM entries GROUP BY feed_id)"
+_FEED_COUNT_OUT = (f"SELECT CAST(id AS BIGINT) AS id, {_ts('last_publish_time')} AS last_publish_time, "
+                   "uri, name, category, etag, modified, is_aggregator, "
+                   "CAST(coalesce(ec.n, 0) AS BIGINT) AS n_entries FROM ")
+
+ORACLE["scan_feeds"] = with_(V_FEEDS, V_ENTRIES, _COUNTS) + _FEED_COUNT_OUT + \
+    "feeds LEFT JOIN ec ON ec.feed_id = feeds.id"
 
 ORACLE["entry_time"] = with_(V_ENTRIES) + f"""
 SELECT entry_pos, CAST(feed_id AS BIGINT) AS feed_id,
@@ -284,7 +290,8 @@ ORACLE["seed_feeds"] = with_(
     V_FEEDS,
     f"seed(id, last_publish_time, uri, name, category, etag, modified, is_aggregator) AS (VALUES {_seed_rows})",
     "sf AS (SELECT * FROM feeds UNION ALL SELECT * FROM seed WHERE NOT EXISTS (SELECT 1 FROM feeds))",
-) + _FEED_OUT + "sf"
+    V_ENTRIES, _COUNTS,
+) + _FEED_COUNT_OUT + "sf LEFT JOIN ec ON ec.feed_id = sf.id"
 
 ORACLE["article_by_id"] = with_(V_ARTICLES, V_CAPTURES) + \
     "SELECT id, title, html FROM articles WHERE id IN (SELECT id FROM captures)"

@@ -154,9 +154,18 @@ def _refresh(spark, sf, materialize=False):
                      V.refresh_now(), materialize=materialize)
 
 
+def _with_entry_counts(spark, sf, feeds: DataFrame) -> DataFrame:
+    """Feeds with the number of entries waiting for each (0 when none): the
+    feed dimension is tiny, the entry count comes from the fact table."""
+    counts = V.entries(spark, sf).groupBy("feed_id").agg(F.count(F.lit(1)).alias("n_entries"))
+    j = feeds.join(counts, feeds.id == counts.feed_id, "left")
+    return j.select(*[feeds[c] for c in feeds.columns],
+                    F.coalesce("n_entries", F.lit(0)).cast("long").alias("n_entries"))
+
+
 @register("scan_feeds")
 def q_scan_feeds(spark, sf):
-    return tidy(V.feeds(spark, sf))
+    return tidy(_with_entry_counts(spark, sf, V.feeds(spark, sf)))
 
 
 @register("entry_time")
@@ -453,7 +462,7 @@ def _messages(spark, sf, curated=False):
 
 @register("seed_feeds")
 def q_seed_feeds(spark, sf):
-    return tidy(SD.seed_if_empty(V.feeds(spark, sf)))
+    return tidy(_with_entry_counts(spark, sf, SD.seed_if_empty(V.feeds(spark, sf))))
 
 
 @register("article_by_id")
