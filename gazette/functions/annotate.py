@@ -110,8 +110,13 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def tokens_of(text: Column) -> Column:
-    """Annotate one span of text into the token array described above."""
+def tokens_of(text: Column, parse: bool = True) -> Column:
+    """Annotate one span of text into the token array described above.
+
+    ``parse=False`` skips the dependency pass (``dep``/``head`` are then
+    absent): word sets and the title filter only read text, lemma, POS and
+    the stop flag.
+    """
     # the same token starts with and without the trailing whitespace, zipped
     raw = F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
     bare = F.regexp_extract_all(text, F.lit(BARE_TOKEN_PATTERN), F.lit(0))
@@ -121,6 +126,8 @@ def tokens_of(text: Column) -> Column:
         t["i"].alias("i"), t["text"].alias("text"), t["raw"].alias("raw"),
         t["low"].alias("low"), pos_of(t["text"], t["low"]).alias("pos")))
     tagged = F.transform(with_pos, _tag)
+    if not parse:
+        return tagged
     return let(tagged, lambda arr: F.transform(arr, lambda t, i: _parse(arr, t, i)))
 
 

@@ -38,7 +38,7 @@ def content_tokens(tokens: Column) -> Column:
 
 def wordset(title: Column) -> Column:
     """Distinct content lemmas of a title, sorted; empty for NULL."""
-    lemmas = F.transform(content_tokens(tokens_of(title)), lambda t: t["lemma"])
+    lemmas = F.transform(content_tokens(tokens_of(title, parse=False)), lambda t: t["lemma"])
     return F.coalesce(F.array_sort(F.array_distinct(lemmas)), F.array().cast("array<string>"))
 
 

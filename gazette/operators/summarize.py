@@ -91,7 +91,7 @@ def all_lemmas(sents: DataFrame, titles: DataFrame) -> DataFrame:
     """Content lemmas of the sentences and of the titles (one column ``lemma``)."""
     from ..functions.annotate import tokens_of
     a = sents.select(F.explode("content").alias("lemma"))
-    b = titles.select(F.explode(content_tokens(tokens_of(F.col("title")))).alias("t")) \
+    b = titles.select(F.explode(content_tokens(tokens_of(F.col("title"), parse=False))).alias("t")) \
         .select(F.col("t.lemma").alias("lemma"))
     return a.unionByName(b)
 
@@ -127,7 +127,7 @@ def title_similarity(sents: DataFrame, titles: DataFrame, vectors: DataFrame) ->
     """(doc_id, sent, sim): cosine of sentence and title lemma vectors."""
     from ..functions.annotate import tokens_of
     s_lem = sents.select("doc_id", "sent", F.explode("content").alias("lemma"))
-    t_lem = titles.select("doc_id", F.explode(content_tokens(tokens_of(F.col("title")))).alias("t")) \
+    t_lem = titles.select("doc_id", F.explode(content_tokens(tokens_of(F.col("title"), parse=False))).alias("t")) \
         .select("doc_id", F.col("t.lemma").alias("lemma"))
     sv = vector_sums(s_lem, ["doc_id", "sent"], vectors)
     tv = vector_sums(t_lem, ["doc_id"], vectors).select("doc_id", F.col("vsum").alias("tsum"))

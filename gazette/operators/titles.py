@@ -51,4 +51,4 @@ def news_title_tokens(toks: Column) -> Column:
 
 def is_news_title(title: Column) -> Column:
     """News-title test on raw text; a NULL title passes."""
-    return F.when(title.isNull(), F.lit(True)).otherwise(news_title_tokens(tokens_of(title)))
+    return F.when(title.isNull(), F.lit(True)).otherwise(news_title_tokens(tokens_of(title, parse=False)))
