@@ -149,11 +149,6 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def _refresh(spark, sf, materialize=False):
-    return I.refresh(V.entries(spark, sf), V.feeds(spark, sf), V.articles(spark, sf),
-                     V.refresh_now(), materialize=materialize)
-
-
 def _with_entry_counts(spark, sf, feeds: DataFrame) -> DataFrame:
     """Feeds with the number of entries waiting for each (0 when none): the
     feed dimension is tiny, the entry count comes from the fact table."""
@@ -216,16 +211,22 @@ def q_known_uris(spark, sf):
     return I.known_uris(acc, V.articles(spark, sf))
 
 
+def _accepted(spark, sf):
+    """Accepted entries of one refresh, checkpointed once (both outputs of a
+    refresh read them)."""
+    from ..session import cut_lineage
+    return cut_lineage(I.accept_entries(V.entries(spark, sf), V.feeds(spark, sf), V.refresh_now()))
+
+
 @register("article_upsert")
 def q_article_upsert(spark, sf):
-    arts, _, _ = _refresh(spark, sf, materialize=True)
+    arts = I.upsert_articles(V.articles(spark, sf), _accepted(spark, sf), V.refresh_now())
     return tidy(arts.drop("html"))
 
 
 @register("feed_state")
 def q_feed_state(spark, sf):
-    _, feeds, _ = _refresh(spark, sf, materialize=True)
-    return tidy(feeds)
+    return tidy(I.feed_marks(V.feeds(spark, sf), _accepted(spark, sf)))
 
 
 # --- text ----------------------------------------------------------------------------
