@@ -15,3 +15,26 @@ def test_oracle_coverage():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert set(q) - set(o) == ROWS_ONLY
+
+
+def test_end_to_end_usage(spark):
+    """The README usage example on the sf0.001 tables."""
+    import tempfile
+
+    from pyspark.sql import functions as F
+
+    from conftest import SF_SMALL
+    from gazette.operators import ingest, lifecycle, publish, tfidf
+    from gazette.sources import fixtures as V
+    from gazette.sources.tables import load
+    entries, feeds, articles = V.entries(spark, SF_SMALL), V.feeds(spark, SF_SMALL), V.articles(spark, SF_SMALL)
+    now = F.to_timestamp(F.lit("2024-02-01 00:00:00"))
+    articles, feeds, _ = ingest.refresh(entries, feeds, articles, now)
+    articles = lifecycle.save_content(articles, V.captures(spark, SF_SMALL), now)
+    path = tempfile.mkdtemp(prefix="gz-model-") + "/vocab"
+    vocab = tfidf.train(articles, path)
+    msgs = publish.publish_messages(articles, feeds, vocab, load(spark, SF_SMALL, "embeddings"),
+                                    since=F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+    rows = msgs.collect()
+    assert rows and all(r.text.startswith("<b>") and r.importance > 0 for r in rows)
+    assert lifecycle.reschedule(articles, now).count() == articles.count()
