@@ -77,3 +77,25 @@ def test_duplicate_report_hot_checksum(spark):
     assert got == {i: 0 for i in range(3, 300, 3)}
     t = duplicate_totals(d).first()
     assert (t.n_duplicates, t.duplicate_bytes) == (99, 99 * len("same text"))
+
+
+def test_recent_insert_first_write_wins(spark):
+    from gazette.operators.similarity import recent_insert
+    schema = "id long, create_time timestamp, title string, site string"
+    t = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    recent = spark.createDataFrame([(1, None, "old", "a")], schema).withColumn("create_time", t)
+    new = spark.createDataFrame([(1, None, "new", "b"), (2, None, "x", "c"), (2, None, "y", "d")], schema) \
+        .withColumn("create_time", t)
+    got = {r.id: r.title for r in recent_insert(recent, new).collect()}
+    assert got[1] == "old" and got[2] in ("x", "y") and len(got) == 2
+    assert recent_insert(recent, new).count() == 2
+
+
+def test_promotion_collapses_callbacks(spark):
+    msgs = spark.createDataFrame([(1, "editors", "t1", "b"), (2, "editors", "t2", "b")],
+                                 "message_id long, channel string, text string, button string")
+    cbs = spark.createDataFrame([(1, "promote"), (1, "promote"), (2, "other")], "message_id long, data string")
+    p = PB.promoted(msgs, cbs).collect()
+    assert [(r.message_id, r.channel, r.button) for r in p] == [(1, "public", None)]
+    again = PB.republish(msgs, PB.promoted(msgs, cbs)).collect()
+    assert [r.message_id for r in again] == [2]
