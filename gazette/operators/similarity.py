@@ -16,6 +16,10 @@ on ``(token, time bucket)``:
 * each pair is emitted once, from its first common prefix token, so no
   distinct/shuffle is needed to de-duplicate candidates.
 
+``importance`` (the count the publish gate needs) goes further and never
+forms article pairs at all: see ``importance_counted`` below. The pair join
+serves ``similar_pairs`` (the pair list itself) and cross-checks.
+
 Everything is DataFrame code: explode, aggregate, window, equi-join.
 """
 
