@@ -76,3 +76,16 @@ def test_seed_if_empty(spark):
     seeded = seed_if_empty(empty)
     assert seeded.count() == 49 and seeded.filter("is_aggregator").count() == 4
     assert seed_if_empty(_feeds(spark)).count() == 1
+
+
+def test_feed_errors_unknown_feed(spark):
+    from conftest import SF_SMALL
+    from gazette.operators.ingest import feed_errors
+    from gazette.sources import fixtures as V
+    e = V.entries(spark, SF_SMALL)
+    few = V.feeds(spark, SF_SMALL).filter(F.col("id") < 10)
+    errs = feed_errors(e, few)
+    unknown = errs.filter(F.col("error") == "unknown feed").count()
+    assert unknown == e.filter(F.col("feed_id") >= 10).count() > 0
+    missing = errs.filter(F.col("error") == "missing link")
+    assert missing.filter(F.col("feed_id") >= 10).count() == 0
