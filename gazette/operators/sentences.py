@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.annotate import let, sentences_of, sentences_tokens, span_text, tokens_of
+from ..functions.annotate import let, sentences_of, span_text, tokens_of
 from ..functions.fixed import (AUX_DEPS, DROP_LEMMA_PREFIXES, DROP_LEMMA_SUFFIXES,
                                DROP_POS_PREFIXES, SUBJECT_DEPS)
 from .similarity import content_tokens
