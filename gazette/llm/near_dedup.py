@@ -4,16 +4,18 @@
    minima. Of each minimum its low BITS bits are kept, packed into longs; bands
    of ROWS whole minima give the bucket keys. Texts with equal sets share a
    128-bit digest and become one class, so copies never meet each other.
-2. Classes that share a bucket are candidates. A bucket compares its classes to
-   a few pivots a round (1, 2, 4, ... as rounds go on), never all pairs at once.
-   A pair's similarity is estimated from the packed bits: equal fields are
-   counted by xor and bit counts, and the share that equal by chance (2**-BITS)
-   is taken out. Pairs within MARGIN standard deviations of the threshold, and
-   of fitting sizes, are confirmed on their full sets.
-3. Confirmed links join components by hooking to the smallest neighbour. Classes
-   of one component need no further comparison, and a bucket whose classes are
-   all in one component, or have all been compared, is done. Rounds go on until
-   no bucket is left, so no candidate pair of different components stays unseen.
+2. Classes that share a bucket are candidates. A pair's similarity is estimated
+   from the packed bits: equal fields are counted by xor and bit counts, and the
+   share that equal by chance (2**-BITS) is taken out. Pairs that reach the
+   threshold less MARGIN standard deviations, and have fitting sizes, are
+   confirmed on their full sets.
+3. First every class meets only the smallest class of each of its buckets, and
+   its likeliest link is confirmed. Confirmed links join components.
+4. Then the buckets that still hold several components are worked through in
+   tiles of at most 2 * TILE classes. A tile compares each pair of different
+   components once (in the first bucket the pair shares), confirms the likely
+   ones, joins as it goes, and returns only the links that join two components:
+   fewer than it has classes. Pairs are never written out.
 
 Only the banding can miss a link, with probability (1 - s**ROWS)**BANDS, which is
 6e-11 at a similarity of 0.85.
@@ -24,9 +26,9 @@ null doc_id has no part in the smallest id; an empty table gives an empty result
 
 Scale: one pass over the text gives (doc_id, class, signature) rows; a second
 pass builds full sets only for classes that share a bucket. Bucket rows exist
-only for buckets of two classes or more. A group of near copies costs
-about one comparison a member, bucket and pivot until it is connected, not the
-square. Nothing but counts reaches the driver.
+only for buckets of two classes or more. A bucket that holds a third of all
+classes is split into blocks, whose pairs of blocks are tiles of their own, so
+no task holds more than two blocks. Nothing but counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +48,8 @@ SHINGLE = 5
 BANDS, ROWS, BITS = 32, 4, 4
 PERMS = BANDS * ROWS
 MARGIN = 5.0
+#: Classes of a block; a task holds two blocks at most.
+TILE = 1024
 #: Text bytes hashed at a time.
 CHUNK = 1 << 21
 _SPACE = np.zeros(256, bool)
@@ -260,57 +264,85 @@ def _relabel(comps: DataFrame, links: DataFrame) -> DataFrame:
                    .select("k.node", F.coalesce("m.comp", "k.comp").alias("comp")), "comps")
 
 
-def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs whose ends lie in different components."""
-    return pairs.alias("e").join(comps.alias("x"), F.col("e.a") == F.col("x.node")).join(comps.alias("y"), F.col("e.b") == F.col("y.node")) \
-        .where("x.comp <> y.comp").select("e.*")
-
-
-def _pivots(members: DataFrame, n: int) -> DataFrame:
-    """n rows (band, digest, comp) of each bucket, from its smallest components first."""
-    sizes = members.groupBy("band", "comp").agg(F.count("*").alias("size"))
-    order = Window.partitionBy("band").orderBy("size", "digest")
-    return members.join(sizes, ["band", "comp"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= n) \
-        .select("band", "digest", "comp")
+def _tile_links(percent: int, floor: float):
+    """The work of a tile: links that join components, from rows (no, blk, digest, comp, n, bits, bands, set)."""
+    ones = np.uint64(sum(1 << i for i in range(0, 64, BITS)))
+    chance = 2.0 ** -BITS
+    most_unequal = PERMS * (1 - floor) * (1 - chance)
+
+    def links(key, table):
+        no = table.column("no")[0].as_py()
+        block = table.column("blk").to_numpy()
+        digest, n = table.column("digest").to_pylist(), table.column("n").to_numpy()
+        root = np.unique(np.array([c.hex() for c in table.column("comp").to_pylist()]), return_inverse=True)[1]
+        stack = lambda c: table.column(c).combine_chunks().flatten().to_numpy()
+        bits, bands, flat = stack("bits").reshape(len(n), -1).view(np.uint64), stack("bands").reshape(len(n), -1), stack("set").view(np.uint64)
+        at = np.concatenate(([0], np.cumsum(n)))
+        cross, out = block.min() != block.max(), []
+        for i in range(len(n)):
+            may = np.arange(i + 1, len(n))
+            may = may[(root[may] != root[i]) & (100 * np.minimum(n[may], n[i]) >= percent * np.maximum(n[may], n[i]))]
+            if cross:
+                may = may[block[may] != block[i]]
+            x = bits[may] ^ bits[i]
+            for k in (1, 2, 4, 8):
+                if k < BITS:
+                    x = x | (x >> np.uint64(k))
+            may = may[np.bitwise_count(x & ones).sum(axis=1) <= most_unequal]
+            may = may[(bands[may] == bands[i]).argmax(axis=1) == no]
+            if not len(may):
+                continue
+            own = flat[at[i]:at[i + 1]]
+            theirs = np.concatenate([flat[at[j]:at[j + 1]] for j in may.tolist()])
+            found = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+            common = np.add.reduceat(found.astype(np.int64), np.concatenate(([0], np.cumsum(n[may])[:-1])))
+            for j in may[100 * common >= percent * (n[i] + n[may] - common)].tolist():
+                if root[j] != root[i]:
+                    root[root == root[j]] = root[i]
+                    out.append((digest[i], digest[j]))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
+
+    return links
+
+
+def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows (no, band, digest, comp) of buckets that hold several components."""
+    rows = members.alias("m").join(comps.alias("c"), F.col("m.digest") == F.col("c.node")).select("m.no", "m.band", "m.digest", "c.comp")
+    several = rows.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y")
+    return rows.join(several.select("band", "size"), "band")
 
 
 def group_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(node, comp): the component of every class that shares a bucket with another."""
-    buckets = classes.select("digest", F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
-    members = written(buckets.join(shared, "band").select("band", "digest", F.col("digest").alias("comp")), "members")
+    buckets = classes.select("digest", F.posexplode("bands").alias("no", "band"))
+    shared = buckets.groupBy("band").agg(F.count("*").alias("size"), F.min("digest").alias("pivot")).where("size > 1")
+    members = written(buckets.join(shared, "band").select("no", "band", "digest", "pivot"), "members")
     bits = classes.join(members.select("digest").distinct(), "digest", "left_semi")
-    bits = written(bits.select("digest", "member", "n", "bits"), "bucket-classes")
+    bits = written(bits.select("digest", "member", "n", "bits", "bands"), "bucket-classes")
     comps = bits.select(F.col("digest").alias("node"), F.col("digest").alias("comp"))
     sets = written(full_sets(docs, bits.select("digest", "member")), "sets")
     share = percent / 100
     floor = share - MARGIN * math.sqrt(share * (1 - share) / PERMS) / (1 - 2.0 ** -BITS)
 
-    pivots = 1
-    while not members.isEmpty():
-        pick = written(_pivots(members, pivots), "pivots")
-        pairs = members.alias("m").join(pick.alias("p"), (F.col("m.band") == F.col("p.band")) & (F.col("m.comp") != F.col("p.comp"))) \
-            .select(F.least("m.digest", "p.digest").alias("a"), F.greatest("m.digest", "p.digest").alias("b")).distinct()
-        alike = pairs.join(bits.select(F.col("digest").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), "a") \
-            .join(bits.select(F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb")), "b") \
-            .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) \
-            .select("a", "b", estimate(F.col("xa"), F.col("xb")).alias("guess")).where(F.col("guess") >= floor)
-        pairs = written(alike, "pairs")
-        if not pairs.isEmpty():
-            # first the likeliest link of each class, then whatever still joins different components
-            best = pairs.groupBy("b").agg(F.max_by("a", F.struct("guess", "a")).alias("a"))
-            tried = written(best.select("a", "b"), "tried")
-            comps = _relabel(comps, written(confirmed(tried, sets, percent), "confirmed"))
-            rest = written(_apart(pairs.join(tried, ["a", "b"], "left_anti"), comps), "pairs")
-            if not rest.isEmpty():
-                comps = _relabel(comps, written(confirmed(rest, sets, percent), "confirmed"))
-        # the pivots have now met all of their bucket; it is done when one component is left
-        left = members.join(pick.select("band", "digest"), ["band", "digest"], "left_anti").alias("m") \
-            .join(comps.alias("c"), F.col("m.digest") == F.col("c.node")).select("m.band", "m.digest", "c.comp")
-        several = left.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
-        members = written(left.join(several, "band", "left_semi"), "members")
-        pivots *= 2
-    return comps
+    # every class with its buckets' pivots; the likeliest is confirmed
+    side = lambda c: bits.select(F.col("digest").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}"))
+    pairs = members.where("digest <> pivot").select(F.col("pivot").alias("a"), F.col("digest").alias("b")).distinct()
+    best = pairs.join(side("a"), "a").join(side("b"), "b") \
+        .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) \
+        .select("a", "b", estimate(F.col("xa"), F.col("xb")).alias("guess")).where(F.col("guess") >= floor) \
+        .groupBy("b").agg(F.max_by("a", F.struct("guess", "a")).alias("a"))
+    comps = _relabel(comps, written(confirmed(written(best, "pairs"), sets, percent), "confirmed"))
+
+    # whatever is left between components that share a bucket
+    left = written(_open(members, comps), "open")
+    blocks = F.ceil(F.col("size") / TILE)
+    rows = left.withColumn("blk", F.pmod(F.hash("digest"), blocks.cast("int"))) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1))) \
+        .withColumn("tile", F.least("blk", "other") * blocks + F.greatest("blk", "other"))
+    rows = rows.join(bits.select("digest", "n", "bits", "bands"), "digest").join(sets, "digest") \
+        .select("band", "tile", "no", "blk", "digest", "comp", "n", "bits", "bands", "set")
+    links = rows.groupBy("band", "tile").applyInArrow(_tile_links(percent, floor), "a binary, b binary")
+    return _relabel(comps, written(links, "tile-links"))
 
 
 def near_groups(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
