@@ -42,6 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gazette.llm.hashing import BASE, mix, span_hashes
 from gazette.llm.util import WORD, free_name, load, python_column, written
 
 SHINGLE = 5
@@ -56,31 +57,12 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    """Finaliser of a 64-bit hash (fixed constants of splitmix64)."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
 
 
 _rng = np.random.default_rng(20240229)
 _PLACE = _rng.integers(1, 1 << 62, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MUL = _rng.integers(1, 1 << 31, PERMS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, PERMS, dtype=np.uint32)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64."""
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        _POWERS[size] = tuple(np.concatenate(([np.uint64(1)], np.cumprod(np.full(size, x, np.uint64)))) for x in (_BASE, inverse))
-    return _POWERS[size]
 
 
 def shingles(texts: list[bytes]) -> list[np.ndarray]:
@@ -102,15 +84,13 @@ def _shingles(texts: list[bytes]) -> list[np.ndarray]:
     inside = ~_SPACE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate(([False], inside)).astype(np.int8)))
     first, last = edge[0::2], edge[1::2]
-    power, inverse = _powers(len(raw))
-    total = np.concatenate(([np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:len(raw)])))
-    word = _mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64))
+    word = span_hashes(raw, first, last)
     owner = np.searchsorted(ends_at, first, side="right")
     n = len(word) - SHINGLE + 1
     hashes = np.zeros(max(0, n), np.uint64)
     for k in range(SHINGLE if n > 0 else 0):
         hashes += word[k:k + n] * _PLACE[k]
-    hashes = _mix(hashes)
+    hashes = mix(hashes)
     whole = owner[:n] == owner[SHINGLE - 1:] if n > 0 else np.zeros(0, bool)
     hashes, owned = hashes[whole], owner[:max(0, n)][whole]
     bounds = np.searchsorted(owned, np.arange(len(texts) + 1))
@@ -120,7 +100,7 @@ def _shingles(texts: list[bytes]) -> list[np.ndarray]:
         few = words[i + 1] - words[i]
         if 0 < few < SHINGLE:
             short = word[words[i]:words[i + 1]]
-            out.append(_mix((short * _PLACE[:few]).sum(dtype=np.uint64, keepdims=True) + np.uint64(few)))
+            out.append(mix((short * _PLACE[:few]).sum(dtype=np.uint64, keepdims=True) + np.uint64(few)))
         else:
             out.append(np.unique(hashes[bounds[i]:bounds[i + 1]]))
     return out
@@ -158,7 +138,7 @@ def band_keys(minima_: np.ndarray) -> np.ndarray:
     rows = minima_.reshape(len(minima_), BANDS, ROWS).astype(np.uint64)
     key = np.arange(BANDS, dtype=np.uint64)[None, :].repeat(len(minima_), 0)
     for r in range(ROWS):
-        key = _mix(key * _BASE + rows[:, :, r])
+        key = mix(key * BASE + rows[:, :, r])
     return key.astype(np.int64)
 
 

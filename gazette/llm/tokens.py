@@ -1,13 +1,19 @@
-"""Tokenizer access inside tasks: exact ids, with a bounded cache of pre-tokens.
+"""Tokenizer access inside tasks: exact ids, with a bounded table of known pieces.
 
 Both vocabularies cut a text into pre-tokens by a fixed pattern and encode each
-pre-token on its own, so the ids of a text are the ids of its pre-tokens put
-end to end. Pre-tokens repeat, so most are found in a per-worker cache, and the
-tokenizers library encodes only the others, many at a time. The vocabulary that
-drops white space has a second cache in front, of the pieces between spaces.
-Texts with a code point from U+0180 on (where normalising may join or part
-characters) go to the library whole. ``tests/llm`` compares both ways on random
-strings.
+pre-token on its own, so the ids of a text are the ids of its pieces put end to
+end, if every piece begins and ends between two pre-tokens. Pieces are found by
+numpy for megabytes of text at a time: a run of letters, of digits, or of other
+signs is a piece, a sign run that ends in an apostrophe goes on into the next
+run (as in 's), and a space goes with what follows it where the vocabulary keeps
+white space. Pieces repeat, so a chunk's pieces are looked up by 64-bit hash in a
+sorted table of known ones, and the tokenizers library encodes only those not
+there, many at a time. Two of TABLE pieces share a hash with a probability of
+about 1e-7.
+
+This holds for characters whose class is settled: ASCII, and the Latin letters
+below U+0180. Texts with any other character go to the library whole.
+``tests/llm`` compares both ways on random strings.
 
 Control strings of the vocabulary inside a text are ordinary text
 (``encode_special_tokens``), as the vocabulary's notes advise.
@@ -17,27 +23,24 @@ from __future__ import annotations
 
 import os
 import re
-import unicodedata
 
 import numpy as np
 
-#: Largest number of entries of either cache, per worker and vocabulary (about 80 MB each).
-CACHE_ENTRIES = 450_000
-#: Longer pieces are encoded, but not cached.
-CACHE_CHARS = 32
+from gazette.llm.hashing import span_hashes
 
-
-def _char_class(kind: str) -> str:
-    """Ranges of the code points below U+0180 whose category begins with `kind`."""
-    return "".join(re.escape(chr(i)) for i in range(0x180) if unicodedata.category(chr(i)).startswith(kind))
-
-
-_L, _N, _S = _char_class("L"), _char_class("N"), "\\t-\\r \\x85\\xa0"
-#: Pre-token patterns of the two vocabularies (fixed values).
-_PATTERNS = {
-    "word": rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+",
-    "byte": rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+",
-}
+#: Known pieces of a worker and vocabulary, at most (about 60 MB); text bytes of a chunk.
+TABLE, CHUNK = 2_000_000, 1 << 21
+_SPACE, _LETTER, _DIGIT, _SIGN, _EDGE = range(5)
+_CLASS = np.full(256, _SIGN, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = _SPACE
+_CLASS[[*range(65, 91), *range(97, 123), *range(128, 255)]] = _LETTER
+_CLASS[48:58] = _DIGIT
+_CLASS[255] = _EDGE
+#: Both vocabularies' signs for bytes (fixed rule): printable Latin-1 characters stand for themselves, others from U+0100 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+#: Anything but ASCII and Latin letters below U+0180 (UTF-8 bytes from C3 80 to C5 BF without the two signs).
+_OTHER = re.compile(rb"[\xc2\xc6-\xff]|\xc3[\x97\xb7]").search
 
 
 class Encoder:
@@ -55,72 +58,107 @@ class Encoder:
         if self.lib.get_vocab_size() > 0xFFFF:
             raise ValueError("ids must fit 16 bits")
         self.word = kind == "word"
-        self.whole = re.compile(r"[^\x00-ſ]|[\x1c-\x1f]" if self.word else r"[^\x00-ſ]").search
-        self.split = re.compile(_PATTERNS[kind]).findall
-        self.tokens: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        # new pre-tokens go to the library joined by a mark, whose \0 has an id that
-        # no pre-token without a \0 holds; `pad` ids of the mark stand on either side
+        # new pieces go to the library joined by a mark, whose \0 has an id that
+        # no piece without a \0 holds; `pad` ids of the mark stand on either side
         self.mark, self.pad = (" \x00 ", 0) if self.word else ("\n\x00\n", 1)
         ids = self._ids([f"a{self.mark}a"])[0]
         self.mark_id = ids[1 + self.pad]
         if len(ids) != 3 + 2 * self.pad:
-            raise ValueError("the mark between pre-tokens needs one id for each character")
-        self.plain = re.compile(r" ?[^\s\x00]+").fullmatch
+            raise ValueError("the mark between pieces needs one id for each character")
+        self.plain = re.compile(r" ?[^\s\x00-\x1f]+").fullmatch
+        self.letters = re.compile(r" ?[^\W\d_]+").fullmatch
+        self._clear()
+
+    def _clear(self) -> None:
+        self.hash = np.zeros(0, np.uint64)
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, "<u2")
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u2") for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _lib(self, texts: list[str]) -> list[bytes]:
-        return [x.tobytes() for x in self._ids(texts)]
-
-    def _encode_new(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of pre-tokens by the library."""
-        plain = [w for w in words if self.plain(w)]
-        rest = [w for w in words if not self.plain(w)]
-        out = dict(zip(rest, self._lib(rest)))
+    def _encode_new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids end to end) of pieces by the library."""
+        out: list = [None] * len(pieces)
+        model = self.lib.model
+        for i, p in enumerate(pieces):
+            # one pre-token as it stands: only the vocabulary's merges are left to do
+            if self.letters(p):
+                out[i] = np.array([t.id for t in model.tokenize(p.encode().decode("latin-1").translate(_BYTE_CHARS))], "<u2")
+        plain = [i for i, p in enumerate(pieces) if out[i] is None and self.plain(p)]
         groups = [plain[a:a + 2000] for a in range(0, len(plain), 2000)]
-        for group, ids in zip(groups, self._ids([self.mark.join(g) for g in groups])):
+        for group, ids in zip(groups, self._ids([self.mark.join([pieces[i] for i in g]) for g in groups])):
             at = np.flatnonzero(ids == self.mark_id)
-            raw, pad = ids.tobytes(), self.pad
-            for w, a, b in zip(group, [0, *(at + 1 + pad).tolist()], [*(at - pad).tolist(), len(ids)]):
-                out[w] = raw[2 * a:2 * b]
-        return out
-
-    def _join(self, split: list[list[str]], cache: dict[str, bytes], encode_new) -> list[bytes]:
-        """Ids of each list of words; those not in the cache by encode_new, and then kept there."""
-        words = set().union(*split)
-        new = words.difference(cache)
-        if len(cache) + len(new) > CACHE_ENTRIES and 4 * len(new) > 3 * len(words):
-            cache.clear()  # the texts have changed in kind
-            new = words
-        fresh = encode_new(list(new))
-        cache.update(fresh)
-        out = [b"".join(map(cache.__getitem__, ws)) for ws in split]
-        for w in fresh if len(cache) > CACHE_ENTRIES else [w for w in fresh if len(w) > CACHE_CHARS]:
-            del cache[w]
-        return out
-
-    def _pieces_new(self, pieces: list[str]) -> dict[str, bytes]:
-        return dict(zip(pieces, self._join([self.split(p) for p in pieces], self.tokens, self._encode_new)))
+            for i, a, z in zip(group, [0, *(at + 1 + self.pad).tolist()], [*(at - self.pad).tolist(), len(ids)]):
+                out[i] = ids[a:z]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self._ids([pieces[i] for i in rest])):
+            out[i] = ids
+        return np.array([len(x) for x in out], np.int64), np.concatenate([np.zeros(0, "<u2"), *out])
+
+    def _pieces(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last byte numbers (exclusive) of the pieces of texts that a byte 255 ends."""
+        kind = _CLASS[raw]
+        cut = np.empty(len(raw), bool)
+        cut[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=cut[1:])
+        after = np.flatnonzero(cut[1:] & (raw[:-1] == 0x27) & (kind[1:] != _EDGE) & (kind[1:] != _SPACE)) + 1
+        cut[after] = False
+        if not self.word:
+            # the last of a run of white space stands alone, or goes with what follows if it is a space
+            head = np.flatnonzero(cut[1:] & (kind[:-1] == _SPACE) & (kind[1:] != _EDGE)) + 1
+            cut[head - 1] = True
+            cut[head[raw[head - 1] == 0x20]] = False
+        first = np.flatnonzero(cut)
+        last = np.append(first[1:], len(raw))
+        keep = kind[first] != _EDGE
+        if self.word:
+            keep &= kind[first] != _SPACE
+        return first[keep], last[keep]
+
+    def _chunk(self, texts: list[bytes]) -> list[bytes]:
+        joined = b"\xff".join(texts) + b"\xff"
+        raw = np.frombuffer(joined, np.uint8)
+        first, last = self._pieces(raw)
+        known, one, inverse = np.unique(span_hashes(raw, first, last), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hash, known)
+        found = np.zeros(len(known), bool)
+        inside = place < len(self.hash)
+        found[inside] = self.hash[place[inside]] == known[inside]
+        if len(self.hash) + len(known) > TABLE and not found.all():
+            self._clear()
+            found[:] = False
+        if not found.all():
+            new = np.flatnonzero(~found)
+            size, ids = self._encode_new([joined[a:z].decode() for a, z in zip(first[one[new]].tolist(), last[one[new]].tolist())])
+            at = len(self.flat) + np.cumsum(size) - size
+            self.flat = np.concatenate([self.flat, ids])
+            merged = np.concatenate([self.hash, known[new]])
+            order = np.argsort(merged, kind="stable")
+            self.hash, self.at, self.size = merged[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+            place = np.searchsorted(self.hash, known)
+        size = self.size[place][inverse]
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(self.at[place][inverse] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        stops = np.searchsorted(first, np.cumsum([len(t) + 1 for t in texts]))
+        stops = np.concatenate(([0], ends))[stops].tolist()
+        return [ids[2 * a:2 * z] for a, z in zip([0, *stops[:-1]], stops)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes; null is an empty text."""
-        texts = [t or "" for t in texts]
-        low = [t.lower() for t in texts] if self.word else texts
-        out: list[bytes] = [b""] * len(texts)
-        whole = {i for i, t in enumerate(low) if self.whole(t) or self.word and self.whole(texts[i])}
-        for i, ids in zip(whole, self._lib([texts[i] for i in whole])):
-            out[i] = ids
-        # a few texts at a time, so that the lists of words stay small
-        for a in range(0, len(texts), 256):
-            part = [i for i in range(a, min(a + 256, len(texts))) if i not in whole]
-            if self.word:
-                ids = self._join([low[i].split() for i in part], self.pieces, self._pieces_new)
-            else:
-                ids = self._join([self.split(low[i]) for i in part], self.tokens, self._encode_new)
-            for i, x in zip(part, ids):
-                out[i] = x
+        raw = [((t.lower() if self.word else t) if t else "").encode() for t in texts]
+        out: list[bytes] = [b""] * len(raw)
+        whole = [i for i, r in enumerate(raw) if _OTHER(r)]
+        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
+            out[i] = ids.tobytes()
+        skip, part, held = set(whole), [], 0
+        for i in [*(i for i in range(len(raw)) if i not in skip), -1]:
+            if part and (i < 0 or held + len(raw[i]) > CHUNK):
+                for k, ids in zip(part, self._chunk([raw[k] for k in part])):
+                    out[k] = ids
+                part, held = [], 0
+            part.append(i)
+            held += len(raw[i]) + 1
         return out
 
 
