@@ -1,6 +1,7 @@
 """Static range asymmetric numeral coding of token blocks with interleaved lanes (numpy).
 
-A block holds up to BLOCK tokens, dealt in turn to LANES coder states; each lane
+A block holds up to BLOCK tokens, dealt in turn to LANES coder states (one a
+token, if there are fewer); each lane
 is a coder of its own, so one numpy operation moves all lanes on. The
 probabilities come from one table shared by all blocks. Blocks are independent:
 each carries its lanes' final states, which are where decoding starts, and a
@@ -14,7 +15,7 @@ import zlib
 import numpy as np
 
 #: Tokens of a block, and coder states of a block.
-BLOCK, LANES = 65_536, 512
+BLOCK, LANES = 1 << 18, 2048
 #: Frequencies sum to 2**BITS; states stay in [2**LOW, 2**(LOW + 32)).
 BITS, LOW = 18, 31
 _WORD = np.uint64(32)
@@ -52,9 +53,9 @@ class Table:
 
 
 def encode(ids: np.ndarray, table: Table) -> bytes:
-    """One block: u32 tokens, u32 crc32 of the ids as u32, u32 words, LANES u64 states, u32 words."""
-    n, lanes = len(ids), LANES
-    rows = -(-n // lanes)
+    """One block: u32 tokens, u32 crc32 of the ids as u32, u32 words, a u64 state for each lane, u32 words."""
+    n, lanes = len(ids), min(LANES, len(ids))
+    rows = -(-n // lanes) if n else 0
     x = np.full(lanes, 1 << LOW, np.uint64)
     out = []
     shift = np.uint64(LOW + 32 - BITS)
@@ -76,16 +77,17 @@ def encode(ids: np.ndarray, table: Table) -> bytes:
 def decode(block: bytes, table: Table) -> np.ndarray:
     """The block's ids; raises ValueError if they don't match its checksum."""
     n, crc, size = (int(v) for v in np.frombuffer(block, "<u4", 3))
-    x = np.frombuffer(block, "<u8", LANES, 12).astype(np.uint64)
-    words = np.frombuffer(block, "<u4", size, 12 + 8 * LANES).astype(np.uint64)
+    lanes = min(LANES, n)
+    x = np.frombuffer(block, "<u8", lanes, 12).astype(np.uint64)
+    words = np.frombuffer(block, "<u4", size, 12 + 8 * lanes).astype(np.uint64)
     out = np.empty(n, np.uint32)
     at, mask, low = 0, np.uint64((1 << BITS) - 1), np.uint64(1 << LOW)
-    for r in range(-(-n // LANES)):
-        m = min(LANES, n - r * LANES)
+    for r in range(-(-n // lanes) if n else 0):
+        m = min(lanes, n - r * lanes)
         own = x[:m]
         slot = own & mask
         ids = table.symbol[slot]
-        out[r * LANES:r * LANES + m] = ids
+        out[r * lanes:r * lanes + m] = ids
         own = table.freq[ids] * (own >> np.uint64(BITS)) + slot - table.start[ids]
         short = np.flatnonzero(own < low)
         if len(short):

@@ -132,23 +132,22 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
         table = rans.Table(freq)
         for b in batches:
             for row in range(b.num_rows):
-                file_no, first, doc_ids, lengths, blocks = (b.column(i)[row].as_py() for i in (0, 1, 2, 3, 4))
+                first, doc_ids, lengths, blocks = (b.column(i)[row].as_py() for i in range(4))
                 ids = np.concatenate([rans.decode(x, table) for x in blocks]).astype("<u4")
                 ends = np.cumsum(lengths)
                 raw = ids.tobytes()
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([file_no] * len(doc_ids), pa.int64()), pa.array(doc_ids, pa.int64()),
+                    pa.array(doc_ids, pa.int64()),
                     pa.array(first + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()),
                     pa.array([raw[4 * (e - n):4 * e] for e, n in zip(ends.tolist(), lengths)], pa.binary()),
-                ], names=["file_no", "doc_id", "at", "n_tokens", "ids"])
+                ], names=["doc_id", "start", "n_tokens", "ids"])
 
-    docs = chunks.select("file_no", "first_token", "doc_ids", "lengths", "blocks") \
-        .mapInArrow(documents, "file_no long, doc_id long, at long, n_tokens long, ids binary")
-    # one row per file, from the checkpoints alone; few enough to number in one task
+    # one row per file, from the checkpoints alone: as many as the writing job had partitions
     files = chunks.groupBy("file_no").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = files.select("file_no", before.alias("before"))
-    return docs.join(starts, "file_no").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids")
+    starts = F.broadcast(files.select("file_no", before.alias("before")))
+    placed = chunks.join(starts, "file_no").select((F.col("before") + F.col("first_token")).alias("first"), "doc_ids", "lengths", "blocks")
+    return placed.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
