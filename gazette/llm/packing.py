@@ -49,7 +49,7 @@ def _wide(ids: np.ndarray) -> bytes:
 
 
 class Shard:
-    """BM25 index of a shard's tails; postings in numpy, grouped by id."""
+    """BM25 index of a shard's tails; postings in numpy, grouped by id. Used tails' postings go when they are half."""
 
     def __init__(self, tails: list[np.ndarray], idf: np.ndarray, mean: float):
         terms = [np.unique(t, return_counts=True) for t in tails]
@@ -59,13 +59,24 @@ class Shard:
         norm = K1 * (1 - B + B * np.array([len(t) for t in tails]) / mean)
         weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        self.end = np.cumsum(np.bincount(term, minlength=len(idf)))
-        self.terms, self.size = [t for t, _ in terms], len(tails)
+        self.term, self.doc, self.weight = term[order], doc[order], weight[order]
+        self.terms, self.size, self.ids = [t.tolist() for t, _ in terms], len(tails), len(idf)
+        self.live = len(tails)
+        self._ends()
+
+    def _ends(self) -> None:
+        self.end = np.concatenate(([0], np.cumsum(np.bincount(self.term, minlength=self.ids)))).tolist()
+
+    def keep(self, alive: np.ndarray) -> None:
+        """Drop the postings of used tails, if half of those indexed are used."""
+        if 2 * (n := int(alive.sum())) < self.live:
+            held = alive[self.doc]
+            self.term, self.doc, self.weight, self.live = self.term[held], self.doc[held], self.weight[held], n
+            self._ends()
 
     def scores(self, i: int) -> np.ndarray:
         """BM25 score of every tail for the words of tail i."""
-        spans = [(self.end[t - 1] if t else 0, self.end[t]) for t in self.terms[i].tolist()]
+        spans = [(self.end[t], self.end[t + 1]) for t in self.terms[i]]
         return np.bincount(np.concatenate([self.doc[a:b] for a, b in spans]),
                            np.concatenate([self.weight[a:b] for a, b in spans]), self.size)
 
@@ -86,6 +97,7 @@ def pack_shard(tails: list[np.ndarray], idf: np.ndarray, mean: float, window: in
         pieces, space, nxt = [(seed, int(used[seed]), int(length[seed]))], window - int(length[seed] - used[seed]), -1
         alive[seed] = False
         if space and alive.any():
+            index.keep(alive)
             score = np.where(alive, index.scores(seed), -1.0)
             few = 4 * (1 + space // max(1, int(mean)))
             ranked = np.argpartition(-score, few)[:few] if few < len(score) else np.arange(len(score))

@@ -29,7 +29,9 @@ import numpy as np
 from gazette.llm.hashing import span_hashes
 
 #: Known pieces of a worker and vocabulary, at most (about 60 MB); text bytes of a chunk.
-TABLE, CHUNK = 2_000_000, 1 << 21
+TABLE, CHUNK = 2_000_000, 1 << 20
+#: Entries of the direct-mapped table in front of it (24 MB).
+SLOTS = 1 << 20
 _SPACE, _LETTER, _DIGIT, _SIGN, _EDGE = range(5)
 _CLASS = np.full(256, _SIGN, np.uint8)
 _CLASS[[0x20, *range(0x09, 0x0E)]] = _SPACE
@@ -39,8 +41,9 @@ _CLASS[255] = _EDGE
 #: Both vocabularies' signs for bytes (fixed rule): printable Latin-1 characters stand for themselves, others from U+0100 on.
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
-#: Anything but ASCII and Latin letters below U+0180 (UTF-8 bytes from C3 80 to C5 BF without the two signs).
-_OTHER = re.compile(rb"[\xc2\xc6-\xff]|\xc3[\x97\xb7]").search
+#: UTF-8 bytes of anything but ASCII and Latin letters below U+0180 (which are C3 80 to C5 BF without C3 97 and C3 B7).
+_OTHER = np.zeros(256, bool)
+_OTHER[[0xC2, *range(0xC6, 0xFF)]] = True
 
 
 class Encoder:
@@ -73,6 +76,9 @@ class Encoder:
         self.hash = np.zeros(0, np.uint64)
         self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, "<u2")
+        # in front of the sorted table: the last piece seen for each value of the low bits
+        self.slot_hash = np.zeros(SLOTS, np.uint64)
+        self.slot_at, self.slot_size = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u2") for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -116,18 +122,13 @@ class Encoder:
             keep &= kind[first] != _SPACE
         return first[keep], last[keep]
 
-    def _chunk(self, texts: list[bytes]) -> list[bytes]:
-        joined = b"\xff".join(texts) + b"\xff"
-        raw = np.frombuffer(joined, np.uint8)
-        first, last = self._pieces(raw)
-        known, one, inverse = np.unique(span_hashes(raw, first, last), return_index=True, return_inverse=True)
+    def _places(self, joined: bytes, first: np.ndarray, last: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each piece's ids lie in `flat`, and how many they are; new pieces are encoded and kept."""
+        known, one, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         place = np.searchsorted(self.hash, known)
         found = np.zeros(len(known), bool)
         inside = place < len(self.hash)
         found[inside] = self.hash[place[inside]] == known[inside]
-        if len(self.hash) + len(known) > TABLE and not found.all():
-            self._clear()
-            found[:] = False
         if not found.all():
             new = np.flatnonzero(~found)
             size, ids = self._encode_new([joined[a:z].decode() for a, z in zip(first[one[new]].tolist(), last[one[new]].tolist())])
@@ -137,29 +138,47 @@ class Encoder:
             order = np.argsort(merged, kind="stable")
             self.hash, self.at, self.size = merged[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
             place = np.searchsorted(self.hash, known)
-        size = self.size[place][inverse]
+        return self.at[place][inverse], self.size[place][inverse]
+
+    def _chunk(self, texts: list[bytes], given: list[str]) -> list[bytes]:
+        """Ids of texts by their pieces; `given` are the texts as they came."""
+        joined = b"\xff".join(texts) + b"\xff"
+        raw = np.frombuffer(joined, np.uint8)
+        sign = (raw[1:] == 0x97) | (raw[1:] == 0xB7)
+        other = np.concatenate([np.flatnonzero(_OTHER[raw]), np.flatnonzero(sign & (raw[:-1] == 0xC3))])
+        if len(other):
+            whole = set(np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), other, side="right").tolist())
+            plain = [i for i in range(len(texts)) if i not in whole]
+            rest = iter(self._chunk([texts[i] for i in plain], [given[i] for i in plain]) if plain else [])
+            lib = iter(self._ids([given[i] for i in sorted(whole)]))
+            return [next(lib).tobytes() if i in whole else next(rest) for i in range(len(texts))]
+        first, last = self._pieces(raw)
+        hashes = span_hashes(raw, first, last)
+        if len(self.hash) + len(hashes) > TABLE:
+            self._clear()
+        slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        at, size = self.slot_at[slot], self.slot_size[slot]
+        missed = np.flatnonzero(self.slot_hash[slot] != hashes)
+        at[missed], size[missed] = self._places(joined, first[missed], last[missed], hashes[missed])
+        slot = slot[missed]
+        self.slot_hash[slot], self.slot_at[slot], self.slot_size[slot] = hashes[missed], at[missed], size[missed]
         ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.at[place][inverse] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        ids = self.flat[np.repeat(at - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
         stops = np.searchsorted(first, np.cumsum([len(t) + 1 for t in texts]))
         stops = np.concatenate(([0], ends))[stops].tolist()
         return [ids[2 * a:2 * z] for a, z in zip([0, *stops[:-1]], stops)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes; null is an empty text."""
-        raw = [((t.lower() if self.word else t) if t else "").encode() for t in texts]
-        out: list[bytes] = [b""] * len(raw)
-        whole = [i for i, r in enumerate(raw) if _OTHER(r)]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
-            out[i] = ids.tobytes()
-        skip, part, held = set(whole), [], 0
-        for i in [*(i for i in range(len(raw)) if i not in skip), -1]:
-            if part and (i < 0 or held + len(raw[i]) > CHUNK):
-                for k, ids in zip(part, self._chunk([raw[k] for k in part])):
-                    out[k] = ids
-                part, held = [], 0
-            part.append(i)
-            held += len(raw[i]) + 1
-        return out
+        texts = [t or "" for t in texts]
+        raw = [(t.lower() if self.word else t).encode() for t in texts]
+        out, a, held = [], 0, 0
+        for z, r in enumerate(raw):
+            if z > a and held + len(r) > CHUNK:
+                out += self._chunk(raw[a:z], texts[a:z])
+                a, held = z, 0
+            held += len(r) + 1
+        return out + self._chunk(raw[a:], texts[a:]) if raw else out
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
