@@ -30,7 +30,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the sources' targets take them."""
-    return mixing.mixed(docs, load(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return mixing.mixed(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,14 +5,15 @@ times their source's size, and what is over is shared out anew by weight (the
 water level is found in closed form from the sources sorted by where they
 fill up). A source is taken whole as many times as its target holds it; the
 remaining budget is drawn without replacement: every document has the key
--ln(u) / quality with u from a hash of its doc_id, keys are sorted within the
-source, and sizes are summed along them up to the budget. The document on the
+-ln(u) / weight with u from a hash of its doc_id and a weight from its quality
+(by default how usual its mean word length is, as a row must decide for itself),
+keys are sorted within the source, and sizes are summed along them up to the budget. The document on the
 border is taken if that comes nearer, so a source misses its target by half a
 document at most.
 
 Defined cases: null or empty text has size 0; null sources come last; rows that
-repeat a doc_id share a key and are taken or left together; a missing or null
-quality is neutral; an empty table gives an empty result. Reruns agree.
+repeat a doc_id share a key and are taken or left together; a null quality is
+neutral; an empty table gives an empty result. Reruns agree.
 
 Scale: the text is read once for sizes. Sorting a source that holds a third of
 all rows would need one task, so keys are first cut into BUCKETS ranges: sums by
@@ -34,27 +35,28 @@ from gazette.llm.util import WORD, free_name, load, unit_hash, written
 WEIGHTS, MAX_EPOCHS = (1, 2, 3), 3
 #: Ranges of the key, by 1 - exp(-key), which spreads keys of quality 1 evenly.
 BUCKETS = 4096
+#: Characters of a usual word and the space after it.
+USUAL = 6
 
 
-def keyed(docs: DataFrame, labels: DataFrame | None = None, doc_id: str = "doc_id", source: str = "source",
+def word_length_quality(text: str = "text") -> Column:
+    """1 for texts of USUAL characters a word (white space included), falling to 0 at none and at twice as many."""
+    size = F.regexp_count(text, F.lit(WORD))
+    return F.when(size > 0, F.greatest(1 - F.abs(F.length(text) / size - USUAL) / USUAL, F.lit(0.0)))
+
+
+def keyed(docs: DataFrame, quality: Column | None = None, doc_id: str = "doc_id", source: str = "source",
           text: str = "text", name: str = "mix") -> DataFrame:
-    """`docs` with a struct (doc_id, source, size, key, bucket). labels: (doc_id, quality 0 to 1), averaged if repeated.
+    """`docs` with a struct (doc_id, source, size, key, bucket). quality: 0 to 1, by default of word_length_quality.
 
-    Quality 1 makes a document four times as likely as quality 0; no label counts as 1/3.
+    Quality 1 makes a document four times as likely as quality 0; null counts as 1/3.
     """
-    quality: Column = F.lit(None).cast("double")
-    if labels is not None:
-        q, k = free_name(docs, "q"), free_name(docs, "labelled")
-        mean = labels.groupBy(F.col("doc_id").alias(k)).agg(F.avg("quality").alias(q)).where(F.col(k).isNotNull())
-        docs = docs.join(mean, F.col(doc_id) == F.col(k), "left").drop(k)
-        quality = F.col(q)
-    weight = F.coalesce(0.5 + 1.5 * quality, F.lit(1.0))
+    weight = F.coalesce(0.5 + 1.5 * (word_length_quality(text) if quality is None else quality), F.lit(1.0))
     key = -F.log(unit_hash(F.col(doc_id))) / weight
     bucket = F.least(F.floor((1 - F.exp(-key)) * BUCKETS), F.lit(BUCKETS - 1))
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    out = docs.withColumn(name, F.struct(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"),
-                                         key.alias("key"), bucket.alias("bucket")))
-    return out.drop(q) if labels is not None else out
+    return docs.withColumn(name, F.struct(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"),
+                                          key.alias("key"), bucket.alias("bucket")))
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -109,10 +111,10 @@ def taken(rows: DataFrame, mix: str, plan_: DataFrame, name: str = "plan") -> Da
     return joined.withColumn(name, F.struct(f"{name}.*", (q("epochs") + drawn.cast("long")).alias("times")))
 
 
-def mixed(docs: DataFrame, labels: DataFrame | None = None, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def mixed(docs: DataFrame, quality: Column | None = None, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns it came with."""
     m, p, k = free_name(docs, "mix"), free_name(docs, "plan"), free_name(docs, "copy")
-    rows = keyed(docs, labels, name=m)
+    rows = keyed(docs, quality, name=m)
     plan_ = plan(written(rows.select(f"{m}.*"), "mix"), weights, max_epochs)
     out = taken(rows, m, plan_, p).where(F.col(f"{p}.times") > 0)
     return out.withColumn(k, F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{p}.times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -121,18 +123,19 @@ def mixed(docs: DataFrame, labels: DataFrame | None = None, weights: Sequence[fl
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: how many words the mix takes of every document."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    slim = written(keyed(docs, load(spark, sf_dir, "labels").select("doc_id", "quality")).select("mix.*"), "mix")
+    slim = written(keyed(docs).select("mix.*"), "mix")
     rows = taken(slim.select(F.struct("*").alias("mix")), "mix", plan(slim))
     return rows.select("mix.doc_id", "mix.size", "plan.source_size", "plan.target", (F.col("mix.size") * F.col("plan.times")).alias("taken"))
 
 
 ORACLE_SQL = rf"""
-WITH q AS (SELECT doc_id, avg(quality) AS quality FROM labels GROUP BY doc_id),
+WITH z AS (SELECT doc_id, source, length(text) AS chars, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents),
+q AS (SELECT *, CASE WHEN size > 0 THEN greatest(1 - abs(chars::DOUBLE / size - {USUAL}) / {USUAL}, 0.0)::DOUBLE END AS quality FROM z),
 d AS (
-  SELECT d.doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
-         -ln((('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '~')), 1, 13))::BIGINT + 0.5::DOUBLE) / {float(16 ** 13)}::DOUBLE)
-         / coalesce(0.5::DOUBLE + 1.5::DOUBLE * q.quality, 1.0::DOUBLE) AS key
-  FROM documents d LEFT JOIN q ON q.doc_id = d.doc_id),
+  SELECT doc_id, source, size,
+         -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '~')), 1, 13))::BIGINT + 0.5::DOUBLE) / {float(16 ** 13)}::DOUBLE)
+         / coalesce(0.5::DOUBLE + 1.5::DOUBLE * quality, 1.0::DOUBLE) AS key
+  FROM q),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM d GROUP BY source),
 w AS (SELECT *, [1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE][((n - 1) % 3 + 1)::INT] AS weight, ({MAX_EPOCHS} * source_size)::DOUBLE AS most FROM s),
