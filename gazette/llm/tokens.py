@@ -28,10 +28,10 @@ import numpy as np
 
 from gazette.llm.hashing import span_hashes
 
-#: Known pieces of a worker and vocabulary, at most (about 60 MB); text bytes of a chunk.
-TABLE, CHUNK = 2_000_000, 1 << 20
-#: Entries of the direct-mapped table in front of it (24 MB).
-SLOTS = 1 << 20
+#: Known pieces of a worker and vocabulary, at most (about 50 MB); text bytes of a chunk.
+TABLE, CHUNK = 1_500_000, 1 << 19
+#: Entries of the direct-mapped table in front of it (6 MB).
+SLOTS = 1 << 18
 _SPACE, _LETTER, _DIGIT, _SIGN, _EDGE = range(5)
 _CLASS = np.full(256, _SIGN, np.uint8)
 _CLASS[[0x20, *range(0x09, 0x0E)]] = _SPACE

@@ -14,6 +14,9 @@ from gazette.session import scratch_path
 #: A word of the contracts: a run of anything but space and \t \n \v \f \r (fixed value).
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch of texts.
+BATCH = 1000
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -56,6 +59,10 @@ def python_column(df: DataFrame, inputs: list[str], name: str, fields: T.StructT
     `fn` gets the columns `inputs` as a record batch and returns a list or
     Arrow array for each field.
     """
+    # texts may be long: few rows a batch bound a worker's memory
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH:
+        conf.set(key, str(BATCH))
     schema = T.StructType([*df.schema.fields, T.StructField(name, fields)])
     kinds = _arrow(fields)
     at = [df.columns.index(c) for c in inputs]
