@@ -63,16 +63,16 @@ def _windows(run: str, least: float, few: int) -> list[list[int]]:
     total, digits, letters, out = 0.0, 0, 0, []
     limit = (math.log2(WINDOW) - least) * WINDOW + 1e-9
     for i, c in enumerate(run):
+        if i >= WINDOW:
+            gone = run[i - WINDOW]
+            n = counts[gone]
+            total += _TERM[n - 1] - _TERM[n]
+            counts[gone] = n - 1
+            digits, letters = digits - gone.isdigit(), letters - gone.isalpha()
         n = counts.get(c, 0)
         total += _TERM[n + 1] - _TERM[n]
         counts[c] = n + 1
         digits, letters = digits + c.isdigit(), letters + c.isalpha()
-        if i >= WINDOW:
-            c = run[i - WINDOW]
-            n = counts[c]
-            total += _TERM[n - 1] - _TERM[n]
-            counts[c] = n - 1
-            digits, letters = digits - c.isdigit(), letters - c.isalpha()
         if i >= WINDOW - 1 and total <= limit and digits >= few and letters >= few:
             a = i - WINDOW + 1
             if out and a < out[-1][1]:
