@@ -37,7 +37,7 @@ def main() -> None:
     from gazette.session import get_session
 
     spark = get_session(f"local[{cpus}]", app="gazette-bench", shuffle_partitions=cpus * 2,
-                        extra={"spark.driver.memory": "16g"})
+                        extra={"spark.driver.memory": "10g"})
     spark.sparkContext.setLogLevel("ERROR")
     qs = queries()
     # warm-up (not timed): every headline query once on the smallest tables,

@@ -20,16 +20,18 @@ _MODELS: dict = {}
 
 
 def annotate_with(df: DataFrame, factory, text_col: str = "text", id_col: str = "id",
-                  out_col: str = "sentences") -> DataFrame:
-    """(id, sentences) with ``sentences`` produced by ``factory()(text)``."""
+                  out_col: str = "sentences", model_name: str | None = None) -> DataFrame:
+    """(id, sentences) with ``sentences`` produced by ``factory()(text)``.
+
+    A worker keeps a model only under a ``model_name``; without one it is built
+    per task, since a worker cannot tell two factories apart."""
     from ..operators.common import spread
     id_type = df.schema[id_col].dataType.simpleString()
-    key = id(factory)
 
     def run(batches):
-        model = _MODELS.get(key)
-        if model is None:
-            model = _MODELS[key] = factory()
+        model = _MODELS.get(model_name) or factory()
+        if model_name is not None:
+            _MODELS[model_name] = model
         for pdf in batches:
             out = []
             for text in pdf[text_col]:

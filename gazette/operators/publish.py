@@ -40,10 +40,11 @@ def display_source(articles: DataFrame, feeds: DataFrame) -> DataFrame:
 
 def publishable(articles: DataFrame) -> DataFrame:
     """Add ``publishable`` and ``reason`` (NULL when publishable)."""
-    ok = (F.col("status") == STATUS_DONE) & F.col("html").isNotNull()
+    fetched = F.coalesce((F.col("status") == STATUS_DONE) & F.col("html").isNotNull(), F.lit(False))
     return articles.withColumns({
-        "publishable": ok,
-        "reason": F.when(~ok, fill(NOT_FETCHED_TEMPLATE, id=F.col("id").cast("string"))),
+        "publishable": fetched & F.col("title").isNotNull(),
+        "reason": F.when(~fetched, fill(NOT_FETCHED_TEMPLATE, id=F.col("id").cast("string")))
+        .when(F.col("title").isNull(), F.lit("no title")),
     })
 
 

@@ -13,14 +13,12 @@ score = 0.5 * frequency + 0.4 * title similarity + 0.1 * length score
 Top N: sentences ranked by score (ties by position), equal polished texts
 collapse to the best one, the N best are returned in document order.
 
-All steps are joins/aggregations keyed by document; word-vector sums use
-MLlib's ``Summarizer`` aggregate (no per-group lists).
+All steps are joins/aggregations keyed by document; word vectors are summed
+component by component (no per-group lists).
 """
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -109,11 +107,11 @@ def lemma_vectors(lemmas: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 def vector_sums(lemmas: DataFrame, keys: list[str], vectors: DataFrame) -> DataFrame:
     """keys + (vsum array<double>, n_vec): sum of the vectors of the lemmas."""
-    j = lemmas.join(vectors, "lemma")
-    agg = j.groupBy(*keys).agg(
-        Summarizer.metrics("sum").summary(array_to_vector(F.col("vec"))).alias("m"),
-        F.count(F.lit(1)).alias("n_vec"))
-    return agg.select(*keys, vector_to_array(F.col("m.sum")).alias("vsum"), "n_vec")
+    dim = vectors.select(F.max(F.size("vec")).alias("dim")).first()["dim"] or 0
+    sums = [F.sum(F.get("vec", F.lit(k)).cast("double")).alias(f"_v{k}") for k in range(dim)]
+    agg = lemmas.join(vectors, "lemma").groupBy(*keys).agg(*sums, F.count(F.lit(1)).alias("n_vec"))
+    vsum = F.array(*[F.col(f"_v{k}") for k in range(dim)]).cast("array<double>")
+    return agg.select(*keys, vsum.alias("vsum"), "n_vec")
 
 
 def cosine(a: Column, b: Column) -> Column:

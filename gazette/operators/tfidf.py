@@ -63,17 +63,19 @@ def transform(texts: DataFrame, vocab: DataFrame, id_col: str = "doc_id",
     return j.select("doc_id", "term", (w / norm).alias("weight"))
 
 
-def sample_for_training(articles: DataFrame, n: int, seed: str = "0",
+def sample_for_training(articles: DataFrame, n: int | None = None, seed: str = "0",
                         status: str = "D") -> DataFrame:
-    """Up to ``n`` done articles in a seeded pseudo-random order (md5 of id and
-    seed). The limit is the feature: the reference trains on at most n docs."""
+    """All done articles, or up to ``n`` of them in a seeded pseudo-random order
+    (md5 of id and seed)."""
+    if n is None:
+        return articles.filter(F.col("status") == status)
     return (articles.filter(F.col("status") == status)
             .orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(seed))), F.col("id"))
             .limit(n))
 
 
-def train(articles: DataFrame, model_path: str, n: int = 15000, seed: str = "0") -> DataFrame:
-    """Train job: sample -> HTML to text -> annotate -> training text -> fit ->
+def train(articles: DataFrame, model_path: str, n: int | None = None, seed: str = "0") -> DataFrame:
+    """Train job: all done articles (or a sample of ``n``) -> HTML to text -> annotate -> training text -> fit ->
     save the vocabulary as Parquet at ``model_path``; returns the saved model."""
     from ..functions.text import html_to_clean_text
     from .common import spread

@@ -195,8 +195,7 @@ _CONTENT = "NOT {a}is_stop AND regexp_matches({a}lemma, '^[A-Za-z]{{2,}}')"
 _TERM = q(TERM_PATTERN)
 
 _VOCAB = _PAGE_KEPT + [
-    """samp AS (SELECT id FROM articles WHERE status = 'D' AND html IS NOT NULL
-       ORDER BY md5(CAST(id AS VARCHAR) || '0'), id LIMIT 15000)""",
+    """samp AS (SELECT id FROM articles WHERE status = 'D' AND html IS NOT NULL)""",
     f"""tt AS (SELECT k.doc_id, unnest(regexp_extract_all(lower(k.lemma), {_TERM})) AS term
        FROM pk_kt k JOIN samp ON samp.id = k.doc_id WHERE {_CONTENT.format(a='k.')})""",
     """vocab AS (SELECT term, count(DISTINCT doc_id) AS df,

@@ -341,8 +341,7 @@ def _publishable(spark, sf):
 
 
 def _train_texts(spark, sf):
-    samp = T.sample_for_training(
-        V.articles(spark, sf).filter(F.col("html").isNotNull()), TRAIN_SAMPLE_SIZE)
+    samp = T.sample_for_training(V.articles(spark, sf).filter(F.col("html").isNotNull()))
     kept = SN.kept_sentences(TX.html_to_clean_text(F.col("html")))
     from ..operators.common import spread
     return spread(samp).select(F.col("id").alias("doc_id"), SN.training_text(kept).alias("text"))
@@ -359,8 +358,7 @@ def _vocab(spark, sf, sents=None):
     from ..session import cut_lineage
     if sents is None:
         return cut_lineage(T.fit(_train_texts(spark, sf)))
-    ids = cut_lineage(T.sample_for_training(
-        V.articles(spark, sf).filter(F.col("html").isNotNull()), TRAIN_SAMPLE_SIZE).select("id"))
+    ids = cut_lineage(T.sample_for_training(V.articles(spark, sf).filter(F.col("html").isNotNull())).select("id"))
     terms = SM.sentence_terms(sents).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
     return cut_lineage(T.fit_terms(terms, ids.count()))
 
