@@ -328,6 +328,13 @@ def test_op10_reply_trees(spark):
     assert c.best_paths(df.limit(0)).count() == 0 and c.best_paths(df, None).select("tree", "leaf").distinct().count() == 4
 
 
+def test_registered():
+    import __spark_entry__ as e
+    from gazette.llm import queries as q
+    assert [k for k in q.queries() if k != "pipeline"] == [k for k in e.queries() if re.match(r"op\d+_", k)] and len(q.queries()) == 11
+    assert set(q.queries()) - set(e.oracle_sql()) == {"op1_packing", "op6_secret_scan", "op8_url_filter", "op9_token_files", "op10_reply_trees", "pipeline"}
+
+
 @pytest.mark.parametrize("name", ["op2_host_rules", "op3_mixing", "op4_exact_topk", "op5_license_scan"])
 def test_oracles(spark, name):
     import duckdb
