@@ -40,7 +40,8 @@ _CLASS[48:58] = _DIGIT
 _CLASS[255] = _EDGE
 #: Both vocabularies' signs for bytes (fixed rule): printable Latin-1 characters stand for themselves, others from U+0100 on.
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_SIGN_OF = np.arange(256, dtype="<u4")
+_SIGN_OF[[b for b in range(256) if b not in _SHOWN]] = 256 + np.arange(256 - len(_SHOWN))
 #: UTF-8 bytes of anything but ASCII and Latin letters below U+0180 (which are C3 80 to C5 BF without C3 97 and C3 B7).
 _OTHER = np.zeros(256, bool)
 _OTHER[[0xC2, *range(0xC6, 0xFF)]] = True
@@ -69,7 +70,6 @@ class Encoder:
         if len(ids) != 3 + 2 * self.pad:
             raise ValueError("the mark between pieces needs one id for each character")
         self.plain = re.compile(r" ?[^\s\x00-\x1f]+").fullmatch
-        self.letters = re.compile(r" ?[^\W\d_]+").fullmatch
         self._clear()
 
     def _clear(self) -> None:
@@ -83,24 +83,35 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u2") for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(sizes, ids end to end) of pieces by the library."""
-        out: list = [None] * len(pieces)
-        model = self.lib.model
-        for i, p in enumerate(pieces):
-            # one pre-token as it stands: only the vocabulary's merges are left to do
-            if self.letters(p):
-                out[i] = np.array([t.id for t in model.tokenize(p.encode().decode("latin-1").translate(_BYTE_CHARS))], "<u2")
-        plain = [i for i, p in enumerate(pieces) if out[i] is None and self.plain(p)]
+    def _encode_new(self, pieces: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids end to end) of pieces by the library; `letters` marks runs of letters alone, with or without a space."""
+        order, sizes, flat = [np.flatnonzero(letters)], [], []
+        # one pre-token as it stands: only the vocabulary's merges are left to do
+        raw = np.frombuffer("|".join([pieces[i] for i in order[0].tolist()]).encode(), np.uint8)
+        tokenize = self.lib.model.tokenize
+        for word in _SIGN_OF[raw].tobytes().decode("utf-32-le").split("|") if len(raw) else []:
+            ids = [t.id for t in tokenize(word)]
+            flat += ids
+            sizes.append(len(ids))
+        ids, rest = [np.array(flat, "<u2")], []
+        plain = []
+        for i in np.flatnonzero(~letters).tolist():
+            (plain if self.plain(pieces[i]) else rest).append(i)
         groups = [plain[a:a + 2000] for a in range(0, len(plain), 2000)]
-        for group, ids in zip(groups, self._ids([self.mark.join([pieces[i] for i in g]) for g in groups])):
-            at = np.flatnonzero(ids == self.mark_id)
-            for i, a, z in zip(group, [0, *(at + 1 + self.pad).tolist()], [*(at - self.pad).tolist(), len(ids)]):
-                out[i] = ids[a:z]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self._ids([pieces[i] for i in rest])):
-            out[i] = ids
-        return np.array([len(x) for x in out], np.int64), np.concatenate([np.zeros(0, "<u2"), *out])
+        for group, got in zip(groups, self._ids([self.mark.join([pieces[i] for i in g]) for g in groups])):
+            at = np.flatnonzero(got == self.mark_id)
+            for a, z in zip([0, *(at + 1 + self.pad).tolist()], [*(at - self.pad).tolist(), len(got)]):
+                ids.append(got[a:z])
+                sizes.append(z - a)
+        for got in self._ids([pieces[i] for i in rest]):
+            ids.append(got)
+            sizes.append(len(got))
+        # back from the order of encoding to that of the pieces
+        flat, size = np.concatenate(ids), np.array(sizes, np.int64)
+        back = np.argsort(np.concatenate([*order, np.array(plain + rest, np.int64)]), kind="stable")
+        at, size = (np.cumsum(size) - size)[back], size[back]
+        ends = np.cumsum(size)
+        return size, flat[np.repeat(at - (ends - size), size) + np.arange(len(flat))]
 
     def _pieces(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last byte numbers (exclusive) of the pieces of texts that a byte 255 ends."""
@@ -122,7 +133,7 @@ class Encoder:
             keep &= kind[first] != _SPACE
         return first[keep], last[keep]
 
-    def _places(self, joined: bytes, first: np.ndarray, last: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _places(self, joined: bytes, raw: np.ndarray, first: np.ndarray, last: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each piece's ids lie in `flat`, and how many they are; new pieces are encoded and kept."""
         known, one, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         place = np.searchsorted(self.hash, known)
@@ -131,12 +142,14 @@ class Encoder:
         found[inside] = self.hash[place[inside]] == known[inside]
         if not found.all():
             new = np.flatnonzero(~found)
-            size, ids = self._encode_new([joined[a:z].decode() for a, z in zip(first[one[new]].tolist(), last[one[new]].tolist())])
+            begin, end = first[one[new]], last[one[new]]
+            # a run that begins with a letter has nothing else; a space may stand before it
+            lead = begin + ((raw[begin] == 0x20) & (end - begin > 1))
+            size, ids = self._encode_new([joined[a:z].decode() for a, z in zip(begin.tolist(), end.tolist())], _CLASS[raw[lead]] == _LETTER)
             at = len(self.flat) + np.cumsum(size) - size
             self.flat = np.concatenate([self.flat, ids])
-            merged = np.concatenate([self.hash, known[new]])
-            order = np.argsort(merged, kind="stable")
-            self.hash, self.at, self.size = merged[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+            spot = place[new]
+            self.hash, self.at, self.size = (np.insert(a, spot, b) for a, b in ((self.hash, known[new]), (self.at, at), (self.size, size)))
             place = np.searchsorted(self.hash, known)
         return self.at[place][inverse], self.size[place][inverse]
 
@@ -159,7 +172,7 @@ class Encoder:
         slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
         at, size = self.slot_at[slot], self.slot_size[slot]
         missed = np.flatnonzero(self.slot_hash[slot] != hashes)
-        at[missed], size[missed] = self._places(joined, first[missed], last[missed], hashes[missed])
+        at[missed], size[missed] = self._places(joined, raw, first[missed], last[missed], hashes[missed])
         slot = slot[missed]
         self.slot_hash[slot], self.slot_at[slot], self.slot_size[slot] = hashes[missed], at[missed], size[missed]
         ends = np.cumsum(size)
