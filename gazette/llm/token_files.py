@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from gazette.llm import rans
 from gazette.llm.tokens import encoder
-from gazette.llm.util import load, python_column, written
+from gazette.llm.util import load, small_batches, written
 from gazette.session import scratch_path
 
 END_ID = 2
@@ -44,15 +44,22 @@ def token_table(docs: DataFrame, path: str, kind: str, end_id: int, doc_id: str
     """
     end = int(end_id).to_bytes(2, "little")
 
-    def tokens(b: pa.RecordBatch) -> dict:
-        enc, ids = encoder(path, kind), []
-        for a in range(0, b.num_rows, 1024):
-            ids += [x + end for x in enc.encode(b.column(0).slice(a, 1024).to_pylist())]
-        return {"ids": ids, "n": [len(x) // 2 for x in ids], "crc": [zlib.crc32(x) for x in ids]}
-
-    fields = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("crc", T.LongType())])
+    def tokens(batches):
+        enc = encoder(path, kind)
+        for b in batches:
+            ids = []
+            for a in range(0, b.num_rows, 1024):
+                ids += [x + end for x in enc.encode(b.column(1).slice(a, 1024).to_pylist())]
+            # the text stays behind: sending it back costs more than the ids
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64()),
+                 pa.array([zlib.crc32(x) for x in ids], pa.int64())], names=["doc_id", "ids", "n", "crc"])
+
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return written(python_column(slim, ["text"], "t", fields, tokens).select("doc_id", "t.*"), "tokens")
+    schema = T.StructType([slim.schema["doc_id"], T.StructField("ids", T.BinaryType()),
+                           T.StructField("n", T.LongType()), T.StructField("crc", T.LongType())])
+    return written(slim.mapInArrow(tokens, schema), "tokens")
 
 
 def id_counts(tokens: DataFrame, per_document: bool = False) -> np.ndarray:

@@ -52,6 +52,13 @@ def unit_hash(*cols: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(16 ** 13))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """At most BATCH rows in an Arrow batch: texts may be long, so few rows bound a worker's memory."""
+    conf, key = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH:
+        conf.set(key, str(BATCH))
+
+
 def python_column(df: DataFrame, inputs: list[str], name: str, fields: T.StructType,
                   fn: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """`df` with a struct column `name` computed per Arrow batch, all other columns passed through.
@@ -59,10 +66,7 @@ def python_column(df: DataFrame, inputs: list[str], name: str, fields: T.StructT
     `fn` gets the columns `inputs` as a record batch and returns a list or
     Arrow array for each field.
     """
-    # texts may be long: few rows a batch bound a worker's memory
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH:
-        conf.set(key, str(BATCH))
+    small_batches(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField(name, fields)])
     kinds = _arrow(fields)
     at = [df.columns.index(c) for c in inputs]
