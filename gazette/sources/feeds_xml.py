@@ -17,7 +17,7 @@ from ..functions.times import parse_feed_time
 
 RSS_SCHEMA = ("title string, link string, description string, pubDate string, "
               "source struct<_VALUE: string, _url: string>, _corrupt_record string, feed_id int")
-ATOM_SCHEMA = ("title string, link struct<_href: string>, summary string, published string, "
+ATOM_SCHEMA = ("title string, link array<struct<_href: string, _rel: string>>, summary string, published string, "
                "updated string, source struct<title: string>, _corrupt_record string, feed_id int")
 
 
@@ -43,7 +43,9 @@ def read_rss(spark: SparkSession, path: str) -> DataFrame:
 def read_atom(spark: SparkSession, path: str) -> DataFrame:
     raw = (spark.read.format("xml").option("rowTag", "entry")
            .option("mode", "PERMISSIVE").schema(ATOM_SCHEMA).load(path))
-    return _entries(raw, F.col("link._href"), F.col("summary"), F.col("published"),
+    # the entry's own page: the first link that is `alternate`, which is also what no rel means
+    pages = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    return _entries(raw, F.get(pages, F.lit(0))["_href"], F.col("summary"), F.col("published"),
                     F.col("updated"), F.col("source.title"))
 
 
