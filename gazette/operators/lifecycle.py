@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.fixed import (MAX_RETRIES, STALE_AFTER_HOURS, STATUS_DONE,
                                STATUS_ERROR, STATUS_NEW, STATUS_QUEUED)
 from ..functions.text import reader_title
-from .common import is_small, maybe_broadcast
 
 
 def stale(articles: DataFrame, now: Column, hours: int = STALE_AFTER_HOURS) -> Column:
@@ -48,12 +47,22 @@ def claim(articles: DataFrame, picked: DataFrame, now: Column) -> DataFrame:
     }).drop("_pid")
 
 
-def save_content(articles: DataFrame, captures: DataFrame, now: Column,
-                 max_broadcast_rows: int = 2_000_000) -> DataFrame:
-    """Captured pages set html, reader title and status D (any status)."""
-    c = captures.select(F.col("id").alias("_cid"), reader_title(F.col("title")).alias("_title"),
-                        F.col("html").alias("_html"))
-    j = articles.join(maybe_broadcast(c, is_small(c, max_broadcast_rows)), articles.id == c._cid, "left")
+def unknown_captures(articles: DataFrame, captures: DataFrame) -> DataFrame:
+    """Captures whose id no article has (``save_content`` leaves them out)."""
+    return captures.join(articles.select("id"), "id", "left_anti")
+
+
+def save_content(articles: DataFrame, captures: DataFrame, now: Column, time_col: str | None = None) -> DataFrame:
+    """Captured pages set html, reader title and status D (any status).
+
+    Of several captures of one id the latest by ``time_col`` counts; ties, and
+    captures without a time, go to the greatest (title, html). Pages carry
+    html, so no broadcast is asked for."""
+    page = F.struct("title", "html")
+    order = F.struct(time_col, "title", "html") if time_col else page
+    c = captures.groupBy(F.col("id").alias("_cid")).agg(F.max_by(page, order).alias("_page")).select(
+        "_cid", reader_title(F.col("_page.title")).alias("_title"), F.col("_page.html").alias("_html"))
+    j = articles.join(c, articles.id == c._cid, "left")
     hit = F.col("_cid").isNotNull()
     return j.withColumns({
         "html": F.when(hit, F.col("_html")).otherwise(F.col("html")),
