@@ -3,7 +3,8 @@
 A ``rate`` source is used only as a clock: each trigger runs ``reschedule``
 (``now`` = the trigger's processing time) on the newest article snapshot and
 commits the next version. The trigger period reproduces the reference's
-hourly timer; the rows of the rate source are ignored.
+hourly timer; the rows of the rate source are ignored. It must not run on a
+table that a stream numbers by its own batches (``streaming.refresh``).
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.lifecycle import reschedule
-from ..sources.snapshots import latest, write_version
+from ..sources.snapshots import latest, versions, write_version
 
 
 def start_reschedule_stream(spark: SparkSession, articles_root: str, checkpoint: str,
@@ -21,10 +22,10 @@ def start_reschedule_stream(spark: SparkSession, articles_root: str, checkpoint:
     clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
 
     def run_batch(_: DataFrame, epoch: int) -> None:
-        cur = latest(spark, articles_root, at_most=epoch)
-        if cur is None:
-            return
-        write_version(reschedule(cur, F.current_timestamp()), articles_root, epoch + 1)
+        known = versions(spark, articles_root)
+        if known:
+            # after the newest version, whoever wrote it; a replay finds nothing stale any more
+            write_version(reschedule(latest(spark, articles_root), F.current_timestamp()), articles_root, known[-1] + 1)
 
     w = clock.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(once=True) if once else w.trigger(processingTime=period)

@@ -6,7 +6,8 @@ and against each other in (create_time, id) order with the same blocked join
 as the batch operator (word-set pairs and running counts; article pairs
 are never formed), append (id, importance) to the output folder
 (one sub-folder per batch id, overwritten on replay), insert the new articles
-if absent, and evict rows with ``create_time <= max_time - window``.
+if absent, and evict rows with ``create_time <= max_time - window``, where
+``max_time`` is the processing time at most.
 
 Event time is used for both "now" and order (strict window). A native
 alternative is a stream-stream interval join with a 12 h watermark; it
@@ -39,13 +40,17 @@ def start_similarity_stream(spark: SparkSession, articles_dir: str, articles_sch
         recent = latest(spark, state_root, at_most=epoch)
         if recent is None:
             recent = spark.createDataFrame([], STATE_SCHEMA)
-        new = cut_lineage(prepare(batch))
+        # the first article of an id counts, also within the batch
+        rows = prepare(batch)
+        first = rows.groupBy("id").agg(F.min_by(F.struct(*rows.columns), F.struct("ct", "site", "words")).alias("r"))
+        new = cut_lineage(first.select("r.*"))
         fresh = new.join(recent.select("id"), "id", "left_anti")
         combined = recent.unionByName(fresh)
         out = importance_counted(combined, threshold, window_hours, prepared=True,
                                  only=new.select("id"))
         out.write.mode("overwrite").parquet(f"{out_root.rstrip('/')}/batch={epoch}")
-        horizon = combined.agg(F.max("ct").alias("m"))
+        # an article dated in the future must not push the window's present ones out
+        horizon = combined.agg(F.least(F.max("ct"), F.current_timestamp()).alias("m"))
         kept = combined.join(F.broadcast(horizon), F.col("ct") > F.col("m") - F.expr(
             f"INTERVAL {int(window_hours)} HOURS")).drop("m")
         write_version(kept, state_root, epoch + 1)

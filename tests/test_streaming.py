@@ -70,8 +70,27 @@ def test_reschedule_timer_job(spark):
     rows = [(1, "Q", 0), (2, "Q", 2), (3, "N", 0)]
     arts = spark.createDataFrame(rows, "id long, status string, retries int") \
         .withColumn("update_time", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
-    write_version(arts, f"{root}/articles", 0)
+    write_version(arts.limit(0), f"{root}/articles", 0)
+    write_version(arts, f"{root}/articles", 2)
     q = start_reschedule_stream(spark, f"{root}/articles", f"{root}/ckpt", once=True)
     q.awaitTermination()
     got = {r.id: (r.status, r.retries) for r in latest(spark, f"{root}/articles").collect()}
     assert got == {1: ("N", 1), 2: ("E", 3), 3: ("N", 0)}
+
+
+def test_stream_similarity_repeats_and_future_dates(spark):
+    from gazette.sources.snapshots import latest
+    from gazette.streaming.similar import read_output, start_similarity_stream
+    root = tempfile.mkdtemp(prefix="gz-rep-")
+    title = "Storm floods northern harbour towns"
+    rows = [(1, "2024-02-05 10:00:00", title, "http://a.example/1"), (1, "2024-02-05 10:05:00", title, "http://a.example/1"),
+            (2, "2024-02-05 11:00:00", title, "http://b.example/2"), (3, "2124-01-01 00:00:00", "Other words entirely", "http://c.example/3")]
+    df = spark.createDataFrame(rows, "id long, t string, title string, uri string") \
+        .select("id", F.to_timestamp("t").alias("create_time"), "title", "uri")
+    df.coalesce(1).write.parquet(f"{root}/in/0")
+    start_similarity_stream(spark, f"{root}/in/*", df.schema, f"{root}/state", f"{root}/out", f"{root}/ckpt").awaitTermination()
+    out = read_output(spark, f"{root}/out").collect()
+    assert sorted(r.id for r in out) == [1, 2, 3]
+    assert {r.id: r.importance for r in out}[2] == 1
+    # the horizon is the processing time, so the future article stays and does not bound the window itself
+    assert {r.id for r in latest(spark, f"{root}/state").collect()} == {3}
