@@ -19,7 +19,9 @@ Scale: the text is read once for sizes. Sorting a source that holds a third of
 all rows would need one task, so keys are first cut into BUCKETS ranges: sums by
 (source, range) combine on the map side, and only the range on the border is
 sorted. Each source then has one cut (a key and doc_id), and every document
-decides for itself by a join with the few rows of the plan.
+decides for itself by a join with the plan, one row per source: the plans of up
+to HOT sources are broadcast, so no document of a frequent source is shuffled,
+and beyond that number the small sources' documents join theirs by a shuffle.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from gazette.llm.util import WORD, free_name, load, unit_hash, written
 WEIGHTS, MAX_EPOCHS = (1, 2, 3), 3
 #: Ranges of the key, by 1 - exp(-key), which spreads keys of quality 1 evenly.
 BUCKETS = 4096
+#: Sources whose plan is sent to every task, at most.
+HOT = 10_000
 #: Characters of a usual word and the space after it.
 USUAL = 6
 
@@ -103,9 +107,20 @@ def plan(slim: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int =
 
 
 def taken(rows: DataFrame, mix: str, plan_: DataFrame, name: str = "plan") -> DataFrame:
-    """`rows` with a struct `name`: the source's plan, and times, how often the mix takes the document."""
+    """`rows` with a struct `name`: the source's plan, and times, how often the mix takes the document.
+
+    `plan_` is a written table, for it is read more than once.
+    """
     p = plan_.select(F.struct("*").alias(name))
-    joined = rows.join(p, F.col(f"{mix}.source").eqNullSafe(F.col(f"{name}.source")))
+    same = F.col(f"{mix}.source").eqNullSafe(F.col(f"{name}.source"))
+    # HOT rows at most: all sources if there are so few, else those that hold a share of 1 / HOT of all words
+    n, words = plan_.agg(F.count("*"), F.sum("source_size")).first()
+    often = F.lit(True) if n <= HOT else F.col(f"{name}.source_size") * HOT > words
+    joined = rows.join(F.broadcast(p.where(often)), same)
+    if n > HOT:
+        # the others are many and small each: their documents alone are shuffled, by source
+        few = p.where(~often)
+        joined = joined.unionByName(rows.join(F.broadcast(p.where(often)), same, "left_anti").join(few, same))
     m, q = lambda c: F.col(f"{mix}.{c}"), lambda c: F.col(f"{name}.{c}")
     drawn = F.coalesce((m("bucket") < q("border")) | ((m("bucket") == q("border")) & (F.struct(m("key"), m("doc_id")) <= q("cut"))), F.lit(False))
     return joined.withColumn(name, F.struct(f"{name}.*", (q("epochs") + drawn.cast("long")).alias("times")))
@@ -115,7 +130,7 @@ def mixed(docs: DataFrame, quality: Column | None = None, weights: Sequence[floa
     """The mix itself: each document as often as it is taken, with the columns it came with."""
     m, p, k = free_name(docs, "mix"), free_name(docs, "plan"), free_name(docs, "copy")
     rows = keyed(docs, quality, name=m)
-    plan_ = plan(written(rows.select(f"{m}.*"), "mix"), weights, max_epochs)
+    plan_ = written(plan(written(rows.select(f"{m}.*"), "mix"), weights, max_epochs), "mix-plan")
     out = taken(rows, m, plan_, p).where(F.col(f"{p}.times") > 0)
     return out.withColumn(k, F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{p}.times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -124,7 +139,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: how many words the mix takes of every document."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
     slim = written(keyed(docs).select("mix.*"), "mix")
-    rows = taken(slim.select(F.struct("*").alias("mix")), "mix", plan(slim))
+    rows = taken(slim.select(F.struct("*").alias("mix")), "mix", written(plan(slim), "mix-plan"))
     return rows.select("mix.doc_id", "mix.size", "plan.source_size", "plan.target", (F.col("mix.size") * F.col("plan.times")).alias("taken"))
 
 

@@ -119,6 +119,13 @@ def test_op2_counts_and_hosts(spark, docs, empty):
     assert kept == {0, *range(100, 130)}
 
 
+def test_op3_many_sources(docs, monkeypatch):
+    from gazette.llm import mixing as m
+    usual = sorted(map(repr, m.mixed(docs).collect()))
+    monkeypatch.setattr(m, "HOT", 2)
+    assert sorted(map(repr, m.mixed(docs).collect())) == usual
+
+
 def test_op3_mixing(spark, docs, empty):
     from gazette.llm import mixing as m
     slim = m.keyed(docs).select("mix.*")
