@@ -188,6 +188,16 @@ def test_op5_license_scan(docs, empty):
     assert out[110].base_labels == [] and out[110].score == 0 and s.licences(empty).count() == 0
 
 
+def test_op5_commoner_notice_beside_rarer_ones(spark):
+    from gazette.llm import license_scan as s
+    notice = {label: text for label, text, _ in s.TEMPLATES}
+    four = " -- ".join(notice[x] for x in ("mit", "bsd", "mpl", "cc-by"))
+    made = [(0, four), *[(i, notice["mit"]) for i in range(1, 20)], *[(i, "nothing of the kind") for i in range(20, 60)]]
+    out = {r.doc_id: r for r in s.licences(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert sorted(out[0].method_labels) == ["bsd", "cc-by", "mit", "mpl"] and out[0].score == 1.0
+    assert out[1].method_labels == ["mit"] and out[20].method_labels == []
+
+
 def test_op6_secret_scan(docs, empty):
     from gazette.llm import secret_scan as s
     out = {r.doc_id: r.secrets for r in s.with_secrets(docs).collect()}
