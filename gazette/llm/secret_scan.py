@@ -5,9 +5,15 @@ Base spans come from three patterns over the whole text. The method adds
 made of, WINDOW or longer) a window of WINDOW characters slides along while the
 counts of its characters are kept up to date, one in and one out, so the Shannon
 entropy of every window costs two updates. Hex and base64 runs have thresholds
-of their own; overlapping windows above it join into one span. An allow-list
-drops what is random-looking but public (UUIDs, placeholders, alphabets,
-checksums of subresources).
+of their own; overlapping windows above it join into one span. So have keys of
+other alphabets (KEYS: lower or upper case, with or without digits, both, base64
+with its signs), by the characters a window holds; runs of SHORTEST to WINDOW
+characters are one window. As smaller alphabets reach the entropy of long words,
+such a window's letters and changes of case must also be nearer to chance than to
+text (`_ODDS`, `_TURN`, `_STAY`, in bits). An allow-list drops what is
+random-looking but public (UUIDs, placeholders, alphabets, checksums of
+subresources). Both thresholds are low quantiles of random strings, so a few keys
+in a hundred of the least length are still missed, and a rare long word is found.
 
 Spans are code points, end exclusive. Defined cases: null text is empty and has
 no spans; repeated rows are scanned each; an empty table gives an empty result;
@@ -41,6 +47,67 @@ ALLOW = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|(?i:ex
                    r"|(?i:abcdefgh|ijklmnop|qrstuvwx)|0123456789|1234567890|sha(?:256|384|512)-")
 _TERM = [n * math.log2(n) if n else 0.0 for n in range(WINDOW + 1)]
 
+#: Least length of a key; shorter than WINDOW, the whole run is its window.
+SHORTEST = 16
+_SHORT_HEX = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{16,19}(?![0-9A-Za-z])")
+_PLAIN, _SIGNED = re.compile(r"[A-Za-z0-9]{16,}"), re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Bits by which a letter speaks for chance: its share in (Western European) text against 1 / 26.
+_SHARES = dict(zip("abcdefghijklmnopqrstuvwxyz", (8.0, 1.6, 3.4, 4.5, 14.5, 1.5, 1.9, 3.2, 7.3, 0.4, 0.7, 4.7, 2.9, 7.8, 6.0, 2.4, 0.6, 6.6, 7.0, 7.0,
+                                                  4.8, 1.4, 1.2, 0.3, 0.9, 0.6)))
+_ODDS = {k: math.log2(sum(_SHARES.values()) / 26 / v) for c, v in _SHARES.items() for k in (c, c.upper())}
+#: The same of two neighbours: of different kinds, of one kind, one of them a sign.
+_TURN, _STAY, _SIGN = 2.0, -0.85, -1.0
+#: Kinds of characters as bits: lower case, upper case, digit, sign.
+_KIND = {chr(c): 1 if c >= 97 else 2 if c >= 65 else 4 for c in [*range(48, 58), *range(65, 91), *range(97, 123)]} | dict.fromkeys("+/_=-", 8)
+#: By the kinds in a window, for SHORTEST to WINDOW characters: least entropy (lowest 1 % of random strings, 8,000 each) and least bits
+#: for chance (lowest 2 %, of one case alone 5 %). Upper case with digits is fitted to base32.
+KEYS = {
+    1: [(2.98, -12.0), (3.05, -12.9), (3.08, -13.1), (3.14, -13.8), (3.2, -14.1)],
+    2: [(2.98, -12.4), (3.05, -12.7), (3.08, -13.4), (3.17, -13.7), (3.24, -14.4)],
+    3: [(3.28, 2.7), (3.38, 2.8), (3.41, 3.9), (3.51, 4.5), (3.58, 5.3)],
+    5: [(3.14, -3.0), (3.21, -3.1), (3.28, -2.9), (3.32, -2.6), (3.38, -2.2)],
+    6: [(3.07, -5.7), (3.17, -5.7), (3.23, -5.9), (3.28, -5.7), (3.34, -6.4)],
+    7: [(3.37, 7.4), (3.45, 8.4), (3.5, 9.2), (3.57, 10.0), (3.64, 11.1)],
+    15: [(3.4, 2.5), (3.45, 3.1), (3.57, 4.0), (3.57, 4.8), (3.64, 6.1)],
+}
+#: Least entropy of hex runs of SHORTEST to WINDOW - 1 characters.
+SHORT_HEX = [2.68, 2.72, 2.81, 2.83]
+
+
+def _pair(a: str, b: str) -> float:
+    x, y = _KIND[a], _KIND[b]
+    return _SIGN if 8 in (x, y) else _TURN if x != y else _STAY
+
+
+def _key_windows(run: str, signed: bool) -> list[list[int]]:
+    """Joined windows of `run` that look like keys of their alphabet; only those with a sign, or only those without."""
+    w = min(WINDOW, len(run))
+    limits = {k: ((math.log2(w) - e) * w, least) for k, v in KEYS.items() if (k >= 8) == signed for e, least in [v[w - SHORTEST]]}
+    counts, kinds = dict.fromkeys(run, 0), {1: 0, 2: 0, 4: 0, 8: 0}
+    total, bits, out = 0.0, 0.0, []
+    for i, c in enumerate(run):
+        if i >= w:
+            gone = run[i - w]
+            n = counts[gone]
+            total += _TERM[n - 1] - _TERM[n]
+            counts[gone] = n - 1
+            kinds[_KIND[gone]] -= 1
+            bits -= _ODDS.get(gone, 0.0) + _pair(gone, run[i - w + 1])
+        n = counts[c]
+        total += _TERM[n + 1] - _TERM[n]
+        counts[c] = n + 1
+        kinds[_KIND[c]] += 1
+        bits += _ODDS.get(c, 0.0) + (_pair(run[i - 1], c) if i else 0.0)
+        if i >= w - 1:
+            most, least = limits.get(sum(k for k, n in kinds.items() if n), (-1.0, 0.0))
+            if total <= most and bits >= least:
+                a = i - w + 1
+                if out and a < out[-1][1]:
+                    out[-1][1] = i + 1
+                else:
+                    out.append([a, i + 1])
+    return out
+
 
 def entropy_spans(text: str) -> list[tuple[int, int]]:
     """Stretches of candidate strings whose windows reach their class's entropy, without the allowed ones."""
@@ -48,6 +115,12 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
     for runs, least, few in CLASSES:
         for run in runs.finditer(text):
             out += [(run.start() + a, run.start() + z) for a, z in _windows(run.group(), least, few)]
+    for runs, signed in ((_PLAIN, False), (_SIGNED, True)):
+        for run in runs.finditer(text):
+            out += [(run.start() + a, run.start() + z) for a, z in _key_windows(run.group(), signed)]
+    for run in _SHORT_HEX.finditer(text):
+        if _short_hex(run.group()):
+            out.append(run.span())
     spans = []
     for a, z in sorted(out):
         if spans and a < spans[-1][1]:
@@ -57,6 +130,13 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
     return [(a, z) for a, z in spans if not ALLOW.search(text, max(0, a - 8), z + 8)]
 
 
+def _short_hex(run: str) -> bool:
+    """Whether a hex run shorter than WINDOW looks random: SHORT_HEX bits, and digits and letters as in a window."""
+    entropy = math.log2(len(run)) - sum(_TERM[run.count(c)] for c in set(run)) / len(run)
+    digits = sum(c.isdigit() for c in run)
+    return entropy >= SHORT_HEX[len(run) - SHORTEST] and min(digits, len(run) - digits) >= CLASSES[0][2]
+
+
 def _windows(run: str, least: float, few: int) -> list[list[int]]:
     """Joined windows of `run` with `least` bits a character, and `few` digits and letters at least."""
     counts: dict[str, int] = {}

@@ -227,6 +227,29 @@ def test_op6_secret_scan(docs, empty):
     assert masked[100].n_chars == 5 and s.mask_secrets(empty).columns == empty.columns
 
 
+@pytest.mark.parametrize("alphabet,least", [
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.93), ("abcdefghijklmnopqrstuvwxyz0123456789", 0.93), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 0.93),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 0.93), ("abcdefghijklmnopqrstuvwxyz", 0.88), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.88), ("0123456789abcdef", 0.93)])
+def test_op6_random_keys(alphabet, least):
+    from gazette.llm import secret_scan as s
+    rnd = random.Random(8)
+    for n in (16, 17, 19, 20, 24, 32, 40):
+        found = [s.find_secrets("here is " + "".join(rnd.choices(alphabet, k=n)) + ", a key") for _ in range(400)]
+        assert sum(map(bool, found)) >= least * 400, n
+        assert all(8 <= a < z <= 8 + n for f in found for _, a, z in f)
+
+
+def test_op6_clean_text(spark):
+    from gazette.llm import secret_scan as s
+    for word in ("internationalization", "Geschwindigkeitsbegrenzung", "anticonstitutionnellement", "getElementsByTagNameNS", "XMLHttpRequestEventTarget",
+                 "MAX_CONNECTION_RETRY_COUNT_2024", "state-of-the-art-2024-Edition", "covid19vaccination2021", "9807915762804490", "src/main/java/org/Foo2/FooBar"):
+        assert s.find_secrets(f"a {word} b") == []
+    # runs of letters alone in the given texts are words: one in fifty may look like a key
+    given = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    words = {w for t in given for w in re.findall(r"[A-Za-z]{16,}", t or "")}
+    assert len(words) > 50 and 50 * sum(bool(s.find_secrets(w)) for w in words) <= len(words)
+
+
 def brute_groups(data, percent):
     sets = []
     for _, t in data:
