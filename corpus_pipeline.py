@@ -29,8 +29,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the sources' targets take them."""
-    return mixing.mixed(docs)
+    """Documents as often as the sources' targets take them, by their quality in ``labels``."""
+    return mixing.mixed(docs, labels=load(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

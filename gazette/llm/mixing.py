@@ -6,14 +6,15 @@ water level is found in closed form from the sources sorted by where they
 fill up). A source is taken whole as many times as its target holds it; the
 remaining budget is drawn without replacement: every document has the key
 -ln(u) / weight with u from a hash of its doc_id and a weight from its quality
-(by default how usual its mean word length is, as a row must decide for itself),
-keys are sorted within the source, and sizes are summed along them up to the budget. The document on the
+(by default how usual its mean word length is; `mixed` takes labels by doc_id
+instead), keys are sorted within the source, and sizes are summed along them up to the budget. The document on the
 border is taken if that comes nearer, so a source misses its target by half a
 document at most.
 
 Defined cases: null or empty text has size 0; null sources come last; rows that
 repeat a doc_id share a key and are taken or left together; a null quality is
-neutral; an empty table gives an empty result. Reruns agree.
+neutral, and so is a missing label; an empty table gives an empty result. Reruns
+agree.
 
 Scale: the text is read once for sizes. Sorting a source that holds a third of
 all rows would need one task, so keys are first cut into BUCKETS ranges: sums by
@@ -21,7 +22,9 @@ all rows would need one task, so keys are first cut into BUCKETS ranges: sums by
 sorted. Each source then has one cut (a key and doc_id), and every document
 decides for itself by a join with the plan, one row per source: the plans of up
 to HOT sources are broadcast, so no document of a frequent source is shuffled,
-and beyond that number the small sources' documents join theirs by a shuffle.
+and beyond that number the small sources' documents join theirs by a shuffle. Labels
+meet the slim rows (doc_id, source, size); with them, texts are shuffled once, to
+meet (doc_id, source, times), and are not sorted.
 """
 
 from __future__ import annotations
@@ -49,16 +52,30 @@ def word_length_quality(text: str = "text") -> Column:
     return F.when(size > 0, F.greatest(1 - F.abs(F.length(text) / size - USUAL) / USUAL, F.lit(0.0)))
 
 
+def words(text: str = "text") -> Column:
+    """The size of a text."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, source, size, key, bucket) of `docs`, with quality from labels (doc_id, quality 0 to 1), averaged if repeated."""
+    slim = written(docs.select("doc_id", "source", words().alias("size")), "mix-sizes").alias("s")
+    mean = labels.where("doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("quality")).alias("q")
+    slim = slim.join(mean, F.col("s.doc_id") == F.col("q.doc_id"), "left").select("s.*", "quality")
+    return keyed(slim, F.col("quality"), size=F.col("size")).select("mix.*")
+
+
 def keyed(docs: DataFrame, quality: Column | None = None, doc_id: str = "doc_id", source: str = "source",
-          text: str = "text", name: str = "mix") -> DataFrame:
+          text: str = "text", name: str = "mix", size: Column | None = None) -> DataFrame:
     """`docs` with a struct (doc_id, source, size, key, bucket). quality: 0 to 1, by default of word_length_quality.
 
     Quality 1 makes a document four times as likely as quality 0; null counts as 1/3.
+    With both quality and size given, the text is not needed.
     """
     weight = F.coalesce(0.5 + 1.5 * (word_length_quality(text) if quality is None else quality), F.lit(1.0))
     key = -F.log(unit_hash(F.col(doc_id))) / weight
     bucket = F.least(F.floor((1 - F.exp(-key)) * BUCKETS), F.lit(BUCKETS - 1))
-    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    size = words(text) if size is None else size
     return docs.withColumn(name, F.struct(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"),
                                           key.alias("key"), bucket.alias("bucket")))
 
@@ -126,9 +143,22 @@ def taken(rows: DataFrame, mix: str, plan_: DataFrame, name: str = "plan") -> Da
     return joined.withColumn(name, F.struct(f"{name}.*", (q("epochs") + drawn.cast("long")).alias("times")))
 
 
-def mixed(docs: DataFrame, quality: Column | None = None, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns it came with."""
+def mixed(docs: DataFrame, quality: Column | None = None, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS,
+          labels: DataFrame | None = None) -> DataFrame:
+    """The mix itself: each document as often as it is taken, with the columns it came with.
+
+    labels: (doc_id, quality 0 to 1) instead of `quality`.
+    """
     m, p, k = free_name(docs, "mix"), free_name(docs, "plan"), free_name(docs, "copy")
+    if labels is not None:
+        slim = written(labelled(docs, labels), "mix")
+        plan_ = written(plan(slim, weights, max_epochs), "mix-plan")
+        # rows of a doc_id and source share a key, so they are taken equally often
+        times = taken(slim.select(F.struct("*").alias("mix")), "mix", plan_) \
+            .select(F.struct("mix.doc_id", "mix.source", "plan.times").alias(p)).where(F.col(f"{p}.times") > 0).distinct()
+        same = F.col("doc_id").eqNullSafe(F.col(f"{p}.doc_id")) & F.col("source").eqNullSafe(F.col(f"{p}.source"))
+        out = docs.join(times.hint("shuffle_hash"), same)
+        return out.withColumn(k, F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{p}.times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
     rows = keyed(docs, quality, name=m)
     plan_ = written(plan(written(rows.select(f"{m}.*"), "mix"), weights, max_epochs), "mix-plan")
     out = taken(rows, m, plan_, p).where(F.col(f"{p}.times") > 0)

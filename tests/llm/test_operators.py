@@ -158,6 +158,41 @@ def test_op3_mixing(spark, docs, empty):
     assert clash.columns == [*docs.columns, "mix", "plan"] and clash.count() == sum(r.times for r in out)
 
 
+def test_pipeline_mixes_by_labels(spark, empty):
+    import hashlib
+
+    import corpus_pipeline as p
+    from gazette.llm import mixing as m
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    given, marks = docs.collect(), collections.defaultdict(list)
+    for r in spark.read.parquet(f"{d}/labels.parquet").collect():
+        marks[r.doc_id].append(r.quality)
+    size = {r.doc_id: len(WORD.findall(r.text or "")) for r in given}
+    unit = lambda i: (int(hashlib.md5(str(i).encode()).hexdigest()[:13], 16) + 0.5) / 16 ** 13
+    known = lambda i: [q for q in marks[i] if q is not None]
+    key = {i: -math.log(unit(i)) / (0.5 + 1.5 * sum(known(i)) / len(known(i)) if known(i) else 1.0) for i in size}
+    target = {r.source: r.target for r in m.plan(m.keyed(docs).select("mix.*")).collect()}
+    want = collections.Counter()
+    for s in target:
+        mine = sorted((r.doc_id for r in given if r.source == s), key=lambda i: (key[i], i))
+        whole = sum(size[i] for i in mine)
+        epochs = int(target[s] // whole) if whole else 0
+        upto, rest = 0, target[s] - epochs * whole
+        for i in mine:
+            upto += size[i]
+            want[i] = epochs + (2 * upto - size[i] <= 2 * rest)
+    got = collections.Counter(r.doc_id for r in p.mix_sources(spark, docs, d).collect())
+    assert got == +want
+    # repeated and null ids, and clashing columns
+    made = spark.createDataFrame(rows(), SCHEMA)
+    neutral = sorted(map(repr, m.mixed(made, F.lit(None).cast("double")).collect()))
+    none = spark.createDataFrame([(None, 1), (10 ** 9, 0)], "doc_id long, quality int")
+    assert sorted(map(repr, m.mixed(made, labels=none).collect())) == neutral
+    clash = m.mixed(made.withColumn("mix", F.lit(1)).withColumn("plan", F.lit(1)), labels=none)
+    assert clash.columns == [*made.columns, "mix", "plan"] and clash.count() == len(neutral) and m.mixed(empty, labels=none).count() == 0
+
+
 def test_op4_exact_topk(spark, monkeypatch):
     from gazette.llm import exact_topk as e
     rng = np.random.default_rng(1)
