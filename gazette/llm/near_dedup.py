@@ -17,8 +17,9 @@
    ones, joins as it goes, and returns only the links that join two components:
    fewer than it has classes. Pairs are never written out.
 
-Only the banding can miss a link, with probability (1 - s**ROWS)**BANDS, which is
-6e-11 at a similarity of 0.85.
+The banding misses a link with probability (1 - s**ROWS)**BANDS, 6e-11 at a
+similarity of 0.85 and 5e-8 at 0.80; the estimate, at that threshold, with 7e-13
+and 1.2e-13 (exact binomial of the unequal fields). Their sum is what can be missed.
 
 Defined cases: null or empty text, or one without words, is linked with nothing;
 fewer than 5 words are one shingle; repeated rows are members of one class; a
@@ -48,7 +49,7 @@ from gazette.llm.util import WORD, free_name, load, python_column, written
 SHINGLE = 5
 BANDS, ROWS, BITS = 32, 4, 4
 PERMS = BANDS * ROWS
-MARGIN = 5.0
+MARGIN = 8.0
 #: Classes of a block; a task holds two blocks at most.
 TILE = 1024
 #: Text bytes hashed at a time.

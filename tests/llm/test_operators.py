@@ -331,6 +331,16 @@ def test_op7_estimate_corrects_for_chance():
     assert abs((m[0] == m[1]).mean() - 0.6) < 0.15
 
 
+@pytest.mark.parametrize("share", [0.80, 0.85])
+def test_op7_estimate_loses_less_than_the_bands(share):
+    from gazette.llm import near_dedup as n
+    chance = 2.0 ** -n.BITS
+    floor = share - n.MARGIN * math.sqrt(share * (1 - share) / n.PERMS) / (1 - chance)
+    most, p = n.PERMS * (1 - floor) * (1 - chance), (1 - share) * (1 - chance)
+    lost = sum(math.comb(n.PERMS, k) * p ** k * (1 - p) ** (n.PERMS - k) for k in range(math.floor(most) + 1, n.PERMS + 1))
+    assert lost < 1e-12 < (1 - share ** n.ROWS) ** n.BANDS
+
+
 def test_op8_url_filter(spark):
     from gazette.llm import url_filter as u
     urls = [None, "", "no scheme", "http://EXAMPLE.org/es/1?x#y", "https://a.example.org/en/12", "http://example.org", "http://x.org/", "ftp://b.com/fr/",
