@@ -151,14 +151,14 @@ def _cut(rows: DataFrame, key: list[str], most: int) -> DataFrame:
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
                    most: int = MAX_LABELLED) -> DataFrame:
-    """(text, label) of `most` labelled documents at most, none of the held-out fold; written once."""
+    """(id, text, label) of `most` labelled documents at most, none of the held-out fold; written once."""
     known = labels.where(F.col(doc_id).isNotNull() & ~held_out(doc_id)).groupBy(F.col(doc_id).alias("id")).agg(F.avg(F.col(label).cast("double")).alias("label"))
     known = _cut(written(known.where("label is not null"), "labels"), ["id"], most)
     # `most` rows at most: broadcast
     found = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(known), "id")
     found = found.withColumn("h", F.sha2("text", 256))
     # a doc_id may have several texts
-    return _cut(written(found.dropDuplicates(["id", "h"]), "labelled"), ["id", "h"], most).select("text", "label")
+    return _cut(written(found.dropDuplicates(["id", "h"]), "labelled"), ["id", "h"], most).select("id", "text", "label")
 
 
 def held_out(doc_id: str):
@@ -213,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                     b.column(1).slice(i, len(part)).cast(pa.float64()), pa.ListArray.from_arrays(at, pa.array(place, pa.int32())),
                     pa.ListArray.from_arrays(at, pa.array(w[row, place], pa.float32()))], names=["row", "places", "values"])
 
-    sample = labelled_texts(docs, labels, doc_id, text, label, most).repartition(SAMPLE_PARTS, "text")
+    sample = labelled_texts(docs, labels, doc_id, text, label, most).repartition(SAMPLE_PARTS, "id").select("text", "label")
     rows = written(sample.mapInArrow(sparse, "row double, places array<int>, values array<float>"), "weights")
 
     def product(q):
