@@ -102,6 +102,7 @@ class Composition:
     """
 
     def __init__(self):
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))  # depth is a word's length; frames of Python functions take no C stack
         self.register: dict[tuple, int] = {}
         self.arcs: list[tuple] = [()]
         self.size = [1]
@@ -202,7 +203,6 @@ def near_pairs(group: list[str], length: int, lo: int, hi: int, c: Composition |
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, word, n) rows ordered by key -> (word, n_near, best) for every partition."""
-    sys.setrecursionlimit(1_000_000)  # depth is a word's length; frames of Python functions take no C stack
     names = ["word", "n_near", "best_n", "best"]
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string()]
     c, key, group, out = Composition(), None, {}, []
