@@ -29,6 +29,32 @@ def maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+#: Bytes of a side, as rows in memory, up to which it is broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def row_bytes(df: DataFrame):
+    """Bytes of a row in memory (a Column): fixed-size fields, and what strings, binaries and arrays of numbers hold."""
+    total = F.lit(8 + 8 * len(df.columns)).cast("long")
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+        elif kind == "array":
+            total = total + 8 * F.coalesce(F.size(F.col(f"`{f.name}`")), F.lit(0))
+    return total
+
+
+def fits_bytes(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True if the rows of ``df`` hold at most ``max_bytes`` (one aggregation; call it on written tables)."""
+    return (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= max_bytes
+
+
+def broadcast_if_bytes(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, broadcast if its measured bytes are at most ``max_bytes``; else Spark shuffles."""
+    return F.broadcast(df) if fits_bytes(df, max_bytes) else df
+
+
 def byte_size(text: str) -> int:
     """'134217728', '128m', '128MB', '1g' -> bytes."""
     t = str(text).strip().lower().rstrip("b")

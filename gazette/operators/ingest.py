@@ -16,8 +16,8 @@ transaction per entry. As a set-based plan:
 6. feeds: mark = max accepted dated time, unchanged when none.
 
 Only the accepted entries are shuffled; the article table is probed through
-a broadcast of the per-URI hit counts when their number is under the bound,
-else through a shuffle join.
+a broadcast of the accepted URIs when their bytes are under the bound, else
+through a shuffle join.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import STATUS_NEW
 from ..functions.times import entry_time
 from ..functions.urls import is_blocked, strip_query
-from .common import broadcast_if_small, is_small, maybe_broadcast, spread
+from .common import BROADCAST_BYTES, broadcast_if_bytes, broadcast_if_small, spread
 from .titles import is_news_title
 
 ARTICLE_COLUMNS = ["id", "create_time", "update_time", "feed_id", "uri", "status",
@@ -36,8 +36,9 @@ ARTICLE_COLUMNS = ["id", "create_time", "update_time", "feed_id", "uri", "status
 
 
 def article_id(uri: Column) -> Column:
-    """Stable 60-bit id of a new article, from the md5 of its URI."""
-    return F.conv(F.substring(F.md5(uri), 1, 15), 16, 10).cast("long")
+    """Id of a new article: the 128 bits of its URI's md5, as 32 hex digits. Deterministic, so that
+    replays and concurrent jobs give an article the same id; ids are strings for that reason."""
+    return F.md5(uri)
 
 
 def timed_entries(entries: DataFrame, now: Column) -> DataFrame:
@@ -89,65 +90,87 @@ def known_uris(accepted: DataFrame, articles: DataFrame) -> DataFrame:
     return hits.join(articles.select("uri"), "uri", "left_semi")
 
 
-def upsert_articles(articles: DataFrame, accepted: DataFrame, now: Column,
-                    max_broadcast_rows: int = 2_000_000) -> DataFrame:
-    """Insert new URIs (first wins) and count references on known ones.
+def reference_hits(stored: DataFrame, accepted: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(uri, hits, first, known): what one refresh adds to each URI, written once.
 
-    Works on any subset of the article columns: a refresh never touches
-    ``html``, so at scale the refreshed table is the small metadata part and
-    page content is stored apart (append-only). The per-URI hit table of one refresh is small next to the article table:
-    after a row-count check it is broadcast, and the article table is only
-    streamed through broadcast hash joins (no shuffle of stored articles).
+    ``stored`` needs ``uri`` and ``feed_id`` and is scanned once, through a
+    broadcast of the accepted URIs if their bytes are few. An undated entry
+    whose (feed, URI) is stored was seen by an earlier run and adds nothing.
     """
-    # an undated entry already stored for the same feed was seen by an earlier run
-    undated = accepted.filter(~F.col("dated")).select("feed_id", "uri").distinct()
-    small_u = is_small(undated, max_broadcast_rows)
-    seen = (articles.select("feed_id", "uri")
-            .join(maybe_broadcast(undated, small_u), ["feed_id", "uri"], "left_semi")
-            .withColumn("dated", F.lit(False)))
-    acc = accepted.join(maybe_broadcast(seen, small_u), ["feed_id", "uri", "dated"], "left_anti")
+    from ..session import cut_lineage
+    uris = cut_lineage(accepted.select("uri").distinct())
+    found = cut_lineage(stored.select("uri", "feed_id").join(broadcast_if_bytes(uris, max_bytes), "uri", "left_semi"))
+    seen = found.select("uri", "feed_id", F.lit(False).alias("dated"))
+    acc = accepted.join(broadcast_if_bytes(seen, max_bytes), ["uri", "feed_id", "dated"], "left_anti")
     per_uri = acc.groupBy("uri").agg(
-        F.count(F.lit(1)).alias("_hits"),
+        F.count(F.lit(1)).cast("int").alias("hits"),
         F.min_by(F.struct("feed_id", "summary", "source"),
-                 F.struct("feed_id", "publish_time", "entry_pos")).alias("_first"))
-    small = is_small(per_uri, max_broadcast_rows)
-    stored = articles.join(maybe_broadcast(per_uri.select("uri", "_hits"), small), "uri", "left")
+                 F.struct("feed_id", "publish_time", "entry_pos")).alias("first"))
+    known = found.select("uri").distinct().withColumn("known", F.lit(True))
+    hits = per_uri.join(broadcast_if_bytes(known, max_bytes), "uri", "left")
+    return cut_lineage(hits.withColumn("known", F.coalesce("known", F.lit(False))))
+
+
+def article_delta(hits: DataFrame, now: Column) -> DataFrame:
+    """Delta rows of one refresh (``sources.deltas``): references of stored URIs, attributes of new ones."""
+    new = ~F.col("known")
+    only_new = lambda c: F.when(new, c)
+    return hits.select(
+        "uri", "hits", now.alias("update_time"), only_new(F.lit(STATUS_NEW)).alias("status"), only_new(F.lit(0)).alias("retries"),
+        only_new(article_id(F.col("uri"))).alias("id"), only_new(now).alias("create_time"), only_new(F.col("first.feed_id")).alias("feed_id"),
+        only_new(F.col("first.summary")).alias("summary"), only_new(F.col("first.source")).alias("source"))
+
+
+def upsert_articles(articles: DataFrame, accepted: DataFrame, now: Column,
+                    max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Insert new URIs (first wins) and count references on known ones.
+
+    Works on any subset of the article columns. Ids come out as strings (an
+    older store's numbers as their decimal text). This form rewrites the whole
+    table; a table that grows is kept as base and deltas (``sources.deltas``),
+    which take only ``article_delta``. The stored articles are only ever
+    streamed through broadcast hash joins while the refresh's URIs are few.
+    """
+    hits = reference_hits(articles, accepted, max_bytes)
+    old = hits.filter("known").select("uri", F.col("hits").alias("_hits"))
+    stored = articles.join(broadcast_if_bytes(old, max_bytes), "uri", "left")
     hit = F.col("_hits").isNotNull()
     cols = articles.columns       # any subset of ARTICLE_COLUMNS (e.g. without html)
     updated = stored.select(*[
         (F.when(hit, F.col("refs_count") + F.col("_hits")).otherwise(F.col("refs_count"))
          .cast("int").alias(c)) if c == "refs_count" else
         (F.when(hit, now).otherwise(F.col("update_time")).alias(c)) if c == "update_time" else
+        F.col(c).cast("string").alias(c) if c == "id" else
         F.col(c) for c in cols])
-    known = articles.select("uri").join(maybe_broadcast(per_uri.select("uri"), small),
-                                        "uri", "left_semi")
-    fresh = per_uri.join(maybe_broadcast(known, small), "uri", "left_anti").select(
-        article_id(F.col("uri")).alias("id"),
-        now.alias("create_time"), now.alias("update_time"),
-        F.col("_first.feed_id").cast("int").alias("feed_id"),
-        F.col("uri"),
-        F.lit(STATUS_NEW).alias("status"),
-        F.lit(0).alias("retries"),
-        F.lit(None).cast("string").alias("title"),
-        F.col("_first.summary").alias("summary"),
-        F.lit(None).cast("string").alias("html"),
-        F.col("_hits").cast("int").alias("refs_count"),
-        F.col("_first.source").alias("source"))
-    return updated.unionByName(fresh.select(*cols))
-
-
-def feed_marks(feeds: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Feeds with the new high-water mark (max accepted dated time)."""
+    fresh = article_delta(hits.filter(~F.col("known")), now).select(
+        "*", F.col("hits").alias("refs_count"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("html"))
+    return updated.unionByName(fresh.select(*[F.col(c).cast("int").alias(c) if c == "feed_id" else F.col(c) for c in cols]))
+
+
+def feed_marks(feeds: DataFrame, accepted: DataFrame, fetches: DataFrame | None = None) -> DataFrame:
+    """Feeds with the new high-water mark (max accepted dated time).
+
+    ``fetches`` (feed_id, fetched_at, etag, modified), one row per answered
+    request, gives the validators for the next conditional request: those of a
+    feed's latest answer, ties to the greater (etag, modified). A latest answer
+    without validators clears them; a feed without an answer keeps its own.
+    """
     m = (accepted.filter(F.col("dated")).groupBy("feed_id")
          .agg(F.max("publish_time").alias("_new")))
-    j = feeds.join(broadcast_if_small(m), feeds.id == m.feed_id, "left")
-    return j.select(*[
-        F.greatest(F.col("_new"), F.col("last_publish_time")).alias(c)
-        if c == "last_publish_time" else feeds[c] for c in feeds.columns])
+    j = feeds.join(broadcast_if_small(m), feeds.id == m.feed_id, "left").drop("feed_id")
+    taken = {"last_publish_time": F.greatest(F.col("_new"), F.col("last_publish_time"))}
+    if fetches is not None:
+        last = fetches.groupBy(F.col("feed_id").alias("_feed")).agg(
+            F.max_by(F.struct("etag", "modified"), F.struct("fetched_at", "etag", "modified")).alias("_last"))
+        j = j.join(broadcast_if_small(last), j.id == last._feed, "left")
+        for c in ("etag", "modified"):
+            taken[c] = F.when(F.col("_feed").isNotNull(), F.col(f"_last.{c}")).otherwise(F.col(c))
+    return j.select(*[taken[c].alias(c) if c in taken else F.col(c) for c in feeds.columns])
 
 
 def refresh(entries: DataFrame, feeds: DataFrame, articles: DataFrame, now: Column,
-            blocklist: list[str] | None = None, materialize: bool = True):
+            blocklist: list[str] | None = None, materialize: bool = True,
+            fetches: DataFrame | None = None):
     """One refresh: returns (articles', feeds', accepted entries).
 
     With ``materialize`` the accepted entries are checkpointed (shared
@@ -158,7 +181,7 @@ def refresh(entries: DataFrame, feeds: DataFrame, articles: DataFrame, now: Colu
     if materialize:
         from ..session import cut_lineage
         acc = cut_lineage(acc)
-    return upsert_articles(articles, acc, now), feed_marks(feeds, acc), acc
+    return upsert_articles(articles, acc, now), feed_marks(feeds, acc, fetches), acc
 
 
 def feed_errors(entries: DataFrame, feeds: DataFrame) -> DataFrame:

@@ -15,13 +15,10 @@ from ..functions.fixed import (ANONYMOUS_SOURCE, DEFAULT_TOP_N, IMPORTANCE_ICON,
                                PROMOTE_CALLBACK, STATUS_DONE, SUMMARY_LINE_SEPARATOR,
                                SUMMARY_LINE_TEMPLATE)
 from ..functions.text import fill
-from .common import broadcast_if_small, is_small
-
-
-def _small(df: DataFrame) -> bool:
-    return is_small(df, 2_000_000)
+from .common import broadcast_if_bytes, broadcast_if_small
 from .similarity import importance as importance_of
 from .summarize import summarize
+from .vectors import VectorStore
 
 PUBLIC_CHANNEL = "public"
 EDITORS_CHANNEL = "editors"
@@ -73,7 +70,7 @@ def route(messages: DataFrame, curated: bool = False,
 
 
 def publish_messages(articles: DataFrame, feeds: DataFrame, vocab: DataFrame,
-                     embeddings: DataFrame | None = None, top_n: int = DEFAULT_TOP_N,
+                     store: VectorStore | None = None, top_n: int = DEFAULT_TOP_N,
                      curated: bool = False, sentences: DataFrame | None = None,
                      since: Column | None = None) -> DataFrame:
     """(message_id, importance, channel, text, button) for every publishable
@@ -85,8 +82,8 @@ def publish_messages(articles: DataFrame, feeds: DataFrame, vocab: DataFrame,
     # the gate is small (ids + counts); materialise it once, it is joined by
     # every branch of the summariser below
     imp = cut_lineage(importance_of(articles, since=since).filter(F.col("importance") > 0))
-    gated = publishable(articles).filter("publishable").join(F.broadcast(imp) if _small(imp) else imp, "id")
-    summ = summarize(gated, vocab, embeddings, top_n, sentences=sentences).select(
+    gated = publishable(articles).filter("publishable").join(broadcast_if_bytes(imp), "id")
+    summ = summarize(gated, vocab, store, top_n, sentences=sentences).select(
         F.col("doc_id").alias("id"), F.col("summary").alias("_sentences"))
     src = display_source(gated, feeds)
     msg = src.join(summ, "id").select(

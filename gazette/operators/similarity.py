@@ -33,6 +33,7 @@ from ..functions.annotate import tokens_of
 from ..functions.fixed import (CONTENT_LEMMA_PATTERN, SIMILARITY_THRESHOLD,
                                SIMILARITY_WINDOW_HOURS)
 from ..functions.urls import url_host
+from .common import broadcast_if_bytes
 
 
 def content_tokens(tokens: Column) -> Column:
@@ -90,9 +91,29 @@ def _prefix_sets(base: DataFrame, threshold: float) -> DataFrame:
         "prefix", F.coalesce("prefix", F.array().cast("array<string>")))
 
 
+#: Articles of one (token, bucket) that one task joins; more are dealt over tiles.
+TILE = 4096
+
+
+def _tiled(later: DataFrame, earlier: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``tile``: a (token, bucket) of over ``tile`` later rows is dealt over tiles by id,
+    and its earlier rows are copied to each, so that every pair still meets exactly once.
+
+    Hot keys are at most rows / ``tile``; they are written, and broadcast if their bytes are few."""
+    from ..session import cut_lineage
+    hot = cut_lineage(later.groupBy("token", F.col("a_bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+                      .filter(F.col("n") > tile).select("token", "bucket", F.ceil(F.col("n") / tile).cast("int").alias("tiles")))
+    if hot.isEmpty():
+        return later.withColumn("a_tile", F.lit(0)), earlier.withColumn("b_tile", F.lit(0))
+    at = lambda c: broadcast_if_bytes(hot.withColumnRenamed("bucket", c))
+    tiles = F.coalesce("tiles", F.lit(1))
+    return (later.join(at("a_bucket"), ["token", "a_bucket"], "left").withColumn("a_tile", F.pmod(F.xxhash64("a_id"), tiles).cast("int")).drop("tiles"),
+            earlier.join(at("b_bucket"), ["token", "b_bucket"], "left").withColumn("b_tile", F.explode(F.sequence(F.lit(0), tiles - 1))).drop("tiles"))
+
+
 def similar_pairs(articles: DataFrame, threshold: float = 0.0,
                   window_hours: int = SIMILARITY_WINDOW_HOURS,
-                  prepared: bool = False) -> DataFrame:
+                  prepared: bool = False, tile: int = TILE) -> DataFrame:
     """Pairs (id, other_id, score) with score > threshold, where other_id is an
     earlier article ((create_time, id) order) of another site whose
     create_time lies in (create_time - window, create_time].
@@ -103,7 +124,8 @@ def similar_pairs(articles: DataFrame, threshold: float = 0.0,
     base = articles if prepared else _materialized(prepare(articles))
     base = base.filter(F.size("words") > 0)
     span = window_hours * 3600
-    base = _prefix_sets(base, threshold).withColumn(
+    from ..session import cut_lineage
+    base = cut_lineage(_prefix_sets(base, threshold)).withColumn(
         "bucket", F.floor(F.unix_seconds(F.col("ct")) / span))
     later = base.select(
         F.col("id").alias("a_id"), F.col("ct").alias("a_ct"), F.col("site").alias("a_site"),
@@ -114,9 +136,11 @@ def similar_pairs(articles: DataFrame, threshold: float = 0.0,
         F.col("words").alias("b_words"), F.col("prefix").alias("b_prefix"),
         F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("b_bucket"),
     ).select("*", F.explode("b_prefix").alias("token"))
+    later, earlier = _tiled(later, earlier, tile)
     cond = [
         later.token == earlier.token,
         later.a_bucket == earlier.b_bucket,
+        later.a_tile == earlier.b_tile,
         earlier.b_ct > later.a_ct - F.expr(f"INTERVAL {int(window_hours)} HOURS"),
         (earlier.b_ct < later.a_ct) | ((earlier.b_ct == later.a_ct) & (earlier.b_id < later.a_id)),
         ~earlier.b_site.eqNullSafe(later.a_site),
@@ -234,7 +258,6 @@ def recent_insert(recent: DataFrame, new_rows: DataFrame, key: str = "id") -> Da
 #    hot group is split across tasks by time, then stitched with per-partition
 #    offsets (one row per partition and group).
 
-_MAX_ID = (1 << 63) - 1
 _NULL_SITE = "\u0000"
 
 
@@ -269,9 +292,9 @@ def _similar_sets(base: DataFrame, threshold: float) -> DataFrame:
 
 def _points_before(events: DataFrame, keys: list[str]) -> DataFrame:
     """Add ``before``: number of point events ordered before each event within
-    ``keys`` (order: t, id, kind), computed without a single-group task."""
+    ``keys`` (order: t, bounds last, id, kind), computed without a single-group task."""
     from ..session import cut_lineage
-    order = ["t", "id", "kind"]
+    order = ["t", "bound", "id", "kind"]
     # partition ids must be the same in both branches below: materialise them
     r = cut_lineage(events.repartitionByRange(*keys, *order).withColumn("_pid", F.spark_partition_id()))
     w = Window.partitionBy("_pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -306,13 +329,15 @@ def importance_counted(articles: DataFrame, threshold: float = SIMILARITY_THRESH
     p = art.join(pairs, (art.wkey == pairs.w2) & (art.bucket == pairs.b2)).select(
         gid.alias("gid"), "skey", F.col("ct").alias("t"), "id")
     window = F.expr(f"INTERVAL {int(window_hours)} HOURS")
-    events = (p.select("gid", "skey", "t", "id", F.lit(1).alias("kind"), F.lit(1).alias("is_point"),
-                       F.lit(None).cast("long").alias("a"), F.lit(0).alias("sign"))
-              .unionByName(q.select("gid", "skey", F.col("ct").alias("t"), "id", F.lit(0).alias("kind"),
+    id_type = dict(base.dtypes)["id"]
+    no_id = F.lit(None).cast(id_type)
+    # the window's lower bound comes after all points of its time, whatever their ids
+    events = (p.select("gid", "skey", "t", F.lit(0).alias("bound"), "id", F.lit(1).alias("kind"), F.lit(1).alias("is_point"),
+                       no_id.alias("a"), F.lit(0).alias("sign"))
+              .unionByName(q.select("gid", "skey", F.col("ct").alias("t"), F.lit(0).alias("bound"), "id", F.lit(0).alias("kind"),
                                     F.lit(0).alias("is_point"), F.col("id").alias("a"), F.lit(1).alias("sign")))
-              .unionByName(q.select("gid", "skey", (F.col("ct") - window).alias("t"),
-                                    F.lit(_MAX_ID).alias("id"), F.lit(0).alias("kind"),
-                                    F.lit(0).alias("is_point"), F.col("id").alias("a"),
+              .unionByName(q.select("gid", "skey", (F.col("ct") - window).alias("t"), F.lit(1).alias("bound"),
+                                    "id", F.lit(0).alias("kind"), F.lit(0).alias("is_point"), F.col("id").alias("a"),
                                     F.lit(-1).alias("sign"))))
     from ..session import cut_lineage
     events = cut_lineage(events)

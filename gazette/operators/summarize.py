@@ -27,13 +27,16 @@ from ..functions.fixed import (DEFAULT_TOP_N, FREQ_WEIGHT, LEN_SCORE_NUMERATOR,
                                LEN_TARGET, LEN_WEIGHT, SIM_WEIGHT)
 from ..functions.text import html_to_clean_text, polish
 from . import tfidf as T
-from .common import is_small, maybe_broadcast, spread
+from .common import broadcast_if_bytes, is_small, maybe_broadcast, spread
 from .sentences import kept_sentences
 from .similarity import content_tokens
+from .vectors import VectorStore, lemma_vectors, summed, sums
 
 # Scores are rounded before ranking so that equal scores summed in a
 # different order still tie (and fall back to sentence position).
 RANK_DIGITS = 10
+# Sentence number of a title among the sentences of its article.
+TITLE = -1
 
 
 def article_sentences(articles: DataFrame, id_col: str = "id", html_col: str = "html") -> DataFrame:
@@ -85,33 +88,26 @@ def sentence_frequency(sents: DataFrame, weights: DataFrame) -> DataFrame:
     return j.select("doc_id", "sent", freq.alias("freq"))
 
 
-def all_lemmas(sents: DataFrame, titles: DataFrame) -> DataFrame:
-    """Content lemmas of the sentences and of the titles (one column ``lemma``)."""
+def title_lemmas(titles: DataFrame) -> DataFrame:
+    """(doc_id, sent, lemma) of the titles' content lemmas, ``sent`` being TITLE, written once."""
     from ..functions.annotate import tokens_of
-    a = sents.select(F.explode("content").alias("lemma"))
-    b = titles.select(F.explode(content_tokens(tokens_of(F.col("title"), parse=False))).alias("t")) \
-        .select(F.col("t.lemma").alias("lemma"))
-    return a.unionByName(b)
+    from ..session import cut_lineage
+    t = titles.select("doc_id", F.explode(content_tokens(tokens_of(F.col("title"), parse=False))).alias("t"))
+    return cut_lineage(t.select("doc_id", F.lit(TITLE).alias("sent"), F.col("t.lemma").alias("lemma")))
 
 
-def lemma_vectors(lemmas: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """(lemma, vec): each distinct lemma gets the embedding row chosen by the
-    md5 of the lemma modulo the number of embeddings (a deterministic
-    assignment, so any vector table can be plugged in the same way)."""
-    n = embeddings.count()
-    d = lemmas.select("lemma").distinct().withColumn(
-        "vec_id", F.pmod(F.conv(F.substring(F.md5("lemma"), 1, 8), 16, 10).cast("long"), F.lit(n)))
-    e = embeddings.select("vec_id", F.col("embedding").alias("vec"))
-    return d.join(maybe_broadcast(e, n <= 2_000_000), "vec_id").select("lemma", "vec")
+def sentence_lemmas(sents: DataFrame) -> DataFrame:
+    """(doc_id, sent, lemma) of the sentences' content lemmas."""
+    return sents.select("doc_id", "sent", F.explode("content").alias("lemma"))
 
 
-def vector_sums(lemmas: DataFrame, keys: list[str], vectors: DataFrame) -> DataFrame:
-    """keys + (vsum array<double>, n_vec): sum of the vectors of the lemmas."""
-    dim = vectors.select(F.max(F.size("vec")).alias("dim")).first()["dim"] or 0
-    sums = [F.sum(F.get("vec", F.lit(k)).cast("double")).alias(f"_v{k}") for k in range(dim)]
-    agg = lemmas.join(vectors, "lemma").groupBy(*keys).agg(*sums, F.count(F.lit(1)).alias("n_vec"))
-    vsum = F.array(*[F.col(f"_v{k}") for k in range(dim)]).cast("array<double>")
-    return agg.select(*keys, vsum.alias("vsum"), "n_vec")
+def vector_sums(lemmas: DataFrame, keys: list[str], vectors: DataFrame, dim: int) -> DataFrame:
+    """keys + (vsum array<double>, n_vec): sum of the vectors of the lemmas.
+
+    ``vectors`` is a written (lemma, vec) table; it is broadcast if its bytes are
+    few, else joined through a shuffle."""
+    agg = lemmas.join(broadcast_if_bytes(vectors), "lemma").groupBy(*keys).agg(*sums(dim), F.count(F.lit(1)).alias("n_vec"))
+    return agg.select(*keys, summed(dim).alias("vsum"), "n_vec")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -121,32 +117,39 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(dot / (na * nb))
 
 
-def title_similarity(sents: DataFrame, titles: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(doc_id, sent, sim): cosine of sentence and title lemma vectors."""
-    from ..functions.annotate import tokens_of
-    s_lem = sents.select("doc_id", "sent", F.explode("content").alias("lemma"))
-    t_lem = titles.select("doc_id", F.explode(content_tokens(tokens_of(F.col("title"), parse=False))).alias("t")) \
-        .select("doc_id", F.col("t.lemma").alias("lemma"))
-    sv = vector_sums(s_lem, ["doc_id", "sent"], vectors)
-    tv = vector_sums(t_lem, ["doc_id"], vectors).select("doc_id", F.col("vsum").alias("tsum"))
-    j = sents.select("doc_id", "sent").join(sv, ["doc_id", "sent"], "left").join(tv, "doc_id", "left")
-    sim = F.when(F.col("vsum").isNull() | F.col("tsum").isNull(), F.lit(0.0)) \
-           .otherwise(cosine(F.col("vsum"), F.col("tsum")))
-    return j.select("doc_id", "sent", sim.alias("sim"))
+class Vectors:
+    """Vectors of a corpus's lemmas: the titles' lemmas, and the rows of the store that sentences and titles need."""
+
+    def __init__(self, sents: DataFrame, titles: DataFrame, store: VectorStore):
+        self.titles = title_lemmas(titles)
+        self.dim = store.dim
+        lemmas = sents.select(F.explode("content").alias("lemma")).unionByName(self.titles.select("lemma"))
+        self.table = lemma_vectors(lemmas, store)
+
+
+def title_similarity(sents: DataFrame, vectors: Vectors) -> DataFrame:
+    """(doc_id, sent, sim): cosine of sentence and title lemma vectors.
+
+    Sentences and titles are summed in one aggregation."""
+    v = vector_sums(sentence_lemmas(sents).unionByName(vectors.titles), ["doc_id", "sent"], vectors.table, vectors.dim)
+    sv = v.filter(F.col("sent") != TITLE).select("doc_id", "sent", "vsum")
+    tv = v.filter(F.col("sent") == TITLE).select("doc_id", F.col("vsum").alias("tsum"))
+    sim = sv.join(tv, "doc_id").select("doc_id", "sent", cosine(F.col("vsum"), F.col("tsum")).alias("_sim"))
+    return sents.select("doc_id", "sent").join(sim, ["doc_id", "sent"], "left") \
+        .select("doc_id", "sent", F.coalesce("_sim", F.lit(0.0)).alias("sim"))
 
 
 def length_score(n_tokens: Column) -> Column:
     return F.lit(LEN_SCORE_NUMERATOR) / (F.lit(1.0) + F.abs(F.lit(LEN_TARGET) - n_tokens))
 
 
-def sentence_scores(sents: DataFrame, weights: DataFrame, titles: DataFrame,
-                    vectors: DataFrame | None) -> DataFrame:
+def sentence_scores(sents: DataFrame, weights: DataFrame, vectors: Vectors | None) -> DataFrame:
     """(doc_id, sent, polished, freq, sim, len, total)."""
     fr = sentence_frequency(sents, weights)
     base = sents.select("doc_id", "sent", "polished", length_score(F.col("n_tokens")).alias("len"))
     j = base.join(fr, ["doc_id", "sent"])
     if vectors is not None:
-        j = j.join(title_similarity(sents, titles, vectors), ["doc_id", "sent"])
+        j = j.join(title_similarity(sents, vectors), ["doc_id", "sent"])
     else:
         j = j.withColumn("sim", F.lit(0.0))
     total = (F.col("freq") * FREQ_WEIGHT + F.col("sim") * SIM_WEIGHT + F.col("len") * LEN_WEIGHT)
@@ -176,7 +179,7 @@ def average_score(scores: DataFrame) -> DataFrame:
     return scores.groupBy("doc_id").agg(F.avg("total").alias("avg_score"))
 
 
-def summarize(articles: DataFrame, vocab: DataFrame | None, embeddings: DataFrame | None = None,
+def summarize(articles: DataFrame, vocab: DataFrame | None, store: VectorStore | None = None,
               top_n: int = DEFAULT_TOP_N, id_col: str = "id", title_col: str = "title",
               html_col: str = "html", materialize: bool = True, vocab_fn=None,
               sentences: DataFrame | None = None) -> DataFrame:
@@ -204,20 +207,20 @@ def summarize(articles: DataFrame, vocab: DataFrame | None, embeddings: DataFram
     weights = doc_weights(sents, vocab)
     titles = articles.select(F.col(id_col).alias("doc_id"), F.col(title_col).alias("title"))
     vectors = None
-    if embeddings is not None:
-        vectors = lemma_vectors(all_lemmas(sents, titles), embeddings)
-    scores = sentence_scores(sents, weights, titles, vectors)
+    if store is not None:
+        vectors = Vectors(sents, titles, store)
+    scores = sentence_scores(sents, weights, vectors)
     summ = collect_summary(top_sentences(scores, top_n))
     return (articles.select(F.col(id_col).alias("doc_id")).join(summ, "doc_id", "left")
             .select("doc_id", F.coalesce("summary", F.array().cast("array<string>")).alias("summary")))
 
 
 def article_report(articles: DataFrame, vocab: DataFrame, ids: DataFrame,
-                   embeddings: DataFrame | None = None, top_n: int = DEFAULT_TOP_N) -> DataFrame:
+                   store: VectorStore | None = None, top_n: int = DEFAULT_TOP_N) -> DataFrame:
     """(id, report): title, a blank line, then the summary sentences, for the
     requested ids (a semi join, so any number of ids is one job)."""
     a = articles.join(ids.select("id"), "id", "left_semi")
-    s = summarize(a, vocab, embeddings, top_n).select(
+    s = summarize(a, vocab, store, top_n).select(
         F.col("doc_id").alias("id"), F.col("summary").alias("_sentences"))
     return a.select("id", "title").join(s, "id").select(
         "id", F.concat(F.col("title"), F.lit("\n\n"), F.array_join("_sentences", "\n\n")).alias("report"))

@@ -74,6 +74,17 @@ V_CALLBACKS = """callbacks AS (
   FROM events)"""
 
 
+_MD5 = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
+
+V_VECTORS = [
+    "page_words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(html), '[a-z]{2,}')) AS token FROM pages)",
+    f"""vectors AS (SELECT token, embedding AS vec FROM page_words
+  JOIN embeddings ON vec_id = {_MD5.format('token')} % (SELECT count(*) FROM embeddings) WHERE {_MD5.format('token')} % 8 <> 0)""",
+    f"""gram_vectors AS (SELECT gram, embedding AS vec FROM (
+    SELECT DISTINCT substr('<' || token || '>', i, 3) AS gram FROM (SELECT token, unnest(range(1, length(token) + 1)) AS i FROM page_words))
+  JOIN embeddings ON vec_id = {_MD5.format('gram')} % (SELECT count(*) FROM embeddings))"""]
+
+
 def host_sql(col: str) -> str:
     return f"nullif(lower(regexp_extract({col}, {q(HOST_PATTERN)}, 2)), '')"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators.tfidf import TERM_PATTERN
 from ..sources.seed import SEED_FEEDS
-from .duck import (V_ARTICLES, V_CALLBACKS, V_CAPTURES, V_ENTRIES, V_FEEDS, V_LOGS,
+from .duck import (V_ARTICLES, V_CALLBACKS, V_CAPTURES, V_ENTRIES, V_FEEDS, V_LOGS, V_VECTORS,
                    clean_lines_sql, host_sql, html_text_sql, jaccard_sql, kept_ctes,
                    lemma_lex_cte, news_title_ctes, polish_sql, q, sentence_ctes,
                    tokens_ctes, with_, wordset_ctes)
@@ -117,7 +117,9 @@ SELECT CAST(feed_id AS BIGINT) AS feed_id, entry_pos, uri, source, summary FROM
 ORACLE["new_uris"] = with_(*_ACC) + "SELECT DISTINCT uri FROM acc WHERE uri NOT IN (SELECT uri FROM articles)"
 
 ORACLE["known_uris"] = with_(*_ACC) + """
-SELECT uri, count(*) AS hits FROM acc WHERE uri IN (SELECT uri FROM articles) GROUP BY uri"""
+SELECT uri, count(*) AS hits FROM acc WHERE uri IN (SELECT uri FROM articles UNION ALL
+  SELECT regexp_replace(link, '[?#].*', '', 'g') FROM entries WHERE coalesce(published, updated) < TIMESTAMP '2024-01-15 00:00:00' AND link IS NOT NULL)
+GROUP BY uri"""
 
 _UPSERT = _ACC + ["""acc2 AS (SELECT * FROM acc WHERE dated OR NOT EXISTS (
        SELECT 1 FROM articles a WHERE a.feed_id = acc.feed_id AND a.uri = acc.uri))""",
@@ -125,19 +127,25 @@ _UPSERT = _ACC + ["""acc2 AS (SELECT * FROM acc WHERE dated OR NOT EXISTS (
        count(*) OVER (PARTITION BY uri) AS hits FROM acc2) WHERE r = 1)"""]
 
 ORACLE["article_upsert"] = with_(*_UPSERT) + f"""
-SELECT a.id, {_ts('a.create_time')} AS create_time,
+SELECT CAST(a.id AS VARCHAR) AS id, {_ts('a.create_time')} AS create_time,
        {_ts(f'CASE WHEN f.uri IS NOT NULL THEN {NOW} ELSE a.update_time END')} AS update_time,
        CAST(a.feed_id AS BIGINT) AS feed_id, a.uri, a.status, CAST(a.retries AS BIGINT) AS retries,
        a.title, a.summary, CAST(a.refs_count + coalesce(f.hits, 0) AS BIGINT) AS refs_count, a.source
 FROM articles a LEFT JOIN firsts f USING (uri)
 UNION ALL
-SELECT ('0x' || substr(md5(f.uri), 1, 15))::BIGINT, {_ts(NOW)}, {_ts(NOW)}, CAST(f.feed_id AS BIGINT), f.uri,
+SELECT md5(f.uri), {_ts(NOW)}, {_ts(NOW)}, CAST(f.feed_id AS BIGINT), f.uri,
        'N', CAST(0 AS BIGINT), NULL, f.summary, CAST(f.hits AS BIGINT), f.source
 FROM firsts f WHERE f.uri NOT IN (SELECT uri FROM articles)"""
 
 ORACLE["feed_state"] = with_(*_ACC, """m AS (SELECT feed_id, max(publish_time) AS nm FROM acc WHERE dated GROUP BY feed_id)""",
-                             """fs AS (SELECT f.id, greatest(m.nm, f.last_publish_time) AS last_publish_time, f.uri, f.name,
-       f.category, f.etag, f.modified, f.is_aggregator FROM feeds f LEFT JOIN m ON m.feed_id = f.id)""") + _FEED_OUT + "fs"
+                             """req AS (SELECT CAST(user_id % 20 AS int) AS feed_id, ts, CASE WHEN event_id % 4 <> 0 THEN 'W/"' || md5(props) || '"' END AS etag,
+       CASE WHEN event_id % 4 <> 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS modified FROM events)""",
+                             """ans AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feed_id
+       ORDER BY ts DESC, etag DESC NULLS LAST, modified DESC NULLS LAST) AS r FROM req) WHERE r = 1)""",
+                             """fs AS (SELECT f.id, greatest(m.nm, f.last_publish_time) AS last_publish_time, f.uri, f.name, f.category,
+       CASE WHEN ans.feed_id IS NOT NULL THEN ans.etag ELSE f.etag END AS etag,
+       CASE WHEN ans.feed_id IS NOT NULL THEN ans.modified ELSE f.modified END AS modified, f.is_aggregator
+  FROM feeds f LEFT JOIN m ON m.feed_id = f.id LEFT JOIN ans ON ans.feed_id = f.id)""") + _FEED_OUT + "fs"
 
 
 # --- text ----------------------------------------------------------------------------
@@ -220,8 +228,14 @@ _SIM = _FREQ + [
     tokens_ctes("ttl", ["id"], "title", "ttok"),
     f"tl AS (SELECT id AS doc_id, lemma FROM ttok WHERE {_CONTENT.format(a='')})",
     f"sl AS (SELECT doc_id, sent, lemma FROM pk_kt WHERE {_CONTENT.format(a='')})",
-    """lv AS (SELECT l.lemma, e.embedding AS vec FROM (SELECT lemma FROM sl UNION SELECT lemma FROM tl) l
-       JOIN embeddings e ON e.vec_id = ('0x' || substr(md5(l.lemma), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings))""",
+    *V_VECTORS,
+    "lw AS (SELECT lemma FROM sl UNION SELECT lemma FROM tl)",
+    """og AS (SELECT DISTINCT lemma, substr('<' || lemma || '>', i, 3) AS gram FROM (
+       SELECT lemma, unnest(range(1, greatest(length(lemma), 1) + 1)) AS i FROM lw WHERE lemma NOT IN (SELECT token FROM vectors)))""",
+    """ov AS (SELECT lemma, k, avg(CAST(x AS DOUBLE)) AS x FROM (
+       SELECT og.lemma, unnest(g.vec) AS x, generate_subscripts(g.vec, 1) AS k FROM og JOIN gram_vectors g USING (gram)) GROUP BY lemma, k)""",
+    """lv AS (SELECT lw.lemma, list_transform(v.vec, lambda x: CAST(x AS DOUBLE)) AS vec FROM lw JOIN vectors v ON v.token = lw.lemma
+       UNION ALL SELECT lemma, list(x ORDER BY k) FROM ov GROUP BY lemma)""",
     """sv AS (SELECT doc_id, sent, k, sum(CAST(x AS DOUBLE)) AS x FROM (
        SELECT sl.doc_id, sl.sent, unnest(lv.vec) AS x, generate_subscripts(lv.vec, 1) AS k
        FROM sl JOIN lv USING (lemma)) GROUP BY doc_id, sent, k)""",
@@ -395,3 +409,29 @@ ORACLE["known_uris_second_pass"] = with_(*_NEWS, V_FEEDS, V_ARTICLES,
     "stored1 AS (SELECT uri FROM articles UNION SELECT uri FROM acc1)",
     *_accept("acc2", "feeds1", f"e.t IS NULL OR e.t >= {_CUT}"),
 ) + "SELECT uri, count(*) AS hits FROM acc2 WHERE uri IN (SELECT uri FROM stored1) GROUP BY uri"
+
+
+# --- polls in time order, undated entries last --------------------------------------
+ORACLE["stream_refresh"] = with_(*_NEWS, V_FEEDS, V_ARTICLES,
+    f"""e AS (SELECT entries.*, coalesce(published, updated) IS NOT NULL AS dated,
+       coalesce(published, updated, {NOW}) AS publish_time, coalesce(published, updated) AS t FROM entries)""",
+    "span AS (SELECT min(epoch(t)::BIGINT) AS lo, (max(epoch(t)::BIGINT) - min(epoch(t)::BIGINT)) // 4 + 1 AS step FROM (SELECT date_trunc('second', t) AS t FROM e))",
+    *_accept("acc1", "feeds", "e.t IS NOT NULL"),
+    """f1 AS (SELECT * FROM (SELECT acc1.*, row_number() OVER (PARTITION BY uri
+       ORDER BY (epoch(date_trunc('second', t))::BIGINT - lo) // step, feed_id, publish_time, entry_pos) AS r FROM acc1, span) WHERE r = 1)""",
+    """feeds1 AS (SELECT f.id, greatest(m.nm, f.last_publish_time) AS last_publish_time, f.is_aggregator
+       FROM feeds f LEFT JOIN (SELECT feed_id, max(publish_time) AS nm FROM acc1 GROUP BY feed_id) m ON m.feed_id = f.id)""",
+    """at1 AS (SELECT feed_id, uri FROM articles UNION ALL SELECT feed_id, uri FROM f1 WHERE uri NOT IN (SELECT uri FROM articles))""",
+    *_accept("acc2", "feeds1", "e.t IS NULL"),
+    "left2 AS (SELECT * FROM acc2 WHERE NOT EXISTS (SELECT 1 FROM at1 WHERE at1.feed_id = acc2.feed_id AND at1.uri = acc2.uri))",
+    "f2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY feed_id, publish_time, entry_pos) AS r FROM left2) WHERE r = 1)",
+    "hits AS (SELECT uri, count(*) AS n FROM (SELECT uri FROM acc1 UNION ALL SELECT uri FROM left2) GROUP BY uri)",
+    "firsts AS (SELECT uri, feed_id, summary, source FROM f1 UNION ALL SELECT uri, feed_id, summary, source FROM f2 WHERE uri NOT IN (SELECT uri FROM f1))",
+) + f"""
+SELECT CAST(a.id AS VARCHAR) AS id, {_ts('a.create_time')} AS create_time, {_ts(f'CASE WHEN h.uri IS NOT NULL THEN {NOW} ELSE a.update_time END')} AS update_time,
+       CAST(a.feed_id AS BIGINT) AS feed_id, a.uri, a.status, CAST(a.retries AS BIGINT) AS retries, a.title, a.summary,
+       CAST(a.refs_count + coalesce(h.n, 0) AS BIGINT) AS refs_count, a.source
+FROM articles a LEFT JOIN hits h USING (uri)
+UNION ALL
+SELECT md5(f.uri), {_ts(NOW)}, {_ts(NOW)}, CAST(f.feed_id AS BIGINT), f.uri, 'N', CAST(0 AS BIGINT), NULL, f.summary, CAST(h.n AS BIGINT), f.source
+FROM firsts f JOIN hits h USING (uri) WHERE f.uri NOT IN (SELECT uri FROM articles)"""

@@ -32,6 +32,7 @@ from ..operators import summarize as SM
 from ..operators import tfidf as T
 from ..operators.html_dom import html_text_dom
 from ..operators.titles import is_news_title
+from ..operators.vectors import open_store
 from ..session import scratch_path
 from ..sources import feeds_xml as FX
 from ..sources import logs as LG
@@ -207,8 +208,11 @@ def q_new_uris(spark, sf):
 
 @register("known_uris")
 def q_known_uris(spark, sf):
+    """Accepted URIs that the entries dated before the cutoff had brought already."""
+    t = F.coalesce(F.col("published").cast("timestamp"), F.col("updated").cast("timestamp"))
     acc = I.accept_entries(V.entries(spark, sf), V.feeds(spark, sf), V.refresh_now())
-    return I.known_uris(acc, V.articles(spark, sf))
+    stored = V.entries(spark, sf).filter(t < V.ts_lit(SECOND_PASS_CUTOFF)).select(strip_query(F.col("link")).alias("uri"))
+    return I.known_uris(acc, stored.unionByName(V.articles(spark, sf).select("uri")))
 
 
 def _accepted(spark, sf):
@@ -226,7 +230,7 @@ def q_article_upsert(spark, sf):
 
 @register("feed_state")
 def q_feed_state(spark, sf):
-    return tidy(I.feed_marks(V.feeds(spark, sf), _accepted(spark, sf)))
+    return tidy(I.feed_marks(V.feeds(spark, sf), _accepted(spark, sf), V.fetches(spark, sf)))
 
 
 # --- text ----------------------------------------------------------------------------
@@ -363,6 +367,10 @@ def _vocab(spark, sf, sents=None):
     return cut_lineage(T.fit_terms(terms, ids.count()))
 
 
+def _store(spark, sf):
+    return open_store(V.vectors(spark, sf), V.gram_vectors(spark, sf))
+
+
 class _Summ:
     """Shared inputs of the summary queries (built lazily per call)."""
 
@@ -371,12 +379,11 @@ class _Summ:
         arts = _publishable(spark, sf)
         self.sents = cut_lineage(SM.article_sentences(arts))
         self.weights = SM.doc_weights(self.sents, _vocab(spark, sf, self.sents))
-        self.titles = arts.select(F.col("id").alias("doc_id"), "title")
-        self.vectors = (SM.lemma_vectors(SM.all_lemmas(self.sents, self.titles),
-                                         load(spark, sf, "embeddings")) if vectors else None)
+        titles = arts.select(F.col("id").alias("doc_id"), "title")
+        self.vectors = SM.Vectors(self.sents, titles, _store(spark, sf)) if vectors else None
 
     def scores(self):
-        return SM.sentence_scores(self.sents, self.weights, self.titles, self.vectors)
+        return SM.sentence_scores(self.sents, self.weights, self.vectors)
 
 
 @register("train_sample")
@@ -405,8 +412,7 @@ def q_sentence_frequency(spark, sf):
 @register("mean_vector")
 def q_mean_vector(spark, sf):
     m = _Summ(spark, sf)
-    lem = m.sents.select("doc_id", "sent", F.explode("content").alias("lemma"))
-    v = SM.vector_sums(lem, ["doc_id", "sent"], m.vectors)
+    v = SM.vector_sums(SM.sentence_lemmas(m.sents), ["doc_id", "sent"], m.vectors.table, m.vectors.dim)
     norm = F.sqrt(F.aggregate("vsum", F.lit(0.0), lambda a, x: a + x * x))
     return v.select("doc_id", F.col("sent").cast("long").alias("sent"), F.col("n_vec").cast("long").alias("n_vec"),
                     F.round(norm, 4).alias("norm"))
@@ -415,7 +421,7 @@ def q_mean_vector(spark, sf):
 @register("cosine_to_title")
 def q_cosine_to_title(spark, sf):
     m = _Summ(spark, sf)
-    return tidy(SM.title_similarity(m.sents, m.titles, m.vectors).withColumn("sent", F.col("sent").cast("long")))
+    return tidy(SM.title_similarity(m.sents, m.vectors).withColumn("sent", F.col("sent").cast("long")))
 
 
 @register("sentence_score")
@@ -437,7 +443,7 @@ def q_top_sentences(spark, sf):
 
 @register("summarize")
 def q_summarize(spark, sf):
-    s = SM.summarize(_publishable(spark, sf), None, load(spark, sf, "embeddings"),
+    s = SM.summarize(_publishable(spark, sf), None, _store(spark, sf),
                      vocab_fn=lambda sents: _vocab(spark, sf, sents))
     return s.select("doc_id", F.size("summary").cast("long").alias("n_sentences"),
                     F.array_join("summary", "\n").alias("summary"))
@@ -456,7 +462,7 @@ def _messages(spark, sf, curated=False):
     from ..session import cut_lineage
     sents = cut_lineage(SM.article_sentences(_publishable(spark, sf)))
     return PB.publish_messages(V.articles(spark, sf), V.feeds(spark, sf), _vocab(spark, sf, sents),
-                               load(spark, sf, "embeddings"), curated=curated, sentences=sents)
+                               _store(spark, sf), curated=curated, sentences=sents)
 
 
 @register("seed_feeds")
@@ -571,10 +577,10 @@ def q_feed_errors(spark, sf):
     return tidy(I.feed_errors(V.entries(spark, sf), V.feeds(spark, sf)))
 
 
-def _land_in_slices(df: DataFrame, time_col: str, root: str, slices: int = 4) -> None:
+def _land_in_slices(df: DataFrame, time_col: str, root: str, slices: int = 4):
     """Land ``df`` as ``slices`` folders of equal time span, in time order (rows
-    without a time in the last one), to feed a file stream. The input is
-    checkpointed once, so the cost is a fixed number of scans of it."""
+    without a time in the last one), to feed a file stream; yields after each. The
+    input is checkpointed once, so the cost is a fixed number of scans of it."""
     from ..session import cut_lineage
     sec = F.unix_seconds(F.col(time_col))
     lo, hi = df.agg(F.min(sec), F.max(sec)).first()
@@ -586,21 +592,21 @@ def _land_in_slices(df: DataFrame, time_col: str, root: str, slices: int = 4) ->
         else:
             cond = sec.isNull()
         src.filter(cond).drop("_t").write.mode("overwrite").parquet(f"{root}/{i:04d}")
+        yield i
 
 
 @register("stream_refresh")
 def q_stream_refresh(spark, sf):
+    """Polls in time order, each landed, accepted and committed as a delta; undated entries last."""
     from ..streaming.refresh import current, init_state, start_refresh_stream
     entries = V.entries(spark, sf)
     land, state, ckpt = (scratch_path(spark, n) for n in ("entries", "refresh-state", "refresh-ckpt"))
     timed = entries.withColumn("_t", F.coalesce(F.col("published").cast("timestamp"),
                                                  F.col("updated").cast("timestamp")))
-    _land_in_slices(timed, "_t", land)
     init_state(V.feeds(spark, sf), V.articles(spark, sf), state)
-    spark.conf.set("spark.sql.streaming.schemaInference", "false")
-    q = start_refresh_stream(spark, f"{land}/*", entries.schema, state, ckpt, V.refresh_now())
-    q.awaitTermination()
-    return tidy(current(spark, state, "articles").drop("html"))
+    for _ in _land_in_slices(timed, "_t", land):
+        start_refresh_stream(spark, f"{land}/*", entries.schema, state, ckpt, V.refresh_now()).awaitTermination()
+    return tidy(current(spark, state, "articles"))
 
 
 @register("stream_similar")
@@ -608,7 +614,8 @@ def q_stream_similar(spark, sf):
     from ..streaming.similar import read_output, start_similarity_stream
     arts = V.articles(spark, sf).select("id", "create_time", "title", "uri")
     land, state, out, ckpt = (scratch_path(spark, n) for n in ("articles", "recent", "scores", "sim-ckpt"))
-    _land_in_slices(arts, "create_time", land)
+    for _ in _land_in_slices(arts, "create_time", land):
+        pass
     q = start_similarity_stream(spark, f"{land}/*", arts.schema, state, out, ckpt)
     q.awaitTermination()
     return read_output(spark, out)

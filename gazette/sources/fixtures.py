@@ -64,6 +64,16 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answered feed requests with their validators; one in four brings none."""
+    e = load(spark, sf_dir, "events")
+    eid = F.col("event_id")
+    return e.select(
+        (F.col("user_id") % 20).cast("int").alias("feed_id"), F.col("ts").cast("timestamp").alias("fetched_at"),
+        F.when(eid % 4 != 0, F.concat(F.lit('W/"'), F.md5("props"), F.lit('"'))).alias("etag"),
+        F.when(eid % 4 != 1, F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")).alias("modified"))
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = load(spark, sf_dir, "pages")
     pid = F.col("page_id")
@@ -88,6 +98,34 @@ def status_of(pid: Column) -> Column:
             .when(pid % 10 == 2, "E").otherwise("D"))
 
 
+def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(token): distinct lower-case words of the pages."""
+    return load(spark, sf_dir, "pages").select(
+        F.explode(F.regexp_extract_all(F.lower("html"), F.lit("[a-z]{2,}"), F.lit(0))).alias("token")).distinct()
+
+
+def _with_vector(keys: DataFrame, key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each key with an embedding chosen by its md5: a stand-in for trained vectors."""
+    e = load(spark, sf_dir, "embeddings")
+    at = F.pmod(_md5_number(F.col(key)), F.lit(e.count()))
+    return keys.withColumn("vec_id", at).join(e.select("vec_id", F.col("embedding").alias("vec")), "vec_id").select(key, "vec")
+
+
+def _md5_number(c: Column) -> Column:
+    return F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(token, vec) of the pages' words; one in eight is left out, as an unknown token."""
+    return _with_vector(page_words(spark, sf_dir).filter(_md5_number(F.col("token")) % 8 != 0), "token", spark, sf_dir)
+
+
+def gram_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(gram, vec) of the character trigrams of the pages' words."""
+    from ..operators.vectors import grams_of
+    return _with_vector(page_words(spark, sf_dir).select(F.explode(grams_of(F.col("token"))).alias("gram")).distinct(), "gram", spark, sf_dir)
+
+
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page captures of the claimed (status Q) articles: reader title + html."""
     p = load(spark, sf_dir, "pages")

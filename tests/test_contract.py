@@ -2,7 +2,7 @@
 
 import __spark_entry__ as E
 
-ROWS_ONLY = {"html_text_dom", "scan_feed_xml", "stream_refresh", "stream_similar"}
+ROWS_ONLY = {"html_text_dom", "scan_feed_xml", "stream_similar"}
 
 
 def test_entry(spark):
@@ -29,14 +29,14 @@ def test_end_to_end_usage(spark):
     from conftest import SF_SMALL
     from gazette.operators import ingest, lifecycle, publish, tfidf
     from gazette.sources import fixtures as V
-    from gazette.sources.tables import load
+    from gazette.operators.vectors import open_store
     entries, feeds, articles = V.entries(spark, SF_SMALL), V.feeds(spark, SF_SMALL), V.articles(spark, SF_SMALL)
     now = F.to_timestamp(F.lit("2024-02-01 00:00:00"))
     articles, feeds, _ = ingest.refresh(entries, feeds, articles, now)
     articles = lifecycle.save_content(articles, V.captures(spark, SF_SMALL), now)
     path = tempfile.mkdtemp(prefix="gz-model-") + "/vocab"
     vocab = tfidf.train(articles, path)
-    msgs = publish.publish_messages(articles, feeds, vocab, load(spark, SF_SMALL, "embeddings"),
+    msgs = publish.publish_messages(articles, feeds, vocab, open_store(V.vectors(spark, SF_SMALL), V.gram_vectors(spark, SF_SMALL)),
                                     since=F.to_timestamp(F.lit("2024-01-01 00:00:00")))
     rows = msgs.collect()
     assert rows and all(r.text.startswith("<b>") and r.importance > 0 for r in rows)

@@ -8,7 +8,7 @@ from gazette.operators import tfidf as T
 from gazette.operators.sentences import kept_sentences, training_text
 from gazette.functions.text import html_to_clean_text
 from gazette.sources import fixtures as V
-from gazette.sources.tables import load
+from gazette.operators.vectors import open_store
 
 
 def _setup(spark):
@@ -30,10 +30,9 @@ def test_summary_bounded_ordered_distinct(spark):
     arts, vocab = _setup(spark)
     n = 2
     sents = SM.article_sentences(arts)
-    scores = SM.sentence_scores(sents, SM.doc_weights(sents, vocab),
-                                arts.select(F.col("id").alias("doc_id"), "title"),
-                                SM.lemma_vectors(SM.all_lemmas(sents, arts.select(F.col("id").alias("doc_id"), "title")),
-                                                 load(spark, SF_SMALL, "embeddings")))
+    store = open_store(V.vectors(spark, SF_SMALL), V.gram_vectors(spark, SF_SMALL))
+    vectors = SM.Vectors(sents, arts.select(F.col("id").alias("doc_id"), "title"), store)
+    scores = SM.sentence_scores(sents, SM.doc_weights(sents, vocab), vectors)
     top = SM.top_sentences(scores, n).collect()
     by_doc = {}
     for r in top:
@@ -47,6 +46,6 @@ def test_summary_bounded_ordered_distinct(spark):
     for doc, items in by_doc.items():
         assert summ[doc] == [t for _, t in sorted(items)]
     # the full operator gives every article a (possibly empty) summary
-    full = SM.summarize(arts, vocab, load(spark, SF_SMALL, "embeddings"), top_n=n)
+    full = SM.summarize(arts, vocab, store, top_n=n)
     assert full.count() == arts.count()
     assert full.filter(F.size("summary") > n).count() == 0

@@ -39,6 +39,9 @@ def test_blocked_equals_literal(spark):
             got = sorted((r.id, r.other_id, round(r.score, 9))
                          for r in S.similar_pairs(base, t, prepared=True).collect())
             assert got == want, (sf, t)
+        # every (token, bucket) of two rows or more dealt over tiles
+        got = sorted((r.id, r.other_id, round(r.score, 9)) for r in S.similar_pairs(base, 0.3, prepared=True, tile=1).collect())
+        assert got == sorted((r.id, r.other_id, round(r.score, 9)) for r in lit.filter(F.col("score") > 0.3).collect())
         base.unpersist()
 
 

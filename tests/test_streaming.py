@@ -63,19 +63,26 @@ def test_stream_refresh_equals_batch(spark):
     assert after == before
 
 
-def test_reschedule_timer_job(spark):
-    from gazette.sources.snapshots import latest, write_version
+def test_reschedule_shares_the_table_of_the_refresh(spark):
+    """The hourly job and the polls commit to one article table."""
+    from gazette.sources.deltas import ArticleTable
     from gazette.streaming.lifecycle import start_reschedule_stream
+    from gazette.streaming.refresh import current, init_state, start_refresh_stream
     root = tempfile.mkdtemp(prefix="gz-life-")
-    rows = [(1, "Q", 0), (2, "Q", 2), (3, "N", 0)]
-    arts = spark.createDataFrame(rows, "id long, status string, retries int") \
-        .withColumn("update_time", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
-    write_version(arts.limit(0), f"{root}/articles", 0)
-    write_version(arts, f"{root}/articles", 2)
-    q = start_reschedule_stream(spark, f"{root}/articles", f"{root}/ckpt", once=True)
-    q.awaitTermination()
-    got = {r.id: (r.status, r.retries) for r in latest(spark, f"{root}/articles").collect()}
-    assert got == {1: ("N", 1), 2: ("E", 3), 3: ("N", 0)}
+    arts = V.articles(spark, SF_SMALL)
+    init_state(V.feeds(spark, SF_SMALL), arts, f"{root}/state")
+    entries = V.entries(spark, SF_SMALL)
+    for i, part in enumerate([F.col("entry_pos") % 2 == 0, F.col("entry_pos") % 2 == 1]):
+        entries.filter(part).coalesce(1).write.parquet(f"{root}/in/{i}")
+        start_refresh_stream(spark, f"{root}/in/*", entries.schema, f"{root}/state", f"{root}/ckpt", V.refresh_now()).awaitTermination()
+        start_reschedule_stream(spark, f"{root}/state/articles", f"{root}/ckpt-life-{i}", once=True).awaitTermination()
+    got = {r.uri: (r.status, r.retries) for r in current(spark, f"{root}/state", "articles").collect()}
+    for r in arts.collect():
+        # all claims of the fixture are long stale: requeued once, by the first of the two jobs
+        want = ("N" if r.retries + 1 < 3 else "E", r.retries + 1) if r.status == "Q" else (r.status, r.retries)
+        assert got[r.uri] == want
+    assert len(got) > arts.count()
+    assert ArticleTable(spark, f"{root}/state/articles").version() == 5  # the base, two polls, two timer jobs
 
 
 def test_stream_similarity_repeats_and_future_dates(spark):
