@@ -1,4 +1,4 @@
-"""Text scalar functions: HTML to text, line filter, title cleanup, polish."""
+"""Text scalar functions: line filter, title cleanup, polish."""
 
 from __future__ import annotations
 
@@ -8,51 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .fixed import READER_TITLE_SEPARATOR
-
-# Markup whose text is not page text: comments, declarations, scripts, styles.
-_DROP_BLOCKS = [
-    r"(?s)<!--.*?-->",
-    r"(?s)<![^>]*>",
-    r"(?is)<script\b[^>]*>.*?</script\s*>",
-    r"(?is)<style\b[^>]*>.*?</style\s*>",
-    r"(?is)<template\b[^>]*>.*?</template\s*>",
-]
-_TAG = r"(?s)<[^>]*>"
-# Named entities decoded by the native tier; '&amp;' last so '&amp;lt;' stays '&lt;'.
-_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-             ("&apos;", "'"), ("&nbsp;", " "), ("&ndash;", "\u2013"),
-             ("&mdash;", "\u2014"), ("&lsquo;", "\u2018"), ("&rsquo;", "\u2019"), ("&ldquo;", "\u201c"),
-             ("&rdquo;", "\u201d"), ("&hellip;", "\u2026"), ("&amp;", "&")]
-
-
-def decode_numbers(text: Column) -> Column:
-    """Decimal and hexadecimal character references of 1 to 6 digits -> characters; numbers that name none stay."""
-    def char(ref: Column) -> Column:
-        digits = F.regexp_extract(ref, r"([0-9a-fA-F]+);", 1)
-        code = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
-        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(ref)
-
-    refs = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(?:[0-9]{1,6}|[xX][0-9a-fA-F]{1,6});"), F.lit(0)))
-    return F.aggregate(refs, text, lambda out, ref: F.replace(out, ref, char(ref)))
-
-
-def html_to_text(html: Column) -> Column:
-    """Text of an HTML page: every text node, tags replaced by one space.
-
-    Native (regexp) tier: drops comments, declarations, script/style/template
-    bodies and tags, then decodes numeric and the common named entities. Removing nested
-    subtrees by CSS selector needs a DOM; see ``operators.text.html_text_dom``.
-    """
-    out = html
-    for p in _DROP_BLOCKS:
-        out = F.regexp_replace(out, p, "")
-    out = F.regexp_replace(out, _TAG, " ")
-    out = decode_numbers(out)
-    for ent, ch in _ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
-
+from .html import html_to_text
 
 def keep_sentence_lines(text: Column) -> Column:
     """Keep non-empty lines containing a '.', joined by one space."""

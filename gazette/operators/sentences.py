@@ -24,7 +24,7 @@ def is_relevant(text: Column, tokens: Column) -> Column:
             return (c["dep"].isin(*SUBJECT_DEPS) & (c["i"] < c["head"])
                     & (h["pos"] == "VERB") & ~h["dep"].isin(*AUX_DEPS))
         return F.coalesce(F.exists(arr, subj), F.lit(False))
-    ends = F.regexp_replace(text, r"\s+\z", "").endswith(".")
+    ends = F.regexp_replace(text, r"(?U)\s+\z", "").endswith(".")
     return let(tokens, body) & ends
 
 

@@ -8,6 +8,8 @@ Only the word lists are shared.
 
 from __future__ import annotations
 
+import html.entities
+
 from ..functions import annotate as A
 from ..functions import lexicon as L
 from ..functions.urls import HOST_PATTERN
@@ -203,15 +205,30 @@ def news_title_ctes(src: str, key: str, title: str, name: str) -> str:
 SENT_PATTERN = "[^.!?]+[.!?]+"
 
 
-def html_text_sql(html: str) -> str:
-    from ..functions.text import _DROP_BLOCKS, _ENTITIES, _TAG
-    out = html
-    for p in _DROP_BLOCKS:
-        out = f"regexp_replace({out}, {q(p)}, '', 'g')"
-    out = f"regexp_replace({out}, {q(_TAG)}, ' ', 'g')"
-    for ent, ch in _ENTITIES:
-        out = f"replace({out}, {q(ent)}, {q(ch)})"
-    return out
+# Names of the HTML standard's table (Python's copy), as one map.
+_NAMES = "MAP {" + ", ".join(f"{q('&' + n)}: {q(c)}" for n, c in html.entities.html5.items()) + "}"
+_OLD = "|".join(sorted((n for n in html.entities.html5 if n[-1] != ";"), key=len, reverse=True))
+_WIN = "€ ‚ƒ„…†‡ˆ‰Š‹Œ Ž  ‘’“”•–—˜™š›œ žŸ"  # numbers 128 to 159; a blank names none
+
+
+def html_text_sql(page: str) -> str:
+    """Text nodes of a page joined by a blank, references decoded piece by piece (no selectors)."""
+    out = page
+    for _ in range(2):  # '<' before another one needs a second look
+        out = f"regexp_replace({out}, '<([^A-Za-z!?/]|$)', '&lt;\\1', 'g')"
+    tag = "</?[A-Za-z][^>=]*(?:=(?:\\s*(?:\"[^\"]*\"|''[^'']*''))?[^>=]*)*>"
+    silent = "|".join(f"<{n}\\b(?:.*?</{n}\\s*>|.*)" for n in ("script", "style", "template"))
+    nodes = f"regexp_extract_all({out}, '(?is)<!--(?:.*?-->|.*)|{silent}|{tag}|<[!?/][^>]*>|<.*|[^<]+')"
+    text = f"array_to_string(list_filter({nodes}, lambda n: n[1] <> '<'), ' ')"
+    pieces = f"regexp_extract_all({text}, '&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)|&|[^&]+')"
+    code = ("CASE WHEN regexp_matches(p, '^&#[xX]') THEN try_cast('0x' || nullif(ltrim(regexp_extract(p, '[0-9a-fA-F]+'), '0'), '') AS BIGINT) "
+            "ELSE try_cast(regexp_extract(p, '[0-9]+') AS BIGINT) END")
+    old = f"regexp_extract(p, '^&(?:{_OLD})')"
+    char = (f"CASE WHEN coalesce({code}, 0) NOT BETWEEN 1 AND 1114111 OR {code} BETWEEN 55296 AND 57343 THEN chr(65533) "
+            f"WHEN {code} BETWEEN 128 AND 159 AND substr({q(_WIN)}, ({code})::INT - 127, 1) <> ' ' THEN substr({q(_WIN)}, ({code})::INT - 127, 1) "
+            f"ELSE chr(({code})::INT) END")
+    return (f"array_to_string(list_transform({pieces}, lambda p: CASE WHEN p[1] <> '&' OR p = '&' THEN p WHEN p[2] = '#' THEN {char} "
+            f"ELSE coalesce(({_NAMES})[p], CASE WHEN {old} <> '' THEN ({_NAMES})[{old}] || substr(p, length({old}) + 1) END, p) END), '')")
 
 
 def clean_lines_sql(text: str) -> str:
@@ -219,12 +236,15 @@ def clean_lines_sql(text: str) -> str:
             f"lambda l: length(l) > 0 AND contains(l, '.')), ' ')")
 
 
+_WS = r"[\t-\r \x{85}\p{Z}]"  # white space of Unicode
+
+
 def polish_sql(text: str) -> str:
-    t = f"regexp_replace({text}, '^\\s+|\\s+$', '', 'g')"
-    t = f"(upper(substr({t}, 1, 1)) || substr({t}, 2))"
-    t = f"regexp_replace({t}, '\\s+([,!.])', '\\1', 'g')"
-    t = f"regexp_replace({t}, '\\s\\s+', ' ', 'g')"
-    return (f"CASE WHEN length(regexp_replace({text}, '^\\s+|\\s+$', '', 'g')) = 0 THEN NULL "
+    bare = f"regexp_replace({text}, '^{_WS}+|{_WS}+$', '', 'g')"
+    t = f"(upper(substr({bare}, 1, 1)) || substr({bare}, 2))"
+    t = f"regexp_replace({t}, '{_WS}+([,!.])', '\\1', 'g')"
+    t = f"regexp_replace({t}, '{_WS}{_WS}+', ' ', 'g')"
+    return (f"CASE WHEN length({bare}) = 0 THEN NULL "
             f"WHEN ends_with({t}, '.') THEN {t} ELSE {t} || '.' END")
 
 
@@ -261,7 +281,7 @@ def kept_ctes(sents: str, name: str) -> str:
     ON v.doc_id = c.doc_id AND v.sent = c.sent AND v.i = c.head
   JOIN {sents} s ON s.doc_id = c.doc_id AND s.sent = c.sent
   WHERE c.dep IN {inlist(SUBJECT_DEPS)} AND c.i < c.head AND v.pos = 'VERB'
-    AND v.dep NOT IN {inlist(AUX_DEPS)} AND ends_with(regexp_replace(s.text, '\\s+$', ''), '.')),
+    AND v.dep NOT IN {inlist(AUX_DEPS)} AND ends_with(regexp_replace(s.text, '{_WS}+$', ''), '.')),
 {name}_agg AS (
   SELECT t.doc_id, t.sent, count(*) AS n,
          coalesce(min(t.i) FILTER (WHERE t.pos <> 'PUNCT' OR t.is_quote), count(*)) AS lead_punct,

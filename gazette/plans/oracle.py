@@ -151,6 +151,7 @@ ORACLE["feed_state"] = with_(*_ACC, """m AS (SELECT feed_id, max(publish_time) A
 # --- text ----------------------------------------------------------------------------
 
 ORACLE["html_text"] = f"SELECT page_id AS id, {html_text_sql('html')} AS text FROM pages"
+ORACLE["html_text_subtrees"] = ORACLE["html_text"]
 ORACLE["clean_text"] = f"SELECT doc_id, {clean_lines_sql('text')} AS text FROM documents"
 ORACLE["page_clean_text"] = f"SELECT page_id AS id, {clean_lines_sql(html_text_sql('html'))} AS text FROM pages"
 ORACLE["sentences"] = with_(sentence_ctes("documents", "doc_id", "text", "ds")) + \

@@ -260,6 +260,13 @@ def q_html_text(spark, sf):
     return p.select(F.col("page_id").alias("id"), TX.html_to_text(F.col("html")).alias("text"))
 
 
+@register("html_text_subtrees")
+def q_html_text_subtrees(spark, sf):
+    """Pages with reader headers and article footers put in (nested, unclosed paragraphs inside): their text is that of the pages."""
+    p = V.framed_pages(spark, sf)
+    return p.select(F.col("page_id").alias("id"), TX.html_to_text(F.col("html")).alias("text"))
+
+
 @register("clean_text")
 def q_clean_text(spark, sf):
     d = load(spark, sf, "documents")

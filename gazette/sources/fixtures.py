@@ -98,6 +98,16 @@ def status_of(pid: Column) -> Column:
             .when(pid % 10 == 2, "E").otherwise("D"))
 
 
+def framed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, html): pages with a reader header after ``<body>`` and an article footer before ``</body>``, each with
+    elements of its own name and paragraphs that are not closed inside."""
+    header = ('<div class="bar reader-header wide"><div>By <b>A. Writer</b><p>Three minutes.<p>Save.<div class="reader-header">again</div>'
+              "</div></div>")
+    footer = "<section id='engadget-article-footer'><ul><li>More.<li>Less.</ul><section>All products.</section></section>"
+    html = F.regexp_replace(F.regexp_replace("html", "<body>", "<body>" + header), "</body>", footer + "</body>")
+    return load(spark, sf_dir, "pages").select("page_id", html.alias("html"))
+
+
 def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(token): distinct lower-case words of the pages."""
     return load(spark, sf_dir, "pages").select(
