@@ -151,20 +151,20 @@ def feed_marks(feeds: DataFrame, accepted: DataFrame, fetches: DataFrame | None
     """Feeds with the new high-water mark (max accepted dated time).
 
     ``fetches`` (feed_id, fetched_at, etag, modified), one row per answered
-    request, gives the validators for the next conditional request: those of a
-    feed's latest answer, ties to the greater (etag, modified). A latest answer
-    without validators clears them; a feed without an answer keeps its own.
+    request, gives the validators for the next conditional request: of each the
+    one that a feed's latest answer with it brought (ties to the greater); a feed
+    whose answers brought none keeps its own.
     """
     m = (accepted.filter(F.col("dated")).groupBy("feed_id")
          .agg(F.max("publish_time").alias("_new")))
     j = feeds.join(broadcast_if_small(m), feeds.id == m.feed_id, "left").drop("feed_id")
     taken = {"last_publish_time": F.greatest(F.col("_new"), F.col("last_publish_time"))}
     if fetches is not None:
-        last = fetches.groupBy(F.col("feed_id").alias("_feed")).agg(
-            F.max_by(F.struct("etag", "modified"), F.struct("fetched_at", "etag", "modified")).alias("_last"))
+        validators = ("etag", "modified")
+        last = fetches.groupBy(F.col("feed_id").alias("_feed")).agg(*[
+            F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("fetched_at", c))).alias(f"_{c}") for c in validators])
         j = j.join(broadcast_if_small(last), j.id == last._feed, "left")
-        for c in ("etag", "modified"):
-            taken[c] = F.when(F.col("_feed").isNotNull(), F.col(f"_last.{c}")).otherwise(F.col(c))
+        taken |= {c: F.coalesce(f"_{c}", c) for c in validators}
     return j.select(*[taken[c].alias(c) if c in taken else F.col(c) for c in feeds.columns])
 
 

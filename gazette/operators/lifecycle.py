@@ -9,6 +9,7 @@ from ..functions.fixed import (MAX_RETRIES, STALE_AFTER_HOURS, STATUS_DONE,
                                STATUS_ERROR, STATUS_NEW, STATUS_QUEUED)
 from ..functions.text import reader_title
 from .common import broadcast_if_bytes
+from .sample import bottom_k, fetch
 
 
 def stale(articles: DataFrame, now: Column, hours: int = STALE_AFTER_HOURS) -> Column:
@@ -46,12 +47,11 @@ def claim_delta(picked: DataFrame, now: Column) -> DataFrame:
     return picked.select("uri", now.alias("update_time"), F.lit(STATUS_QUEUED).alias("status"))
 
 
-def pick_new(articles: DataFrame, k: int = 1, seed: str = "0") -> DataFrame:
-    """Up to ``k`` pseudo-random articles with status N (seeded md5 order).
+def pick_new(articles: DataFrame, k: int = 1, seed: str | None = "0") -> DataFrame:
+    """Up to ``k`` random articles with status N (id, uri, sample_seed); a new choice each time for seed None.
     The limit is the feature: one browser tab claims one article."""
-    return (articles.filter(F.col("status") == STATUS_NEW)
-            .orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(seed))), F.col("id"))
-            .limit(k).select("id", "uri"))
+    new = articles.filter(F.col("status") == STATUS_NEW).select("id", "uri")
+    return fetch(new, bottom_k(new, k, seed))
 
 
 def claim(articles: DataFrame, picked: DataFrame, now: Column) -> DataFrame:

@@ -101,6 +101,16 @@ def promoted(messages: DataFrame, callbacks: DataFrame,
             .withColumns({"channel": F.lit(public_channel), "button": F.lit(None).cast("string")}))
 
 
+def unbuttoned(messages: DataFrame, callbacks: DataFrame,
+               editors_channel: str = EDITORS_CHANNEL) -> DataFrame:
+    """Messages after their promotion: an editors' message with a ``promote``
+    callback loses its button; all others stay as they are."""
+    hits = callbacks.filter(F.col("data") == PROMOTE_CALLBACK).select("message_id").distinct().withColumn("_hit", F.lit(True))
+    j = messages.join(hits, "message_id", "left")
+    gone = F.col("_hit").isNotNull() & (F.col("channel") == editors_channel)
+    return j.withColumn("button", F.when(~gone, F.col("button"))).select(*messages.columns)
+
+
 def republish(messages: DataFrame, sent: DataFrame) -> DataFrame:
     """Idempotent sink write: messages whose id is not in the sink yet."""
     return messages.join(sent.select("message_id"), "message_id", "left_anti")

@@ -27,7 +27,7 @@ from ..functions.fixed import (DEFAULT_TOP_N, FREQ_WEIGHT, LEN_SCORE_NUMERATOR,
                                LEN_TARGET, LEN_WEIGHT, SIM_WEIGHT)
 from ..functions.text import html_to_clean_text, polish
 from . import tfidf as T
-from .common import broadcast_if_bytes, is_small, maybe_broadcast, spread
+from .common import broadcast_if_bytes, spread
 from .sentences import kept_sentences
 from .similarity import content_tokens
 from .vectors import VectorStore, lemma_vectors, summed, sums
@@ -70,7 +70,7 @@ def doc_weights(sents: DataFrame, vocab: DataFrame) -> DataFrame:
     """(doc_id, term, weight): TF-IDF vector of each document's training text."""
     tf = sentence_terms(sents).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     v = vocab.select("term", "idf")
-    j = tf.join(maybe_broadcast(v, is_small(v, 5_000_000)), "term")
+    j = tf.join(broadcast_if_bytes(v), "term")
     w = F.col("tf") * F.col("idf")
     norm = F.sqrt(F.sum(w * w).over(Window.partitionBy("doc_id")))
     return j.select("doc_id", "term", (w / norm).alias("weight"))

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import is_small, maybe_broadcast
+from .common import broadcast_if_bytes
+from .sample import bottom_k, fetch
 
 # Default vectorizer tokens: 2+ word characters, lower-cased (Unicode-aware).
 TERM_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -50,31 +51,28 @@ def fit_terms(doc_terms: DataFrame, n: int) -> DataFrame:
 
 
 def transform(texts: DataFrame, vocab: DataFrame, id_col: str = "doc_id",
-              text_col: str = "text", max_broadcast_rows: int = 5_000_000) -> DataFrame:
+              text_col: str = "text") -> DataFrame:
     """(doc_id, term, weight): tf x idf, L2-normalised per document; terms
     outside the vocabulary are ignored. The vocabulary is broadcast only
-    after a row-count check."""
+    if its bytes are few."""
     tf = (texts.select(F.col(id_col).alias("doc_id"), F.explode(terms_of(F.col(text_col))).alias("term"))
           .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
     v = vocab.select("term", "idf")
-    j = tf.join(maybe_broadcast(v, is_small(v, max_broadcast_rows)), "term")
+    j = tf.join(broadcast_if_bytes(v), "term")
     w = F.col("tf") * F.col("idf")
     norm = F.sqrt(F.sum(w * w).over(Window.partitionBy("doc_id")))
     return j.select("doc_id", "term", (w / norm).alias("weight"))
 
 
-def sample_for_training(articles: DataFrame, n: int | None = None, seed: str = "0",
+def sample_for_training(articles: DataFrame, n: int | None = None, seed: str | None = "0",
                         status: str = "D") -> DataFrame:
-    """All done articles, or up to ``n`` of them in a seeded pseudo-random order
-    (md5 of id and seed)."""
-    if n is None:
-        return articles.filter(F.col("status") == status)
-    return (articles.filter(F.col("status") == status)
-            .orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(seed))), F.col("id"))
-            .limit(n))
+    """All done articles, or ``n`` of them at random: the same ones for the same
+    seed, others each time for None (``sample_seed`` records the one drawn)."""
+    done = articles.filter(F.col("status") == status)
+    return done if n is None else fetch(done, bottom_k(done, n, seed))
 
 
-def train(articles: DataFrame, model_path: str, n: int | None = None, seed: str = "0") -> DataFrame:
+def train(articles: DataFrame, model_path: str, n: int | None = None, seed: str | None = "0") -> DataFrame:
     """Train job: all done articles (or a sample of ``n``) -> HTML to text -> annotate -> training text -> fit ->
     save the vocabulary as Parquet at ``model_path``; returns the saved model."""
     from ..functions.text import html_to_clean_text

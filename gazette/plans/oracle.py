@@ -140,12 +140,11 @@ FROM firsts f WHERE f.uri NOT IN (SELECT uri FROM articles)"""
 ORACLE["feed_state"] = with_(*_ACC, """m AS (SELECT feed_id, max(publish_time) AS nm FROM acc WHERE dated GROUP BY feed_id)""",
                              """req AS (SELECT CAST(user_id % 20 AS int) AS feed_id, ts, CASE WHEN event_id % 4 <> 0 THEN 'W/"' || md5(props) || '"' END AS etag,
        CASE WHEN event_id % 4 <> 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS modified FROM events)""",
-                             """ans AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feed_id
-       ORDER BY ts DESC, etag DESC NULLS LAST, modified DESC NULLS LAST) AS r FROM req) WHERE r = 1)""",
+                             """last_etag AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY ts DESC, etag DESC) AS r FROM req WHERE etag IS NOT NULL) WHERE r = 1)""",
+                             """last_mod AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY ts DESC, modified DESC) AS r FROM req WHERE modified IS NOT NULL) WHERE r = 1)""",
                              """fs AS (SELECT f.id, greatest(m.nm, f.last_publish_time) AS last_publish_time, f.uri, f.name, f.category,
-       CASE WHEN ans.feed_id IS NOT NULL THEN ans.etag ELSE f.etag END AS etag,
-       CASE WHEN ans.feed_id IS NOT NULL THEN ans.modified ELSE f.modified END AS modified, f.is_aggregator
-  FROM feeds f LEFT JOIN m ON m.feed_id = f.id LEFT JOIN ans ON ans.feed_id = f.id)""") + _FEED_OUT + "fs"
+       coalesce(last_etag.etag, f.etag) AS etag, coalesce(last_mod.modified, f.modified) AS modified, f.is_aggregator
+  FROM feeds f LEFT JOIN m ON m.feed_id = f.id LEFT JOIN last_etag ON last_etag.feed_id = f.id LEFT JOIN last_mod ON last_mod.feed_id = f.id)""") + _FEED_OUT + "fs"
 
 
 # --- text ----------------------------------------------------------------------------
@@ -436,3 +435,35 @@ FROM articles a LEFT JOIN hits h USING (uri)
 UNION ALL
 SELECT md5(f.uri), {_ts(NOW)}, {_ts(NOW)}, CAST(f.feed_id AS BIGINT), f.uri, 'N', CAST(0 AS BIGINT), NULL, f.summary, CAST(h.n AS BIGINT), f.source
 FROM firsts f JOIN hits h USING (uri) WHERE f.uri NOT IN (SELECT uri FROM articles)"""
+
+
+# --- streams, outbox, reports -----------------------------------------------------------
+ORACLE["stream_logs"] = with_(V_LOGS, """f AS (SELECT CASE WHEN event_id % 97 = 5 THEN substr(value, 1, 20) WHEN event_id % 97 = 6 THEN ''
+       WHEN event_id % 97 = 7 THEN regexp_replace(value, '"message":"[^"]*",', '') ELSE value END AS value, event_id % 97 AS k FROM logs)""") + """
+SELECT CASE WHEN k IN (5, 6) THEN 'not JSON' WHEN k = 7 THEN 'no message' END AS bad,
+       CASE WHEN k IN (5, 6, 7) THEN value ELSE '<PageSaver> [' || json_extract_string(value, '$.ts') || '] ' || json_extract_string(value, '$.message') END AS text,
+       count(*) AS n FROM f GROUP BY 1, 2"""
+ORACLE["stream_new_uris"] = ORACLE["new_uris"]
+ORACLE["stream_interval"] = ORACLE["importance"]
+ORACLE["stream_interval_late"] = with_(*_SIM_BASE, _PAIRS) + """
+SELECT a.id, CAST(count(p.score) FILTER (WHERE p.score > 0.3 AND p.other_id * 7 % 5 <= p.id * 7 % 5) AS BIGINT) AS importance
+FROM a LEFT JOIN pairs p ON p.id = a.id GROUP BY a.id"""
+ORACLE["claim_timers"] = with_(V_ARTICLES, """ev AS (SELECT max(happened) AS newest FROM (SELECT update_time AS happened FROM articles
+       UNION ALL SELECT update_time + (id % 90) * INTERVAL 1 MINUTE FROM articles WHERE status = 'Q' AND id % 3 = 0))""",
+    """st AS (SELECT a.*, status = 'Q' AND update_time + INTERVAL 1 HOUR < newest AND NOT (id % 3 = 0 AND id % 90 <= 60) AS s FROM articles a, ev)""") + f"""
+SELECT CAST(id AS VARCHAR) AS id, CASE WHEN s THEN (CASE WHEN retries + 1 < 3 THEN 'N' ELSE 'E' END) ELSE status END AS status,
+       CAST(CASE WHEN s THEN retries + 1 ELSE retries END AS BIGINT) AS retries,
+       {_ts("CASE WHEN s THEN update_time + INTERVAL 1 HOUR ELSE update_time END")} AS update_time FROM st"""
+ORACLE["publish_outbox"] = with_(*_MSG) + """
+SELECT CAST(message_id AS VARCHAR) AS message_id, 'public' AS channel, CASE WHEN message_id % 3 = 2 THEN 'pending' ELSE 'sent' END AS state,
+       CAST(CASE WHEN message_id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS attempts, CAST(CASE WHEN message_id % 3 = 2 THEN 0 ELSE 1 END AS BIGINT) AS copies
+FROM msg"""
+ORACLE["promoted_editors"] = with_(*_MSG) + """
+SELECT message_id, 'editors' AS channel, CASE WHEN message_id NOT IN (SELECT message_id FROM callbacks WHERE data = 'promote')
+       THEN 'Promote ' || repeat('\U0001F525', CAST(importance AS BIGINT)) END AS button FROM msg"""
+ORACLE["article_report"] = with_(*_merge(_SIM, [V_CAPTURES])) + """
+SELECT pg.id, ar.title || chr(10) || chr(10) || coalesce(string_agg(t.polished, chr(10) || chr(10) ORDER BY t.sent), '') AS report
+FROM pg JOIN articles ar ON ar.id = pg.id LEFT JOIN top t ON t.doc_id = pg.id WHERE pg.id IN (SELECT id + 2 FROM captures) GROUP BY pg.id, ar.title"""
+ORACLE["seed_empty"] = with_(f"seed(id, last_publish_time, uri, name, category, etag, modified, is_aggregator) AS (VALUES {_seed_rows})",
+                             V_ENTRIES, _COUNTS) + _FEED_COUNT_OUT + "seed LEFT JOIN ec ON ec.feed_id = seed.id"
+ORACLE["model_saved"] = ORACLE["tfidf_fit"]

@@ -645,3 +645,121 @@ def q_known_uris_second_pass(spark, sf):
                                  V.refresh_now(), materialize=True)
     acc2 = I.accept_entries(rest, feeds1, V.refresh_now())
     return I.known_uris(acc2, arts1)
+
+
+@register("stream_logs")
+def q_stream_logs(spark, sf):
+    """Log lines and quarantined records of a stream of files, counted per kind and text."""
+    land, out, ckpt = (scratch_path(spark, n) for n in ("log-files", "log-lines", "log-ckpt"))
+    V.log_file_lines(spark, sf).write.text(land)
+    LG.start_log_stream(spark, land, out, ckpt).awaitTermination()
+    lines = spark.read.schema("level string, line string").parquet(f"{out}/lines")
+    bad = spark.read.schema("bad string, value string").parquet(f"{out}/quarantine")
+    rows = lines.select(F.lit(None).cast("string").alias("bad"), F.col("line").alias("text")) \
+        .unionByName(bad.select("bad", F.col("value").alias("text")))
+    return rows.groupBy("bad", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("stream_new_uris")
+def q_stream_new_uris(spark, sf):
+    from ..streaming.uris import read_uris, start_uri_stream
+    acc = _accepted(spark, sf).select("uri", "publish_time")
+    land, out, ckpt = (scratch_path(spark, n) for n in ("accepted", "uris", "uri-ckpt"))
+    for _ in _land_in_slices(acc.withColumn("_t", F.col("publish_time")), "_t", land, slices=2):
+        start_uri_stream(spark, f"{land}/*", acc.schema, V.articles(spark, sf), out, ckpt).awaitTermination()
+    return read_uris(spark, out)
+
+
+def _interval(spark, sf, arrived, late_hours):
+    from ..streaming.interval import IntervalSimilarity
+    arts = V.articles(spark, sf).select("id", "create_time", "title", "uri", arrived.alias("arrived"))
+    land, out = scratch_path(spark, "articles"), scratch_path(spark, "intervals")
+    for _ in _land_in_slices(arts.withColumn("_t", F.timestamp_seconds("arrived")), "_t", land, slices=3):
+        pass
+    s = IntervalSimilarity(spark, f"{land}/*", arts.schema, out, arrived=F.col("arrived"), late_hours=late_hours, files_per_batch=6)
+    for q in s.start():
+        q.awaitTermination()
+    return s.importance()
+
+
+@register("stream_interval")
+def q_stream_interval(spark, sf):
+    """Interval join over articles that arrive in the order of their time: the importance of all."""
+    return _interval(spark, sf, F.floor(F.col("id") / 100).cast("long"), 12)
+
+
+@register("stream_interval_late")
+def q_stream_interval_late(spark, sf):
+    """Interval join over articles that arrive shuffled, many of them later than the watermark allows."""
+    return _interval(spark, sf, (F.col("id") * 7 % 5).cast("long"), 3)
+
+
+@register("claim_timers")
+def q_claim_timers(spark, sf):
+    """Stale claims requeued by timers, committed to the article table."""
+    from ..sources.deltas import ArticleTable
+    from ..streaming.claims import start_claim_stream
+    land, root, ckpt = (scratch_path(spark, n) for n in ("claim-events", "claimed-articles", "claim-ckpt"))
+    table = ArticleTable(spark, root)
+    table.create(V.articles(spark, sf))
+    V.claim_events(spark, sf).write.parquet(land)
+    start_claim_stream(spark, land, root, ckpt).awaitTermination()
+    return tidy(table.read().select("id", "status", "retries", F.date_trunc("second", "update_time").alias("update_time")))
+
+
+@register("publish_outbox")
+def q_publish_outbox(spark, sf):
+    """Messages published in three batches: the first is killed after sending and replayed, the last one fails."""
+    from ..session import cut_lineage
+    from ..streaming.outbox import Outbox
+    msgs = cut_lineage(_messages(spark, sf))
+    root, calls = scratch_path(spark, "outbox"), []
+
+    def send(rows, batch):
+        calls.append(batch)
+        if batch == 2:
+            raise ConnectionError("the target is away")
+        rows.write.mode("append").parquet(f"{root}/chat")  # a target that would take a message twice
+        if calls == [0]:
+            raise KeyboardInterrupt
+
+    arrived = lambda: spark.read.schema("message_id string").parquet(f"{root}/chat")
+    box = Outbox(spark, root, send, arrived)
+    for batch in (0, 0, 1, 1, 2):
+        # messages of earlier batches come again
+        try:
+            box.publish(msgs.where(F.col("message_id") % 3 <= batch), batch)
+        except (KeyboardInterrupt, ConnectionError):
+            pass
+    got = arrived().groupBy("message_id").agg(F.count(F.lit(1)).alias("copies"))
+    return box.status().join(got, "message_id", "left").select("message_id", "channel", "state", "attempts", F.coalesce("copies", F.lit(0)).alias("copies"))
+
+
+@register("promoted_editors")
+def q_promoted_editors(spark, sf):
+    """Editors' messages after promotion, with or without their button."""
+    return PB.unbuttoned(_messages(spark, sf, curated=True), V.callbacks(spark, sf)).select("message_id", "channel", "button")
+
+
+@register("article_report")
+def q_article_report(spark, sf):
+    """Single-article reports of the captured articles' neighbours (batched lookup of ids)."""
+    from ..session import cut_lineage
+    arts = _publishable(spark, sf)
+    ids = V.captures(spark, sf).select((F.col("id") + 2).alias("id"))
+    vocab = _vocab(spark, sf, cut_lineage(SM.article_sentences(arts)))
+    return SM.article_report(arts, vocab, ids, _store(spark, sf))
+
+
+@register("seed_empty")
+def q_seed_empty(spark, sf):
+    """Seeding of an empty feed table: the default feeds, with the entries waiting for each."""
+    return tidy(_with_entry_counts(spark, sf, SD.seed_if_empty(V.feeds(spark, sf).filter(F.lit(False)))))
+
+
+@register("model_saved")
+def q_model_saved(spark, sf):
+    """Train, save, load: the vocabulary read back from its file."""
+    path = scratch_path(spark, "model")
+    T.train(V.articles(spark, sf), path)
+    return tidy(T.load_model(spark, path))

@@ -155,6 +155,27 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.lit('","ts":"'), F.col("ts").cast("string"), F.lit('"}')).alias("value"))
 
 
+def log_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(value): the log records as lines; some are cut short, some lack their message, some are empty."""
+    eid = F.col("event_id")
+    bad = F.when(eid % 97 == 5, F.substring("value", 1, 20)).when(eid % 97 == 6, F.lit("")) \
+        .when(eid % 97 == 7, F.regexp_replace("value", '"message":"[^"]*",', ""))
+    return logs(spark, sf_dir).select(F.coalesce(bad, F.col("value")).alias("value"))
+
+
+def claim_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lifecycle events (uri, kind, at, retries): claims of the queued articles, captures that end some of them 0 to 89
+    minutes later, and a sighting of every article, by which time goes on."""
+    a = articles(spark, sf_dir)
+    q = a.filter(F.col("status") == "Q")
+    claims = q.select("uri", F.lit("claim").alias("kind"), F.col("update_time").alias("at"), "retries")
+    done = q.filter(F.col("id") % 3 == 0).select(
+        "uri", F.lit("done").alias("kind"), (F.col("update_time") + F.make_dt_interval(mins=(F.col("id") % 90).cast("int"))).alias("at"),
+        F.lit(None).cast("int").alias("retries"))
+    seen = a.select("uri", F.lit("seen").alias("kind"), F.col("update_time").alias("at"), F.lit(None).cast("int").alias("retries"))
+    return claims.unionByName(done).unionByName(seen)
+
+
 def callbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
     return e.select(

@@ -20,18 +20,23 @@ def _fs(spark: SparkSession, root: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path, jvm
 
 
-def versions(spark: SparkSession, root: str) -> list[int]:
+def subfolders(spark: SparkSession, root: str, prefix: str) -> list[int]:
+    """Numbers n of the complete folders ``<prefix><n>`` below ``root``, in order."""
     fs, path, jvm = _fs(spark, root)
     if not fs.exists(path):
         return []
     out = []
     for st in fs.listStatus(path):
         name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name[2:]))
+        if name.startswith(prefix) and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            out.append(int(name[len(prefix):]))
     return sorted(out)
 
 
+def versions(spark: SparkSession, root: str) -> list[int]:
+    return subfolders(spark, root, "v=")
+
+
 def latest(spark: SparkSession, root: str, at_most: int | None = None) -> DataFrame | None:
     """Newest committed version (at most ``at_most``): a replayed batch
     ``e`` reads version <= e and so never sees its own earlier output."""

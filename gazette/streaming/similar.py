@@ -9,9 +9,10 @@ are never formed), append (id, importance) to the output folder
 if absent, and evict rows with ``create_time <= max_time - window``, where
 ``max_time`` is the processing time at most.
 
-Event time is used for both "now" and order (strict window). A native
-alternative is a stream-stream interval join with a 12 h watermark; it
-drops late rows, which the exact mode must not do.
+Event time is used for both "now" and order (strict window). Articles that come
+later than ``late_hours`` after the newest one find only what is left of their
+window; with a larger ``late_hours`` the state is kept for so much longer.
+``streaming.interval`` is the native alternative, a stream-stream join.
 """
 
 from __future__ import annotations
@@ -32,8 +33,12 @@ def start_similarity_stream(spark: SparkSession, articles_dir: str, articles_sch
                             threshold: float = SIMILARITY_THRESHOLD,
                             window_hours: int = SIMILARITY_WINDOW_HOURS,
                             available_now: bool = True,
-                            file_format: str = "parquet") -> StreamingQuery:
-    src = spark.readStream.schema(articles_schema).format(file_format).load(articles_dir)
+                            file_format: str = "parquet", late_hours: int = 0,
+                            files_per_batch: int | None = None) -> StreamingQuery:
+    reader = spark.readStream.schema(articles_schema).format(file_format)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    src = reader.load(articles_dir)
 
     def run_batch(batch: DataFrame, epoch: int) -> None:
         from ..session import cut_lineage
@@ -52,7 +57,7 @@ def start_similarity_stream(spark: SparkSession, articles_dir: str, articles_sch
         # an article dated in the future must not push the window's present ones out
         horizon = combined.agg(F.least(F.max("ct"), F.current_timestamp()).alias("m"))
         kept = combined.join(F.broadcast(horizon), F.col("ct") > F.col("m") - F.expr(
-            f"INTERVAL {int(window_hours)} HOURS")).drop("m")
+            f"INTERVAL {int(window_hours) + int(late_hours)} HOURS")).drop("m")
         write_version(kept, state_root, epoch + 1)
 
     w = src.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
