@@ -23,6 +23,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .annotate import let
 from .fixed import DROP_SELECTORS
 
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
@@ -99,30 +100,38 @@ def dropped(tokens: Column, selectors: list[str]) -> Column:
     names = F.array().cast("array<string>")
     cuts = F.array().cast("array<struct<a:int,b:int>>")
     state = F.struct(names.alias("open"), F.lit(0).alias("level"), F.lit(-1).alias("start"), F.lit(0).alias("i"), cuts.alias("cuts"))
-
-    def step(s: Column, t: Column) -> Column:
-        name = F.lower(F.regexp_extract(t, r"^</?([A-Za-z][^\s/>]*)", 1))
-        silent = t.rlike(rf"(?is)^<(?:{'|'.join(SILENT)})\b")
-        closes = t.startswith("</")
-        opens = (name != "") & ~closes & ~name.isin(VOID) & ~silent
-        # the innermost open element that this tag closes: its own, or a paragraph before a block
-        closed = F.when(closes, name).when(opens & name.isin(BLOCKS), F.lit("p")).otherwise(F.lit(""))
-        from_top = F.array_position(F.reverse(s["open"]), closed).cast("int")
-        stack = F.when((closed != "") & (from_top > 0), F.slice(s["open"], F.lit(1), F.size(s["open"]) - from_top)).otherwise(s["open"])
-        ends = (s["level"] > 0) & (F.size(stack) < s["level"])
-        cut = F.when(ends, F.concat(s["cuts"], F.array(F.struct(s["start"].alias("a"), F.when(closes, s["i"]).otherwise(s["i"] - 1).alias("b"))))) \
-            .otherwise(s["cuts"])
-        level = F.when(ends, F.lit(0)).otherwise(s["level"])
-        stack = F.when(opens, F.concat(stack, F.array(name))).otherwise(stack)
-        starts = opens & (level == 0) & reduce(lambda x, y: x | y, [_selects(t, x) for x in selectors])
-        return F.struct(stack.alias("open"), F.when(starts, F.size(stack)).otherwise(level).cast("int").alias("level"),
-                        F.when(starts, s["i"]).otherwise(s["start"]).alias("start"), (s["i"] + 1).alias("i"), cut.alias("cuts"))
+    silent = rf"(?is)^<(?:{'|'.join(SILENT)})\b"
+
+    def event(t: Column) -> Column:
+        """What a tag opens, which open element it closes (its own, or a paragraph before a block), and if a selector names it."""
+        def of(name):
+            ends = t.startswith("</")
+            opens = (name != "") & ~ends & ~name.isin(VOID) & ~t.rlike(silent)
+            return let(F.struct(name.alias("name"), ends.alias("ends"), opens.alias("opens")), lambda e: F.struct(
+                e["name"].alias("name"), e["ends"].alias("ends"), e["opens"].alias("opens"),
+                F.when(e["ends"], e["name"]).when(e["opens"] & e["name"].isin(BLOCKS), F.lit("p")).otherwise(F.lit("")).alias("closes"),
+                (e["opens"] & reduce(lambda x, y: x | y, [_selects(t, x) for x in selectors])).alias("hit")))
+        return let(F.lower(F.regexp_extract(t, r"^</?([A-Za-z][^\s/>]*)", 1)), of)
+
+    def step(s: Column, e: Column) -> Column:
+        from_top = F.when(e["closes"] != "", F.array_position(F.reverse(s["open"]), e["closes"]).cast("int")).otherwise(F.lit(0))
+        left = let(from_top, lambda n: F.when(n > 0, F.slice(s["open"], F.lit(1), F.size(s["open"]) - n)).otherwise(s["open"]))
+
+        def after(v: Column) -> Column:
+            cut = F.when(v["cut"], F.concat(s["cuts"], F.array(F.struct(
+                s["start"].alias("a"), F.when(e["ends"], s["i"]).otherwise(s["i"] - 1).alias("b"))))).otherwise(s["cuts"])
+            level = F.when(v["starts"], F.size(v["open"]) + 1).when(v["cut"], F.lit(0)).otherwise(s["level"])
+            return F.struct(F.when(e["opens"], F.concat(v["open"], F.array(e["name"]))).otherwise(v["open"]).alias("open"), level.cast("int").alias("level"),
+                            F.when(v["starts"], s["i"]).otherwise(s["start"]).alias("start"), (s["i"] + 1).alias("i"), cut.alias("cuts"))
+
+        return let(left, lambda k: let((s["level"] > 0) & (F.size(k) < s["level"]), lambda cut: let(F.struct(
+            k.alias("open"), cut.alias("cut"), (e["hit"] & (cut | (s["level"] == 0))).alias("starts")), after)))
 
     # an element that is not closed reaches to the end
     def finish(s: Column) -> Column:
         return F.when(s["level"] > 0, F.concat(s["cuts"], F.array(F.struct(s["start"].alias("a"), s["i"].alias("b"))))).otherwise(s["cuts"])
 
-    return F.aggregate(tokens, state, step, finish)
+    return F.aggregate(F.transform(tokens, event), state, step, finish)
 
 
 def html_to_text(page: Column, drop: list[str] | tuple[str, ...] = tuple(DROP_SELECTORS)) -> Column:
@@ -134,9 +143,8 @@ def html_to_text(page: Column, drop: list[str] | tuple[str, ...] = tuple(DROP_SE
     nodes = text(tokens)
     if drop:
         def kept(t):
-            held = F.element_at(F.transform(F.array(dropped(t, list(drop))), lambda cuts: F.filter(
-                t, lambda x, i: ~x.startswith("<") & ~F.exists(cuts, lambda c: i.between(c["a"], c["b"])))), 1)
-            return held
+            return let(dropped(t, list(drop)), lambda cuts: F.filter(
+                t, lambda x, i: ~x.startswith("<") & ~F.exists(cuts, lambda c: i.between(c["a"], c["b"]))))
         may = page.rlike("|".join(re.escape(s[1:]) for s in drop))
-        nodes = F.when(may, F.element_at(F.transform(F.array(tokens), kept), 1)).otherwise(nodes)
+        nodes = F.when(may, let(tokens, kept)).otherwise(nodes)
     return decode_references(F.array_join(nodes, " "))

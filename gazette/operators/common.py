@@ -60,18 +60,21 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+#: Input bytes beyond which ``spread`` leaves the partitions as they are.
+SPREAD_BYTES = 1 << 30
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin repartition before row-heavy work, only for small inputs.
 
-    A table smaller than ``parallelism x maxPartitionBytes`` may be stored in
-    one row group and would run on one core; spreading it costs a shuffle of
-    that small input. Larger inputs already split into more partitions than
-    cores, so this is a no-op there (decided from the optimizer's size
-    estimate, without running anything).
+    A small table may be stored in one row group and would run on one core;
+    spreading it costs a shuffle of at most SPREAD_BYTES, however many cores there
+    are. Larger inputs are left alone: they have splits enough (decided from the
+    optimizer's size estimate, without running anything).
     """
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
     max_split = byte_size(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728"))
-    if estimated_bytes(df) < target * max_split:
+    if estimated_bytes(df) < min(target * max_split, SPREAD_BYTES):
         return df.repartition(target)
     return df

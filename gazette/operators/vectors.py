@@ -18,8 +18,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_bytes
-
 #: Bits a token sets in its block; bits per token the filter is sized for; its most blocks (16 bytes each).
 BITS, BITS_PER_TOKEN, MAX_BLOCKS = 4, 16, 1 << 21
 #: Length of the n-grams, over the token with a mark at either end.
@@ -77,11 +75,10 @@ def may_contain(rows: DataFrame, col: str, keys: DataFrame, key: str) -> DataFra
 
 
 def _looked_up(store: DataFrame, key: str, wanted: DataFrame, col: str) -> DataFrame:
-    """(`col`, vec) of the `wanted` keys that the store has, written once."""
-    from ..session import cut_lineage
+    """(`col`, vec) of the distinct `wanted` keys that the store has."""
     near = may_contain(store.select(F.col(key).alias("_key"), "vec").where("_key is not null and vec is not null"), "_key", wanted, col)
-    once = near.groupBy("_key").agg(F.min("vec").alias("vec"))
-    return cut_lineage(wanted.join(once, F.col(col) == F.col("_key")).select(col, F.col("vec").cast("array<double>").alias("vec")))
+    found = wanted.join(near, F.col(col) == F.col("_key"))
+    return found.groupBy(col).agg(F.min(F.col("vec").cast("array<double>")).alias("vec"))
 
 
 def grams_of(token: Column, n: int = GRAM) -> Column:
@@ -95,20 +92,23 @@ def sums(dim: int, vec: str = "vec") -> list[Column]:
     return [F.sum(F.get(vec, F.lit(k)).cast("double")).alias(f"_v{k}") for k in range(dim)]
 
 
-def summed(dim: int, by: Column | None = None) -> Column:
-    """The vector of the columns that `sums` named, divided by `by`."""
-    parts = [F.col(f"_v{k}") if by is None else F.col(f"_v{k}") / by for k in range(dim)]
-    return F.array(*parts).cast("array<double>")
+def summed(dim: int) -> Column:
+    """The vector of the columns that `sums` named."""
+    return F.array(*[F.col(f"_v{k}") for k in range(dim)]).cast("array<double>")
 
 
 def lemma_vectors(lemmas: DataFrame, store: VectorStore) -> DataFrame:
     """(lemma, vec array<double>) of the distinct lemmas that the store, or its n-grams, know; written once."""
     from ..session import cut_lineage
     vocab = cut_lineage(lemmas.select("lemma").where("lemma is not null").distinct())
-    known = _looked_up(store.tokens, "token", vocab, "lemma")
+    known = cut_lineage(_looked_up(store.tokens, "token", vocab, "lemma"))
     if store.grams is None:
         return known
     parts = cut_lineage(vocab.join(known.select("lemma"), "lemma", "left_anti").select("lemma", F.explode(grams_of(F.col("lemma"))).alias("gram")))
     vectors = _looked_up(store.grams, "gram", parts.select("gram").distinct(), "gram")
-    mean = parts.join(broadcast_if_bytes(vectors), "gram").groupBy("lemma").agg(*sums(store.dim), F.count(F.lit(1)).alias("_n"))
-    return cut_lineage(known.unionByName(mean.select("lemma", summed(store.dim, F.col("_n")).alias("vec"))))
+    # a lemma's distinct n-grams are few: their vectors are added as arrays, in the order of the n-grams
+    own = parts.join(vectors, "gram").groupBy("lemma").agg(F.array_sort(F.collect_list(F.struct("gram", "vec"))).alias("_g"))
+    zero = F.array_repeat(F.lit(0.0), store.dim)
+    total = F.aggregate("_g", zero, lambda acc, g: F.zip_with(acc, g["vec"], lambda x, y: x + y))
+    mean = F.transform(total, lambda x: x / F.size("_g"))
+    return cut_lineage(known.unionByName(own.select("lemma", mean.alias("vec"))))

@@ -256,7 +256,8 @@ def _token_sig(tokens):
 
 @register("html_text")
 def q_html_text(spark, sf):
-    p = load(spark, sf, "pages")
+    from ..operators.common import spread
+    p = spread(load(spark, sf, "pages").select("page_id", "html"))
     return p.select(F.col("page_id").alias("id"), TX.html_to_text(F.col("html")).alias("text"))
 
 
@@ -375,7 +376,7 @@ def _vocab(spark, sf, sents=None):
 
 
 def _store(spark, sf):
-    return open_store(V.vectors(spark, sf), V.gram_vectors(spark, sf))
+    return open_store(*V.vectors(spark, sf))
 
 
 class _Summ:

@@ -110,30 +110,32 @@ def framed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(token): distinct lower-case words of the pages."""
-    return load(spark, sf_dir, "pages").select(
+    from ..operators.common import spread
+    return spread(load(spark, sf_dir, "pages").select("html")).select(
         F.explode(F.regexp_extract_all(F.lower("html"), F.lit("[a-z]{2,}"), F.lit(0))).alias("token")).distinct()
 
 
-def _with_vector(keys: DataFrame, key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each key with an embedding chosen by its md5: a stand-in for trained vectors."""
-    e = load(spark, sf_dir, "embeddings")
-    at = F.pmod(_md5_number(F.col(key)), F.lit(e.count()))
-    return keys.withColumn("vec_id", at).join(e.select("vec_id", F.col("embedding").alias("vec")), "vec_id").select(key, "vec")
-
-
 def _md5_number(c: Column) -> Column:
     return F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(token, vec) of the pages' words; one in eight is left out, as an unknown token."""
-    return _with_vector(page_words(spark, sf_dir).filter(_md5_number(F.col("token")) % 8 != 0), "token", spark, sf_dir)
-
+def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+    """(token, vec) of the pages' words, (gram, vec) of their character trigrams, and the vectors' length.
 
-def gram_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(gram, vec) of the character trigrams of the pages' words."""
+    Each key has an embedding chosen by its md5, as a stand-in for trained vectors;
+    one token in eight is left out, as an unknown one. The words are written once."""
     from ..operators.vectors import grams_of
-    return _with_vector(page_words(spark, sf_dir).select(F.explode(grams_of(F.col("token"))).alias("gram")).distinct(), "gram", spark, sf_dir)
+    from ..session import cut_lineage
+    e = load(spark, sf_dir, "embeddings")
+    n, dim = e.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    words = cut_lineage(page_words(spark, sf_dir))
+
+    def chosen(keys: DataFrame, key: str) -> DataFrame:
+        at = F.pmod(_md5_number(F.col(key)), F.lit(max(n, 1)))
+        return keys.withColumn("vec_id", at).join(e.select("vec_id", F.col("embedding").alias("vec")), "vec_id").select(key, "vec")
+
+    known = words.filter(_md5_number(F.col("token")) % 8 != 0)
+    return chosen(known, "token"), chosen(words.select(F.explode(grams_of(F.col("token"))).alias("gram")).distinct(), "gram"), dim or 0
 
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:

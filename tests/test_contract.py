@@ -36,7 +36,7 @@ def test_end_to_end_usage(spark):
     articles = lifecycle.save_content(articles, V.captures(spark, SF_SMALL), now)
     path = tempfile.mkdtemp(prefix="gz-model-") + "/vocab"
     vocab = tfidf.train(articles, path)
-    msgs = publish.publish_messages(articles, feeds, vocab, open_store(V.vectors(spark, SF_SMALL), V.gram_vectors(spark, SF_SMALL)),
+    msgs = publish.publish_messages(articles, feeds, vocab, open_store(*V.vectors(spark, SF_SMALL)),
                                     since=F.to_timestamp(F.lit("2024-01-01 00:00:00")))
     rows = msgs.collect()
     assert rows and all(r.text.startswith("<b>") and r.importance > 0 for r in rows)

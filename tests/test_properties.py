@@ -30,7 +30,7 @@ def test_summary_bounded_ordered_distinct(spark):
     arts, vocab = _setup(spark)
     n = 2
     sents = SM.article_sentences(arts)
-    store = open_store(V.vectors(spark, SF_SMALL), V.gram_vectors(spark, SF_SMALL))
+    store = open_store(*V.vectors(spark, SF_SMALL))
     vectors = SM.Vectors(sents, arts.select(F.col("id").alias("doc_id"), "title"), store)
     scores = SM.sentence_scores(sents, SM.doc_weights(sents, vocab), vectors)
     top = SM.top_sentences(scores, n).collect()
