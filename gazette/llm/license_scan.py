@@ -2,14 +2,15 @@
 
 Base: places where a named phrase's words stand one after another. The method
 adds labels from licence notices: the words of TEMPLATES without function words
-form an index (word, template, position). All licence words of a file are
-looked up; a template's postings and the file's positions intersect by their
-difference, so every (template, shift) gets the template words that stand at
-their places. A shift's score is the share of the template's indexed words in
-place. From MIN_SCORE on, and if the template's mandatory key phrases stand in
-the file word for word, the file gets its label, however many other notices and
-licence words it holds. (ORACLE_SQL still lets only shifts of the file's TOP
-rarest licence words count; the two agree where that loses no label.)
+form an index (word, template, position). A template stands at a shift if the share
+of its indexed words that stand at their places there is MIN_SCORE or more. Then
+at least one of its total - ceil(MIN_SCORE * total) + 1 rarest words stands in
+place, so only these are looked up: words are ranked by their IDF over the files
+that hold licence words, and the postings of a template's rarest ones, met with the
+file's positions, give all (template, shift) that can reach the score. There all
+words of the template are looked up at their places. If the score is reached and
+the template's mandatory key phrases stand in the file word for word, the file gets
+its label, however many other notices it holds. No shift that counts is lost.
 
 Words are runs of a-z, 0-9 and all characters from U+0080 on, A-Z lower-cased.
 Defined cases: null text is empty, with 0 words, no labels ('') and null places;
@@ -18,14 +19,14 @@ repeated rows are scanned each; an empty table gives an empty result.
 Scale: the text is read once, row by row, into a slim table: counts, places, and
 positions of licence words for files that hold two different ones at least. Only
 hits are shuffled (by row, template and shift), and labels return by the row's
-number.
+number. The index and its rare part are broadcast; they are as small as TEMPLATES.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gazette.llm.util import load, lower_ascii, written
@@ -51,7 +52,7 @@ TEMPLATES = [
 #: Function words, which the index leaves out.
 STOP = set("a and any are as at by for in is it of or that the this to under with you met use".split())
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-TOP, MIN_SCORE = 8, 0.5
+MIN_SCORE = 0.5
 INDEX = [(w, label, i) for label, text, _ in TEMPLATES for i, w in enumerate(text.split()) if w not in STOP]
 VOCABULARY = sorted({w for w, _, _ in INDEX})
 KEYS = sorted({k for _, _, keys in TEMPLATES for k in keys})
@@ -85,6 +86,21 @@ def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         F.when(several, F.col("licence")).alias("licence"), F.when(several, held).alias("held"), F.when(several, keys).alias("keys")), "licence-words")
 
 
+def rarest(slim: DataFrame) -> DataFrame:
+    """(word, template, at): of each template the rarest indexed words one of which every counting shift must hold.
+
+    IDF from the files with two different licence words at least; ties go by word and place. As small as TEMPLATES."""
+    spark = slim.sparkSession
+    files = slim.where("licence is not null")
+    df = files.select(F.explode("licence").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    index = spark.createDataFrame(INDEX, "word string, template string, at int")
+    ranked = index.join(F.broadcast(df), "word", "left").na.fill(0, ["df"]).join(F.broadcast(files.agg(F.count("*").alias("n"))), F.lit(True))
+    mine = Window.partitionBy("template")
+    ranked = ranked.withColumn("rank", F.row_number().over(mine.orderBy(idf.desc(), "word", "at"))).withColumn("total", F.count("*").over(mine))
+    return ranked.where(F.col("rank") <= F.col("total") - F.ceil(F.col("total") * MIN_SCORE) + 1).select("word", "template", "at")
+
+
 def template_labels(slim: DataFrame) -> DataFrame:
     """(rid, labels, score) of the documents that match a template."""
     spark = slim.sparkSession
@@ -92,14 +108,16 @@ def template_labels(slim: DataFrame) -> DataFrame:
     # bounded by TEMPLATES
     index = F.broadcast(spark.createDataFrame(INDEX, "word string, template string, at int"))
     weights = spark.createDataFrame([(label, total[label], keys) for label, _, keys in TEMPLATES], "template string, total int, must array<string>")
-    held = slim.where("held is not null").select("rid", "keys", F.explode("held").alias("h")) \
-        .select("rid", "keys", F.col("h.word").alias("word"), F.col("h.pos").alias("pos")).join(index, "word")
-    shifts = held.groupBy("rid", "template", (F.col("pos") - F.col("at")).alias("shift")) \
-        .agg(F.count_distinct("at").alias("hits"), F.first("keys").alias("keys"))
+    held = slim.where("held is not null").select("rid", F.explode("held").alias("h")).select("rid", F.col("h.word").alias("word"), F.col("h.pos").alias("pos"))
+    may = held.join(F.broadcast(rarest(slim)), "word").select("rid", "template", (F.col("pos") - F.col("at")).alias("shift")).distinct()
+    # a template whose key phrases are not in the file gives no label
+    keyed = slim.where("held is not null").select("rid", "keys").join(F.broadcast(weights), F.size(F.array_except("must", "keys")) == 0) \
+        .select("rid", "template", "total")
+    may = may.join(keyed, ["rid", "template"])
+    due = may.join(index, "template").select("rid", "template", "shift", "total", "word", (F.col("shift") + F.col("at")).alias("pos"))
+    shifts = due.join(held, ["rid", "word", "pos"]).groupBy("rid", "template", "shift", "total").agg(F.count("*").alias("hits"))
     score = F.col("hits") / F.col("total")
-    fits = shifts.join(F.broadcast(weights), "template") \
-        .where((score >= MIN_SCORE) & (F.size(F.array_except("must", "keys")) == 0))
-    return fits.groupBy("rid").agg(F.collect_set("template").alias("labels"), F.max(score).alias("score"))
+    return shifts.where(score >= MIN_SCORE).groupBy("rid").agg(F.collect_set("template").alias("labels"), F.max(score).alias("score"))
 
 
 def licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -140,20 +158,16 @@ must(template, phrase) AS (VALUES {rows(f"('{t}', ['{"', '".join(k.split())}'])"
 hit AS (SELECT rid, i, words[i] AS word FROM pos WHERE words[i] IN ({quoted(VOCABULARY)})),
 few AS (SELECT rid FROM hit GROUP BY rid HAVING count(DISTINCT word) > 1),
 held AS (SELECT hit.* FROM hit JOIN few ON few.rid = hit.rid),
-idf AS (SELECT word, ln(1 + ((SELECT count(*) FROM w) - count(DISTINCT rid) + 0.5::DOUBLE) / (count(DISTINCT rid) + 0.5::DOUBLE)) AS idf FROM held GROUP BY word),
-ranked AS (
-  SELECT rid, word, row_number() OVER (PARTITION BY rid ORDER BY idf DESC, word DESC) AS r
-  FROM (SELECT DISTINCT rid, held.word, idf FROM held JOIN idf ON idf.word = held.word)),
 shifts AS (
-  SELECT held.rid, template, i - place AS shift, count(DISTINCT place) AS hits, bool_or(r <= {TOP}) AS voted
-  FROM held JOIN idx ON idx.word = held.word JOIN ranked ON ranked.rid = held.rid AND ranked.word = held.word GROUP BY 1, 2, 3),
+  SELECT held.rid, template, i - place AS shift, count(DISTINCT place) AS hits
+  FROM held JOIN idx ON idx.word = held.word GROUP BY 1, 2, 3),
 keyed AS (
   SELECT rid, m.template FROM must AS m JOIN pos ON words[i] = phrase[1] AND words[i:i + len(phrase) - 1] = phrase
   GROUP BY rid, m.template HAVING count(DISTINCT phrase) = (SELECT count(*) FROM must x WHERE x.template = m.template)),
 m AS (
   SELECT s.rid, list(DISTINCT s.template) AS ls, max(hits / total) AS score
   FROM shifts s JOIN tot ON tot.template = s.template JOIN keyed ON keyed.rid = s.rid AND keyed.template = s.template
-  WHERE voted AND hits / total >= {MIN_SCORE} GROUP BY s.rid)
+  WHERE hits / total >= {MIN_SCORE} GROUP BY s.rid)
 SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(b.ls, []), coalesce(m.ls, [])))), ',') AS labels, round(coalesce(score, 0.0), 6)::DOUBLE AS score
 FROM w LEFT JOIN b ON b.rid = w.rid LEFT JOIN m ON m.rid = w.rid
