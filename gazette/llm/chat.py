@@ -13,8 +13,8 @@ mark can appear inside a turn; removing the first backslash of each pair gives
 the text back. `loss` holds the code point spans of assistant texts.
 
 Defined cases: null role or text is empty; a null score counts as 0; a message
-whose parent is missing is a root; messages on a cycle of parents, which have no
-root, belong to no path; of messages that repeat (tree, msg), the first by
+whose parent is missing is a root; messages on a cycle of parents, and those below
+one, have no root and belong to no path; of messages that repeat (tree, msg), the first by
 (parent, role, text) is used, and ties between branches go to the smaller leaf;
 an empty table gives an empty result. In the registered query a conversation's
 rows are one thread by (turn, role, text), so repeated rows are turns of their
@@ -26,8 +26,6 @@ finished conversation is put together in one place, as it is one row.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,23 +55,24 @@ def paths(messages: DataFrame) -> DataFrame:
     nodes = written(messages.groupBy("tree", "msg").agg(F.min(F.struct(F.col("parent").isNull(), "parent"))["parent"].alias("parent")), "chat-nodes")
     known = nodes.select("tree", F.col("msg").alias("parent"))
     # pointers to the parent, none at a root
-    link = nodes.join(known, ["tree", "parent"]).select("tree", "msg", F.col("parent").alias("to"))
-    rootless = written(link, "chat-links")
+    jump = written(nodes.join(known, ["tree", "parent"]).select("tree", "msg", F.col("parent").alias("to")), "chat-links")
     leaves = nodes.select("tree", "msg").join(nodes.select("tree", F.col("parent").alias("msg")).where("msg is not null").distinct(), ["tree", "msg"], "left_anti")
-    found = leaves.select("tree", F.col("msg").alias("leaf"), "msg", F.lit(0).cast("long").alias("up"))
-    found = written(found, "chat-found")
-    jump, most = rootless, nodes.count()
-    for k in range(math.ceil(math.log2(most)) + 1 if most else 0):
-        step = F.col("f.up") + (1 << k)
-        more = found.alias("f").join(jump.alias("j"), (F.col("f.tree") == F.col("j.tree")) & (F.col("f.msg") == F.col("j.msg"))) \
-            .select("f.tree", "f.leaf", F.col("j.to").alias("msg"), step.alias("up"))
-        more = written(more, "chat-more")
-        if more.isEmpty():
-            break
-        found = found.unionByName(more)
+    # pointers to the ancestor 1, 2, 4, ... steps up, as long as any message has one
+    jumps, most = [], nodes.count()
+    while not jump.isEmpty() and 1 << len(jumps) < most:
+        jumps.append(jump)
         a, b = jump.alias("a"), jump.alias("b")
         jump = written(a.join(b, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.to") == F.col("b.msg")))
                        .select("a.tree", "a.msg", F.col("b.to").alias("to")), "chat-jump")
+    # who still has an ancestor as many steps up as there are messages is on a cycle or below one
+    endless = jump.select("tree", "msg")
+    if not jump.isEmpty():
+        leaves = leaves.join(endless, ["tree", "msg"], "left_anti")
+    found = written(leaves.select("tree", F.col("msg").alias("leaf"), "msg", F.lit(0).cast("long").alias("up")), "chat-found")
+    for k, jump in enumerate(jumps):
+        more = found.alias("f").join(jump.alias("j"), (F.col("f.tree") == F.col("j.tree")) & (F.col("f.msg") == F.col("j.msg"))) \
+            .select("f.tree", "f.leaf", F.col("j.to").alias("msg"), (F.col("f.up") + (1 << k)).alias("up"))
+        found = found.unionByName(written(more, "chat-more"))
     return found
 
 
@@ -112,8 +111,10 @@ def formatted(turns: DataFrame) -> DataFrame:
 def parsed(conversations: DataFrame) -> DataFrame:
     """`conversations` with turns (array of role, text) read from the formatted text, and learned, the text under the loss mask."""
     pieces = F.filter(F.split("formatted", END), lambda x: x != "")
-    role = lambda x: F.regexp_extract(x, r"^### ((?:[^\\:]|\\[\s\S])*): ", 1)
-    text = lambda x: F.regexp_extract(x, r"^### (?:[^\\:]|\\[\s\S])*: ([\s\S]*)$", 1)
+    # the first colon that no backslash escapes; the only repeated group takes pairs of backslashes, which needs no stack
+    head = r"^### ([\s\S]*?(?<!\\)(?:\\\\)*+): "
+    role = lambda x: F.regexp_extract(x, head, 1)
+    text = lambda x: F.regexp_extract(x, head + r"([\s\S]*+)$", 2)
     turns = F.transform(pieces, lambda x: F.struct(unescaped(role(x)).alias("role"), unescaped(text(x)).alias("text")))
     learned = F.array_join(F.transform("loss", lambda s: unescaped(F.substr(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))), "")
     return conversations.withColumn("turns", turns).withColumn("learned", learned)
