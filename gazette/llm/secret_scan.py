@@ -10,9 +10,10 @@ other alphabets (KEYS: lower or upper case, with or without digits, both, base64
 with its signs), by the characters a window holds; runs of SHORTEST to WINDOW
 characters are one window. As smaller alphabets reach the entropy of long words,
 such a window's letters and changes of case must also be nearer to chance than to
-text (`_ODDS`, `_TURN`, `_STAY`, in bits). An allow-list drops what is
+text (`_ODDS`, `_TURN`, `_STAY`, in bits). An allow-list cuts out of a span what is
 random-looking but public (UUIDs, placeholders, alphabets, checksums of
-subresources). Both thresholds are low quantiles of random strings, so a few keys
+subresources); what is left on either side is a span if it reaches the entropy
+by itself. Words beside a span do not matter. Both thresholds are low quantiles of random strings, so a few keys
 in a hundred of the least length are still missed, and a rare long word is found.
 
 Spans are code points, end exclusive. Defined cases: null text is empty and has
@@ -44,7 +45,9 @@ WINDOW = 20
 CLASSES = [(re.compile(r"[0-9A-Fa-f]{20,}"), 3.0, 3), (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 3.8, 2)]
 #: What looks random but is no secret: UUIDs, placeholders, alphabets, subresource checksums.
 ALLOW = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|(?i:example|placeholder|changeme|dummy|sample|xxxx|your[_-])"
-                   r"|(?i:abcdefgh|ijklmnop|qrstuvwx)|0123456789|1234567890|sha(?:256|384|512)-")
+                   r"|(?i:abcdefgh|ijklmnop|qrstuvwx)|0123456789|1234567890|sha(?:256|384|512)-[A-Za-z0-9+/=]*")
+#: Characters by which an allowed value may reach beyond a span.
+_LONGEST = 40
 _TERM = [n * math.log2(n) if n else 0.0 for n in range(WINDOW + 1)]
 
 #: Least length of a key; shorter than WINDOW, the whole run is its window.
@@ -110,7 +113,26 @@ def _key_windows(run: str, signed: bool) -> list[list[int]]:
 
 
 def entropy_spans(text: str) -> list[tuple[int, int]]:
-    """Stretches of candidate strings whose windows reach their class's entropy, without the allowed ones."""
+    """Stretches of candidate strings whose windows reach their class's entropy, without what is allowed in them."""
+    spans = []
+    for a, z in _dense_spans(text):
+        at = a
+        # an allowed value may begin before the span (a UUID's first digits, a checksum's name)
+        for m in ALLOW.finditer(text, max(0, a - _LONGEST), min(len(text), z + _LONGEST)):
+            if m.end() > at and m.start() < z:
+                if m.start() > at:
+                    spans.append((at, m.start(), True))
+                at = m.end()
+        if at < z:
+            spans.append((at, z, at > a))
+    out = []
+    for a, z, cut in spans:
+        out += [(a + x, a + y) for x, y in _dense_spans(text[a:z])] if cut else [(a, z)]
+    return out
+
+
+def _dense_spans(text: str) -> list[tuple[int, int]]:
+    """Joined stretches of candidate strings whose windows reach their class's entropy."""
     out = []
     for runs, least, few in CLASSES:
         for run in runs.finditer(text):
@@ -127,7 +149,7 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
             spans[-1][1] = max(z, spans[-1][1])
         else:
             spans.append([a, z])
-    return [(a, z) for a, z in spans if not ALLOW.search(text, max(0, a - 8), z + 8)]
+    return [(a, z) for a, z in spans]
 
 
 def _short_hex(run: str) -> bool:
@@ -216,5 +238,5 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = s.select("doc_id", spans.alias("s"))
     count = lambda k: F.size(F.filter("s", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     joined = lambda a: F.array_join(F.transform(a, lambda x: x["span"]), ",")
-    return out.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined(F.filter("s", lambda x: x["kind"] != "entropy")), 256).alias("base_sha256"),
-                      joined("s").alias("spans"))
+    return out.select("doc_id", *[count(k) for k in KINDS[:3]], F.sha2(joined(F.filter("s", lambda x: x["kind"] != "entropy")), 256).alias("base_sha256"),
+                      joined("s").alias("spans"), count(KINDS[3]))
