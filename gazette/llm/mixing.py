@@ -6,8 +6,7 @@ water level is found in closed form from the sources sorted by where they
 fill up). A source is taken whole as many times as its target holds it; the
 remaining budget is drawn without replacement: every document has the key
 -ln(u) / weight with u from a hash of its doc_id and a weight from its quality
-(by default how usual its mean word length is; `mixed` takes labels by doc_id
-instead), keys are sorted within the source, and sizes are summed along them up to the budget. The document on the
+(in the query and the pipeline that of the table `labels`, by doc_id), keys are sorted within the source, and sizes are summed along them up to the budget. The document on the
 border is taken if that comes nearer, so a source misses its target by half a
 document at most.
 
@@ -168,14 +167,15 @@ def mixed(docs: DataFrame, quality: Column | None = None, weights: Sequence[floa
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: how many words the mix takes of every document."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    slim = written(keyed(docs).select("mix.*"), "mix")
+    slim = written(labelled(docs, load(spark, sf_dir, "labels").select("doc_id", "quality")), "mix")
     rows = taken(slim.select(F.struct("*").alias("mix")), "mix", written(plan(slim), "mix-plan"))
     return rows.select("mix.doc_id", "mix.size", "plan.source_size", "plan.target", (F.col("mix.size") * F.col("plan.times")).alias("taken"))
 
 
 ORACLE_SQL = rf"""
-WITH z AS (SELECT doc_id, source, length(text) AS chars, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents),
-q AS (SELECT *, CASE WHEN size > 0 THEN greatest(1 - abs(chars::DOUBLE / size - {USUAL}) / {USUAL}, 0.0)::DOUBLE END AS quality FROM z),
+WITH z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents),
+v AS (SELECT doc_id, avg(quality)::DOUBLE AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+q AS (SELECT z.*, v.quality FROM z LEFT JOIN v ON v.doc_id = z.doc_id),
 d AS (
   SELECT doc_id, source, size,
          -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '~')), 1, 13))::BIGINT + 0.5::DOUBLE) / {float(16 ** 13)}::DOUBLE)
