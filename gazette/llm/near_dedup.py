@@ -51,6 +51,8 @@ BANDS, ROWS, BITS = 32, 4, 4
 PERMS = BANDS * ROWS
 MARGIN = 8.0
 #: Classes of a block; a task holds two blocks at most.
+#: Keys that may be frequent at most, by their share of the rows; rows of a key that one task may take without asking.
+HOT, PLAIN = 10_000, 256
 TILE = 1024
 #: Text bytes hashed at a time.
 CHUNK = 1 << 21
@@ -326,34 +328,81 @@ def group_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFram
     return _relabel(comps, written(links, "tile-links"))
 
 
-def near_groups(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row: groups linked by 100 * overlap >= percent * union."""
+def _dealt(rows: DataFrame, key: str, by: Column, side: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """`rows` left-joined with `side` (one row a key) on `key`; rows of a frequent key are dealt over copies of its side row.
+
+    counts: (key, m). A key is frequent from max(PLAIN, total / HOT) rows on, so
+    there are HOT such keys at most, which are broadcast."""
+    most = max(PLAIN, total // HOT)
+    hot = F.broadcast(written(counts.where(F.col("m") > most).select(F.col(key), F.ceil(F.col("m") / most).cast("int").alias("copies")), "hot"))
+    salted = rows.join(hot, key, "left").withColumn("salt", F.when(F.col("copies").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("copies"))).cast("int")).drop("copies")
+    copies = side.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+    return salted.join(copies, [key, "salt"], "left").drop("salt")
+
+
+def grouped(docs: DataFrame, percent: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Signatures (doc_id, row, n, digest) of every row, classes (digest, comp, first, m), components (comp, rep), and the number of rows.
+
+    `row` is the text's hash; first and rep are the least (doc_id is null, doc_id, row) of a class and a component."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     signed = with_signatures(docs).select("doc_id", F.xxhash64("text").alias("row"), "sig.*")
     signed = written(signed, "signatures")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     classes = signed.where("digest is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row")).alias("member"),
+        F.min(place).alias("first"), F.min(F.struct("doc_id", "row")).alias("member"), F.count("*").alias("m"),
         F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
     classes = written(classes, "classes")
     comps = group_classes(docs, classes, percent)
     # classes alone in all their buckets stay as they are
-    joined = classes.select("digest", "least").alias("k").join(comps.alias("c"), F.col("k.digest") == F.col("c.node")) \
-        .select("k.digest", "k.least", "c.comp")
-    smallest = joined.groupBy("comp").agg(F.min("least").alias("component_id"))
-    moved = joined.join(smallest, "comp").select("digest", "component_id")
-    named = classes.select("digest", "least").join(moved, "digest", "left") \
-        .select("digest", F.coalesce("component_id", "least").alias("component_id"))
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(named, "digest", "left")
-    group = F.coalesce("component_id", "doc_id")
+    own = classes.select("digest", "first", "m").alias("k").join(comps.alias("c"), F.col("k.digest") == F.col("c.node"), "left") \
+        .select("k.digest", "k.first", "k.m", F.coalesce("c.comp", "k.digest").alias("comp"))
+    own = written(own, "class-components")
+    reps = written(own.groupBy("comp").agg(F.min("first").alias("rep"), F.count("*").alias("m")), "representatives")
+    total = classes.agg(F.sum("m")).first()[0] or 0
+    return signed.select("doc_id", "row", "n", "digest"), own, reps, total
+
+
+def _named(own: DataFrame, reps: DataFrame, total: int) -> DataFrame:
+    """(digest, rep, alone, m): the representative of every class, and whether it is the class's own first row."""
+    j = _dealt(own, "comp", F.col("digest"), reps.select("comp", "rep"), reps.select("comp", "m"), total)
+    return written(j.select("digest", "rep", "first", "m"), "named")
+
+
+def near_groups(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row: groups linked by 100 * overlap >= percent * union."""
+    signed, own, reps, total = grouped(docs, percent, doc_id, text)
+    named = _named(own, reps, total)
+    rows = signed.select("doc_id", F.col("n").alias("n_shingles"), "digest", "row")
+    some = rows.where("digest is not null")
+    by = F.struct("doc_id", "row")
+    out = _dealt(some, "digest", by, named.select("digest", "rep"), named.select("digest", "m"), total) \
+        .select("doc_id", "n_shingles", F.col("rep.doc_id").alias("group"))
+    out = out.unionByName(rows.where("digest is null").select("doc_id", "n_shingles", F.lit(None).cast(out.schema["group"].dataType).alias("group")))
+    group = F.coalesce("group", "doc_id")
     return out.select("doc_id", "n_shingles", group.alias("component_id"), F.col("doc_id").eqNullSafe(group).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with one row of each group: the one of the smallest doc_id. Rows without words stay."""
-    groups = near_groups(docs, percent, doc_id, text)
-    d = free_name(docs, "dropped")
-    drop = groups.where("not kept").select(F.col("doc_id").alias(d)).distinct()
-    return docs.join(drop, F.col(doc_id) == F.col(d), "left_anti")
+    """`docs` with one row of each group: the one of the least (doc_id, null ids last, then text hash). Rows without words stay.
+
+    Rows are told apart by doc_id and text: a row whose doc_id another row repeats
+    with a different text is judged by itself, rows with a null doc_id are judged
+    like others, and of equal rows one stays."""
+    signed, own, reps, total = grouped(docs, percent, doc_id, text)
+    named = _named(own, reps, total)
+    some = signed.where("digest is not null").groupBy("doc_id", "row", "digest").agg(F.count("*").alias("times"))
+    keys = _dealt(some, "digest", F.struct("doc_id", "row"), named.select("digest", "rep"), named.select("digest", "m"), total)
+    mine = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    keys = written(keys.select("doc_id", "row", "times", (mine == F.col("rep")).alias("first")), "row-keys")
+    d, r = free_name(docs, "key_id"), free_name(docs, "key_row")
+    key = lambda rows: rows.select(F.col("doc_id").alias(d), F.col("row").alias(r))
+    same = F.col(doc_id).eqNullSafe(F.col(d)) & (F.xxhash64(F.col(text)) == F.col(r))
+    again = keys.where("first and times > 1")
+    out = docs.join(key(keys.where("not first or times > 1")), same, "left_anti")
+    if not again.isEmpty():
+        cols = [F.first(F.col(f"`{c}`")).alias(c) for c in docs.columns]
+        out = out.unionByName(docs.join(key(again), same, "left_semi").groupBy(F.col(doc_id).alias(d), F.xxhash64(F.col(text)).alias(r)).agg(*cols).drop(d, r))
+    return out
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
