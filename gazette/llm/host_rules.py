@@ -13,9 +13,10 @@ host is a host of its own; repeated rows count as often as they occur; an empty
 table gives an empty result; other columns pass through, and a clash with the
 counts' column gets another name.
 
-Scale: one pass over the text, no shuffle of text. Per-host sums combine on the
-map side, so a host with a third of all rows costs one row a task. Verdicts
-return by a join with the strict hosts alone (Spark broadcasts it by its size).
+Scale: one pass over the text. Per-host sums combine on the map side, so a host
+with a third of all rows costs one row a task. Counts, without texts, meet the hosts'
+rates by a join; where rows keep their texts (`keep_good`), only marked documents
+meet the strict hosts.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gazette.operators.common import broadcast_if_bytes
 from gazette.llm.util import WORD, free_name, load, python_column, written
 
 #: Base rules (fixed values): least words, largest percentage of words in repeated windows.
@@ -112,9 +114,17 @@ def judged(docs: DataFrame, text: str = "text", host: str = "source", max_rate:
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
-    """The rows of `docs` that no rule rejects, with the columns they came with."""
-    out, c = judged(docs, text, host, max_rate)
-    return out.where(F.col(f"{c}.kept")).drop(c)
+    """The rows of `docs` that no rule rejects, with the columns they came with.
+
+    Only marked documents meet the strict hosts, which are broadcast if their bytes
+    are few; the others are not joined at all."""
+    c = free_name(docs, "rules")
+    counted = written(with_counts(docs, text, c), "rules")
+    key = free_name(counted, "strict_host")
+    strict = written(host_rates(counted, host, c).where(F.col("rate") > max_rate).select(F.col("host").alias(key)), "strict-hosts")
+    good = counted.where(~base_failed(c))
+    marked = good.where(soft_failed(c)).join(broadcast_if_bytes(strict), F.col(host).eqNullSafe(F.col(key)), "left_anti")
+    return good.where(~soft_failed(c)).unionByName(marked).drop(c)
 
 
 def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
