@@ -305,3 +305,52 @@ def kept_ctes(sents: str, name: str) -> str:
          string_agg(text || CASE WHEN is_last THEN '' ELSE ws END, '' ORDER BY i) AS text
   FROM (SELECT *, i = max(i) OVER (PARTITION BY doc_id, sent) AS is_last FROM {name}_kt)
   GROUP BY doc_id, sent)"""
+
+
+def tagged_ctes(sents: str, name: str) -> str:
+    """``name``(doc_id, sent, path): the cheapest tags of each sentence, position by position.
+
+    Long form: one row per (sentence, position, candidate tag), extended by a recursive join
+    that keeps the cheapest way to each candidate. Lists and costs are the tagger's tables.
+    """
+    from ..functions import tagger as G
+    word = "[" + A.WORD_CLASS + "]"
+    lists = " ".join(f"WHEN low IN {inlist(w)} THEN {q(k)}" for k, w in G.LISTS.items())
+    shapes = " ".join(f"WHEN {c} THEN {q(k)}" for c, k in (
+        ("regexp_matches(text, '^\\p{N}+$')", "number"),
+        ("regexp_matches(text, '^\\p{P}$')", "punctuation"),
+        ("regexp_matches(text, '^\\p{S}$')", "symbol"),
+        (f"length(text) = 1 AND regexp_matches(text, {q('^' + word + '$')})", "noun"),
+        ("length(text) = 1", "other"),
+        ("capital AND i > first_word", "capital_inside"),
+        ("regexp_matches(low, '^\\p{L}{2,}ly$')", "ly"),
+        ("regexp_matches(low, '^\\p{L}{3,}ed$')", "ed"),
+        ("regexp_matches(low, '^\\p{L}{3,}ing$')", "ing"),
+        (f"regexp_matches(low, {q(G.ADJECTIVE_SUFFIXES)})", "adjectival"),
+        ("capital AND plural", "capital_plural"),
+        ("capital", "capital_first"),
+        ("plural", "plural")))
+    number = {t: k for k, t in enumerate(G.TAGS)}
+    options = ", ".join(f"({q(k)}, {number[t]}, {c})" for k, tags in G.CANDIDATES.items() for t, c in tags.items())
+    moves = ", ".join(f"({-1 if a == 'START' else number[a]}, {number[b]}, {G.cost(a, b)})"
+                      for a in (*G.TAGS, "START") for b in G.TAGS)
+    return f"""{name}_r AS (SELECT doc_id, sent, regexp_extract_all(text, {q(A.BARE_TOKEN_PATTERN)}) AS r FROM {sents}),
+{name}_u AS (SELECT doc_id, sent, unnest(r) AS text, generate_subscripts(r, 1) - 1 AS i FROM {name}_r),
+{name}_w AS (SELECT *, lower(text) AS low, regexp_matches(text, '^\\p{{Lu}}') AS capital,
+       regexp_matches(lower(text), '^\\p{{L}}{{2,}}[^s\\P{{L}}]s$') AS plural,
+       coalesce(min(CASE WHEN regexp_matches(text, {q('^' + word)}) THEN i END) OVER (PARTITION BY doc_id, sent), -1) AS first_word
+  FROM {name}_u),
+{name}_options(cls, t, c) AS (VALUES {options}),
+{name}_moves(a, b, cost) AS (VALUES {moves}),
+{name}_c AS MATERIALIZED (SELECT doc_id, sent, i, t, c FROM
+  (SELECT doc_id, sent, i, CASE {lists} {shapes} ELSE 'lower' END AS cls FROM {name}_w) JOIN {name}_options USING (cls)),
+{name}_v AS (
+  SELECT doc_id, sent, i, t, (cost + c)::BIGINT AS cost, [t] AS path FROM {name}_c JOIN {name}_moves ON a = -1 AND b = t WHERE i = 0
+  UNION ALL
+  SELECT doc_id, sent, i, t, cost, path FROM (
+    SELECT n.doc_id, n.sent, n.i, n.t, (v.cost + m.cost + n.c)::BIGINT AS cost, list_append(v.path, n.t) AS path,
+           row_number() OVER (PARTITION BY n.doc_id, n.sent, n.t ORDER BY v.cost + m.cost, v.t) AS r
+    FROM {name}_v v JOIN {name}_c n ON n.doc_id = v.doc_id AND n.sent = v.sent AND n.i = v.i + 1
+    JOIN {name}_moves m ON m.a = v.t AND m.b = n.t) WHERE r = 1),
+{name} AS (SELECT doc_id, sent, path FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, sent ORDER BY i DESC, cost, t) AS r FROM {name}_v) WHERE r = 1)"""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from ..functions.tagger import TAGS
 from ..operators.tfidf import TERM_PATTERN
 from ..sources.seed import SEED_FEEDS
 from .duck import (V_ARTICLES, V_CALLBACKS, V_CAPTURES, V_ENTRIES, V_FEEDS, V_LOGS, V_VECTORS,
                    clean_lines_sql, host_sql, html_text_sql, jaccard_sql, kept_ctes,
                    lemma_lex_cte, news_title_ctes, polish_sql, q, sentence_ctes,
-                   tokens_ctes, with_, wordset_ctes)
+                   tagged_ctes, tokens_ctes, with_, wordset_ctes)
 
 RECENT_NOW = "TIMESTAMP '2024-01-02 00:00:00'"
 
@@ -166,6 +167,10 @@ SELECT s.doc_id, CAST(s.sent AS BIGINT) AS sent, CAST(count(t.i) AS BIGINT) AS n
 FROM ds s LEFT JOIN ds_tok t ON t.doc_id = s.doc_id AND t.sent = s.sent
 GROUP BY s.doc_id, s.sent"""
 
+ORACLE["tagged_tokens"] = "WITH RECURSIVE " + ",\n".join([sentence_ctes("documents", "doc_id", "text", "ds"), tagged_ctes("ds", "tg")]) + f"""
+SELECT doc_id, CAST(sent AS BIGINT) AS sent, CAST(len(path) AS BIGINT) AS n_tokens,
+       array_to_string(list_transform(path, lambda t: {list(TAGS)}[t + 1]), ' ') AS tags FROM tg"""
+
 ORACLE["relevant_sentences"] = with_(*_DOC_TOK, kept_ctes("ds", "kp")) + \
     "SELECT doc_id, CAST(sent AS BIGINT) AS sent FROM kp_rel"
 

@@ -19,6 +19,7 @@ from ..operators import similarity as S
 from ..sources import fixtures as V
 from ..sources.tables import load
 from ..functions import text as TX
+from ..functions import tagger as TG
 from ..functions.annotate import sentences_of, sentences_tokens
 from ..functions.fixed import DEFAULT_TOP_N, TRAIN_SAMPLE_SIZE
 from ..functions.times import parse_iso_time
@@ -295,6 +296,24 @@ def q_tokens(spark, sf):
                     _token_sig(F.col("tokens")).alias("sig"))
 
 
+@register("tagged_tokens")
+def q_tagged_tokens(spark, sf):
+    """Tags of every sentence by Viterbi decoding."""
+    s = _documents(spark, sf).select("doc_id", F.explode(TG.tagged_sentences(F.col("text"))).alias("s"))
+    return s.select("doc_id", F.col("s.sent").cast("long").alias("sent"),
+                    F.size("s.tokens").cast("long").alias("n_tokens"),
+                    F.array_join(F.col("s.tokens.pos"), " ").alias("tags"))
+
+
+@register("attached_heads")
+def q_attached_heads(spark, sf):
+    """Arcs of every sentence by the stack of open heads, and whether a subject stands left of its verb."""
+    s = _documents(spark, sf).select("doc_id", F.explode(TG.tagged_sentences(F.col("text"))).alias("s"))
+    return s.select("doc_id", F.col("s.sent").cast("long").alias("sent"),
+                    F.array_join(F.transform("s.tokens", lambda t: F.concat_ws(">", t["dep"], t["head"].cast("string"))), " ").alias("arcs"),
+                    SN.is_relevant(F.col("s.text"), F.col("s.tokens")).alias("relevant"))
+
+
 @register("relevant_sentences")
 def q_relevant_sentences(spark, sf):
     d = _documents(spark, sf)
