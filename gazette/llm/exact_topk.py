@@ -14,12 +14,16 @@ segment is, and the rows not proven out are rescored exactly, however many.
 Defined cases: a vector that is null, or holds null or a non-finite component,
 takes no part, nor does a row without an id; vectors of unequal length are
 padded with zeros; rows with the query's vec_id are its own and no candidates;
-repeated query rows give one result; ties go to the smaller vec_id; an empty
-table gives an empty result. Scores are exact while they fit 64 bits.
+of several vectors of one query id the smallest, component by component, asks,
+and each row of a repeated vec_id is a candidate of its own; ties go to the
+smaller vec_id; an empty table gives an empty result. Scores are exact while
+they fit 64 bits.
 
 Scale: the stated query set meets all rows block by block, through one shuffle
-that copies a row once per query block and a query once per row block; a task
-holds one pair of blocks; each pair returns k rows a query.
+that copies a row once per query block and a query once per row block. Blocks of
+equal size make the copies of both together fewest for what a task holds: one
+pair of blocks and one index, built for 16,384 queries. Each pair returns k rows
+a query.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 
 from gazette.llm.util import load, written
 
-BLOCK, QUERY_BLOCK = 16_384, 4_096
+BLOCK, QUERY_BLOCK = 16_384, 16_384
 #: Segments of a dimension; checks for proof in a walk; rows (as a share of a block) few enough to rescore.
 LEVELS, CHECKS, FEW = 64, 16, 1 / 128
 SCALE, K, EVERY = 256, 5, 50
@@ -122,7 +126,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_i
     place = F.monotonically_increasing_id()
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     base = rows.select("id", "v", F.pmod(F.hash(place), F.lit(blocks)).alias("b")).select("id", "v", "b", every(query_blocks).alias("q"))
-    asked = rows.where("is_query").dropDuplicates(["id"]).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("q"))
+    asked = rows.where("is_query").groupBy("id").agg(F.min("v").alias("v")).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("q"))
     asked = asked.select("id", "v", every(blocks).alias("b"), "q")
 
     names = ["query_id", "vec_id", "score"]
@@ -154,12 +158,14 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = f"""
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, list_prepend(0, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-c AS (SELECT vec_id, unnest(range(1, len(e) + 1)) AS d, unnest(e) AS x FROM v),
+c AS (SELECT r, vec_id, unnest(range(len(e))) AS d, unnest(e) AS x FROM v),
+a AS (SELECT vec_id AS query_id, min(e) AS e FROM v WHERE vec_id % {EVERY} = 0 GROUP BY 1),
+q AS (SELECT query_id, unnest(range(len(e))) AS d, unnest(e) AS x FROM a),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score
-  FROM c AS q JOIN c ON c.d = q.d AND c.vec_id <> q.vec_id WHERE q.vec_id % {EVERY} = 0 GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {K}
+  SELECT query_id, r, vec_id, sum(q.x * c.x)::BIGINT AS score
+  FROM q JOIN c ON c.d = q.d AND c.vec_id <> query_id GROUP BY 1, 2, 3),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM t WHERE rank <= {K}
 """

@@ -212,6 +212,31 @@ def test_op4_exact_topk(spark, monkeypatch):
     assert e.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_op4_repeated_ids(spark):
+    """The smallest vector of a repeated query id asks; rows of a repeated id are candidates each; in the SQL too."""
+    import duckdb
+
+    from gazette.llm import exact_topk as e
+    v = [(50, [0.5, 0.25]), (50, [0.25, 1.0]), (50, [0.25, 0.5]), (7, [1.0, 1.0]), (7, [1.0, 1.0]), (7, [2.0, -1.0]), (8, []), (100, [1.0, 0.0]),
+         (9, [-1.0, -1.0])]
+    got = {}
+    for order in (v, v[::-1]):
+        df = spark.createDataFrame(order, "vec_id long, embedding array<float>").repartition(3)
+        out = sorted(map(tuple, e.top_k(df, F.col("vec_id") % 50 == 0).collect()))
+        assert out == got.setdefault("rows", out)
+    ints = [(i, [math.floor(256 * c) for c in x]) for i, x in v]
+    want = []
+    for q in (50, 100):
+        asks = min(x for i, x in ints if i == q)
+        best = sorted((-sum(a * b for a, b in zip(asks, x)), i) for i, x in ints if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert got["rows"] == sorted(want)
+    con = duckdb.connect()
+    con.sql("create table embeddings (vec_id bigint, embedding float[])")
+    con.executemany("insert into embeddings values (?, ?)", [[i, x] for i, x in v])
+    assert sorted(con.sql(e.ORACLE_SQL).fetchall()) == got["rows"]
+
+
 def test_op5_license_scan(docs, empty):
     from gazette.llm import license_scan as s
     out = {r.doc_id: r for r in s.licences(docs).collect()}
