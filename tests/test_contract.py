@@ -2,7 +2,7 @@
 
 import __spark_entry__ as E
 
-ROWS_ONLY = {"html_text_dom", "scan_feed_xml", "stream_similar"}
+ROWS_ONLY = {"html_text_dom", "scan_feed_xml", "stream_similar", "attached_heads"}
 
 
 def test_entry(spark):
