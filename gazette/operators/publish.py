@@ -17,7 +17,7 @@ from ..functions.fixed import (ANONYMOUS_SOURCE, DEFAULT_TOP_N, IMPORTANCE_ICON,
 from ..functions.text import fill
 from .common import broadcast_if_bytes, broadcast_if_small
 from .similarity import importance as importance_of
-from .summarize import summarize
+from .summarize import article_sentences, summarize
 from .vectors import VectorStore
 
 PUBLIC_CHANNEL = "public"
@@ -79,10 +79,14 @@ def publish_messages(articles: DataFrame, feeds: DataFrame, vocab: DataFrame,
     ``since``, only articles created since then are considered (incremental
     runs read the 12 h look-back, not the history)."""
     from ..session import cut_lineage
-    # the gate is small (ids + counts); materialise it once, it is joined by
-    # every branch of the summariser below
+    # the gate is small (ids + counts); materialise it once. So are the articles
+    # that pass, without their pages: every branch of the summariser below joins
+    # them, and would read all articles again
     imp = cut_lineage(importance_of(articles, since=since).filter(F.col("importance") > 0))
-    gated = publishable(articles).filter("publishable").join(broadcast_if_bytes(imp), "id")
+    gated = cut_lineage(publishable(articles).filter("publishable").drop("html").join(broadcast_if_bytes(imp), "id"))
+    if sentences is None:
+        pages = articles.select("id", "html").join(broadcast_if_bytes(gated.select("id")), "id", "left_semi")
+        sentences = cut_lineage(article_sentences(pages))
     summ = summarize(gated, vocab, store, top_n, sentences=sentences).select(
         F.col("doc_id").alias("id"), F.col("summary").alias("_sentences"))
     src = display_source(gated, feeds)
