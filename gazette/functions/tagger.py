@@ -11,7 +11,9 @@ the work is linear in the tokens but for one run of ambiguous words.
 
 ``attach`` reads the tags once, keeping open heads on a stack: a nominal waits
 for its verb at any distance, a subordinate clause is closed by its own verb,
-prepositions and modifiers take the next nominal. Each token gets one arc.
+prepositions and modifiers take the next nominal. Each token gets one arc. The
+arcs of a sentence are one growing array, so that its copies grow with the square
+of the sentence's length (references only: 20,000 tokens copy some 200 million).
 
 Row-local: no shuffle, no Python. Defined cases: a null text gives null, a text
 without tokens an empty array.
