@@ -12,9 +12,15 @@ so far, and scores each batch against the late articles known. Both may find a
 pair, so pairs are made distinct when they are read; ``late_hours`` decides how many
 articles go which way, not the result.
 
+Both sides are keyed by token and time bucket (a bucket is as long as the window; the
+earlier article stands in its own and the next), so an article meets the articles of
+its token in two windows, not all that the state or the late table holds. A
+batch pays some seconds of task time for each state partition, whatever it brings, so
+there are STATE_PARTITIONS per core at most: the state is one window of articles.
+
 Prefix tokens are taken in the order of their hash, which needs no statistics; a
 token of most titles is as likely a key as a rare one, so titles of one common word
-meet in one place (the batch operator orders by frequency and tiles hot tokens).
+and bucket meet in one place (the batch operator orders by frequency and tiles hot tokens).
 """
 
 from __future__ import annotations
@@ -26,31 +32,37 @@ from pyspark.sql.window import Window
 
 from ..functions.fixed import SIMILARITY_THRESHOLD, SIMILARITY_WINDOW_HOURS
 from ..functions.urls import url_host
-from ..operators.similarity import jaccard, wordset
+from ..operators.similarity import jaccard, wordset_in_batches
 from ..sources.snapshots import latest, subfolders, write_version
 
+#: State partitions per core, at most; the session's shuffle partitions, if fewer.
+STATE_PARTITIONS = 2
+
 ROWS = "id long, ct timestamp, site string, words array<string>, arrived long"
 
 
 def _rows(articles: DataFrame, arrived: Column) -> DataFrame:
     """Articles as (id, ct, site, words, arrived); those without words score 0 and take no part in the joins."""
+    # exploded from one element, so that filters on the words do not annotate the titles again
     return articles.select("id", F.col("create_time").alias("ct"), url_host(F.col("uri")).alias("site"),
-                           wordset(F.col("title")).alias("words"), arrived.cast("long").alias("arrived"))
+                           F.explode(F.array(wordset_in_batches(F.col("title")))).alias("words"), arrived.cast("long").alias("arrived"))
 
 
-def _keyed(rows: DataFrame, threshold: float, side: str) -> DataFrame:
-    """One row per prefix token, columns named after the side."""
+def _keyed(rows: DataFrame, threshold: float, side: str, hours: int) -> DataFrame:
+    """One row per prefix token (side b: and for two buckets), columns named after the side."""
     hashed = F.array_sort(F.transform("words", lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w"))))
     n = F.size("words")
     prefix = F.transform(F.slice(hashed, F.lit(1), (n - F.floor(F.lit(threshold) * n - F.lit(1e-9))).cast("int")), lambda s: s["w"])
     keyed = rows.where(n > 0).withColumn("prefix", prefix)
-    return keyed.select(*[F.col(c).alias(f"{side}_{c}") for c in keyed.columns], F.explode("prefix").alias(f"{side}_token"))
+    out = keyed.select(*[F.col(c).alias(f"{side}_{c}") for c in keyed.columns], F.explode("prefix").alias(f"{side}_token"))
+    bucket = F.floor(F.unix_seconds(f"{side}_ct") / (max(int(hours), 1) * 3600))
+    return out.withColumn(f"{side}_bucket", bucket if side == "a" else F.explode(F.array(bucket, bucket + 1)))
 
 
 def _pairs(later: DataFrame, earlier: DataFrame, threshold: float, hours: int) -> DataFrame:
     """(id, other_id, score) of keyed sides a and b; works on streams and tables."""
     a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
-    joined = later.join(earlier, (a("token") == b("token")) & (b("ct") > a("ct") - F.expr(f"INTERVAL {int(hours)} HOURS")) & (b("ct") <= a("ct")))
+    joined = later.join(earlier, (a("token") == b("token")) & (a("bucket") == b("bucket")) & (b("ct") > a("ct") - F.expr(f"INTERVAL {int(hours)} HOURS")) & (b("ct") <= a("ct")))
     order = (b("ct") < a("ct")) | (b("id") < a("id"))
     first = F.element_at(F.array_intersect(a("prefix"), b("prefix")), 1) == a("token")
     score = jaccard(a("words"), b("words"))
@@ -80,12 +92,20 @@ class IntervalSimilarity:
 
     def start(self, available_now: bool = True, period: str = "60 seconds") -> list[StreamingQuery]:
         """Starts the join and the side path."""
-        side = lambda s: _keyed(self._stream().withWatermark("ct", f"{self.late_hours} hours"), self.threshold, s)
+        side = lambda s: _keyed(self._stream().withWatermark("ct", f"{self.late_hours} hours"), self.threshold, s, self.hours)
         join = _pairs(side("a"), side("b"), self.threshold, self.hours).writeStream.format("parquet").outputMode("append") \
             .option("path", f"{self.out}/pairs").option("checkpointLocation", f"{self.out}/checkpoint/join")
         late = self._stream().writeStream.foreachBatch(self._late_batch).option("checkpointLocation", f"{self.out}/checkpoint/late")
         once = (lambda w: w.trigger(availableNow=True)) if available_now else (lambda w: w.trigger(processingTime=period))
-        return [once(join).start(), once(late).start()]
+        # a query keeps the number it first started with
+        key, conf = "spark.sql.shuffle.partitions", self.spark.conf
+        session = conf.get(key)
+        conf.set(key, str(min(int(session), STATE_PARTITIONS * self.spark.sparkContext.defaultParallelism)))
+        try:
+            joined = once(join).start()
+        finally:
+            conf.set(key, session)
+        return [joined, once(late).start()]
 
     def _read(self, name: str, upto: int) -> DataFrame:
         folders = [f"{self.out}/{name}/batch={n}" for n in subfolders(self.spark, f"{self.out}/{name}", "batch=") if n <= upto]
@@ -104,11 +124,12 @@ class IntervalSimilarity:
         late.select(new.columns).write.mode("overwrite").parquet(f"{self.out}/late/batch={epoch}")
         late = self.spark.read.schema(ROWS).parquet(f"{self.out}/late/batch={epoch}")
         known_late = self._read("late", epoch)
-        pairs = _pairs(_keyed(new, self.threshold, "a"), _keyed(known_late, self.threshold, "b"), self.threshold, self.hours)
+        keyed = lambda rows, s: _keyed(rows, self.threshold, s, self.hours)
+        pairs = _pairs(keyed(new, "a"), keyed(known_late, "b"), self.threshold, self.hours)
         span = late.agg(F.min("ct"), F.max("ct")).first()
         if span[0] is not None:
             near = self._read("landed", epoch).where((F.col("ct") > F.lit(span[0]) - F.expr(f"INTERVAL {self.hours} HOURS")) & (F.col("ct") <= F.lit(span[1])))
-            pairs = pairs.unionByName(_pairs(_keyed(late, self.threshold, "a"), _keyed(near, self.threshold, "b"), self.threshold, self.hours))
+            pairs = pairs.unionByName(_pairs(keyed(late, "a"), keyed(near, "b"), self.threshold, self.hours))
         pairs.write.mode("overwrite").parquet(f"{self.out}/late_pairs/batch={epoch}")
         write_version(arrivals.agg(F.greatest(F.max("ct"), F.lit(before).cast("timestamp")).alias("ct")), f"{self.out}/newest", epoch + 1)
 

@@ -54,3 +54,19 @@ def test_long_sentences_stay_linear(spark):
         assert len(dep) == len(head) == len(tags)
     df = spark.createDataFrame([(" ".join(["plans", "gas", ","] * n) + ".",)], "s string")
     assert df.select(F.size(tagged_tokens_of(F.col("s")))).first()[0] == 3 * n + 1
+
+
+def test_title_words_in_batches(spark):
+    """Word sets and tokens of titles as the built-in annotator gives them; the annotator runs once a title."""
+    from gazette.functions.annotate import tokens_of
+    from gazette.operators.similarity import prepare, tokens_in_batches, wordset, wordset_in_batches
+    titles = [None, "", "  ", "Bridges opened: the mayor's cities", "\u00c9tudes \u0130stanbul \u039f\u03a3 x1 42 %", "\u2003a\u00a0b  c\t", "running, ran & \"runs\" `q`", "\U0001f525 fire"]
+    df = spark.createDataFrame(list(enumerate(titles)), "id int, title string")
+    both = df.select("title", wordset(F.col("title")).alias("a"), wordset_in_batches(F.col("title")).alias("b"),
+                     F.coalesce(F.transform(tokens_of(F.col("title"), parse=False), lambda t: F.struct(t["text"], t["ws"], t["lemma"], t["pos"], t["is_stop"])), F.array()).alias("c"),
+                     F.transform(tokens_in_batches(F.col("title")), lambda t: F.struct(t["text"], t["ws"], t["lemma"], t["pos"], t["is_stop"])).alias("d"))
+    for r in both.collect():
+        assert r.a == r.b and [tuple(t) for t in r.c] == [tuple(t) for t in r.d], r.title
+    arts = df.select("id", F.current_timestamp().alias("create_time"), "title", F.lit("http://a.example/").alias("uri"))
+    plan = prepare(arts).filter(F.size("words") > 0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
