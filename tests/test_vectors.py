@@ -81,3 +81,30 @@ def test_row_bytes_bound_broadcasts(spark):
     from gazette.operators.common import fits_bytes
     big = spark.range(100).select(F.repeat(F.lit("x"), 1000).alias("s"), F.sequence(F.lit(1), F.lit(50)).alias("v"))
     assert not fits_bytes(big, 100_000) and fits_bytes(big, 200_000) and fits_bytes(big.limit(0), 0)
+
+
+def test_vector_sums_in_blocks(spark, monkeypatch):
+    """Sums over many small blocks: repeated and null keys, repeated lemmas, unknown ones, null and missing components."""
+    from gazette.operators import summarize as SM
+    vectors = spark.createDataFrame([("a", [1.0, 2.0, None]), ("b", [0.5, None, None]), ("c", [4.0])], "lemma string, vec array<double>")
+    rows = [(d, s, w) for d in (1, 2, None) for s in (0, 1, None) for w in "aabcx"] + [(3, 0, "b"), (4, 0, "x"), (5, 0, None)]
+    lemmas = spark.createDataFrame(rows * 2, "doc_id long, sent int, lemma string")
+    want = {(d, s): ([13.0, 8.0, None], 8) for d in (1, 2, None) for s in (0, 1, None)} | {(3, 0): ([1.0, None, None], 2)}
+    for size in (256 << 20, 8 * 3 * 7):
+        monkeypatch.setattr(SM, "BLOCK_BYTES", size)
+        got = SM.vector_sums(lemmas, ["doc_id", "sent"], vectors, 3).collect()
+        assert {(r.doc_id, r.sent): (r.vsum, r.n_vec) for r in got} == want and len(got) == len(want)
+    assert SM.vector_sums(lemmas, ["doc_id"], vectors.limit(0), 0).count() == 0
+
+
+def test_a_block_gets_each_vector_once(spark):
+    """Vectors are joined once per block and lemma, not once per token."""
+    from gazette.operators import summarize as SM
+    lemmas = spark.range(5000).select((F.col("id") % 50).alias("doc_id"), F.lit(0).alias("sent"), F.concat(F.lit("w"), F.col("id") % 7).alias("lemma"))
+    vectors = spark.range(7).select(F.concat(F.lit("w"), "id").alias("lemma"), F.array(F.col("id").cast("double")).alias("vec"))
+    out = SM.vector_sums(lemmas, ["doc_id", "sent"], vectors, 1)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    join, once = plan.index("Join Inner"), plan.index("Aggregate [_of")
+    assert join < once and "sum(" not in plan
+    got = {r.doc_id: (r.vsum[0], r.n_vec) for r in out.collect()}
+    assert got == {d: (float(sum(i % 7 for i in range(d, 5000, 50))), 100) for d in range(50)}
