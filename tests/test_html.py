@@ -82,3 +82,9 @@ def test_very_long_pages(spark):
     assert got[6] == "�" and got[7] == "a" * 5_000_000 and got[8] == got[9] == ""
     deep = '<div class="reader-header">' + "<div>" * 300 + "x" + "</div>" * 300 + "</div>One." + "<i>y</i>" * 2000
     assert texts(spark, [deep]) == ["One. " + " ".join("y" * 2000)]
+
+
+def test_a_page_is_cut_into_markup_once(spark):
+    """The text is bound before its references are decoded, so a page is not cut again where the text is read again."""
+    df = spark.createDataFrame([("<p>a &amp; b</p>",)], "page string").select(html_to_text(F.col("page"), drop=()).alias("t"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("<!--") == 1 and df.first().t == "a & b"

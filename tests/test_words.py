@@ -70,3 +70,29 @@ def test_title_words_in_batches(spark):
     arts = df.select("id", F.current_timestamp().alias("create_time"), "title", F.lit("http://a.example/").alias("uri"))
     plan = prepare(arts).filter(F.size("words") > 0)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_compact_sentences_equal_the_rules_on_columns(spark, monkeypatch):
+    """Relevance, trimming and lemmas decided in the batches; only what the scorers read comes back."""
+    from gazette.functions import words as W
+    from gazette.operators.sentences import kept_compact, kept_in_batches
+    from gazette.operators.summarize import article_sentences, compact
+    starts = ["On top of that, ", "That says, ", "However, ", "Very soon, ", "Yes! ", "And ", "Oh, ", "— ", "\" ", ", . ", "On top of that, And ", ""]
+    ends = [", says Apple", ", he said", ", they told Apple", ", says Apple, he said", ", he told us, Apple says", ""]
+    texts = _texts() + [f"{a}the plants grew {b}{c}." for a in starts for b in ("", "quickly") for c in ends] + [", says it grew.", "And.", "He said."]
+    texts.append("  ".join(t for t in texts if t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(2)
+    s = df.select("doc_id", F.explode(kept_in_batches(F.col("text"))).alias("s")).select("doc_id", "s.sent", "s.text", "s.tokens")
+    want = sorted(compact(s).drop("polished").collect())
+    assert len(want) > 200 and any(not r.nouns for r in want)
+
+    def got():
+        k = df.select("doc_id", F.explode(kept_compact(F.col("text"))).alias("s"))
+        return sorted(k.select("doc_id", "s.*").select("doc_id", "sent", "text", "n_tokens", "content", "nouns").collect())
+    assert got() == want
+    monkeypatch.setattr(W, "SLICE_BYTES", 50)
+    monkeypatch.setattr(W, "WORDS", 3)
+    assert got() == want
+    pages = df.select(F.col("doc_id").alias("id"), F.concat(F.lit("<p>"), "text", F.lit("</p>")).alias("html"))
+    plan = article_sentences(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "is_stop" not in plan
