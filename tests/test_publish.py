@@ -99,3 +99,27 @@ def test_promotion_collapses_callbacks(spark):
     assert [(r.message_id, r.channel, r.button) for r in p] == [(1, "public", None)]
     again = PB.republish(msgs, PB.promoted(msgs, cbs)).collect()
     assert [r.message_id for r in again] == [2]
+
+
+def test_messages_leave_the_pages_after_the_gate(spark, monkeypatch):
+    """With annotated sentences at hand, the pages and the sentences of the articles that do not pass are read once, not per branch."""
+    from gazette import session
+    from gazette.operators import summarize as SM
+    from gazette.operators import tfidf as T
+    rows = [(i, "D" if i != 3 else "N", 1, f"http://s{i}.example/a", "Apple grew profits quickly" if i < 4 else "Banks & towns", f"<p>Apple grew {i}. Plants said no.</p>", None)
+            for i in range(6)]
+    arts = spark.createDataFrame(rows, "id long, status string, feed_id int, uri string, title string, html string, source string") \
+        .withColumn("create_time", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+    feeds = spark.createDataFrame([(1, "Feed")], "id int, name string")
+    arts = session.cut_lineage(arts)
+    sents = session.cut_lineage(SM.article_sentences(arts))
+    vocab = T.fit_terms(SM.sentence_terms(sents), 6)
+    seen, cut = [], session.cut_lineage
+    monkeypatch.setattr(session, "cut_lineage", lambda df: seen.append(df) or cut(df))
+    msgs = PB.publish_messages(arts, feeds, vocab, sentences=sents)
+    got = sorted((r.message_id, r.importance, r.text) for r in msgs.collect())
+    assert [(m, n) for m, n, _ in got] == [(1, 1), (2, 2), (5, 1)] and "\u2014 Apple grew 1.\n\u2014 Plants said no.\n\n<a href" in got[0][2]
+    plain = sorted((r.message_id, r.importance, r.text) for r in PB.publish_messages(arts, feeds, vocab).collect())
+    assert got == plain
+    assert "html" not in msgs._jdf.queryExecution().optimizedPlan().toString()
+    assert any(df.columns == sents.columns for df in seen)

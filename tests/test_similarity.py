@@ -79,6 +79,22 @@ def test_hot_group_of_copies(spark):
     assert got == want
 
 
+def test_pairs_of_sets_are_found_once(spark, monkeypatch):
+    """Both sides of the counting read the written pairs of sets; null times and sites and repeated ids count as by pairs."""
+    import datetime as dt
+    from gazette import session
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i // 2 if i < 8 else i, t0 + dt.timedelta(hours=i % 15), [None, "a", "b"][i % 3], ["apple", f"w{i % 4}", "x"]) for i in range(60)]
+    base = spark.createDataFrame(rows + [(99, None, "a", ["apple", "x"])], BASE)
+    plans, cut = [], session.cut_lineage
+    monkeypatch.setattr(session, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    got = sorted((r.id, r.importance) for r in S.importance_counted(base, prepared=True).collect())
+    assert sum("array_intersect" in p for p in plans) == 1 and any("array_intersect" not in p for p in plans)
+    pairs = S.similar_pairs_literal(base, prepared=True).filter("score > 0.3").groupBy("id").count().collect()
+    n = {r.id: r["count"] for r in pairs}
+    assert got == sorted((r[0], n.get(r[0], 0)) for r in [*rows, (99,)])
+
+
 def test_importance_since_is_incremental(spark):
     arts = V.articles(spark, SF_MID)
     since = F.to_timestamp(F.lit("2024-01-01 15:00:00"))

@@ -108,3 +108,12 @@ def test_a_block_gets_each_vector_once(spark):
     assert join < once and "sum(" not in plan
     got = {r.doc_id: (r.vsum[0], r.n_vec) for r in out.collect()}
     assert got == {d: (float(sum(i % 7 for i in range(d, 5000, 50))), 100) for d in range(50)}
+
+
+def test_distinct_grams_of_tokens(spark):
+    tokens = spark.createDataFrame([(t,) for t in ("bus", "buses", "a", "", "\U0001f525x", "bus", None)], "token string")
+    want = {r.g for r in tokens.select(F.explode(VX.grams_of(F.col("token"))).alias("g")).collect()}
+    found = VX.distinct_grams(tokens, "token")
+    got = [r.gram for r in found.collect()]
+    assert set(got) == want and len(got) == len(want) > 8
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
