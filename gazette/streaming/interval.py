@@ -18,6 +18,10 @@ its token in two windows, not all that the state or the late table holds. A
 batch pays some seconds of task time for each state partition, whatever it brings, so
 there are STATE_PARTITIONS per core at most: the state is one window of articles.
 
+The side path joins tables. Their files are small beside their keyed rows (a title is written once and
+compressed, keyed it is a row per token and bucket with all its words), so a side is broadcast by what
+those rows hold, never by its files; otherwise both are shuffled.
+
 Prefix tokens are taken in the order of their hash, which needs no statistics; a
 token of most titles is as likely a key as a rare one, so titles of one common word
 and bucket meet in one place (the batch operator orders by frequency and tiles hot tokens).
@@ -32,6 +36,7 @@ from pyspark.sql.window import Window
 
 from ..functions.fixed import SIMILARITY_THRESHOLD, SIMILARITY_WINDOW_HOURS
 from ..functions.urls import url_host
+from ..operators.common import byte_size
 from ..operators.similarity import jaccard, wordset_in_batches
 from ..sources.snapshots import latest, subfolders, write_version
 
@@ -48,17 +53,31 @@ def _rows(articles: DataFrame, arrived: Column) -> DataFrame:
                            F.explode(F.array(wordset_in_batches(F.col("title")))).alias("words"), arrived.cast("long").alias("arrived"))
 
 
+def _prefix_size(threshold: float) -> Column:
+    n = F.size("words")
+    return (n - F.floor(F.lit(threshold) * n - F.lit(1e-9))).cast("int")
+
+
 def _keyed(rows: DataFrame, threshold: float, side: str, hours: int) -> DataFrame:
     """One row per prefix token (side b: and for two buckets), columns named after the side."""
     hashed = F.array_sort(F.transform("words", lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w"))))
     n = F.size("words")
-    prefix = F.transform(F.slice(hashed, F.lit(1), (n - F.floor(F.lit(threshold) * n - F.lit(1e-9))).cast("int")), lambda s: s["w"])
+    prefix = F.transform(F.slice(hashed, F.lit(1), _prefix_size(threshold)), lambda s: s["w"])
     keyed = rows.where(n > 0).withColumn("prefix", prefix)
     out = keyed.select(*[F.col(c).alias(f"{side}_{c}") for c in keyed.columns], F.explode("prefix").alias(f"{side}_token"))
     bucket = F.floor(F.unix_seconds(f"{side}_ct") / (max(int(hours), 1) * 3600))
     return out.withColumn(f"{side}_bucket", bucket if side == "a" else F.explode(F.array(bucket, bucket + 1)))
 
 
+def _keyed_bytes(threshold: float, side: str) -> Column:
+    """Bytes that an article's keyed rows hold in memory, at most."""
+    n = F.size("words")
+    # words, their prefix and the token: 8 for its place and 7 of padding at most for each string
+    words = 3 * (16 * n + F.octet_length(F.array_join("words", "")))
+    row = F.lit(136) + F.coalesce(F.octet_length("site"), F.lit(0)) + words
+    return F.when(n > 0, row.cast("long") * _prefix_size(threshold) * (1 if side == "a" else 2)).otherwise(0)
+
+
 def _pairs(later: DataFrame, earlier: DataFrame, threshold: float, hours: int) -> DataFrame:
     """(id, other_id, score) of keyed sides a and b; works on streams and tables."""
     a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
@@ -111,6 +130,22 @@ class IntervalSimilarity:
         folders = [f"{self.out}/{name}/batch={n}" for n in subfolders(self.spark, f"{self.out}/{name}", "batch=") if n <= upto]
         return self.spark.read.schema(ROWS).parquet(*folders) if folders else self.spark.createDataFrame([], ROWS)
 
+    def _fits(self, rows: DataFrame, side: str) -> bool:
+        """True if the keyed rows hold no more than the session broadcasts (one aggregation)."""
+        held = rows.agg(F.sum(_keyed_bytes(self.threshold, side))).first()[0] or 0
+        return held <= byte_size(self.spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+
+    def _table_pairs(self, later: DataFrame, earlier: DataFrame) -> DataFrame:
+        """``_pairs`` of two written tables: the first side that fits is broadcast, or both are shuffled."""
+        a, b = _keyed(later, self.threshold, "a", self.hours), _keyed(earlier, self.threshold, "b", self.hours)
+        if self._fits(later, "a"):
+            a = F.broadcast(a)
+        elif self._fits(earlier, "b"):
+            b = F.broadcast(b)
+        else:
+            a = a.hint("merge")
+        return _pairs(a, b, self.threshold, self.hours)
+
     def _late_batch(self, batch: DataFrame, epoch: int) -> None:
         """Lands the batch, and scores what the join may have dropped. A replay writes the same folders again."""
         batch.write.mode("overwrite").parquet(f"{self.out}/landed/batch={epoch}")
@@ -124,12 +159,11 @@ class IntervalSimilarity:
         late.select(new.columns).write.mode("overwrite").parquet(f"{self.out}/late/batch={epoch}")
         late = self.spark.read.schema(ROWS).parquet(f"{self.out}/late/batch={epoch}")
         known_late = self._read("late", epoch)
-        keyed = lambda rows, s: _keyed(rows, self.threshold, s, self.hours)
-        pairs = _pairs(keyed(new, "a"), keyed(known_late, "b"), self.threshold, self.hours)
+        pairs = self._table_pairs(new, known_late)
         span = late.agg(F.min("ct"), F.max("ct")).first()
         if span[0] is not None:
             near = self._read("landed", epoch).where((F.col("ct") > F.lit(span[0]) - F.expr(f"INTERVAL {self.hours} HOURS")) & (F.col("ct") <= F.lit(span[1])))
-            pairs = pairs.unionByName(_pairs(keyed(late, "a"), keyed(near, "b"), self.threshold, self.hours))
+            pairs = pairs.unionByName(self._table_pairs(late, near))
         pairs.write.mode("overwrite").parquet(f"{self.out}/late_pairs/batch={epoch}")
         write_version(arrivals.agg(F.greatest(F.max("ct"), F.lit(before).cast("timestamp")).alias("ct")), f"{self.out}/newest", epoch + 1)
 

@@ -100,6 +100,51 @@ def test_late_batches_meet_two_windows_only(spark):
         .agg(F.max("count")).first()[0] <= -(-24 // 5)
 
 
+@pytest.mark.parametrize("held", ["64k", "64m", "-1"])
+def test_late_joins_broadcast_by_what_keyed_rows_hold(spark, monkeypatch, held):
+    """Files of a few KB, keyed rows of MBs: no side is broadcast unless its keyed rows fit, and the result is the same."""
+    from gazette.streaming import interval as IV
+    title = " ".join(f"Harbour{c}{d}" for c in "abcde" for d in "vwxyz")
+    # every other article 30 min after the one before it, on another site, and the next two 20 h later
+    df = spark.range(300).select("id", F.timestamp_seconds(F.lit(V.EPOCH_2024) + F.floor(F.col("id") / 2) * 72000 + F.col("id") % 2 * 1800).alias("create_time"),
+                                 F.lit(title).alias("title"), F.concat(F.lit("http://s"), F.col("id") % 2, F.lit(".example/"), "id").alias("uri"),
+                                 (F.col("id") * 7 % 3).cast("long").alias("arrived"))
+    plans, pairs = [], IV._pairs
+
+    def seen(later, earlier, *rest):
+        out = pairs(later, earlier, *rest)
+        if not later.isStreaming:
+            plans.append(out._jdf.queryExecution().sparkPlan().toString())
+        return out
+
+    monkeypatch.setattr(IV, "_pairs", seen)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(key)
+    spark.conf.set(key, held)
+    try:
+        s = _run(spark, df, tempfile.mkdtemp(prefix="gz-iv-"), 3, range(3))
+        assert {r.id: r.importance for r in s.importance().collect()} == _expected(df)
+    finally:
+        spark.conf.set(key, was)
+    assert len(plans) == 6
+    assert all(("BroadcastHashJoin" in p) == (held == "64m") for p in plans), plans
+
+
+def test_keyed_bytes_bound_the_rows(spark):
+    """What a side is taken to hold is no less than its keyed rows as Spark's shuffle counts them."""
+    from gazette.streaming import interval as IV
+    rows = spark.createDataFrame([(1, "s.example", ["a", "bb", "c" * 40]), (2, None, ["déjà", "x"] + [f"w{i}" for i in range(30)]), (3, "t", []), (4, "t", None)],
+                                 "id long, site string, words array<string>").select("id", F.timestamp_seconds("id").alias("ct"), "site", "words", F.lit(0).cast("long").alias("arrived"))
+    for side, copies in (("a", 1), ("b", 2)):
+        keyed = IV._keyed(rows, 0.3, side, 12)
+        # nulls, eight places, and strings and arrays with their own places and padding
+        text = lambda c: F.coalesce(F.ceil(F.octet_length(c) / 8) * 8, F.lit(0))
+        array = lambda c: 16 + F.aggregate(c, F.lit(0).cast("long"), lambda t, w: t + 8 + F.ceil(F.octet_length(w) / 8) * 8)
+        held = keyed.agg(F.sum(72 + text(f"{side}_site") + text(f"{side}_token") + array(f"{side}_words") + array(f"{side}_prefix"))).first()[0]
+        said = rows.agg(F.sum(IV._keyed_bytes(0.3, side))).first()[0]
+        assert keyed.count() == copies * (3 + 23) and held <= said <= 2 * held
+
+
 def test_landed_files_follow_bytes(spark):
     """A small table of many partitions lands as one file a slice; every row lands once."""
     import glob
